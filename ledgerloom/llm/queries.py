@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, sharding
+from . import decontamination, fertility, packing, sharding, simhash
 from .tables import table
 
 SHARD_BYTES = 16 << 20
@@ -23,12 +23,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op9_packing": op9_packing}
+    made = (op1_sharding, op2_decontamination, op3_simhash, op9_packing, op10_fertility)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
