@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fertility, packing, sharding, simhash
+from . import decontamination, fertility, importance, langid, packing, sharding, simhash
 from .tables import table
 
 SHARD_BYTES = 16 << 20
@@ -28,6 +28,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    found = langid.identified(docs.withColumn("held_out", F.coalesce(fold == 0, F.lit(False))), docs.where(fold != 0), carry=("held_out",))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return importance.resampled(table(spark, sf_dir, "documents"), target)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -37,7 +49,7 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = (op1_sharding, op2_decontamination, op3_simhash, op9_packing, op10_fertility)
+    made = (op1_sharding, op2_decontamination, op3_simhash, op7_language, op8_importance, op9_packing, op10_fertility)
     return {f.__name__: f for f in made}
 
 
