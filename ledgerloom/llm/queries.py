@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fertility, importance, langid, packing, sharding, simhash, toxicity
+from . import decontamination, fertility, importance, langid, packing, ppm, sharding, simhash, toxicity
 from .tables import table
 
 SHARD_BYTES = 16 << 20
@@ -28,6 +28,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    docs = table(spark, sf_dir, "documents").withColumn("train", fold != 2).withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
+    return ppm.scored(docs, "train", carry=("held_out",))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +59,7 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = (op1_sharding, op2_decontamination, op3_simhash, op6_toxicity, op7_language, op8_importance, op9_packing, op10_fertility)
+    made = (op1_sharding, op2_decontamination, op3_simhash, op5_ppm, op6_toxicity, op7_language, op8_importance, op9_packing, op10_fertility)
     return {f.__name__: f for f in made}
 
 
