@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fertility, importance, langid, packing, ppm, sharding, simhash, toxicity
+import corpus_pipeline
+
+from . import decontamination, fertility, importance, langid, packing, ppm, sharding, simhash, substring, toxicity
 from .tables import table
 
 SHARD_BYTES = 16 << 20
@@ -28,6 +30,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 7
     docs = table(spark, sf_dir, "documents").withColumn("train", fold != 2).withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
@@ -59,9 +65,10 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = (op1_sharding, op2_decontamination, op3_simhash, op5_ppm, op6_toxicity, op7_language, op8_importance, op9_packing, op10_fertility)
-    return {f.__name__: f for f in made}
+    made = (op1_sharding, op2_decontamination, op3_simhash, op4_substring, op5_ppm, op6_toxicity, op7_language, op8_importance, op9_packing, op10_fertility)
+    return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.OP1_SQL.format(limit=SHARD_BYTES), "op2_decontamination": decontamination.OP2_SQL}
+    made = {"op1_sharding": sharding.OP1_SQL.format(limit=SHARD_BYTES), "op2_decontamination": decontamination.OP2_SQL}
+    return made | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

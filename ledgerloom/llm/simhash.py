@@ -53,16 +53,16 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp long) of each input row; null and wordless texts have fingerprint 0."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns to carry, fp long) of each input row; null and wordless texts have fingerprint 0."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(c, docs.schema[c].dataType) for c in carry), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in X.text_chunks(batches, "__text"):
             fp = np.array([fingerprint(shingle_hashes(t)) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fp)], names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), *(F.col(c) for c in carry), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def _with_syndrome(x: Column) -> Column:
@@ -94,21 +94,38 @@ def _close(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= MAX_BITS
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of each input row; component_id is the smallest id that links reach, the row's own included.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns to carry, fp, component_id) of each input row; component_id is the smallest id that links reach, the row's own included.
 
     Null ids take part; they have the component's smallest id, or null where all
     ids of it are null. Repeated rows come out as often as they came in. Other
     columns are ignored; an empty table gives no rows.
     """
-    rows = cut(fingerprints(docs, id_col, text))
+    rows = cut(fingerprints(docs, id_col, text, carry))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(bucket_links(anchor_rows(prints), _close))
     rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", *carry, "fp", "component_id")
 
 
 def fingerprint_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, all columns kept: that of the smallest id, then text hash; null ids come last.
+
+    Of rows alike in id and text any one stays.
+    """
+    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text)))
+    rows = cut(near_duplicates(hashed, id_col, text, ("__hash",)))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__hash").alias("h"))
+    # where a component has no id, its rows stay apart by fingerprint
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")]
+    stays = rows.groupBy(*group).agg(F.min(order).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.h").alias("__h"))
+    kept = hashed.join(stays, hashed[id_col].eqNullSafe(stays["__id"]) & (hashed["__hash"] == stays["__h"]), "left_semi")
+    if not rows.groupBy("doc_id", "__hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "__hash"])
+    return kept.select(*docs.columns)

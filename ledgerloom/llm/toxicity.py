@@ -169,6 +169,15 @@ def trained(docs: DataFrame, labels: DataFrame, chain: list[str], id_col: str =
     return chosen, weights
 
 
+def probabilities(texts: list[bytes], chosen: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+    """A column for each label of the chain."""
+    indptr, index = present(texts, chosen)
+    extra = np.zeros((len(texts), 0))
+    for w in weights:
+        extra = np.column_stack([extra, margins(indptr, index, extra, w, len(chosen))])
+    return 1 / (1 + np.exp(-extra))
+
+
 def scored(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], chain: list[str], id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, columns to carry, p_<label> for each label of the chain) of each input row.
 
@@ -180,13 +189,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], chain: l
     schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in kept), *(T.StructField(f"p_{c}", T.DoubleType()) for c in chain)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, weights = shared.value
         for part, texts in X.text_chunks(batches, "__text"):
-            indptr, index = present(texts, chosen)
-            extra = np.zeros((len(texts), 0))
-            for w in weights:
-                extra = np.column_stack([extra, margins(indptr, index, extra, w, len(chosen))])
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *(pa.array(1 / (1 + np.exp(-x))) for x in extra.T)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *(pa.array(p) for p in probabilities(texts, *shared.value).T)], names=schema.names)
 
     return docs.select(*(F.col(c) for c in kept), F.col(text).alias("__text")).mapInArrow(score, schema)
 
@@ -199,3 +203,18 @@ def classified(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = ("qu
     model = trained(docs, labels, list(chain), id_col, text)
     last = F.col(f"p_{chain[-1]}")
     return scored(docs, model, list(chain), id_col, text, carry).withColumn(chain[-1], (last >= threshold) if len(model[0]) else F.lit(False))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns kept, that the chain's last label leaves under `threshold`; all of them without labels."""
+    model = trained(docs, labels, list(chain), id_col, text)
+    if not len(model[0]):
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in X.text_chunks(batches, text):
+            p = probabilities(texts, *shared.value)[:, -1]
+            yield part.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
