@@ -148,3 +148,18 @@ def folded_angle(degrees: Column) -> Column:
     """A line's angle brought within 45 degrees of level."""
     turned = F.pmod(degrees, F.lit(90.0))
     return F.when(turned > 45, turned - 90).otherwise(turned)
+
+
+def area(box: Column) -> Column:
+    return (box[2] - box[0]) * (box[3] - box[1])
+
+
+def largest_boxes(boxes: Column, most: int = 1) -> Column:
+    """The boxes of the largest area, largest first; the earlier of equals first."""
+    keyed = F.transform(boxes, lambda b, i: F.struct((-area(b)).alias("k"), i.alias("i"), b.alias("b")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, most), lambda x: x["b"])
+
+
+def word_rows(words: Column, boxes: Column, tags: Column) -> Column:
+    """array<struct<words, boxes, tags>> of a row's parallel arrays; where one is shorter its values are null."""
+    return F.arrays_zip(words.alias("words"), boxes.alias("boxes"), tags.alias("tags"))

@@ -129,3 +129,19 @@ def parsed_answer(c: Column, kind: str) -> Column:
     # inside an array, what follows the value makes it malformed or longer
     values = F.from_json(F.concat(F.lit("["), without_fence(c), F.lit("]")), f"array<{kind}>", {"mode": "PERMISSIVE"})
     return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+
+
+def rendered(template: Column, values: dict[str, Column]) -> Column:
+    """A template with each {{ name }} replaced by its value; null values become empty, other names stay."""
+    out = template
+    for name, value in values.items():
+        # what the value holds is taken as it is, not as a pattern's reference
+        literal = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"([\\$])", r"\\$1")
+        out = F.regexp_replace(out, F.lit(r"\{\{\s*" + name + r"\s*\}\}"), literal)
+    return out
+
+
+def value_by_part(entries: Column, part: Column) -> Column:
+    """The map value of the first key, in key order, that holds the text; null without one."""
+    keys = F.array_sort(F.filter(F.map_keys(entries), lambda k: F.contains(k, part)))
+    return F.try_element_at(entries, F.get(keys, F.lit(0)))

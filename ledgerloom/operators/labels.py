@@ -55,8 +55,8 @@ def histogram(df: DataFrame, column: str, absent: str = "UNKNOWN", top: int | No
 
 
 def width_histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
-    """(bin, n) over equal widths between the least and largest value; the last bin has its upper edge."""
+    """(bin, n) over equal widths between the least and largest value; the last bin has its upper edge. Equal values are all in bin 0."""
     edges = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    place = F.floor((F.col(column) - F.col("low")) * bins / F.nullif(F.col("high") - F.col("low"), F.lit(0)))
-    number = F.coalesce(F.least(F.lit(bins - 1), place), F.lit(0)).cast("int")
+    place = F.floor(F.try_divide((F.col(column) - F.col("low")) * bins, F.col("high") - F.col("low")))
+    number = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), place)).otherwise(0).cast("int")
     return df.where(F.col(column).isNotNull()).join(F.broadcast(edges)).groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
