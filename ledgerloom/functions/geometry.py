@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,23 +77,33 @@ def split_words(text: Column, x1: Column, y1: Column, x2: Column, y2: Column, po
     word, so the last may pass the edge. "equal": equal widths, whole numbers.
     "per_char": width by characters with blanks counted, whole numbers.
     """
-    w = words(text)
-    width = x2 - x1
-    before = lambda i: F.aggregate(F.slice(w, 1, i), F.lit(0), lambda n, t: n + F.length(t))
-    letters = F.greatest(F.lit(1), F.aggregate(w, F.lit(0), lambda n, t: n + F.length(t)))
-    if policy == "proportional":
-        left = lambda i: x1 + before(i) / letters * width + i * (width * 0.02)
-        box = lambda t, i: F.array(left(i), y1, left(i) + F.length(t) / letters * width, y2)
-    elif policy == "equal":
-        share = width / F.greatest(F.lit(1), F.size(w))
-        box = lambda t, i: F.array(_whole(x1 + i * share), y1, _whole(x1 + (i + 1) * share), y2)
-    elif policy == "per_char":
-        share = width / F.greatest(F.lit(1), F.length(text))
-        left = lambda i: x1 + (before(i) + i) * share
-        box = lambda t, i: F.array(_whole(left(i)), _whole(y1), _whole(left(i) + F.length(t) * share), _whole(y2))
-    else:
+    if policy not in ("proportional", "equal", "per_char"):
         raise ValueError(f"unknown policy {policy}")
-    return F.transform(w, lambda t, i: F.struct(t.alias("word"), box(t, i).alias("box")))
+    width = x2 - x1
+
+    def placed(w: Column, ends: Column) -> Column:
+        """w: the words; ends: letters up to and with each word, led by 0."""
+        before = lambda i: F.get(ends, i)
+        if policy == "proportional":
+            share = width / F.greatest(F.lit(1), F.get(ends, F.size(w)))
+            left = lambda i: x1 + before(i) * share + i * (width * 0.02)
+            box = lambda t, i: F.array(left(i), y1, left(i) + F.length(t) * share, y2)
+        elif policy == "equal":
+            share = width / F.greatest(F.lit(1), F.size(w))
+            box = lambda t, i: F.array(_whole(x1 + i * share), y1, _whole(x1 + (i + 1) * share), y2)
+        else:
+            share = width / F.greatest(F.lit(1), F.length(text))
+            left = lambda i: x1 + (before(i) + i) * share
+            box = lambda t, i: F.array(_whole(left(i)), _whole(y1), _whole(left(i) + F.length(t) * share), _whole(y2))
+        return F.transform(w, lambda t, i: F.struct(t.alias("word"), box(t, i).alias("box")))
+
+    running = lambda w: F.aggregate(w, F.array(F.lit(0)), lambda out, t: F.concat(out, F.array(F.try_element_at(out, F.lit(-1)) + F.length(t))))
+    return _bound(words(text), lambda w: _bound(running(w), lambda ends: placed(w, ends)))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def padded(box: Column, pad: int, width: Column, height: Column) -> Column:

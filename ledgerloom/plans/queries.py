@@ -141,10 +141,10 @@ def polygon_box(t: Tables) -> DataFrame:
 
 
 @query(f"SELECT doc_id, line_no, arg_min(p, k1)[1]::DOUBLE AS tl_x, arg_min(p, k1)[2]::DOUBLE AS tl_y, arg_min(p, k2)[1]::DOUBLE AS tr_x, arg_min(p, k2)[2]::DOUBLE AS tr_y, arg_max(p, k1)[1]::DOUBLE AS br_x, arg_max(p, k1)[2]::DOUBLE AS br_y, arg_max(p, k2)[1]::DOUBLE AS bl_x, arg_max(p, k2)[2]::DOUBLE AS bl_y "
-       f"FROM (SELECT doc_id, line_no, p, p[1] + p[2] AS k1, p[2] - p[1] AS k2 FROM (SELECT doc_id, line_no, unnest({_POLYGON_SQL}) AS p FROM v_line_boxes WHERE length(text) > 2)) GROUP BY doc_id, line_no", "v_line_boxes")
+       f"FROM (SELECT doc_id, line_no, p, p[1] + p[2] AS k1, p[2] - p[1] AS k2 FROM (SELECT doc_id, line_no, unnest({_POLYGON_SQL}) AS p FROM v_line_boxes)) GROUP BY doc_id, line_no", "v_line_boxes")
 def order_points(t: Tables) -> DataFrame:
     o = G.ordered_points(_polygon())
-    rows = t.line_boxes().where(F.length("text") > 2).withColumn("o", o)
+    rows = t.line_boxes().withColumn("o", o)
     names = [f"{n}_{a}" for n in ("tl", "tr", "br", "bl") for a in "xy"]
     return rows.select("doc_id", "line_no", *(F.col("o")[k // 2][k % 2].alias(n) for k, n in enumerate(names)))
 
@@ -161,21 +161,21 @@ def _split_sql(left: str, right: str, whole: bool) -> str:
     return f"""SELECT doc_id, line_no, i AS place, word, {cast(left)} AS left_x, {cast(right)} AS right_x FROM (
       SELECT *, coalesce(sum(length(word)) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
         SELECT doc_id, line_no, x1, x2, length(text) AS chars, len(l) AS n, greatest(1, length(array_to_string(l, ''))) AS letters, unnest(range(len(l))) AS i, unnest(l) AS word FROM (
-          SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS l FROM v_line_boxes WHERE length(text) < 400)))"""
+          SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS l FROM v_line_boxes)))"""
 
 
 def _split(t: Tables, policy: str) -> DataFrame:
     c = F.col
-    rows = t.line_boxes().where(F.length("text") < 400)
+    rows = t.line_boxes()
     words = G.split_words(c("text"), c("x1"), c("y1"), c("x2"), c("y2"), policy)
     rows = rows.select("doc_id", "line_no", F.posexplode(words).alias("place", "z"))
     return rows.select("doc_id", "line_no", c("place").cast("long").alias("place"), "z.word", c("z.box")[0].alias("left_x"), c("z.box")[2].alias("right_x"))
 
 
-_PROPORTIONAL = "x1 + before / letters * (x2 - x1) + i * ((x2 - x1) * 0.02::DOUBLE)"
+_PROPORTIONAL = "x1 + before * ((x2 - x1) / letters) + i * ((x2 - x1) * 0.02::DOUBLE)"
 
 
-@query(_split_sql(_PROPORTIONAL, _PROPORTIONAL + " + length(word) / letters * (x2 - x1)", False), "v_line_boxes")
+@query(_split_sql(_PROPORTIONAL, _PROPORTIONAL + " + length(word) * ((x2 - x1) / letters)", False), "v_line_boxes")
 def split_words_prop(t: Tables) -> DataFrame:
     return _split(t, "proportional")
 
@@ -345,10 +345,9 @@ def rule_extract_titled(t: Tables) -> DataFrame:
     return R.extracted_fields(t.receipt_lines())
 
 
-@query("SELECT doc_id, line_no, text, lead(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_text FROM v_receipt_lines WHERE line_no >= 1000", "v_receipt_lines")
+@query("SELECT doc_id, line_no, text, lead(text) OVER (PARTITION BY doc_id ORDER BY line_no, text) AS next_text FROM v_receipt_lines", "v_receipt_lines")
 def rule_extract_lookahead(t: Tables) -> DataFrame:
-    rows = t.receipt_lines().where("line_no >= 1000")
-    return rows.withColumn("next_text", F.lead("text").over(Window.partitionBy("doc_id").orderBy("line_no")))
+    return t.receipt_lines().withColumn("next_text", F.lead("text").over(Window.partitionBy("doc_id").orderBy("line_no", "text")))
 
 
 @query()
@@ -426,11 +425,11 @@ def bio_decode_c4(t: Tables) -> DataFrame:
 
 def _tokens(t: Tables) -> DataFrame:
     """Two tokens a word; of some words the first is outside."""
-    rows = t.tags().where("word_no < 60").select("doc_id", "word_no", "tag", F.explode(F.array(F.lit(0), F.lit(1))).alias("token_no"))
+    rows = t.tags().select("doc_id", "word_no", "tag", F.explode(F.array(F.lit(0), F.lit(1))).alias("token_no"))
     return rows.withColumn("label", F.when((F.col("token_no") == 0) & (F.col("word_no") % 4 == 1), "O").otherwise(F.col("tag")))
 
 
-_TOKENS = "(SELECT *, CASE WHEN token_no = 0 AND word_no % 4 = 1 THEN 'O' ELSE tag END AS label FROM (SELECT doc_id, word_no, tag, unnest([0, 1]) AS token_no FROM v_tags WHERE word_no < 60))"
+_TOKENS = "(SELECT *, CASE WHEN token_no = 0 AND word_no % 4 = 1 THEN 'O' ELSE tag END AS label FROM (SELECT doc_id, word_no, tag, unnest([0, 1]) AS token_no FROM v_tags))"
 
 
 @query(f"SELECT doc_id, word_no, coalesce(arg_min(label, token_no) FILTER (WHERE label <> 'O'), 'O') AS label FROM {_TOKENS} GROUP BY 1, 2", "v_tags")
