@@ -739,3 +739,85 @@ def stream_dedup(t: Tables) -> DataFrame:
     run = once_each(stream.select("user_id", "event_type"), ["user_id", "event_type"]).writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/rows").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("user_id long, event_type string").parquet(f"{place}/rows")
+
+
+# --- smaller operations
+
+
+@query(f"""SELECT doc_id, line_no, greatest(trunc(sqrt(pow(br[1] - bl[1], 2) + pow(br[2] - bl[2], 2))), trunc(sqrt(pow(tr[1] - tl[1], 2) + pow(tr[2] - tl[2], 2))))::BIGINT AS width,
+       greatest(trunc(sqrt(pow(tr[1] - br[1], 2) + pow(tr[2] - br[2], 2))), trunc(sqrt(pow(tl[1] - bl[1], 2) + pow(tl[2] - bl[2], 2))))::BIGINT AS height FROM
+       (SELECT doc_id, line_no, arg_min(p, k1) AS tl, arg_min(p, k2) AS tr, arg_max(p, k1) AS br, arg_max(p, k2) AS bl FROM (SELECT doc_id, line_no, p, p[1] + p[2] AS k1, p[2] - p[1] AS k2 FROM (SELECT doc_id, line_no, unnest({_POLYGON_SQL}) AS p FROM v_line_boxes)) GROUP BY 1, 2)""", "v_line_boxes")
+def warp_size(t: Tables) -> DataFrame:
+    rows = t.line_boxes().select("doc_id", "line_no", G.ordered_points(_polygon()).alias("o")).withColumn("s", G.warp_size(F.col("o")))
+    return rows.select("doc_id", "line_no", "s.width", "s.height")
+
+
+@query("SELECT doc_id, line_no, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, (y2 - y1)::BIGINT AS height, y1 / h * 100 AS y_percent FROM v_line_boxes", "v_line_boxes")
+def box_centres(t: Tables) -> DataFrame:
+    c = F.col
+    rows = t.line_boxes().withColumn("z", G.centre_and_height(F.array("x1", "y1", "x2", "y2")))
+    return rows.select("doc_id", "line_no", "z.cx", "z.cy", "z.height", G.vertical_percent(c("y1"), c("h")).alias("y_percent"))
+
+
+@query("SELECT doc_id, arg_max(line_no, x2 - x1 - line_no / 1000000.0) AS line_no, max(x2 - x1) * 16 AS area FROM v_line_boxes GROUP BY 1", "v_line_boxes")
+def largest_box(t: Tables) -> DataFrame:
+    c = F.col
+    size = (c("x2") - c("x1")) * (c("y2") - c("y1"))
+    return t.line_boxes().groupBy("doc_id").agg(F.min_by("line_no", F.struct(-size, "line_no")).alias("line_no"), F.max(size).alias("area"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 >= 5 THEN 3 ELSE event_id % 7 END::BIGINT AS token FROM events")
+def id_clamp(t: Tables) -> DataFrame:
+    return t.events.select("event_id", L.id_within(F.col("event_id") % 7, 5, 3).cast("long").alias("token"))
+
+
+@query("SELECT event_id, nullif(list_position(['click', 'view', 'error'], event_type), 0) - 1 AS id FROM events WHERE event_type IN ('click', 'view', 'error')")
+def label_ids(t: Tables) -> DataFrame:
+    return t.events.select("event_id", L.label_id(F.col("event_type"), ["click", "view", "error"]).alias("id")).where("id IS NOT NULL")
+
+
+@query("SELECT c_custkey, [6, 7, 4, 1][c_custkey % 4 + 1] AS districts, ['Quận Cầu Giấy', 'Quận 1', 'Quận Hải Châu', 'Quận X'][c_custkey % 4 + 1] AS first_district FROM customer")
+def district_lookup(t: Tables) -> DataFrame:
+    city = F.element_at(F.array(*map(F.lit, [*I.DISTRICTS, "Huế"])), (F.col("c_custkey") % 4).cast("int") + 1)
+    found = I.districts_of(city, ["Quận X"])
+    return t.customer.select("c_custkey", F.size(found).alias("districts"), F.get(found, F.lit(0)).alias("first_district"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN p_type ELSE 'other' END AS store FROM part")
+def profile_lookup(t: Tables) -> DataFrame:
+    profiles = t.spark.createDataFrame([("ECONOMY", "ECONOMY"), ("STANDARD", "STANDARD"), ("default", "other")], "p_type string, store string")
+    return I.with_profile(t.part.select("p_partkey", "p_type"), profiles, "p_type").select("p_partkey", "profile.store")
+
+
+@query("SELECT c_custkey, '<b>' || c_name || '</b> ' || c_mktsegment || ' {{ other }}' AS html FROM customer")
+def template_render(t: Tables) -> DataFrame:
+    html = X.rendered(F.lit("<b>{{ name }}</b> {{segment}} {{ other }}"), {"name": F.col("c_name"), "segment": F.col("c_mktsegment")})
+    return t.customer.select("c_custkey", html.alias("html"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS found FROM documents")
+def map_lookup(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("img_"), F.col("doc_id"), F.lit(".jpg"))
+    entries = F.create_map(F.concat(F.lit("/data/"), F.when(F.col("doc_id") % 3 == 0, name).otherwise("none")), F.col("source"))
+    return t.documents.select("doc_id", X.value_by_part(entries, name).alias("found"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN event_type ELSE '-' END AS seller, CASE WHEN event_id % 4 <> 0 THEN 3 ELSE -1 END::INT AS ymax, CASE WHEN event_id % 4 = 0 THEN 'not JSON' ELSE '' END AS error FROM events")
+def model_answers(t: Tables) -> DataFrame:
+    body = F.concat(F.lit('```json\n{"SELLER": {"text": "'), F.col("event_type"), F.lit('", "box_2d": [1, 2, 3, 4]}, "ADDRESS": null}\n```'))
+    answer = F.when(F.col("event_id") % 4 == 0, "Sorry.").otherwise(body)
+    rows = t.events.select("event_id", X.parsed_answer(answer, "map<string,struct<text:string,box_2d:array<int>>>").alias("a"))
+    seller = F.try_element_at("a", F.lit("SELLER"))
+    return rows.select("event_id", F.coalesce(seller["text"], F.lit("-")).alias("seller"), F.coalesce(F.get(seller["box_2d"], F.lit(2)), F.lit(-1)).alias("ymax"), F.when(F.col("a").isNull(), "not JSON").otherwise("").alias("error"))
+
+
+@query("SELECT DISTINCT field FROM v_truth UNION SELECT DISTINCT field FROM v_pred", "v_truth", "v_pred")
+def field_union(t: Tables) -> DataFrame:
+    return t.truth_fields().select("field").union(t.predicted_fields().select("field")).distinct()
+
+
+@query("SELECT doc_id, [CASE WHEN i % 2 = 0 THEN (doc_id + i // 2) % 9 ELSE -100 END FOR i IN range(8)] AS labels FROM documents")
+def token_align(t: Tables) -> DataFrame:
+    word_ids = F.array(*(F.lit(i // 2) for i in range(8)))
+    labels = F.array(*((F.col("doc_id") + i) % 9 for i in range(4)))
+    return t.documents.select("doc_id", F.transform(S.aligned_labels(word_ids, labels), lambda x: x.cast("long")).alias("labels"))
