@@ -1,6 +1,6 @@
 """Links between the items of each bucket, found by comparing inside the bucket.
 
-No pairs are emitted: a bucket yields a tree for each of its connected groups.
+No pairs are emitted: a task yields trees over the items that its buckets link.
 A bucket of more than CHUNK items is cut into chunks by a hash of the item, and
 every two chunks of it meet in a task of their own, so each comparison is made
 and no task holds more than two chunks.
@@ -94,7 +94,7 @@ def bucket_links(rows: DataFrame, same: Same, chunk: int = CHUNK) -> DataFrame:
     hot = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > chunk))
     n_hot = hot.count()
     others = [c for c in rows.columns if c not in ("bucket", "item")]
-    dealt = rows.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
+    keys, dealt = ["bucket"], rows
     if n_hot:
         hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
         parts = F.ceil(F.coalesce("n", F.lit(1)) / chunk)
@@ -102,14 +102,28 @@ def bucket_links(rows: DataFrame, same: Same, chunk: int = CHUNK) -> DataFrame:
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("item"), F.col("parts")))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    dealt = dealt.select("bucket", "i", "j", "item", *others).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "item")
+        keys = ["bucket", "i", "j"]
+    dealt = dealt.select(*keys, "item", *others).repartition(*keys).sortWithinPartitions(*keys, "item")
+    n_keys = len(keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, 3):
-            a, b = _compared(table, 3, same)
-            if len(a):
-                item = table.column("item").to_numpy()
-                a, b = item[a], item[b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        up: dict[int, int] = {}  # of the items that this task has linked
+
+        def top(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for table in _whole_groups(batches, n_keys):
+            a, b = _compared(table, n_keys, same)
+            item = table.column("item").to_numpy()
+            new = []
+            for x, y in zip(item[a].tolist(), item[b].tolist(), strict=True):
+                p, q = top(x), top(y)
+                if p != q:  # else buckets before this one have joined the two
+                    up[max(p, q)] = min(p, q)
+                    new.append((x, y))
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([min(e) for e in new], pa.int64()), pa.array([max(e) for e in new], pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long")

@@ -24,14 +24,23 @@ from pyspark.sql import types as T
 from . import _text as X
 from .buckets import bucket_links
 from .components import components
+from .jaccard import jaccard
+from .lookup import Lookup
+from .substring import Layout
 from .tables import cut
 
 HALF = 31
 MAX_BITS = 3
 SHINGLE = 3
 SEED = 42
-#: Texts and shingles that are held at once.
+#: Shingles that are held at once.
 PART_SHINGLES = 1 << 20
+#: For near copies by shingles: fingerprint values of a text, and bits of the first that may differ.
+WIDE = 3
+NEAR_BITS = 16
+#: Candidates that are broadcast at most, and shingle sets that meet in a task.
+CANDIDATES = 4 << 20
+SETS = 1024
 
 
 def shingle_hashes(text: bytes, width: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -74,19 +83,19 @@ def _with_syndrome(x: Column) -> Column:
     return F.struct(x.alias("x"), syndrome.cast("int").alias("s"), F.lit(1).cast("long").alias("one"))
 
 
-def anchor_rows(prints: DataFrame) -> DataFrame:
-    """(bucket, item): each fingerprint at each of its anchors; the bucket names the half and the anchor."""
-    halves = prints.select(F.col("fp").alias("item"), F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+def anchor_rows(prints: DataFrame, carry: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(bucket, columns to carry): each fingerprint `fp` at each of its anchors; the bucket names the half and the anchor."""
+    halves = prints.select(*{"fp": None, **dict.fromkeys(carry)}, F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
     low = (1 << HALF) - 1
-    value = F.expr(f"shiftrightunsigned(item, half * {HALF}) & {low}L")
-    found = halves.select("item", "half", _with_syndrome(value).alias("v"))
+    value = F.expr(f"shiftrightunsigned(fp, half * {HALF}) & {low}L")
+    found = halves.select(*carry, "half", _with_syndrome(value).alias("v"))
     near = """
         if(v.s = 0, array(v.x), concat(
             array(v.x ^ shiftleft(v.one, v.s - 1)),
             transform(filter(sequence(1, 31), i -> i < (i ^ v.s)), i -> v.x ^ shiftleft(v.one, i - 1) ^ shiftleft(v.one, (i ^ v.s) - 1))))
     """
-    found = found.select("item", "half", F.explode(F.expr(near)).alias("anchor"))
-    return found.select((F.col("anchor") + F.col("half") * F.lit(1 << HALF).cast("long")).alias("bucket"), "item")
+    found = found.select(*carry, "half", F.explode(F.expr(near)).alias("anchor"))
+    return found.select((F.col("anchor") + F.col("half") * F.lit(1 << HALF).cast("long")).alias("bucket"), *carry)
 
 
 def _close(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -103,7 +112,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     rows = cut(fingerprints(docs, id_col, text, carry))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(bucket_links(anchor_rows(prints), _close))
+    roots = components(bucket_links(anchor_rows(prints).withColumnRenamed("fp", "item"), _close))
     rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -114,18 +123,91 @@ def fingerprint_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+# --- near copies by five-word shingles
+
+
+def wide_fingerprints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """By text: a hash of its words in order (0 for none), and WIDE SimHash values of its distinct words."""
+    layout = Layout(texts, whole_texts=True)
+    first = np.searchsorted(layout.doc_of, np.arange(len(texts) + 1))
+    whole = np.zeros(len(texts), np.uint64)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        whole[some] = layout.sequence_hashes(layout.lines)
+    prints = np.zeros((len(texts), WIDE), np.uint64)
+    for k in some:
+        words = np.unique(layout.hashes[first[k] : first[k + 1]])
+        for j in range(WIDE):
+            bits = np.unpackbits(X.mix(words + np.uint64(j * 0x632BE5AB)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            prints[k, j] = np.packbits(2 * bits > len(words), bitorder="little").view("<u8")[0]
+    return whole, prints
+
+
+def _near(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    fp = rows.column("f0").to_numpy()
+    return np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= NEAR_BITS
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, words_hash, root) of each input row: rows with one root are copies or near copies.
+
+    Near copies have a Jaccard similarity of 0.8 or more of their five-word
+    shingles, lower-cased; a text of fewer words is one shingle, texts without
+    words are copies of each other. The candidates are found by SimHash of the
+    distinct words in WIDE values: each half of each value is covered by anchors
+    as above, and what meets at an anchor with NEAR_BITS or fewer differing
+    bits joins a candidate group. Inside a group all shingle sets are compared,
+    so a link never rests on fingerprints alone.
+    """
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("__text"))
+    values = ", ".join(f"f{j} long" for j in range(WIDE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in X.text_chunks(batches, "__text"):
+            whole, prints = wide_fingerprints(texts)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(whole.view(np.int64)), *(pa.array(f.view(np.int64)) for f in prints.T.copy())], names=["doc_id", "text_hash", "item", *(f"f{j}" for j in range(WIDE))])
+
+    rows = cut(slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text_hash long, item long, {values}"))
+    items = cut(rows.groupBy("item").agg(*(F.first(f"f{j}").alias(f"f{j}") for j in range(WIDE))))
+    placed = None
+    for j in range(WIDE):
+        own = anchor_rows(items.select(F.col(f"f{j}").alias("fp"), "item", "f0"), ("item", "f0"))
+        own = own.withColumn("bucket", F.col("bucket") + F.lit(j << (HALF + 1)).cast("long"))
+        placed = own if placed is None else placed.unionByName(own)
+    groups = cut(components(bucket_links(placed.select("bucket", "item", "f0"), _near)))
+    n = groups.count()
+    known = None
+    if n <= CANDIDATES:
+        table = groups.select("node").toArrow()
+        known = docs.sparkSession.sparkContext.broadcast(Lookup(table.column("node").to_numpy().view(np.uint64)))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in X.text_chunks(batches, "__text"):
+            layout = Layout(texts, whole_texts=True)
+            keys, at = np.unique(layout.sequence_hashes(layout.lines), return_index=True)
+            hit = known.value.find(keys) >= 0 if known else np.ones(len(keys), bool)
+            keys, which = keys[hit], at[hit]
+            values, bounds = layout.shingles(which)
+            sets = [np.unique(values[x:y]).view(np.int64) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = slim.select("__text").mapInArrow(take, "node long, shingles array<long>").join(groups, "node").dropDuplicates(["node"])
+    links = bucket_links(cut(sets.select(F.col("root").alias("bucket"), F.col("node").alias("item"), "shingles")), jaccard, SETS)
+    roots = components(links)
+    named = rows.select("doc_id", "text_hash", F.col("item").alias("node")).join(roots, "node", "left")
+    return named.select("doc_id", "text_hash", F.col("node").alias("words_hash"), F.coalesce("root", "node").alias("root"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, all columns kept: that of the smallest id, then text hash; null ids come last.
+    """One document of each group of similar documents, all columns kept: that of the smallest id, then text hash; null ids come last.
 
     Of rows alike in id and text any one stays.
     """
     hashed = docs.withColumn("__hash", F.xxhash64(F.col(text)))
-    rows = cut(near_duplicates(hashed, id_col, text, ("__hash",)))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__hash").alias("h"))
-    # where a component has no id, its rows stay apart by fingerprint
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")]
-    stays = rows.groupBy(*group).agg(F.min(order).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.h").alias("__h"))
+    rows = cut(similar_documents(docs, id_col, text))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
+    stays = rows.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.h").alias("__h"))
     kept = hashed.join(stays, hashed[id_col].eqNullSafe(stays["__id"]) & (hashed["__hash"] == stays["__h"]), "left_semi")
-    if not rows.groupBy("doc_id", "__hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    if not rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, "__hash"])
     return kept.select(*docs.columns)

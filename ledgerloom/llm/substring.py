@@ -26,18 +26,16 @@ from pyspark.sql import types as T
 
 from . import _text as X
 from .buckets import bucket_links
+from .jaccard import THRESHOLD, jaccard
 from .components import components
-from .ppm import Lookup
+from .lookup import Lookup
 from .tables import cut
 
 MIN_WORDS = 25
 SHINGLE = 5
-THRESHOLD = 0.8
 RECALL = 0.995
 BAND_ROWS = 3
 KEYS = 4 << 20
-#: Shingles that one comparison holds at most.
-COMPARED = 4 << 20
 PIECE, BAND = 0, 1
 
 
@@ -56,7 +54,8 @@ def _factors(n: int) -> np.ndarray:
 class Layout:
     """Words, pieces and lines of a slice of texts; pieces and lines as ranges of words."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], whole_texts: bool = False) -> None:
+        """whole_texts: each text is one line and one piece."""
         buf, starts = X.joined(texts, lower=True)
         self.n_docs = len(texts)
         self.a, self.b = X.word_spans(buf, X.NON_SPACE)
@@ -67,6 +66,9 @@ class Layout:
         if not n:
             self.pieces = self.lines = np.zeros(1, np.int64)
             return
+        if whole_texts:
+            self.lines = self.pieces = np.append(np.flatnonzero(np.append(True, self.doc_of[1:] != self.doc_of[:-1])), n)
+            return
         line_of = np.searchsorted(np.flatnonzero(buf == 10), self.a)
         new_line = np.append(True, line_of[1:] != line_of[:-1])
         tail = buf[self.b - 1]
@@ -152,29 +154,6 @@ def _known(keys: DataFrame, n: int):
     return keys.sparkSession.sparkContext.broadcast(Lookup(table.column("key").to_numpy().view(np.uint64)))
 
 
-def _jaccard(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the shingle sets of each pair of rows have a Jaccard similarity of THRESHOLD."""
-    sets = rows.column("shingles").combine_chunks()
-    bounds, flat = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy().view(np.uint64)
-    sizes = np.diff(bounds)
-    out = np.zeros(len(i), bool)
-    total = np.cumsum(sizes[i] + sizes[j])
-    low = 0
-    while low < len(i):
-        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + COMPARED)))
-        x, y = i[low:high], j[low:high]
-        keys = []
-        for side in (x, y):
-            count = sizes[side]
-            at = np.repeat(bounds[side] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            keys.append(X.mix(flat[at] ^ X.mix(np.repeat(np.arange(len(side), dtype=np.uint64), count) + np.uint64(1))))
-        pair = np.repeat(np.arange(len(x)), sizes[x])
-        common = np.bincount(pair[np.isin(keys[0], keys[1])], minlength=len(x))
-        out[low:high] = common >= THRESHOLD * (sizes[x] + sizes[y] - common)
-        low = high
-    return out
-
-
 def _clusters(docs: DataFrame, colliding: DataFrame, n: int, min_words: int, bands: int) -> DataFrame:
     """(key, root): paragraphs that are near copies of others, by hash, with the component's name."""
     known = _known(colliding, n)
@@ -198,7 +177,7 @@ def _clusters(docs: DataFrame, colliding: DataFrame, n: int, min_words: int, ban
     rows = docs.select("__text").mapInArrow(take, "bucket long, item long, shingles array<long>")
     if known is None:
         rows = rows.join(colliding.select(F.col("key").alias("bucket")), "bucket", "left_semi")
-    links = bucket_links(cut(rows.dropDuplicates(["bucket", "item"])), _jaccard)
+    links = bucket_links(cut(rows.dropDuplicates(["bucket", "item"])), jaccard)
     return components(links).select(F.col("node").alias("key"), "root")
 
 

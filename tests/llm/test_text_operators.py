@@ -224,12 +224,43 @@ def test_near_duplicates(spark, odd, none):
     found = simhash.near_duplicates(df)
     got = found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("x"), "component_id").collect()
     assert Counter(tuple(r) for r in got) == want
-    kept = simhash.deduplicated(df.withColumn("fp", F.lit(1)))
-    assert kept.columns == ["doc_id", "text", "fp"]
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(least.values()))
     assert simhash.near_duplicates(none).count() == 0
 
 
+def brute_shingles(t):
+    w = words(lower(t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def test_similar_documents(spark, odd, none):
+    rng = random.Random(16)
+    base = [prose(rng, n).split() for n in (60, 150, 400)]
+    texts = []
+    for k in range(150):
+        w = list(base[k % 3])
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = "new" + str(rng.randint(0, 9))
+        texts.append(" ".join(w[: len(w) - rng.choice([0, 0, 0, 3])]))
+    df = spark.createDataFrame([(1000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    sets = [brute_shingles(t) for _, t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = groups(linked, range(len(rows)))
+    by = defaultdict(set)
+    for n, r in root.items():
+        by[r].add((rows[n][0], rows[n][1] or ""))
+    found = defaultdict(set)
+    for r in simhash.similar_documents(df).join(df.select(F.xxhash64("text").alias("text_hash"), "text").distinct(), "text_hash").collect():
+        found[r["root"]].add((r["doc_id"], r["text"] or ""))
+    assert sorted(map(str, map(lambda v: sorted(v, key=str), by.values()))) == sorted(map(str, map(lambda v: sorted(v, key=str), found.values())))
+    kept = simhash.deduplicated(df.withColumns({"fp": F.lit(1), "root": F.lit(2), "__x": F.lit(3)}))
+    assert kept.columns == ["doc_id", "text", "fp", "root", "__x"]
+    want = [min((k for k, _ in v if k is not None), default=None) for v in by.values()]
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(want)
+    assert simhash.similar_documents(none).count() == 0
+    assert simhash.deduplicated(none).count() == 0
+
+
 def test_every_close_pair_shares_an_anchor(spark):
     rng = random.Random(8)
     pairs = []
@@ -243,7 +274,7 @@ def test_every_close_pair_shares_an_anchor(spark):
     df = spark.createDataFrame([(signed(v),) for v in {v for p in pairs for v in p}], "fp long")
     at = defaultdict(set)
     for r in simhash.anchor_rows(df).collect():
-        at[r["item"]].add(r["bucket"])
+        at[r["fp"]].add(r["bucket"])
     assert all(at[signed(x)] & at[signed(y)] for x, y in pairs)
     assert max(map(len, at.values())) <= 32
 
@@ -607,7 +638,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert made.columns == names
         if name == "simhash_near_dedup":
-            assert simhash.near_duplicates(made).groupBy("component_id").count().where("count > 1").count() == 0
+            assert simhash.similar_documents(made).groupBy("root").count().where("count > 1").count() == 0
         if name == "benchmark_decontamination":
             bench = table(spark, sf_dir, "benchmark")
             assert decontamination.contamination(made, bench).where("n_hit > 0").count() == 0
