@@ -8,9 +8,10 @@ equal pieces form a group. Of each component and each group the occurrence of th
 smallest (id, text hash, place) stays; the others are marked, and a run of
 marked pieces of `min_words` words and more is removed.
 
-Pass 1 counts pieces and band keys; only those that repeat go on. Pass 2 takes
-the shingles of colliding paragraphs, pass 3 the repeated pieces and paragraphs.
-The texts never move. Sets of repeated keys are broadcast up to KEYS entries and
+A first pass gathers the keys of pieces and bands; only those that repeat go on.
+The next ones take the collisions of paragraphs, the shingle sets of those in a
+candidate group, and the places of repeated pieces and near copies. The texts
+never move. Sets of repeated keys are broadcast up to KEYS entries and
 joined beyond that.
 """
 
@@ -36,6 +37,8 @@ SHINGLE = 5
 RECALL = 0.995
 BAND_ROWS = 3
 KEYS = 4 << 20
+#: Shingle sets that meet in a task.
+SETS = 1024
 PIECE, BAND = 0, 1
 
 
@@ -126,58 +129,83 @@ def _batch(names: str, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, names=names.split())
 
 
+def _kinded(keys: np.ndarray, kind: int) -> np.ndarray:
+    """The keys with their kind in the last bit."""
+    return (keys & ~np.uint64(1)) | np.uint64(kind)
+
+
 def _repeated(docs: DataFrame, min_words: int, bands: int) -> DataFrame:
-    """(kind, key) of pieces that occur more than once and of band keys that different paragraphs share."""
+    """(kind, key, low) of pieces that occur more than once and of band keys that different paragraphs share.
+
+    A row is a key and a value: of a piece the document's mark, of a band the
+    paragraph's hash. A key with two values repeats; `low` is the smaller.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in X.text_chunks(batches, "__text"):
+        for part, texts in X.text_chunks(batches, "__text"):
             layout = Layout(texts)
-            keys, n = np.unique(layout.sequence_hashes(layout.pieces), return_counts=True)
-            zero = np.zeros(len(keys), np.int64)
-            yield _batch("kind key n low high", np.full(len(keys), PIECE, np.int32), keys, n.astype(np.int64), zero, zero)
+            mark = part.column(1).to_numpy().view(np.uint64)
+            keys, first, n = np.unique(_kinded(layout.sequence_hashes(layout.pieces), PIECE), return_index=True, return_counts=True)
+            value = mark[layout.doc_of[layout.pieces[first]]] if len(keys) else np.empty(0, np.uint64)
+            again = n > 1
+            yield _batch("key value", np.concatenate([keys, keys[again]]), np.concatenate([value, value[again] ^ np.uint64(1)]))
             which = layout.paragraphs(min_words)
             line, first = np.unique(layout.sequence_hashes(layout.lines)[which], return_index=True)
-            keys = layout.band_keys(which[first], bands).ravel()
-            line = np.repeat(line, bands)
-            yield _batch("kind key n low high", np.full(len(keys), BAND, np.int32), keys, np.ones(len(keys), np.int64), line, line)
+            yield _batch("key value", _kinded(layout.band_keys(which[first], bands).ravel(), BAND), np.repeat(line, bands))
 
-    rows = docs.select("__text").mapInArrow(count, "kind int, key long, n long, low long, high long")
-    sums = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return sums.where(((F.col("kind") == PIECE) & (F.col("n") > 1)) | (F.col("low") < F.col("high"))).select("kind", "key")
+    rows = docs.select("__text", F.xxhash64("__id", "__hash").alias("__mark")).mapInArrow(count, "key long, value long")
+    ends = rows.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low < high")
+    return ends.select(F.col("key").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("kind"), "key", "low")
 
 
-def _known(keys: DataFrame, n: int):
-    """The keys as a broadcast, or None where there are too many."""
+def _known(keys: DataFrame, n: int, *values: str):
+    """The keys, with values, as a broadcast, or None where there are too many."""
     if n > KEYS:
         return None
-    table = keys.select("key").toArrow()
-    return keys.sparkSession.sparkContext.broadcast(Lookup(table.column("key").to_numpy().view(np.uint64)))
+    table = keys.select("key", *values).toArrow()
+    column = lambda c: table.column(c).to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(Lookup(column("key"), *map(column, values)))
 
 
 def _clusters(docs: DataFrame, colliding: DataFrame, n: int, min_words: int, bands: int) -> DataFrame:
-    """(key, root): paragraphs that are near copies of others, by hash, with the component's name."""
-    known = _known(colliding, n)
+    """(key, root): paragraphs that are near copies of others, by hash, with the component's name.
+
+    Colliding paragraphs form candidate groups; the shingle sets travel once for
+    each paragraph of a group, and are compared inside it.
+    """
+    known = _known(colliding, n, "low")
+
+    def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in X.text_chunks(batches, "__text"):
+            layout = Layout(texts)
+            which = layout.paragraphs(min_words)
+            line, first = np.unique(layout.sequence_hashes(layout.lines)[which], return_index=True)
+            keys, line = _kinded(layout.band_keys(which[first], bands).ravel(), BAND), np.repeat(line, bands)
+            if known:
+                at = known.value.find(keys)
+                keys, line = known.value.values[0][at[at >= 0]], line[at >= 0]
+            pairs = np.unique(np.stack([keys, line], 1), axis=0)
+            yield _batch("a b", pairs[:, 0].copy(), pairs[:, 1].copy())
+
+    links = docs.select("__text").mapInArrow(collide, "a long, b long")
+    if known is None:
+        links = links.join(colliding.select(F.col("key").alias("a"), "low"), "a").select(F.col("low").alias("a"), "b")
+    groups = cut(components(links).select(F.col("node").alias("key"), "root"))
+    wanted = _known(groups, groups.count())
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in X.text_chunks(batches, "__text"):
             layout = Layout(texts)
             which = layout.paragraphs(min_words)
             line, first = np.unique(layout.sequence_hashes(layout.lines)[which], return_index=True)
-            which = which[first]
-            keys = layout.band_keys(which, bands)
-            hit = known.value.find(keys.ravel()).reshape(keys.shape) >= 0 if known else np.ones(keys.shape, bool)
-            some = hit.any(1)
-            line, which, keys, hit = line[some], which[some], keys[some], hit[some]
+            hit = wanted.value.find(line) >= 0 if wanted else np.ones(len(line), bool)
+            line, which = line[hit], which[first[hit]]
             values, bounds = layout.shingles(which)
-            sets = [np.unique(values[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            row, column = np.nonzero(hit)
-            lists = pa.array([sets[r].view(np.int64) for r in row], pa.list_(pa.int64()))
-            yield _batch("bucket item shingles", keys[row, column], line[row], lists)
+            sets = [np.unique(values[x:y]).view(np.int64) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield _batch("key shingles", line, pa.array(sets, pa.list_(pa.int64())))
 
-    rows = docs.select("__text").mapInArrow(take, "bucket long, item long, shingles array<long>")
-    if known is None:
-        rows = rows.join(colliding.select(F.col("key").alias("bucket")), "bucket", "left_semi")
-    links = bucket_links(cut(rows.dropDuplicates(["bucket", "item"])), jaccard)
+    sets = docs.select("__text").mapInArrow(take, "key long, shingles array<long>").dropDuplicates(["key"]).join(groups, "key")
+    links = bucket_links(cut(sets.select(F.col("root").alias("bucket"), F.col("key").alias("item"), "shingles")), jaccard, SETS)
     return components(links).select(F.col("node").alias("key"), "root")
 
 
@@ -205,6 +233,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             layout = Layout(texts)
             for which, bounds, known in ((PIECE, layout.pieces, known_pieces), (BAND, layout.lines, known_lines)):
                 keys = layout.sequence_hashes(bounds)
+                keys = _kinded(keys, PIECE) if which == PIECE else keys
                 hit = np.flatnonzero(known.value.find(keys) >= 0) if known else np.arange(len(keys))
                 w0, w1 = bounds[hit], bounds[hit + 1]
                 doc = layout.doc_of[w0]
@@ -223,7 +252,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     lines = units.where(F.col("kind") == BAND).join(clusters, "key").drop("key").withColumnRenamed("root", "key")
     units = units.where(F.col("kind") == PIECE).unionByName(lines)
     place = F.struct("__id", "__hash", "p0")
-    first = units.groupBy("kind", "key").agg(F.min(place).alias("stays"))
+    # written, so that both sides of the join are plain exchanges and Spark can split a key that many documents share
+    first = cut(units.groupBy("kind", "key").agg(F.min(place).alias("stays")))
     marked = units.join(first, ["kind", "key"]).where(~place.eqNullSafe(F.col("stays")))
     per_doc = marked.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set(F.struct("p0", "p1", "w0", "w1", "first", "end"))).alias("units"))
     # runs of marked pieces: a unit that begins after the run's end, with no gap, goes on with it
