@@ -1,8 +1,14 @@
-"""A table of 64-bit keys to broadcast."""
+"""Tables of 64-bit keys to broadcast: values by key, and a bitmap that sifts rows before a join."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A sieve has 2 to this power bits (16 MB), whatever the number of keys.
+SIEVE_BITS = 27
 
 
 class Lookup:
@@ -43,3 +49,24 @@ class Lookup:
             more = (now >= 0) & (self.keys[now] != keys[left])
             left, at = left[more], at[more]
         return found
+
+
+def sieve(keys: DataFrame, column: str = "key") -> Broadcast:
+    """A bitmap, made by Spark, with the bit set that the leading bits of each key name.
+
+    The keys are hashes. Rows that pass still go through an exact join; the
+    sieve only keeps most others out of its shuffle.
+    """
+    places = keys.select(F.expr(f"shiftrightunsigned({column}, {64 - SIEVE_BITS})").alias("place"))
+    words = places.groupBy(F.expr("shiftright(place, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 AS int)))").alias("bits"))
+    table = words.toArrow()
+    bitmap = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    bitmap[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key's bit is set."""
+    bits = len(bitmap).bit_length() + 5
+    place = keys >> np.uint64(64 - bits)
+    return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1

@@ -25,7 +25,7 @@ from . import _text as X
 from .buckets import bucket_links
 from .components import components
 from .jaccard import jaccard
-from .lookup import Lookup
+from .lookup import passes, sieve
 from .substring import Layout
 from .tables import cut
 
@@ -38,8 +38,7 @@ PART_SHINGLES = 1 << 20
 #: For near copies by shingles: fingerprint values of a text, and bits of the first that may differ.
 WIDE = 3
 NEAR_BITS = 16
-#: Candidates that are broadcast at most, and shingle sets that meet in a task.
-CANDIDATES = 4 << 20
+#: Shingle sets that meet in a task.
 SETS = 1024
 
 
@@ -175,17 +174,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         own = own.withColumn("bucket", F.col("bucket") + F.lit(j << (HALF + 1)).cast("long"))
         placed = own if placed is None else placed.unionByName(own)
     groups = cut(components(bucket_links(placed.select("bucket", "item", "f0"), _near)))
-    n = groups.count()
-    known = None
-    if n <= CANDIDATES:
-        table = groups.select("node").toArrow()
-        known = docs.sparkSession.sparkContext.broadcast(Lookup(table.column("node").to_numpy().view(np.uint64)))
+    passing = sieve(groups, "node")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in X.text_chunks(batches, "__text"):
             layout = Layout(texts, whole_texts=True)
             keys, at = np.unique(layout.sequence_hashes(layout.lines), return_index=True)
-            hit = known.value.find(keys) >= 0 if known else np.ones(len(keys), bool)
+            hit = passes(passing.value, keys)
             keys, which = keys[hit], at[hit]
             values, bounds = layout.shingles(which)
             sets = [np.unique(values[x:y]).view(np.int64) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]

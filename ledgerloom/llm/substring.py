@@ -11,8 +11,8 @@ marked pieces of `min_words` words and more is removed.
 A first pass gathers the keys of pieces and bands; only those that repeat go on.
 The next ones take the collisions of paragraphs, the shingle sets of those in a
 candidate group, and the places of repeated pieces and near copies. The texts
-never move. Sets of repeated keys are broadcast up to KEYS entries and
-joined beyond that.
+never move. A bitmap of fixed size keeps most rows without a repeated key out of
+the shuffles; what passes is joined to the keys themselves.
 """
 
 from __future__ import annotations
@@ -29,14 +29,13 @@ from . import _text as X
 from .buckets import bucket_links
 from .jaccard import THRESHOLD, jaccard
 from .components import components
-from .lookup import Lookup
+from .lookup import passes, sieve
 from .tables import cut
 
 MIN_WORDS = 25
 SHINGLE = 5
 RECALL = 0.995
 BAND_ROWS = 3
-KEYS = 4 << 20
 #: Shingle sets that meet in a task.
 SETS = 1024
 PIECE, BAND = 0, 1
@@ -158,22 +157,13 @@ def _repeated(docs: DataFrame, min_words: int, bands: int) -> DataFrame:
     return ends.select(F.col("key").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("kind"), "key", "low")
 
 
-def _known(keys: DataFrame, n: int, *values: str):
-    """The keys, with values, as a broadcast, or None where there are too many."""
-    if n > KEYS:
-        return None
-    table = keys.select("key", *values).toArrow()
-    column = lambda c: table.column(c).to_numpy().view(np.uint64)
-    return keys.sparkSession.sparkContext.broadcast(Lookup(column("key"), *map(column, values)))
-
-
-def _clusters(docs: DataFrame, colliding: DataFrame, n: int, min_words: int, bands: int) -> DataFrame:
+def _clusters(docs: DataFrame, colliding: DataFrame, min_words: int, bands: int) -> DataFrame:
     """(key, root): paragraphs that are near copies of others, by hash, with the component's name.
 
     Colliding paragraphs form candidate groups; the shingle sets travel once for
     each paragraph of a group, and are compared inside it.
     """
-    known = _known(colliding, n, "low")
+    passing = sieve(colliding)
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in X.text_chunks(batches, "__text"):
@@ -181,24 +171,20 @@ def _clusters(docs: DataFrame, colliding: DataFrame, n: int, min_words: int, ban
             which = layout.paragraphs(min_words)
             line, first = np.unique(layout.sequence_hashes(layout.lines)[which], return_index=True)
             keys, line = _kinded(layout.band_keys(which[first], bands).ravel(), BAND), np.repeat(line, bands)
-            if known:
-                at = known.value.find(keys)
-                keys, line = known.value.values[0][at[at >= 0]], line[at >= 0]
-            pairs = np.unique(np.stack([keys, line], 1), axis=0)
-            yield _batch("a b", pairs[:, 0].copy(), pairs[:, 1].copy())
-
-    links = docs.select("__text").mapInArrow(collide, "a long, b long")
-    if known is None:
-        links = links.join(colliding.select(F.col("key").alias("a"), "low"), "a").select(F.col("low").alias("a"), "b")
+            hit = passes(passing.value, keys)
+            yield _batch("key line", keys[hit], line[hit])
+
+    links = docs.select("__text").mapInArrow(collide, "key long, line long").join(colliding.select("key", "low"), "key")
+    links = links.select(F.col("low").alias("a"), F.col("line").alias("b"))
     groups = cut(components(links).select(F.col("node").alias("key"), "root"))
-    wanted = _known(groups, groups.count())
+    wanted = sieve(groups)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in X.text_chunks(batches, "__text"):
             layout = Layout(texts)
             which = layout.paragraphs(min_words)
             line, first = np.unique(layout.sequence_hashes(layout.lines)[which], return_index=True)
-            hit = wanted.value.find(line) >= 0 if wanted else np.ones(len(line), bool)
+            hit = passes(wanted.value, line)
             line, which = line[hit], which[first[hit]]
             values, bounds = layout.shingles(which)
             sets = [np.unique(values[x:y]).view(np.int64) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -219,11 +205,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     bands = bands_for()
     docs = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
     repeated = cut(_repeated(docs, min_words, bands))
-    counts = {r["kind"]: r["n"] for r in repeated.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    clusters = cut(_clusters(docs, repeated.where(F.col("kind") == BAND), counts.get(BAND, 0), min_words, bands))
-    n_lines = clusters.count()
-    pieces = repeated.where(F.col("kind") == PIECE).select("key")
-    known_pieces, known_lines = _known(pieces, counts.get(PIECE, 0)), _known(clusters, n_lines)
+    clusters = cut(_clusters(docs, repeated.where(F.col("kind") == BAND), min_words, bands))
+    pieces = repeated.where(F.col("kind") == PIECE).select(F.lit(PIECE).cast("long").alias("kind"), "key", F.col("key").alias("root"))
+    named = pieces.unionByName(clusters.select(F.lit(BAND).cast("long").alias("kind"), "key", "root"))
+    passing_pieces, passing_lines = sieve(pieces), sieve(clusters)
     kind = docs.schema["__id"].dataType
     names = ["kind", "key", "p0", "p1", "w0", "w1", "first", "end"]
     schema = T.StructType([T.StructField("__id", kind), T.StructField("__hash", T.LongType()), *(T.StructField(c, T.LongType()) for c in names)])
@@ -231,10 +216,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in X.text_chunks(batches, "__text"):
             layout = Layout(texts)
-            for which, bounds, known in ((PIECE, layout.pieces, known_pieces), (BAND, layout.lines, known_lines)):
+            for which, bounds, passing in ((PIECE, layout.pieces, passing_pieces), (BAND, layout.lines, passing_lines)):
                 keys = layout.sequence_hashes(bounds)
                 keys = _kinded(keys, PIECE) if which == PIECE else keys
-                hit = np.flatnonzero(known.value.find(keys) >= 0) if known else np.arange(len(keys))
+                hit = np.flatnonzero(passes(passing.value, keys))
                 w0, w1 = bounds[hit], bounds[hit + 1]
                 doc = layout.doc_of[w0]
                 zero = np.searchsorted(layout.doc_of, doc)
@@ -244,13 +229,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 own = [part.column(k).take(pa.array(doc)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(hit), which)), *(pa.array(x.astype(np.int64)) for x in (keys[hit].view(np.int64), *place))], names=schema.names)
 
-    units = docs.mapInArrow(mark, schema)
-    if known_pieces is None or known_lines is None:
-        both = pieces.select(F.lit(PIECE).cast("long").alias("kind"), "key").unionByName(clusters.select(F.lit(BAND).cast("long").alias("kind"), "key"))
-        units = units.join(both, ["kind", "key"], "left_semi")
-    units = cut(units)
-    lines = units.where(F.col("kind") == BAND).join(clusters, "key").drop("key").withColumnRenamed("root", "key")
-    units = units.where(F.col("kind") == PIECE).unionByName(lines)
+    units = cut(docs.mapInArrow(mark, schema).join(named, ["kind", "key"]).drop("key").withColumnRenamed("root", "key"))
     place = F.struct("__id", "__hash", "p0")
     # written, so that both sides of the join are plain exchanges and Spark can split a key that many documents share
     first = cut(units.groupBy("kind", "key").agg(F.min(place).alias("stays")))

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import buckets, components, decontamination, fertility, fm_index, importance, langid, packing, ppm, sharding, simhash, substring, toxicity
+from ledgerloom.llm import buckets, components, decontamination, fertility, fm_index, importance, langid, lookup, packing, ppm, sharding, simhash, substring, toxicity
 from ledgerloom.llm.tables import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, bin string, fp string, spans int, root int"
@@ -330,13 +330,17 @@ def test_repeated_passages(spark, odd, none):
     assert substring.deduplicated(none).count() == 0
 
 
-def test_joined_and_broadcast_ways_agree(spark, odd):
+def test_a_sieve_that_lets_all_pass_changes_nothing(spark, odd, monkeypatch):
     want = sorted(map(str, substring.passages(odd).collect()))
-    substring.KEYS, old = 0, substring.KEYS
-    try:
-        assert sorted(map(str, substring.passages(odd).collect())) == want
-    finally:
-        substring.KEYS = old
+    monkeypatch.setattr(lookup, "SIEVE_BITS", 6)
+    assert sorted(map(str, substring.passages(odd).collect())) == want
+
+
+def test_a_sieve_passes_its_keys(spark):
+    keys = np.random.default_rng(3).integers(0, 1 << 64, 2000, np.uint64)
+    made = lookup.sieve(spark.createDataFrame([(k,) for k in keys[:1000].view(np.int64).tolist()], "key long")).value
+    assert lookup.passes(made, keys[:1000]).all() and lookup.passes(made, keys[1000:]).sum() < 10
+    assert not lookup.passes(lookup.sieve(spark.createDataFrame([], "key long")).value, keys).any()
 
 
 def test_bands_reach_the_recall():
