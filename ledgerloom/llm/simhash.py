@@ -26,7 +26,7 @@ from .buckets import bucket_links
 from .components import components
 from .jaccard import jaccard
 from .lookup import passes, sieve
-from .substring import Layout
+from .substring import BAND_ROWS, Layout, _factors, bands_for
 from .tables import cut
 
 HALF = 31
@@ -35,9 +35,12 @@ SHINGLE = 3
 SEED = 42
 #: Shingles that are held at once.
 PART_SHINGLES = 1 << 20
-#: For near copies by shingles: fingerprint values of a text, and bits of the first that may differ.
-WIDE = 3
-NEAR_BITS = 16
+#: For near copies by shingles: share of the pairs at the threshold that meet in a band, and the bands for it;
+#: bits of a sketch, and how many may differ (at the threshold each does with a probability of 0.1).
+RECALL = 0.9999
+BANDS = bands_for(recall=RECALL)
+SKETCH_BITS = 64
+NEAR_BITS = 20
 #: Shingle sets that meet in a task.
 SETS = 1024
 
@@ -125,26 +128,29 @@ def fingerprint_text(fp: Column) -> Column:
 # --- near copies by five-word shingles
 
 
-def wide_fingerprints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """By text: a hash of its words in order (0 for none), and WIDE SimHash values of its distinct words."""
+def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: a hash of its words in order (0 for none); of each text with words: its number, a row of BANDS keys, and a value of SKETCH_BITS bits.
+
+    All come from minima over the five-word shingles, so two texts agree in each
+    with a probability that hangs on their Jaccard similarity only, not on where
+    they differ.
+    """
     layout = Layout(texts, whole_texts=True)
     first = np.searchsorted(layout.doc_of, np.arange(len(texts) + 1))
     whole = np.zeros(len(texts), np.uint64)
     some = np.flatnonzero(np.diff(first))
+    bits = np.zeros(len(some), np.uint64)
     if len(some):
         whole[some] = layout.sequence_hashes(layout.lines)
-    prints = np.zeros((len(texts), WIDE), np.uint64)
-    for k in some:
-        words = np.unique(layout.hashes[first[k] : first[k + 1]])
-        for j in range(WIDE):
-            bits = np.unpackbits(X.mix(words + np.uint64(j * 0x632BE5AB)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            prints[k, j] = np.packbits(2 * bits > len(words), bitorder="little").view("<u8")[0]
-    return whole, prints
+        values, bounds = layout.shingles(np.arange(len(some)))
+        for k, factor in enumerate(_factors(BANDS * BAND_ROWS + SKETCH_BITS)[BANDS * BAND_ROWS :]):
+            bits |= (X.mix(np.minimum.reduceat(values * factor, bounds[:-1])) & np.uint64(1)) << np.uint64(k)
+    return whole, some, layout.band_keys(np.arange(len(some)), BANDS), bits
 
 
 def _near(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    fp = rows.column("f0").to_numpy()
-    return np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= NEAR_BITS
+    bits = rows.column("sketch").to_numpy()
+    return np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)) <= NEAR_BITS
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,28 +158,28 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     Near copies have a Jaccard similarity of 0.8 or more of their five-word
     shingles, lower-cased; a text of fewer words is one shingle, texts without
-    words are copies of each other. The candidates are found by SimHash of the
-    distinct words in WIDE values: each half of each value is covered by anchors
-    as above, and what meets at an anchor with NEAR_BITS or fewer differing
-    bits joins a candidate group. Inside a group all shingle sets are compared,
-    so a link never rests on fingerprints alone.
+    words are copies of each other. The candidates are found by MinHash bands
+    over those shingles: of pairs at 0.8, a share of RECALL meets in a band, be
+    the edits scattered, in one block or a cut. What meets with NEAR_BITS or
+    fewer differing bits of its sketch joins a candidate group; a pair at 0.8 has
+    more with a probability of 1e-6. Inside a group all shingle sets are compared,
+    so a link never rests on hashes of texts alone.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("__text"))
-    values = ", ".join(f"f{j} long" for j in range(WIDE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in X.text_chunks(batches, "__text"):
-            whole, prints = wide_fingerprints(texts)
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(whole.view(np.int64)), *(pa.array(f.view(np.int64)) for f in prints.T.copy())], names=["doc_id", "text_hash", "item", *(f"f{j}" for j in range(WIDE))])
-
-    rows = cut(slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text_hash long, item long, {values}"))
-    items = cut(rows.groupBy("item").agg(*(F.first(f"f{j}").alias(f"f{j}") for j in range(WIDE))))
-    placed = None
-    for j in range(WIDE):
-        own = anchor_rows(items.select(F.col(f"f{j}").alias("fp"), "item", "f0"), ("item", "f0"))
-        own = own.withColumn("bucket", F.col("bucket") + F.lit(j << (HALF + 1)).cast("long"))
-        placed = own if placed is None else placed.unionByName(own)
-    groups = cut(components(bucket_links(placed.select("bucket", "item", "f0"), _near)))
+            whole, some, keys, bits = sketches(texts)
+            sketch, size = np.zeros(len(texts), np.uint64), np.zeros(len(texts) + 1, np.int32)
+            sketch[some] = bits
+            size[some + 1] = BANDS
+            bands = pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(whole.view(np.int64)), pa.array(sketch.view(np.int64)), bands], names=["doc_id", "text_hash", "item", "sketch", "bands"])
+
+    rows = cut(slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text_hash long, item long, sketch long, bands array<long>"))
+    items = rows.groupBy("item").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    placed = cut(items.select(F.explode(F.array_distinct("bands")).alias("bucket"), "item", "sketch"))
+    groups = cut(components(bucket_links(placed, _near)))
     passing = sieve(groups, "node")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -261,6 +261,30 @@ def test_similar_documents(spark, odd, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def test_block_edits_and_cuts_are_near_copies(spark):
+    rng = random.Random(31)
+    edits = [
+        lambda w: w[: len(w) - int(0.17 * len(w))],
+        lambda w: w[: len(w) // 2] + [f"new{k}" for k in range(int(0.08 * len(w)))] + w[len(w) // 2 + int(0.08 * len(w)) :],
+        lambda w: w[int(0.17 * len(w)) :],
+    ]
+    rows = []
+    for k in range(300):
+        w = [f"{a}{rng.randrange(40)}" for a in prose(rng, rng.randint(150, 300)).split()]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(edits[k % 3](w)))]
+    sets = [brute_shingles(t) for _, t in rows]
+    assert all(len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1]) for k in range(0, 600, 2))
+    root = {r["doc_id"]: r["root"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(root[k] != root[k + 1] for k in range(0, 600, 2)) == 0
+    assert len(set(root.values())) == 300
+
+
+def test_sketches_miss_few_pairs_at_the_threshold():
+    assert 1 - (1 - 0.8**substring.BAND_ROWS) ** simhash.BANDS >= simhash.RECALL
+    n = simhash.SKETCH_BITS
+    assert sum(math.comb(n, k) * 0.1**k * 0.9 ** (n - k) for k in range(simhash.NEAR_BITS + 1, n + 1)) < 2e-6
+
+
 def test_every_close_pair_shares_an_anchor(spark):
     rng = random.Random(8)
     pairs = []
