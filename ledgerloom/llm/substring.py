@@ -4,14 +4,18 @@ Paragraphs are lines. Those of `min_words` words and more are compared by
 MinHash: bands tuned for high recall, exact Jaccard of the five-word shingle sets
 of paragraphs that collide, components of the links. So that a passage is found
 inside a longer line too, lines are also cut at sentence ends into pieces, and
-equal pieces form a group. Of each component and each group the occurrence of the
-smallest (id, text hash, place) stays; the others are marked, and a run of
-marked pieces of `min_words` words and more is removed.
+equal pieces form a group. So that neither line ends nor full stops matter, equal
+anchors form groups too: runs of ANCHOR_WORDS words whose hash is the least of
+ANCHOR_WORDS runs one after another, which any two copies of 25 words share. Of
+each component and each group the occurrence of the smallest (id, text hash,
+place) stays; the others are marked. Where a run of marked anchors ends, it is
+extended word by word along the occurrence that stays, over one changed word at
+most. A run of marked words of `min_words` and more is removed.
 
 A first pass gathers the keys of pieces and bands; only those that repeat go on.
 The next ones take the collisions of paragraphs, the shingle sets of those in a
-candidate group, and the places of repeated pieces and near copies. The texts
-never move. A bitmap of fixed size keeps most rows without a repeated key out of
+candidate group, the places of repeated pieces, anchors and near copies, and the
+words around the ends of runs of anchors. The texts never move. A bitmap of fixed size keeps most rows without a repeated key out of
 the shuffles; what passes is joined to the keys themselves.
 """
 
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +42,11 @@ RECALL = 0.995
 BAND_ROWS = 3
 #: Shingle sets that meet in a task.
 SETS = 1024
-PIECE, BAND = 0, 1
+PIECE, BAND, ANCHOR = 0, 1, 2
+ANCHOR_WORDS = 13
+#: Words that are compared beyond each end of a run of anchors, and equal words that must follow a changed one.
+CONTEXT = 37
+BRIDGE = 4
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
@@ -112,6 +120,39 @@ class Layout:
             out[~whole] = self.sequence_hashes(self.lines)[which[short]]
         return out, bounds
 
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first words of the anchors, and their hashes."""
+        k = ANCHOR_WORDS
+        windows = X.window_hashes(self.hashes, k)
+        if not len(windows):
+            return np.empty(0, np.int64), windows
+        value = np.where(self.doc_of[: len(windows)] == self.doc_of[k - 1 :], windows, ~np.uint64(0))
+        # least of each k windows, begun before the first too, then the greatest of the minima that a window takes part in
+        padded = np.concatenate([np.full(k - 1, ~np.uint64(0)), value, np.full(k - 1, ~np.uint64(0))])
+        n = len(value) + k - 1
+        whole = padded[:n].copy()
+        for j in range(1, k):
+            np.minimum(whole, padded[j : j + n], out=whole)
+        # minima over windows of two texts are no concern: they hold no window across, so they only add anchors
+        best = whole[: len(value)].copy()
+        for j in range(1, k):
+            np.maximum(best, whole[j : j + len(value)], out=best)
+        at = np.flatnonzero((value == best) & (value != ~np.uint64(0)))
+        return at, _kinded(windows[at], ANCHOR)
+
+    def around(self, at: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the CONTEXT words before and after each anchor, nearest first (0: none), and the bytes at which they begin or end in the text."""
+        doc = self.doc_of[at]
+        low, high = np.searchsorted(self.doc_of, doc), np.searchsorted(self.doc_of, doc, "right")
+        step = np.arange(CONTEXT)
+        out = []
+        for place, byte in ((at[:, None] - 1 - step, self.a), (at[:, None] + ANCHOR_WORDS + step, self.b)):
+            inside = (place >= low[:, None]) & (place < high[:, None])
+            place = np.where(inside, place, 0)
+            words = (self.hashes[place] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            out += [np.where(inside, words, np.uint32(0)), np.where(inside, byte[place] - self.starts[doc][:, None], 0).astype(np.uint32)]
+        return out
+
     def band_keys(self, which: np.ndarray, bands: int) -> np.ndarray:
         """A row of keys for each of those lines, one for each band."""
         values, bounds = self.shingles(which)
@@ -129,14 +170,14 @@ def _batch(names: str, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
 
 
 def _kinded(keys: np.ndarray, kind: int) -> np.ndarray:
-    """The keys with their kind in the last bit."""
-    return (keys & ~np.uint64(1)) | np.uint64(kind)
+    """The keys with their kind in the last two bits."""
+    return (keys & ~np.uint64(3)) | np.uint64(kind)
 
 
 def _repeated(docs: DataFrame, min_words: int, bands: int) -> DataFrame:
-    """(kind, key, low) of pieces that occur more than once and of band keys that different paragraphs share.
+    """(kind, key, low) of pieces and anchors that occur more than once and of band keys that different paragraphs share.
 
-    A row is a key and a value: of a piece the document's mark, of a band the
+    A row is a key and a value: of a piece or anchor the document's mark, of a band the
     paragraph's hash. A key with two values repeats; `low` is the smaller.
     """
 
@@ -144,17 +185,18 @@ def _repeated(docs: DataFrame, min_words: int, bands: int) -> DataFrame:
         for part, texts in X.text_chunks(batches, "__text"):
             layout = Layout(texts)
             mark = part.column(1).to_numpy().view(np.uint64)
-            keys, first, n = np.unique(_kinded(layout.sequence_hashes(layout.pieces), PIECE), return_index=True, return_counts=True)
-            value = mark[layout.doc_of[layout.pieces[first]]] if len(keys) else np.empty(0, np.uint64)
-            again = n > 1
-            yield _batch("key value", np.concatenate([keys, keys[again]]), np.concatenate([value, value[again] ^ np.uint64(1)]))
+            for keys, at in ((_kinded(layout.sequence_hashes(layout.pieces), PIECE), layout.pieces), layout.anchors()[::-1]):
+                keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+                value = mark[layout.doc_of[at[first]]] if len(keys) else np.empty(0, np.uint64)
+                again = n > 1
+                yield _batch("key value", np.concatenate([keys, keys[again]]), np.concatenate([value, value[again] ^ np.uint64(1)]))
             which = layout.paragraphs(min_words)
             line, first = np.unique(layout.sequence_hashes(layout.lines)[which], return_index=True)
             yield _batch("key value", _kinded(layout.band_keys(which[first], bands).ravel(), BAND), np.repeat(line, bands))
 
     rows = docs.select("__text", F.xxhash64("__id", "__hash").alias("__mark")).mapInArrow(count, "key long, value long")
     ends = rows.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low < high")
-    return ends.select(F.col("key").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("kind"), "key", "low")
+    return ends.select(F.col("key").bitwiseAND(F.lit(3).cast("long")).cast("int").alias("kind"), "key", "low")
 
 
 def _clusters(docs: DataFrame, colliding: DataFrame, min_words: int, bands: int) -> DataFrame:
@@ -195,6 +237,64 @@ def _clusters(docs: DataFrame, colliding: DataFrame, min_words: int, bands: int)
     return components(links).select(F.col("node").alias("key"), "root")
 
 
+def _reach(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many words of each row go on like the other row's, over one changed word with BRIDGE equal words behind it."""
+    equal = (own == other) & (own != 0)
+    reach, alive, bridged = (np.zeros(len(own), kind) for kind in (np.int64, bool, bool))
+    alive[:] = True
+    for k in range(CONTEXT):
+        over = ~equal[:, k] & ~bridged & (own[:, k] != 0) & (other[:, k] != 0)
+        over &= equal[:, k + 1 : k + 1 + BRIDGE].all(1) if k + BRIDGE < CONTEXT else False
+        alive &= equal[:, k] | over
+        bridged |= over
+        reach[alive & equal[:, k]] = k + 1
+    return reach
+
+
+def _extended(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(id, __hash, w0, w1, first, end): the anchors at the ends of runs, each with the words around it that go on like those at the occurrence that stays."""
+    in_text = Window.partitionBy("__id", "__hash").orderBy("w0")
+    gap = lambda x, y: F.coalesce(y - x > ANCHOR_WORDS, F.lit(True))
+    ends = marked.withColumn("__end", gap(F.lag("w0").over(in_text), F.col("w0")) | gap(F.col("w0"), F.lead("w0").over(in_text))).where("__end")
+    ends = ends.withColumns({"own": F.xxhash64("__id", "__hash"), "at": F.xxhash64("stays.__id", "stays.__hash"), "from": F.col("stays.w0")}).drop("stays", "__end")
+    ends = cut(ends)
+    wanted = sieve(ends.select("key").distinct())
+    sides = ["lw", "lb", "rw", "rb"]
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in X.text_chunks(batches, "__text"):
+            layout = Layout(texts)
+            at, keys = layout.anchors()
+            at = at[passes(wanted.value, keys)]
+            for low in range(0, len(at), 1 << 15):
+                now = at[low : low + (1 << 15)]
+                doc = layout.doc_of[now]
+                rows = [pa.array([r.tobytes() for r in x], pa.binary()) for x in layout.around(now)]
+                yield _batch("mark place lw lb rw rb", part.column(0).to_numpy()[doc], now - np.searchsorted(layout.doc_of, doc), *rows)
+
+    texts = docs.select(F.xxhash64("__id", "__hash").alias("mark"), "__text")
+    words = cut(texts.mapInArrow(around, "mark long, place long, lw binary, lb binary, rw binary, rb binary").dropDuplicates(["mark", "place"]))
+    pairs = ends.join(words, (ends["own"] == words["mark"]) & (ends["w0"] == words["place"])).drop("mark", "place")
+    stays = words.select(F.col("mark").alias("m"), F.col("place").alias("p"), F.col("lw").alias("lo"), F.col("rw").alias("ro"))
+    pairs = pairs.join(stays, (pairs["at"] == stays["m"]) & (pairs["from"] == stays["p"]))
+    names = ["__id", "__hash", "w0", "w1", "first", "end"]
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lw, lb, rw, rb, lo, ro = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, CONTEXT) for c in (*sides, "lo", "ro"))
+            row = np.arange(batch.num_rows)
+            w0, w1, first, end = (batch.column(c).to_numpy() for c in names[2:])
+            left, right = _reach(lw, lo), _reach(rw, ro)
+            first = np.where(left > 0, lb[row, left - 1], first).astype(np.int64)
+            end = np.where(right > 0, rb[row, right - 1], end).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__hash"), *map(pa.array, (w0 - left, w1 + right, first, end))], names=names)
+
+    schema = T.StructType([marked.schema[c] for c in names])
+    return pairs.select(*names, *sides, "lo", "ro").mapInArrow(extend, schema)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, __hash, n_removed, spans): for each document with a passage to remove, its words and byte spans.
 
@@ -206,43 +306,51 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
     repeated = cut(_repeated(docs, min_words, bands))
     clusters = cut(_clusters(docs, repeated.where(F.col("kind") == BAND), min_words, bands))
-    pieces = repeated.where(F.col("kind") == PIECE).select(F.lit(PIECE).cast("long").alias("kind"), "key", F.col("key").alias("root"))
+    pieces = repeated.where(F.col("kind") != BAND).select(F.col("kind").cast("long").alias("kind"), "key", F.col("key").alias("root"))
     named = pieces.unionByName(clusters.select(F.lit(BAND).cast("long").alias("kind"), "key", "root"))
     passing_pieces, passing_lines = sieve(pieces), sieve(clusters)
     kind = docs.schema["__id"].dataType
-    names = ["kind", "key", "p0", "p1", "w0", "w1", "first", "end"]
+    names = ["kind", "key", "w0", "w1", "first", "end"]
     schema = T.StructType([T.StructField("__id", kind), T.StructField("__hash", T.LongType()), *(T.StructField(c, T.LongType()) for c in names)])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in X.text_chunks(batches, "__text"):
             layout = Layout(texts)
-            for which, bounds, passing in ((PIECE, layout.pieces, passing_pieces), (BAND, layout.lines, passing_lines)):
-                keys = layout.sequence_hashes(bounds)
-                keys = _kinded(keys, PIECE) if which == PIECE else keys
+            at, anchor = layout.anchors()
+            found = (
+                (PIECE, _kinded(layout.sequence_hashes(layout.pieces), PIECE), layout.pieces[:-1], layout.pieces[1:], passing_pieces),
+                (BAND, layout.sequence_hashes(layout.lines), layout.lines[:-1], layout.lines[1:], passing_lines),
+                (ANCHOR, anchor, at, at + ANCHOR_WORDS, passing_pieces),
+            )
+            for which, keys, w0, w1, passing in found:
                 hit = np.flatnonzero(passes(passing.value, keys))
-                w0, w1 = bounds[hit], bounds[hit + 1]
+                w0, w1 = w0[hit], w1[hit]
                 doc = layout.doc_of[w0]
                 zero = np.searchsorted(layout.doc_of, doc)
-                before = np.searchsorted(layout.pieces, zero)
-                p0, p1 = np.searchsorted(layout.pieces, w0) - before, np.searchsorted(layout.pieces, w1) - 1 - before
-                place = [p0, p1, w0 - zero, w1 - zero, layout.a[w0] - layout.starts[doc], layout.b[w1 - 1] - layout.starts[doc]]
+                place = [w0 - zero, w1 - zero, layout.a[w0] - layout.starts[doc], layout.b[w1 - 1] - layout.starts[doc]]
                 own = [part.column(k).take(pa.array(doc)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(hit), which)), *(pa.array(x.astype(np.int64)) for x in (keys[hit].view(np.int64), *place))], names=schema.names)
 
     units = cut(docs.mapInArrow(mark, schema).join(named, ["kind", "key"]).drop("key").withColumnRenamed("root", "key"))
-    place = F.struct("__id", "__hash", "p0")
+    place = F.struct("__id", "__hash", "w0")
     # written, so that both sides of the join are plain exchanges and Spark can split a key that many documents share
     first = cut(units.groupBy("kind", "key").agg(F.min(place).alias("stays")))
     marked = units.join(first, ["kind", "key"]).where(~place.eqNullSafe(F.col("stays")))
-    per_doc = marked.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set(F.struct("p0", "p1", "w0", "w1", "first", "end"))).alias("units"))
-    # runs of marked pieces: a unit that begins after the run's end, with no gap, goes on with it
+    # of what repeats inside its own document, the `min_words` words from the first occurrence on stay
+    same = F.col("__id").eqNullSafe(F.col("stays.__id")) & (F.col("__hash") == F.col("stays.__hash"))
+    marked = marked.where((F.col("kind") != ANCHOR) | ~same | (F.col("w0") >= F.col("stays.w0") + min_words))
+    marked = cut(marked)
+    whole = marked.select("__id", "__hash", "w0", "w1", "first", "end")
+    extended = whole.unionByName(_extended(docs, marked.where(F.col("kind") == ANCHOR).drop("kind")))
+    per_doc = extended.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set(F.struct("w0", "w1", "first", "end"))).alias("units"))
+    # runs of marked units: a unit that begins after the run's end, with no gap, goes on with it
     runs = F.aggregate(
         "units",
-        F.array().cast("array<struct<p1:bigint,w0:bigint,w1:bigint,first:bigint,end:bigint>>"),
+        F.array().cast("array<struct<w0:bigint,w1:bigint,first:bigint,end:bigint>>"),
         lambda out, u: F.when(
-            (F.size(out) > 0) & (u["p0"] <= F.try_element_at(out, F.lit(-1))["p1"] + 1),
+            (F.size(out) > 0) & (u["w0"] <= F.try_element_at(out, F.lit(-1))["w1"]),
             F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(_joined_run(F.try_element_at(out, F.lit(-1)), u))),
-        ).otherwise(F.concat(out, F.array(_run(u["p1"], u["w0"], u["w1"], u["first"], u["end"])))),
+        ).otherwise(F.concat(out, F.array(_run(u["w0"], u["w1"], u["first"], u["end"])))),
     )
     long = F.filter(runs, lambda r: r["w1"] - r["w0"] >= min_words)
     spans = F.transform(long, lambda r: F.struct(r["first"].alias("first"), r["end"].alias("end")))
@@ -251,12 +359,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return found.where("n_removed > 0")
 
 
-def _run(p1, w0, w1, first, end):
-    return F.struct(p1.alias("p1"), w0.alias("w0"), w1.alias("w1"), first.alias("first"), end.alias("end"))
+def _run(w0, w1, first, end):
+    return F.struct(w0.alias("w0"), w1.alias("w1"), first.alias("first"), end.alias("end"))
 
 
 def _joined_run(last, unit):
-    return _run(F.greatest(last["p1"], unit["p1"]), last["w0"], F.greatest(last["w1"], unit["w1"]), last["first"], F.greatest(last["end"], unit["end"]))
+    return _run(last["w0"], F.greatest(last["w1"], unit["w1"]), last["first"], F.greatest(last["end"], unit["end"]))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

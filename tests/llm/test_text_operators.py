@@ -354,6 +354,26 @@ def test_repeated_passages(spark, odd, none):
     assert substring.deduplicated(none).count() == 0
 
 
+def test_passages_without_line_ends_and_full_stops(spark):
+    rng = random.Random(41)
+    flat = lambda n: [f"{w.strip('.')}{rng.randrange(50)}" for w in prose(rng, n).split()][:n]
+    glued, changed, wrapped, short = (flat(60) for _ in range(4))
+    other = [*changed[:30], "zzzz", *changed[31:]]
+    wrap = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    rows = [(k, " ".join([*flat(70), *w, *flat(80)])) for k, w in enumerate((glued, changed, wrapped, short[:20]))]
+    rows += [(k + 10, " ".join([*flat(40), *w, *flat(90)])) for k, w in enumerate((glued, other))]
+    rows += [(12, " ".join(flat(30)) + "\n" + wrap(wrapped, 9) + "\n" + " ".join(flat(40))), (13, wrap([*flat(40), *short[:20], *flat(60)], 11)), (20, " ".join(flat(300)))]
+    twice = flat(60)
+    rows += [(21, " ".join([*twice, *flat(50), *twice])), (22, " ".join(["same"] * 400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring.passages(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 10: 60, 11: 60, 12: 60, 13: 0, 20: 0, 21: 60, 22: 375}
+    after = {r["doc_id"]: words(r["text"]) for r in substring.deduplicated(df).collect()}
+    for k, (n, m) in {10: (40, 90), 11: (40, 90), 12: (30, 40)}.items():
+        before = words(dict(rows)[k])
+        assert after[k] == before[:n] + before[-m:]
+
+
 def test_a_sieve_that_lets_all_pass_changes_nothing(spark, odd, monkeypatch):
     want = sorted(map(str, substring.passages(odd).collect()))
     monkeypatch.setattr(lookup, "SIEVE_BITS", 6)
