@@ -2,7 +2,9 @@
 
 For each document and vocabulary: characters per token, share of tokens that
 fall back to bytes, and entropy of the token distribution. A document is
-rejected if a measure leaves the band of its main script. Words are tokenised
+rejected if a measure leaves the band of its main script. Scripts whose clean
+texts fall back to bytes in one vocabulary are judged by the vocabulary that fits
+better: its byte tokens per character. Words are tokenised
 on their own (each distinct word of a slice once), so counts don't depend on
 white space. One narrow pass, no shuffle.
 """
@@ -40,20 +42,46 @@ BANDS = {
     "indic": (0.2, 5.0, 1.00, 0.20),
     "han": (0.2, 3.0, 1.00, 0.30),
     "hangul": (0.2, 3.0, 1.00, 0.25),
+    "symbol": (0.2, 8.0, 0.80, 0.35),
     "other": (0.2, 8.0, 1.00, 0.20),
 }
+#: Most byte tokens per character, in the vocabulary with the fewest; a character that it lacks takes 2 to 4. "symbol"
+#: are pictures, private-use and replacement characters. Of the scripts in "other" the vocabularies lack some (Odia, Lao):
+#: clean text of these takes 3, as junk does, so that only characters of four bytes are too many there.
+FALLBACKS = {"indic": 2.3, "han": 2.0, "hangul": 1.8, "symbol": 0.3, "other": 3.05}
 SCRIPTS = list(BANDS)
 
 
 def _script_table() -> np.ndarray:
     """Lead byte to script; other bytes to none."""
     table = np.full(256, -1)
-    ranges = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF], "cyrillic": [*range(0xD0, 0xD5)], "hebrew": [0xD6, 0xD7], "arabic": [*range(0xD8, 0xDC)], "indic": [0xE0], "han": [*range(0xE3, 0xEA), 0xF0], "hangul": [*range(0xEA, 0xEE)], "other": [0xE1]}
+    ranges = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF], "cyrillic": [*range(0xD0, 0xD5)], "hebrew": [0xD6, 0xD7], "arabic": [*range(0xD8, 0xDC)], "han": [*range(0xE3, 0xEA)], "hangul": [*range(0xEA, 0xEE)], "symbol": [0xEE, 0xF3, 0xF4], "other": [0xE1]}
     for name, leads in ranges.items():
         table[leads] = SCRIPTS.index(name)
     return table
 
 
+#: Lead bytes whose script hangs on the second byte: (first, last, script).
+SECOND = {
+    0xE0: [(0xA0, 0xA1, "other"), (0xA2, 0xA3, "arabic"), (0xA4, 0xA7, "indic"), (0xA8, 0xA9, "other"), (0xAA, 0xAB, "indic"), (0xAC, 0xAD, "other"), (0xAE, 0xB9, "indic"), (0xBA, 0xBF, "other")],
+    0xE2: [(0x86, 0xAF, "symbol"), (0xB0, 0xB7, "other"), (0xBA, 0xBF, "han")],
+    0xEF: [(0x80, 0xA3, "symbol"), (0xA4, 0xAB, "han"), (0xAD, 0xB7, "arabic"), (0xB9, 0xBB, "arabic"), (0xBF, 0xBF, "symbol")],
+    0xF0: [(0x90, 0x9C, "other"), (0x9D, 0x9D, "symbol"), (0x9E, 0x9E, "other"), (0x9F, 0x9F, "symbol"), (0xA0, 0xBF, "han")],
+}
+
+
+def second_byte_letters(buf: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
+    """By document and script: the characters whose script hangs on their second byte."""
+    n = len(doc_starts) - 1
+    out = np.zeros((n, len(SCRIPTS)), np.int64)
+    for lead, ranges in SECOND.items():
+        at = np.flatnonzero(buf == lead)
+        owner, second = X.owners(at, doc_starts), buf[at + 1]
+        for first, last, name in ranges:
+            out[:, SCRIPTS.index(name)] += np.bincount(owner[(second >= first) & (second <= last)], minlength=n)
+    return out
+
+
 class Vocabulary:
     """Token ids of single words, and which ids stand for a byte or a part of a character."""
 
@@ -158,7 +186,7 @@ def repeated_lines(buf: np.ndarray, doc_starts: np.ndarray, word_starts: np.ndar
     return np.bincount(owner, minlength=n) - np.bincount(owner[first], minlength=n)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabularies: dict[str, str] | None = None, bands: dict[str, tuple[float, float, float, float]] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabularies: dict[str, str] | None = None, bands: dict[str, tuple[float, float, float, float]] | None = None, fallbacks: dict[str, float] | None = None) -> DataFrame:
     """One row per input row: the base counts, the script, each vocabulary's measures, base_failed and kept.
 
     The script is that of most letters (the first in the order of BANDS on a
@@ -168,6 +196,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
     """
     files = {k: f"{tokenizers}/{v}" for k, v in (vocabularies or VOCABULARIES).items()}
     band = np.array([{**BANDS, **(bands or {})}[s] for s in SCRIPTS])
+    fallback_limit = np.array([{**FALLBACKS, **(fallbacks or {})}.get(s, np.inf) for s in SCRIPTS])
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in longs), T.StructField("script", T.StringType())]
     for k in files:
@@ -187,14 +216,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
             kinds = np.stack([np.bincount(buf[s:e], minlength=256) for s, e in zip(starts[:-1], starts[1:] - 1, strict=True)]) if n_docs else np.zeros((0, 256), np.int64)
             points = kinds.sum(1) - kinds[:, 0x80:0xC0].sum(1)
             chars = points - kinds[:, space].sum(1)
-            letters = np.stack([kinds[:, scripts == s].sum(1) for s in range(len(SCRIPTS))], 1)
+            letters = np.stack([kinds[:, scripts == s].sum(1) for s in range(len(SCRIPTS))], 1) + second_byte_letters(buf, starts)
             script = np.where(letters.any(1), letters.argmax(1), len(SCRIPTS) - 1)
             repeats = repeated_window_words(hashes, doc_of, n_docs)
             failed = (n_words < 20) | (100 * repeats > 30 * n_words)
             columns = [part.column(0), *(pa.array(x, pa.int64()) for x in (n_words, chars, kinds[:, list(SYMBOLS)].sum(1), repeated_lines(buf, starts, a), repeats)), pa.array([SCRIPTS[s] for s in script])]
             distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             whole, spans = buf.tobytes(), list(zip(a[at].tolist(), b[at].tolist(), strict=True))
-            within = np.ones(n_docs, bool)
+            within, fewest = np.ones(n_docs, bool), np.full(n_docs, np.inf)
             least, most, fallback_most, spread = band[script].T
             for file in files.values():
                 text_of = lambda which: [whole[x:y].decode() for x, y in (spans[i] for i in which)]  # noqa: B023, E731
@@ -202,8 +231,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
                 none, m = n == 0, np.maximum(n, 1)
                 per_token, share = chars / m, fallback / m
                 columns += [pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (per_token, share, entropy))]
+                fewest = np.minimum(fewest, fallback / np.maximum(chars, 1))
                 within &= (per_token >= least) & (per_token <= most) & (share <= fallback_most) & ((n < 50) | (entropy >= spread * np.log2(np.minimum(m, EVEN))))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(~failed & within)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(~failed & within & (fewest <= fallback_limit[script]))], names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text).alias("__text")).mapInArrow(measure, schema)
 

@@ -650,6 +650,41 @@ def test_rejection_bands(spark):
     assert not fertility.quality_rules(df, bands={"latin": (9.0, 10.0, 1.0, 0.0)}).first()["kept"]
 
 
+CLEAN = {
+    "latin": ("latin", "the old river runs past a quiet village where children walk to school and farmers bring fresh bread each cold morning before work"),
+    "greek": ("greek", "η Ελλάδα είναι μια όμορφη χώρα με πολλά νησιά και βουνά τα παιδιά πηγαίνουν στο σχολείο το πρωί και παίζουν το βράδυ"),
+    "cyrillic": ("cyrillic", "старая река течёт мимо тихой деревни где дети идут в школу а крестьяне каждое холодное утро привозят свежий хлеб на рынок перед работой"),
+    "hebrew": ("hebrew", "הנהר הישן זורם ליד כפר שקט שבו ילדים הולכים לבית הספר והאיכרים מביאים לחם טרי בכל בוקר קר לפני העבודה בשדה הגדול"),
+    "arabic": ("arabic", "يجري النهر القديم قرب قرية هادئة حيث يذهب الأطفال إلى المدرسة ويحمل الفلاحون الخبز الطازج كل صباح بارد قبل العمل في الحقل الكبير"),
+    "hindi": ("indic", "भारत एक विशाल देश है और यहाँ कई भाषाएँ बोली जाती हैं हमारे गाँव में बच्चे सुबह स्कूल जाते हैं शाम को खेलते"),
+    "malayalam": ("indic", "കേരളം മനോഹരമായ സംസ്ഥാനമാണ് കുട്ടികൾ രാവിലെ സ്കൂളിൽ പോകുന്നു " * 4),
+    "chinese": ("han", "今天 天气 很好 我们 一起 去 公园 散步 孩子们 在 草地 上 玩耍 老人 坐在 树下 聊天 经济 发展 需要 科学 技术 的 支持"),
+    "korean": ("hangul", "오늘은 날씨가 좋아서 공원에 산책을 갔습니다. 아이들은 잔디밭에서 놀고 있었고 노인들은 나무 아래에서 이야기를 나누었습니다. 우리는 집에 돌아와 저녁을 먹고 책을 읽었습니다."),
+    "odia": ("other", "ଓଡ଼ିଶା ଏକ ସୁନ୍ଦର ରାଜ୍ୟ ପିଲାମାନେ ସକାଳେ ବିଦ୍ୟାଳୟ ଯାଆନ୍ତି " * 3),
+    "georgian": ("other", "საქართველო არის ლამაზი ქვეყანა და აქ ბევრი მთა არის ბავშვები დილით სკოლაში მიდიან და საღამოს თამაშობენ ჩვენ სახლში ვბრუნდებით წიგნს ვკითხულობთ"),
+}
+JUNK = {
+    "latin": ("latin", (0x180, 0x24F)), "greek": ("greek", (0x3D8, 0x3FF)), "cyrillic": ("cyrillic", (0x480, 0x52F)), "hebrew": ("hebrew", (0x591, 0x5AF)), "arabic": ("arabic", (0x610, 0x61F)),
+    "indic": ("indic", (0xB80, 0xD7F)), "han": ("han", (0x3400, 0x4DBF)), "rare han": ("han", (0x20000, 0x2A6DF)), "hangul": ("hangul", (0xAC00, 0xD7A3)),
+    "emoji": ("symbol", (0x1F300, 0x1F64F)), "private": ("symbol", (0xE000, 0xF8FF)), "private plane": ("symbol", (0xF0000, 0xF0FFF)), "replacement": ("symbol", (0xFFFD, 0xFFFD)), "dingbats": ("symbol", (0x2701, 0x27BE)),
+    "cuneiform": ("other", (0x12000, 0x12300)),
+}
+
+
+def test_each_script_has_a_band_that_fires(spark):
+    rng = random.Random(51)
+    rows = []
+    for name, (_, text) in CLEAN.items():
+        w = text.split()
+        rows.append((f"clean {name}", " ".join(rng.choice(w) for _ in range(60))))
+    for name, (_, (low, high)) in JUNK.items():
+        rows.append((f"junk {name}", " ".join("".join(chr(rng.randint(low, high)) for _ in range(rng.randint(1, 7))) for _ in range(80))))
+    found = {r["doc_id"]: r for r in fertility.quality_rules(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    want = {f"clean {k}": (s, True) for k, (s, _) in CLEAN.items()} | {f"junk {k}": (s, False) for k, (s, _) in JUNK.items()}
+    assert {k: (r["script"], r["kept"]) for k, r in found.items()} == want
+    assert not any(r["base_failed"] for k, r in found.items() if k != "junk replacement")
+
+
 # --- on the tables
 
 
