@@ -30,8 +30,10 @@ def appended(df: DataFrame, path: str) -> None:
 
 
 def markdown_report(df: DataFrame, title: str, most: int = 1000) -> str:
-    """A small result as a Markdown table. The rows must be few: `most` of them at most are taken."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table. More than `most` rows are an error, as none is left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
     show = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in rows)]) + "\n"

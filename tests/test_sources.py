@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.annotations import exploded_results, labelled_regions
@@ -83,3 +84,9 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in/cafe/b.jpg").write_bytes(b"12")
     assert run() == [("a.jpg", "cafe", 1), ("b.jpg", "cafe", 2)]
     assert run() == [("a.jpg", "cafe", 1), ("b.jpg", "cafe", 2)]
+
+
+def test_a_report_leaves_no_row_out(spark):
+    assert sinks.markdown_report(spark.range(5), "t", most=5).count("\n| ") == 7
+    with pytest.raises(ValueError):
+        sinks.markdown_report(spark.range(6), "t", most=5)
