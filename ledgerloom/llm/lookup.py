@@ -7,8 +7,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A sieve has 2 to this power bits (16 MB), whatever the number of keys.
-SIEVE_BITS = 27
+#: A sieve has 16 bits a key or more, up to 2 to the power of MOST_BITS (64 MB) in all; the least is 2 to the power of LEAST_BITS.
+LEAST_BITS, MOST_BITS = 16, 29
 
 
 class Lookup:
@@ -54,13 +54,15 @@ class Lookup:
 def sieve(keys: DataFrame, column: str = "key") -> Broadcast:
     """A bitmap, made by Spark, with the bit set that the leading bits of each key name.
 
-    The keys are hashes. Rows that pass still go through an exact join; the
-    sieve only keeps most others out of its shuffle.
+    The keys are hashes. A sieve only keeps rows out of a shuffle: whoever uses it
+    gets the same result if every row passes, as most do once there are more
+    keys than bits (from about 5e8 keys on). Unpersist it when its rows are written.
     """
-    places = keys.select(F.expr(f"shiftrightunsigned({column}, {64 - SIEVE_BITS})").alias("place"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
+    places = keys.select(F.expr(f"shiftrightunsigned({column}, {64 - bits})").alias("place"))
     words = places.groupBy(F.expr("shiftright(place, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 AS int)))").alias("bits"))
     table = words.toArrow()
-    bitmap = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
     bitmap[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(bitmap)
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import decontamination, fertility, importance, langid, packing, ppm, sharding, simhash, substring, toxicity
+from . import decontamination, fertility, importance, langid, packing, pipeline, ppm, sharding, simhash, substring, toxicity
 from .tables import table
 
 SHARD_BYTES = 16 << 20
@@ -66,9 +64,9 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     made = (op1_sharding, op2_decontamination, op3_simhash, op4_substring, op5_ppm, op6_toxicity, op7_language, op8_importance, op9_packing, op10_fertility)
-    return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in made} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     made = {"op1_sharding": sharding.OP1_SQL.format(limit=SHARD_BYTES), "op2_decontamination": decontamination.OP2_SQL}
-    return made | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return made | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

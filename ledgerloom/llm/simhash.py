@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,10 +26,10 @@ from pyspark.sql import types as T
 from . import _text as X
 from .buckets import bucket_links
 from .components import components
-from .jaccard import jaccard
+from .jaccard import THRESHOLD, SimilarSets, verified
 from .lookup import passes, sieve
-from .substring import BAND_ROWS, Layout, _factors, bands_for
-from .tables import cut
+from .paragraphs import Layout, bands_for, factors, minima
+from .tables import cut, free_names
 
 HALF = 31
 MAX_BITS = 3
@@ -35,14 +37,15 @@ SHINGLE = 3
 SEED = 42
 #: Shingles that are held at once.
 PART_SHINGLES = 1 << 20
-#: For near copies by shingles: share of the pairs at the threshold that meet in a band, and the bands for it;
-#: bits of a sketch, and how many may differ (at the threshold each does with a probability of 0.1).
+#: For near copies by shingles: share of the pairs at the threshold that meet in a band, values of a band, and the bands for
+#: it; 64-bit columns of a sketch, and how many of its bits may differ (at the threshold each does with a probability of 0.1).
 RECALL = 0.9999
-BANDS = bands_for(recall=RECALL)
-SKETCH_BITS = 64
-NEAR_BITS = 20
-#: Shingle sets that meet in a task.
-SETS = 1024
+BAND_ROWS = 3
+BANDS = bands_for(BAND_ROWS, RECALL)
+SKETCH = ["s0", "s1", "s2", "s3"]
+NEAR_BITS = 50
+#: Shingles of the sets that make a chunk of a group.
+CHUNK_SHINGLES = 2 << 20
 
 
 def shingle_hashes(text: bytes, width: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -100,9 +103,25 @@ def anchor_rows(prints: DataFrame, carry: tuple[str, ...] = ("fp",)) -> DataFram
     return found.select((F.col("anchor") + F.col("half") * F.lit(1 << HALF).cast("long")).alias("bucket"), *carry)
 
 
-def _close(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    fp = rows.column("item").to_numpy()
-    return np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= MAX_BITS
+class NearValues:
+    """For buckets: rows whose 64-bit columns differ in few bits in all. Rows of one `root`, where there is that column, are not compared."""
+
+    def __init__(self, columns: list[str], most: int) -> None:
+        self.columns, self.most = columns, most
+
+    def pairs(self, rows: pa.Table, i: int | np.ndarray, j: np.ndarray) -> np.ndarray:
+        differing = np.zeros(len(j), np.int64)
+        for c in self.columns:
+            x = rows.column(c).to_numpy()
+            differing += np.bitwise_count((x[i] ^ x[j]).view(np.uint64))
+        near = differing <= self.most
+        if "root" in rows.column_names:
+            root = rows.column("root").to_numpy()
+            near &= root[i] != root[j]
+        return near
+
+    def within(self, rows: pa.Table, low: int, high: int):
+        return lambda one, many: self.pairs(rows, one, many)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -114,7 +133,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     rows = cut(fingerprints(docs, id_col, text, carry))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(bucket_links(anchor_rows(prints).withColumnRenamed("fp", "item"), _close))
+    roots = components(bucket_links(anchor_rows(prints).withColumnRenamed("fp", "item"), NearValues(["item"], MAX_BITS)))
     rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -128,29 +147,77 @@ def fingerprint_text(fp: Column) -> Column:
 # --- near copies by five-word shingles
 
 
-def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: a hash of its words in order (0 for none); of each text with words: its number, a row of BANDS keys, and a value of SKETCH_BITS bits.
+def sketches(layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text with words: a row of BANDS keys, a row of sketch values, and its number of shingles.
 
     All come from minima over the five-word shingles, so two texts agree in each
     with a probability that hangs on their Jaccard similarity only, not on where
     they differ.
     """
-    layout = Layout(texts, whole_texts=True)
-    first = np.searchsorted(layout.doc_of, np.arange(len(texts) + 1))
-    whole = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(np.diff(first))
-    bits = np.zeros(len(some), np.uint64)
-    if len(some):
-        whole[some] = layout.sequence_hashes(layout.lines)
-        values, bounds = layout.shingles(np.arange(len(some)))
-        for k, factor in enumerate(_factors(BANDS * BAND_ROWS + SKETCH_BITS)[BANDS * BAND_ROWS :]):
-            bits |= (X.mix(np.minimum.reduceat(values * factor, bounds[:-1])) & np.uint64(1)) << np.uint64(k)
-    return whole, some, layout.band_keys(np.arange(len(some)), BANDS), bits
-
-
-def _near(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    bits = rows.column("sketch").to_numpy()
-    return np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)) <= NEAR_BITS
+    values, bounds = layout.shingles(layout.bounds)
+    keys = np.zeros((len(bounds) - 1, BANDS), np.uint64)
+    bits = np.zeros((len(bounds) - 1, len(SKETCH)), np.uint64)
+    if len(keys):
+        for k, least in enumerate(minima(values, bounds, BANDS * BAND_ROWS)):
+            keys[:, k // BAND_ROWS] = X.mix(keys[:, k // BAND_ROWS] * np.uint64(31) + least + np.uint64(k))
+        half = (values >> np.uint64(32)).astype(np.uint32)
+        for k, factor in enumerate((factors(64 * len(SKETCH)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)):
+            least = np.minimum.reduceat(half * factor, bounds[:-1]).astype(np.uint64)
+            bits[:, k // 64] |= (X.mix(least + np.uint64(k)) & np.uint64(1)) << np.uint64(k % 64)
+    return keys, bits, np.diff(bounds)
+
+
+def _apart(x: str, y: str) -> Column:
+    """In how many sketch bits two structs differ."""
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH))
+
+
+def _stars(live: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(a, b): pivots (bucket, pivot) with the rows of other roots in their buckets that may be similar, each pair once."""
+    size = (F.col("pivot.size"), F.col("row.size"))
+    both = live.select("bucket", F.struct("item", "size", "root", *SKETCH).alias("row")).join(pivots, "bucket")
+    both = both.where((F.col("row.root") != F.col("pivot.root")) & (F.least(*size) >= THRESHOLD * F.greatest(*size)))
+    return both.where(_apart("row", "pivot") <= NEAR_BITS).select(F.col("pivot.item").alias("a"), F.col("row.item").alias("b")).distinct()
+
+
+def _rooted(live: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """The rows with the roots of their items over all links so far, of buckets with several roots only."""
+    roots = components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "item")
+    now = live.drop("root").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    several = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    return cut(cut(now).join(several, "bucket"))
+
+
+def _similar_links(live: DataFrame, sets: DataFrame) -> list[DataFrame]:
+    """Tables of links (a, b) that connect similar items of the buckets. live: (bucket, item, score, size, sketch); sets: (item, shingles).
+
+    First one pivot a bucket, the row that has most company in all its buckets,
+    is compared with the others: in a family of copies of one text this links
+    nearly all. A second pivot follows, of those that the first didn't reach.
+    What is left, pairs of different roots without a pivot among them, is
+    compared inside groups of near sketches, chunk by chunk.
+    """
+    best = F.max(F.struct("score", "item", "size", "root", *SKETCH)).alias("pivot")
+    live = live.withColumn("root", F.col("item"))
+    pivots = cut(live.groupBy("bucket").agg(best))
+    pairs = cut(_stars(live, pivots))
+    links = [cut(verified(pairs, sets))]
+    live = _rooted(live, links)
+    if live.isEmpty():
+        return links
+    first = live.join(pivots.select("bucket", F.col("pivot.item").alias("item")), ["bucket", "item"], "left_semi").select("bucket", F.col("root").alias("reached"))
+    tested = pivots.select("bucket", F.col("pivot.item").alias("item"))
+    second = cut(live.join(first, "bucket").where("root != reached").groupBy("bucket").agg(best))
+    links.append(cut(verified(_stars(live.join(tested, ["bucket", "item"], "left_anti"), second), sets)))
+    tested = tested.unionByName(second.select("bucket", F.col("pivot.item").alias("item")))
+    live = _rooted(live.join(tested, ["bucket", "item"], "left_anti"), links)
+    if live.isEmpty():
+        return links
+    groups = cut(components(bucket_links(live.select("bucket", "item", "root", *SKETCH), NearValues(SKETCH, NEAR_BITS))))
+    roots = live.select("item", "root").distinct()
+    rest = groups.select(F.col("root").alias("bucket"), F.col("node").alias("item")).join(roots, "item").join(sets, "item")
+    rest = cut(rest.select("bucket", "item", "root", "shingles", F.size("shingles").cast("long").alias("weight")))
+    return [*links, bucket_links(rest, SimilarSets(), CHUNK_SHINGLES, "weight")]
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,41 +227,56 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     shingles, lower-cased; a text of fewer words is one shingle, texts without
     words are copies of each other. The candidates are found by MinHash bands
     over those shingles: of pairs at 0.8, a share of RECALL meets in a band, be
-    the edits scattered, in one block or a cut. What meets with NEAR_BITS or
-    fewer differing bits of its sketch joins a candidate group; a pair at 0.8 has
-    more with a probability of 1e-6. Inside a group all shingle sets are compared,
-    so a link never rests on hashes of texts alone.
+    the edits scattered, in one block or a cut. Pairs that meet and differ in
+    NEAR_BITS bits of a sketch or fewer are verified by their exact similarity (a
+    pair at 0.8 differs in more with a probability under 1e-5); only verified
+    links are followed from text to text. Null ids and repeated rows come out as
+    they came in; a very long text is one set in one task; an empty table gives
+    no rows. Other columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("__text"))
+    names = ["doc_id", "text_hash", "item", "size", *SKETCH, "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in X.text_chunks(batches, "__text"):
-            whole, some, keys, bits = sketches(texts)
-            sketch, size = np.zeros(len(texts), np.uint64), np.zeros(len(texts) + 1, np.int32)
-            sketch[some] = bits
-            size[some + 1] = BANDS
-            bands = pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(whole.view(np.int64)), pa.array(sketch.view(np.int64)), bands], names=["doc_id", "text_hash", "item", "sketch", "bands"])
-
-    rows = cut(slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text_hash long, item long, sketch long, bands array<long>"))
-    items = rows.groupBy("item").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    placed = cut(items.select(F.explode(F.array_distinct("bands")).alias("bucket"), "item", "sketch"))
-    groups = cut(components(bucket_links(placed, _near)))
-    passing = sieve(groups, "node")
+            layout = Layout(texts, whole_texts=True)
+            some = layout.owner[layout.bounds[:-1]]
+            keys, bits, counts = sketches(layout)
+            item, size, sketch = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), np.zeros((len(texts), len(SKETCH)), np.uint64)
+            item[some], size[some], sketch[some] = layout.sequence_hashes(layout.bounds), counts, bits
+            ends = np.zeros(len(texts) + 1, np.int32)
+            ends[some + 1] = BANDS
+            bands = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(item.view(np.int64)), pa.array(size), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in sketch.T), bands], names=names)
+
+    schema = f"doc_id {dict(slim.dtypes)['doc_id']}, text_hash long, item long, size long, {', '.join(f'{c} long' for c in SKETCH)}, bands array<long>"
+    rows = cut(slim.mapInArrow(run, schema))
+    mark = F.xxhash64("doc_id", "text_hash")
+    items = rows.where("size > 0").groupBy("item").agg(F.min(mark).alias("mark"), *(F.first(c).alias(c) for c in ("size", *SKETCH, "bands")))
+    items = cut(items)
+    placed = items.select(F.explode("bands").alias("bucket"), "item")
+    company = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(placed.join(company, "bucket"))
+    score = shared.groupBy("item").agg(F.sum("n").alias("score"))
+    live = cut(shared.select("bucket", "item").join(score, "item").join(items.select("item", "size", *SKETCH), "item"))
+    near = cut(bucket_links(live.select("bucket", "item", *SKETCH), NearValues(SKETCH, NEAR_BITS)))
+    members = near.select(F.col("a").alias("item")).unionByName(near.select(F.col("b").alias("item"))).distinct()
+    members = cut(items.select("item", "mark").join(members, "item"))
+    passing = sieve(members, "mark")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in X.text_chunks(batches, "__text"):
-            layout = Layout(texts, whole_texts=True)
-            keys, at = np.unique(layout.sequence_hashes(layout.lines), return_index=True)
-            hit = passes(passing.value, keys)
-            keys, which = keys[hit], at[hit]
-            values, bounds = layout.shingles(which)
+        for part, texts in X.text_chunks(batches, "__text"):
+            wanted = np.flatnonzero(passes(passing.value, part.column(0).to_numpy().view(np.uint64)))
+            layout = Layout([texts[k] for k in wanted.tolist()], whole_texts=True)
+            values, bounds = layout.shingles(layout.bounds)
             sets = [np.unique(values[x:y]).view(np.int64) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(layout.sequence_hashes(layout.bounds).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["item", "shingles"])
 
-    sets = slim.select("__text").mapInArrow(take, "node long, shingles array<long>").join(groups, "node").dropDuplicates(["node"])
-    links = bucket_links(cut(sets.select(F.col("root").alias("bucket"), F.col("node").alias("item"), "shingles")), jaccard, SETS)
-    roots = components(links)
+    taken = slim.select(mark.alias("mark"), "__text").mapInArrow(take, "item long, shingles array<long>")
+    sets = cut(taken.join(members.select("item"), "item", "left_semi").dropDuplicates(["item"]))
+    passing.unpersist()
+    links = _similar_links(cut(live.join(members.select("item"), "item", "left_semi")), sets)
+    roots = components(reduce(DataFrame.unionByName, links))
     named = rows.select("doc_id", "text_hash", F.col("item").alias("node")).join(roots, "node", "left")
     return named.select("doc_id", "text_hash", F.col("node").alias("words_hash"), F.coalesce("root", "node").alias("root"))
 
@@ -202,13 +284,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of similar documents, all columns kept: that of the smallest id, then text hash; null ids come last.
 
-    Of rows alike in id and text any one stays.
+    Of rows alike in id and text any one stays. Null and empty texts are one
+    group; an empty table stays empty.
     """
-    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text)))
+    hash_, id_, own = free_names(docs, "hash", "id", "own")
+    hashed = docs.withColumn(hash_, F.xxhash64(F.col(text)))
     rows = cut(similar_documents(docs, id_col, text))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
-    stays = rows.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.h").alias("__h"))
-    kept = hashed.join(stays, hashed[id_col].eqNullSafe(stays["__id"]) & (hashed["__hash"] == stays["__h"]), "left_semi")
+    stays = rows.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.id").alias(id_), F.col("r.h").alias(own))
+    kept = hashed.join(stays, hashed[id_col].eqNullSafe(stays[id_]) & (hashed[hash_] == stays[own]), "left_semi")
     if not rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "__hash"])
+        kept = kept.dropDuplicates([id_col, hash_])
     return kept.select(*docs.columns)

@@ -1,22 +1,20 @@
 """Substring deduplication: passages that repeat, found by paragraph.
 
-Paragraphs are lines. Those of `min_words` words and more are compared by
-MinHash: bands tuned for high recall, exact Jaccard of the five-word shingle sets
-of paragraphs that collide, components of the links. So that a passage is found
-inside a longer line too, lines are also cut at sentence ends into pieces, and
-equal pieces form a group. So that neither line ends nor full stops matter, equal
-anchors form groups too: runs of ANCHOR_WORDS words whose hash is the least of
-ANCHOR_WORDS runs one after another, which any two copies of 25 words share. Of
-each component and each group the occurrence of the smallest (id, text hash,
-place) stays; the others are marked. Where a run of marked anchors ends, it is
-extended word by word along the occurrence that stays, over one changed word at
-most. A run of marked words of `min_words` and more is removed.
-
-A first pass gathers the keys of pieces and bands; only those that repeat go on.
-The next ones take the collisions of paragraphs, the shingle sets of those in a
-candidate group, the places of repeated pieces, anchors and near copies, and the
-words around the ends of runs of anchors. The texts never move. A bitmap of fixed size keeps most rows without a repeated key out of
-the shuffles; what passes is joined to the keys themselves.
+Paragraphs are cut by their words (see `paragraphs`), so a passage inside a longer
+line, or wrapped at other places, has the same paragraphs as its copy. MinHash
+bands over the five-word shingles of each paragraph tell which may repeat; the
+exact Jaccard similarity of those that meet in a band decides; paragraphs linked
+in this way are a component. Of each component the occurrence of the smallest
+(id, text hash, place) stays; the others are marked. Where a run of marked
+paragraphs ends, it is extended word by word along the occurrence that stays,
+over one word changed, put in or left out. A run of `min_words` and more is
+removed.
+
+A first pass counts the band keys. A second one takes the paragraphs with a key
+that occurs more than once, each distinct one of a slice with its shingles: at
+most MOST_WORDS, fewer than a signature would have. A third one takes the words
+around the ends of runs, and reads only the texts that have any. The texts never
+move.
 """
 
 from __future__ import annotations
@@ -31,360 +29,247 @@ from pyspark.sql import types as T
 
 from . import _text as X
 from .buckets import bucket_links
-from .jaccard import THRESHOLD, jaccard
 from .components import components
+from .jaccard import SimilarSets
 from .lookup import passes, sieve
-from .tables import cut
-
-MIN_WORDS = 25
-SHINGLE = 5
-RECALL = 0.995
-BAND_ROWS = 3
-#: Shingle sets that meet in a task.
-SETS = 1024
-PIECE, BAND, ANCHOR = 0, 1, 2
-ANCHOR_WORDS = 13
-#: Words that are compared beyond each end of a run of anchors, and equal words that must follow a changed one.
+from .paragraphs import SHINGLE, Layout, bands_for, minima
+from .tables import cut, free_names
+
+#: Words of a run that is removed: less than the 50 of a passage, because changed words may part it.
+MIN_WORDS = 40
+RECALL = 0.98
+BAND_ROWS = 2
+BANDS = bands_for(BAND_ROWS, RECALL)
+#: Words that are compared beyond each end of a run, and equal words that must follow a changed one.
 CONTEXT = 37
 BRIDGE = 4
 
+#: Of an occurrence: words from the text's first on, bytes.
+PLACE = ["w0", "w1", "first", "end"]
 
-def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
-    """The fewest bands of `rows` values with which a pair at the threshold collides with that probability."""
-    n = 1
-    while 1 - (1 - threshold**rows) ** n < recall:
-        n += 1
-    return n
-
-
-def _factors(n: int) -> np.ndarray:
-    return X.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-class Layout:
-    """Words, pieces and lines of a slice of texts; pieces and lines as ranges of words."""
-
-    def __init__(self, texts: list[bytes], whole_texts: bool = False) -> None:
-        """whole_texts: each text is one line and one piece."""
-        buf, starts = X.joined(texts, lower=True)
-        self.n_docs = len(texts)
-        self.a, self.b = X.word_spans(buf, X.NON_SPACE)
-        self.starts = starts
-        n = len(self.a)
-        self.doc_of = X.owners(self.a, starts)
-        self.hashes = X.span_hashes(buf, self.a, self.b)
-        if not n:
-            self.pieces = self.lines = np.zeros(1, np.int64)
-            return
-        if whole_texts:
-            self.lines = self.pieces = np.append(np.flatnonzero(np.append(True, self.doc_of[1:] != self.doc_of[:-1])), n)
-            return
-        line_of = np.searchsorted(np.flatnonzero(buf == 10), self.a)
-        new_line = np.append(True, line_of[1:] != line_of[:-1])
-        tail = buf[self.b - 1]
-        stop = (tail == 0x2E) | (tail == 0x21) | (tail == 0x3F)
-        wide = self.b - self.a >= 3  # the full stop, exclamation and question marks of East Asian texts
-        w = np.flatnonzero(wide)
-        e = self.b[w]
-        stop[w] |= (buf[e - 3] == 0xE3) & (buf[e - 2] == 0x80) & (buf[e - 1] == 0x82)
-        stop[w] |= (buf[e - 3] == 0xEF) & (buf[e - 2] == 0xBC) & ((buf[e - 1] == 0x81) | (buf[e - 1] == 0x9F))
-        new_piece = new_line | np.append(True, stop[:-1])
-        self.lines = np.append(np.flatnonzero(new_line), n)
-        self.pieces = np.append(np.flatnonzero(new_piece), n)
-
-    def sequence_hashes(self, bounds: np.ndarray) -> np.ndarray:
-        """A hash of the words of each range."""
-        if len(bounds) < 2:
-            return np.empty(0, np.uint64)
-        sizes = np.diff(bounds)
-        place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
-        scaled = X.mix(self.hashes ^ (place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-        return X.mix(np.add.reduceat(scaled, bounds[:-1]) + sizes.astype(np.uint64))
-
-    def paragraphs(self, min_words: int) -> np.ndarray:
-        """Numbers of the lines with that many words."""
-        return np.flatnonzero(np.diff(self.lines) >= min_words)
-
-    def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The shingle hashes of those lines, one line after another, and the bounds of each line's."""
-        begin, end = self.lines[which], self.lines[which + 1]
-        short = end - begin < SHINGLE
-        counts = np.where(short, 1, end - begin - SHINGLE + 1)
-        bounds = np.append(0, np.cumsum(counts))
-        windows = X.window_hashes(self.hashes, SHINGLE)
-        at = np.repeat(begin - bounds[:-1], counts) + np.arange(bounds[-1])
-        out = np.zeros(bounds[-1], np.uint64)
-        whole = ~np.repeat(short, counts)
-        out[whole] = windows[at[whole]]
-        if short.any():
-            out[~whole] = self.sequence_hashes(self.lines)[which[short]]
-        return out, bounds
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """The first words of the anchors, and their hashes."""
-        k = ANCHOR_WORDS
-        windows = X.window_hashes(self.hashes, k)
-        if not len(windows):
-            return np.empty(0, np.int64), windows
-        value = np.where(self.doc_of[: len(windows)] == self.doc_of[k - 1 :], windows, ~np.uint64(0))
-        # least of each k windows, begun before the first too, then the greatest of the minima that a window takes part in
-        padded = np.concatenate([np.full(k - 1, ~np.uint64(0)), value, np.full(k - 1, ~np.uint64(0))])
-        n = len(value) + k - 1
-        whole = padded[:n].copy()
-        for j in range(1, k):
-            np.minimum(whole, padded[j : j + n], out=whole)
-        # minima over windows of two texts are no concern: they hold no window across, so they only add anchors
-        best = whole[: len(value)].copy()
-        for j in range(1, k):
-            np.maximum(best, whole[j : j + len(value)], out=best)
-        at = np.flatnonzero((value == best) & (value != ~np.uint64(0)))
-        return at, _kinded(windows[at], ANCHOR)
-
-    def around(self, at: np.ndarray) -> list[np.ndarray]:
-        """Hashes of the CONTEXT words before and after each anchor, nearest first (0: none), and the bytes at which they begin or end in the text."""
-        doc = self.doc_of[at]
-        low, high = np.searchsorted(self.doc_of, doc), np.searchsorted(self.doc_of, doc, "right")
-        step = np.arange(CONTEXT)
-        out = []
-        for place, byte in ((at[:, None] - 1 - step, self.a), (at[:, None] + ANCHOR_WORDS + step, self.b)):
-            inside = (place >= low[:, None]) & (place < high[:, None])
-            place = np.where(inside, place, 0)
-            words = (self.hashes[place] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-            out += [np.where(inside, words, np.uint32(0)), np.where(inside, byte[place] - self.starts[doc][:, None], 0).astype(np.uint32)]
-        return out
-
-    def band_keys(self, which: np.ndarray, bands: int) -> np.ndarray:
-        """A row of keys for each of those lines, one for each band."""
-        values, bounds = self.shingles(which)
-        keys = np.zeros((len(which), bands), np.uint64)
-        if len(which):
-            for k, factor in enumerate(_factors(bands * BAND_ROWS)):
-                least = np.minimum.reduceat(values * factor, bounds[:-1])
-                keys[:, k // BAND_ROWS] = X.mix(keys[:, k // BAND_ROWS] * np.uint64(31) + least + np.uint64(k))
-        return keys
-
-
-def _batch(names: str, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
-    made = [c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]
-    return pa.RecordBatch.from_arrays(made, names=names.split())
-
-
-def _kinded(keys: np.ndarray, kind: int) -> np.ndarray:
-    """The keys with their kind in the last two bits."""
-    return (keys & ~np.uint64(3)) | np.uint64(kind)
-
-
-def _repeated(docs: DataFrame, min_words: int, bands: int) -> DataFrame:
-    """(kind, key, low) of pieces and anchors that occur more than once and of band keys that different paragraphs share.
-
-    A row is a key and a value: of a piece or anchor the document's mark, of a band the
-    paragraph's hash. A key with two values repeats; `low` is the smaller.
-    """
+
+def band_keys(layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The paragraphs of SHINGLE words and more, by number; a row of keys for each; their shingles and the bounds of these."""
+    which = np.flatnonzero(np.diff(layout.bounds) >= SHINGLE)
+    values, bounds = layout.shingles(layout.bounds, which)
+    keys = np.zeros((len(which), BANDS), np.uint64)
+    if len(which):
+        for k, least in enumerate(minima(values, bounds, BANDS * BAND_ROWS)):
+            keys[:, k // BAND_ROWS] = X.mix(keys[:, k // BAND_ROWS] * np.uint64(31) + least + np.uint64(k))
+    return which, keys, values, bounds
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+
+
+def _repeated_keys(docs: DataFrame) -> DataFrame:
+    """(key): the band keys that occur more than once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in X.text_chunks(batches, "__text"):
-            layout = Layout(texts)
-            mark = part.column(1).to_numpy().view(np.uint64)
-            for keys, at in ((_kinded(layout.sequence_hashes(layout.pieces), PIECE), layout.pieces), layout.anchors()[::-1]):
-                keys, first, n = np.unique(keys, return_index=True, return_counts=True)
-                value = mark[layout.doc_of[at[first]]] if len(keys) else np.empty(0, np.uint64)
-                again = n > 1
-                yield _batch("key value", np.concatenate([keys, keys[again]]), np.concatenate([value, value[again] ^ np.uint64(1)]))
-            which = layout.paragraphs(min_words)
-            line, first = np.unique(layout.sequence_hashes(layout.lines)[which], return_index=True)
-            yield _batch("key value", _kinded(layout.band_keys(which[first], bands).ravel(), BAND), np.repeat(line, bands))
-
-    rows = docs.select("__text", F.xxhash64("__id", "__hash").alias("__mark")).mapInArrow(count, "key long, value long")
-    ends = rows.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low < high")
-    return ends.select(F.col("key").bitwiseAND(F.lit(3).cast("long")).cast("int").alias("kind"), "key", "low")
-
-
-def _clusters(docs: DataFrame, colliding: DataFrame, min_words: int, bands: int) -> DataFrame:
-    """(key, root): paragraphs that are near copies of others, by hash, with the component's name.
-
-    Colliding paragraphs form candidate groups; the shingle sets travel once for
-    each paragraph of a group, and are compared inside it.
-    """
-    passing = sieve(colliding)
+        for _, texts in X.text_chunks(batches, "text"):
+            _, keys, _, _ = band_keys(Layout(texts))
+            keys, n = np.unique(keys, return_counts=True)
+            yield pa.RecordBatch.from_arrays([_long(keys), pa.array(np.minimum(n, 2).astype(np.int32))], names=["key", "n"])
+
+    rows = docs.select("text").mapInArrow(count, "key long, n int")
+    return rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
 
-    def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in X.text_chunks(batches, "__text"):
-            layout = Layout(texts)
-            which = layout.paragraphs(min_words)
-            line, first = np.unique(layout.sequence_hashes(layout.lines)[which], return_index=True)
-            keys, line = _kinded(layout.band_keys(which[first], bands).ravel(), BAND), np.repeat(line, bands)
-            hit = passes(passing.value, keys)
-            yield _batch("key line", keys[hit], line[hit])
 
-    links = docs.select("__text").mapInArrow(collide, "key long, line long").join(colliding.select("key", "low"), "key")
-    links = links.select(F.col("low").alias("a"), F.col("line").alias("b"))
-    groups = cut(components(links).select(F.col("node").alias("key"), "root"))
-    wanted = sieve(groups)
+def _occurrences(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(id, hash, content, places, keys, shingles): the paragraphs with a repeated key. Keys and shingles stand at one occurrence of a content in a slice."""
+    passing = sieve(repeated)
+    schema = T.StructType([
+        *docs.schema.fields[:2], T.StructField("content", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in PLACE),
+        *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "shingles")),
+    ])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in X.text_chunks(batches, "__text"):
+        for part, texts in X.text_chunks(batches, "text"):
             layout = Layout(texts)
-            which = layout.paragraphs(min_words)
-            line, first = np.unique(layout.sequence_hashes(layout.lines)[which], return_index=True)
-            hit = passes(wanted.value, line)
-            line, which = line[hit], which[first[hit]]
-            values, bounds = layout.shingles(which)
-            sets = [np.unique(values[x:y]).view(np.int64) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield _batch("key shingles", line, pa.array(sets, pa.list_(pa.int64())))
-
-    sets = docs.select("__text").mapInArrow(take, "key long, shingles array<long>").dropDuplicates(["key"]).join(groups, "key")
-    links = bucket_links(cut(sets.select(F.col("root").alias("bucket"), F.col("key").alias("item"), "shingles")), jaccard, SETS)
-    return components(links).select(F.col("node").alias("key"), "root")
-
-
-def _reach(own: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """How many words of each row go on like the other row's, over one changed word with BRIDGE equal words behind it."""
-    equal = (own == other) & (own != 0)
-    reach, alive, bridged = (np.zeros(len(own), kind) for kind in (np.int64, bool, bool))
-    alive[:] = True
-    for k in range(CONTEXT):
-        over = ~equal[:, k] & ~bridged & (own[:, k] != 0) & (other[:, k] != 0)
-        over &= equal[:, k + 1 : k + 1 + BRIDGE].all(1) if k + BRIDGE < CONTEXT else False
-        alive &= equal[:, k] | over
-        bridged |= over
-        reach[alive & equal[:, k]] = k + 1
-    return reach
-
-
-def _extended(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """(id, __hash, w0, w1, first, end): the anchors at the ends of runs, each with the words around it that go on like those at the occurrence that stays."""
-    in_text = Window.partitionBy("__id", "__hash").orderBy("w0")
-    gap = lambda x, y: F.coalesce(y - x > ANCHOR_WORDS, F.lit(True))
-    ends = marked.withColumn("__end", gap(F.lag("w0").over(in_text), F.col("w0")) | gap(F.col("w0"), F.lead("w0").over(in_text))).where("__end")
-    ends = ends.withColumns({"own": F.xxhash64("__id", "__hash"), "at": F.xxhash64("stays.__id", "stays.__hash"), "from": F.col("stays.w0")}).drop("stays", "__end")
-    ends = cut(ends)
-    wanted = sieve(ends.select("key").distinct())
+            which, keys, values, bounds = band_keys(layout)
+            hit = np.flatnonzero(passes(passing.value, keys).any(1))
+            content = layout.sequence_hashes(layout.bounds)[which[hit]]
+            w0, w1 = layout.bounds[which[hit]], layout.bounds[which[hit] + 1]
+            doc = layout.owner[w0]
+            place = [w0 - layout.first[doc], w1 - layout.first[doc], layout.a[w0] - layout.starts[doc], layout.b[w1 - 1] - layout.starts[doc]]
+            once = np.zeros(len(hit), bool)
+            once[np.unique(content, return_index=True)[1]] = True
+            sets = [np.unique(values[bounds[k] : bounds[k + 1]]).view(np.int64) if o else None for k, o in zip(hit.tolist(), once.tolist(), strict=True)]
+            rows = [k.view(np.int64) if o else None for k, o in zip(keys[hit], once.tolist(), strict=True)]
+            own = [part.column(k).take(pa.array(doc)) for k in (0, 1)]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (rows, sets)]
+            yield pa.RecordBatch.from_arrays([*own, _long(content), *(pa.array(p.astype(np.int32)) for p in place), *lists], names=schema.names)
+
+    found = cut(docs.mapInArrow(take, schema))
+    passing.unpersist()
+    return found
+
+
+def _clusters(found: DataFrame) -> DataFrame:
+    """(content, root): contents that are similar to others, with the name of their component."""
+    contents = cut(found.where("keys IS NOT NULL").select("content", "keys", "shingles").dropDuplicates(["content"]))
+    placed = contents.select(F.explode("keys").alias("bucket"), F.col("content").alias("item"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    met = cut(placed.join(shared, "bucket"))
+    sets = contents.select(F.col("content").alias("item"), "shingles")
+    return components(bucket_links(met.join(sets, "item").select("bucket", "item", "shingles"), SimilarSets())).select(F.col("node").alias("content"), "root")
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """How many true values follow from each place of each row on."""
+    out = np.zeros((len(x), x.shape[1] + 1), np.int64)
+    for k in range(x.shape[1] - 1, -1, -1):
+        out[:, k] = np.where(x[:, k], out[:, k + 1] + 1, 0)
+    return out
+
+
+def reach(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many words of each row go on like the other row's, over one word changed, put in or left out with BRIDGE equal words behind it. 0 is no word."""
+    row = np.arange(len(own))
+    plain = _runs((own == other) & (own != 0))
+    at = plain[:, 0]
+    more, less = np.zeros_like(own), np.zeros_like(own)
+    more[:, :-1], less[:, :-1] = own[:, 1:], other[:, 1:]
+    over = (  # words that follow, and how many of the row's own words the change takes
+        (plain[row, np.minimum(at + 1, CONTEXT)], 1),
+        (_runs((more == other) & (more != 0))[row, at], 1),
+        (_runs((own == less) & (own != 0))[row, at], 0),
+    )
+    best = at.copy()
+    for follow, taken in over:
+        best = np.maximum(best, np.where(follow >= BRIDGE, at + taken + follow, 0))
+    return np.minimum(best, CONTEXT)
+
+
+def _extended(docs: DataFrame, marked: DataFrame, mark: str) -> DataFrame:
+    """(mark, places): the paragraphs at the ends of runs, each with the words around it that go on like those at the occurrence that stays."""
+    in_text = Window.partitionBy(mark).orderBy("w0")
+    ends = marked.withColumns({"before": F.lag("w1").over(in_text), "behind": F.lead("w0").over(in_text)})
+    ends = cut(ends.where("before IS NULL OR before < w0 OR behind IS NULL OR behind > w1").select(F.col(mark).alias("mark"), *PLACE, F.col("stays_mark").alias("at"), F.col("stays_w0").alias("from"), F.col("stays_w1").alias("to")))
+    sites = cut(ends.select("mark", "w0", "w1").unionByName(ends.select(F.col("at").alias("mark"), F.col("from").alias("w0"), F.col("to").alias("w1"))).distinct())
+    by_text = sites.groupBy("mark").agg(F.collect_set(F.struct("w0", "w1")).alias("sites"))
+    wanted = sieve(by_text, "mark")
     sides = ["lw", "lb", "rw", "rb"]
 
+    texts = docs.select(F.xxhash64("id", "hash").alias("mark"), "text")
+    passing_texts = _passing(texts, wanted)
+    # of texts alike in id and hash one is enough; a join brings each text its sites, at most one for each of its paragraphs
+    read = passing_texts.dropDuplicates(["mark"]).join(by_text, "mark")
+
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in X.text_chunks(batches, "__text"):
-            layout = Layout(texts)
-            at, keys = layout.anchors()
-            at = at[passes(wanted.value, keys)]
-            for low in range(0, len(at), 1 << 15):
-                now = at[low : low + (1 << 15)]
-                doc = layout.doc_of[now]
-                rows = [pa.array([r.tobytes() for r in x], pa.binary()) for x in layout.around(now)]
-                yield _batch("mark place lw lb rw rb", part.column(0).to_numpy()[doc], now - np.searchsorted(layout.doc_of, doc), *rows)
-
-    texts = docs.select(F.xxhash64("__id", "__hash").alias("mark"), "__text")
-    words = cut(texts.mapInArrow(around, "mark long, place long, lw binary, lb binary, rw binary, rb binary").dropDuplicates(["mark", "place"]))
-    pairs = ends.join(words, (ends["own"] == words["mark"]) & (ends["w0"] == words["place"])).drop("mark", "place")
-    stays = words.select(F.col("mark").alias("m"), F.col("place").alias("p"), F.col("lw").alias("lo"), F.col("rw").alias("ro"))
-    pairs = pairs.join(stays, (pairs["at"] == stays["m"]) & (pairs["from"] == stays["p"]))
-    names = ["__id", "__hash", "w0", "w1", "first", "end"]
+        for part, some in X.text_chunks(batches, "text"):
+            layout = Layout(some)
+            listed = part.column(2)
+            listed = listed.combine_chunks() if isinstance(listed, pa.ChunkedArray) else listed
+            doc = np.repeat(np.arange(len(some)), listed.value_lengths().to_numpy())
+            place = listed.flatten()
+            w0, w1 = (place.field(c).to_numpy() for c in ("w0", "w1"))
+            for low in range(0, len(doc), 1 << 14):
+                d, x, y = (v[low : low + (1 << 14)] for v in (doc, w0, w1))
+                rows = [pa.array([r.tobytes() for r in v], pa.binary()) for v in _around(layout, d, x, y)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), _long(x), _long(y), *rows], names=["mark", "w0", "w1", *sides])
+
+    words = cut(read.select("mark", "text", "sites").mapInArrow(around, "mark long, w0 long, w1 long, lw binary, lb binary, rw binary, rb binary"))
+    wanted.unpersist()
+    pairs = ends.join(words, ["mark", "w0", "w1"])
+    stays = words.select(F.col("mark").alias("at"), F.col("w0").alias("from"), F.col("w1").alias("to"), F.col("lw").alias("lo"), F.col("rw").alias("ro"))
+    pairs = pairs.join(stays, ["at", "from", "to"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lw, lb, rw, rb, lo, ro = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, CONTEXT) for c in (*sides, "lo", "ro"))
-            row = np.arange(batch.num_rows)
-            w0, w1, first, end = (batch.column(c).to_numpy() for c in names[2:])
-            left, right = _reach(lw, lo), _reach(rw, ro)
-            first = np.where(left > 0, lb[row, left - 1], first).astype(np.int64)
-            end = np.where(right > 0, rb[row, right - 1], end).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__hash"), *map(pa.array, (w0 - left, w1 + right, first, end))], names=names)
+            if batch.num_rows:
+                lw, lb, rw, rb, lo, ro = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, CONTEXT) for c in (*sides, "lo", "ro"))
+                row = np.arange(batch.num_rows)
+                w0, w1, first, end = (batch.column(c).to_numpy() for c in PLACE)
+                left, right = reach(lw, lo), reach(rw, ro)
+                first = np.where(left > 0, lb[row, left - 1], first)
+                end = np.where(right > 0, rb[row, right - 1], end)
+                yield pa.RecordBatch.from_arrays([batch.column("mark"), *map(_long, (w0 - left, w1 + right, first, end))], names=["mark", *PLACE])
 
-    schema = T.StructType([marked.schema[c] for c in names])
-    return pairs.select(*names, *sides, "lo", "ro").mapInArrow(extend, schema)
+    return pairs.select("mark", *PLACE, *sides, "lo", "ro").mapInArrow(extend, "mark long, w0 long, w1 long, first long, end long")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, __hash, n_removed, spans): for each document with a passage to remove, its words and byte spans.
+def _passing(texts: DataFrame, wanted) -> DataFrame:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(wanted.value, batch.column(0).to_numpy().view(np.uint64))))
 
-    __hash is the xxhash64 of the text. Rows alike in id and text count as one
-    document. A null id sorts before others; null and wordless texts have no
-    passages. Other columns are ignored.
-    """
-    bands = bands_for()
-    docs = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
-    repeated = cut(_repeated(docs, min_words, bands))
-    clusters = cut(_clusters(docs, repeated.where(F.col("kind") == BAND), min_words, bands))
-    pieces = repeated.where(F.col("kind") != BAND).select(F.col("kind").cast("long").alias("kind"), "key", F.col("key").alias("root"))
-    named = pieces.unionByName(clusters.select(F.lit(BAND).cast("long").alias("kind"), "key", "root"))
-    passing_pieces, passing_lines = sieve(pieces), sieve(clusters)
-    kind = docs.schema["__id"].dataType
-    names = ["kind", "key", "w0", "w1", "first", "end"]
-    schema = T.StructType([T.StructField("__id", kind), T.StructField("__hash", T.LongType()), *(T.StructField(c, T.LongType()) for c in names)])
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in X.text_chunks(batches, "__text"):
-            layout = Layout(texts)
-            at, anchor = layout.anchors()
-            found = (
-                (PIECE, _kinded(layout.sequence_hashes(layout.pieces), PIECE), layout.pieces[:-1], layout.pieces[1:], passing_pieces),
-                (BAND, layout.sequence_hashes(layout.lines), layout.lines[:-1], layout.lines[1:], passing_lines),
-                (ANCHOR, anchor, at, at + ANCHOR_WORDS, passing_pieces),
-            )
-            for which, keys, w0, w1, passing in found:
-                hit = np.flatnonzero(passes(passing.value, keys))
-                w0, w1 = w0[hit], w1[hit]
-                doc = layout.doc_of[w0]
-                zero = np.searchsorted(layout.doc_of, doc)
-                place = [w0 - zero, w1 - zero, layout.a[w0] - layout.starts[doc], layout.b[w1 - 1] - layout.starts[doc]]
-                own = [part.column(k).take(pa.array(doc)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(hit), which)), *(pa.array(x.astype(np.int64)) for x in (keys[hit].view(np.int64), *place))], names=schema.names)
-
-    units = cut(docs.mapInArrow(mark, schema).join(named, ["kind", "key"]).drop("key").withColumnRenamed("root", "key"))
-    place = F.struct("__id", "__hash", "w0")
-    # written, so that both sides of the join are plain exchanges and Spark can split a key that many documents share
-    first = cut(units.groupBy("kind", "key").agg(F.min(place).alias("stays")))
-    marked = units.join(first, ["kind", "key"]).where(~place.eqNullSafe(F.col("stays")))
-    # of what repeats inside its own document, the `min_words` words from the first occurrence on stay
-    same = F.col("__id").eqNullSafe(F.col("stays.__id")) & (F.col("__hash") == F.col("stays.__hash"))
-    marked = marked.where((F.col("kind") != ANCHOR) | ~same | (F.col("w0") >= F.col("stays.w0") + min_words))
-    marked = cut(marked)
-    whole = marked.select("__id", "__hash", "w0", "w1", "first", "end")
-    extended = whole.unionByName(_extended(docs, marked.where(F.col("kind") == ANCHOR).drop("kind")))
-    per_doc = extended.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set(F.struct("w0", "w1", "first", "end"))).alias("units"))
-    # runs of marked units: a unit that begins after the run's end, with no gap, goes on with it
-    runs = F.aggregate(
-        "units",
-        F.array().cast("array<struct<w0:bigint,w1:bigint,first:bigint,end:bigint>>"),
-        lambda out, u: F.when(
-            (F.size(out) > 0) & (u["w0"] <= F.try_element_at(out, F.lit(-1))["w1"]),
-            F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(_joined_run(F.try_element_at(out, F.lit(-1)), u))),
-        ).otherwise(F.concat(out, F.array(_run(u["w0"], u["w1"], u["first"], u["end"])))),
-    )
-    long = F.filter(runs, lambda r: r["w1"] - r["w0"] >= min_words)
-    spans = F.transform(long, lambda r: F.struct(r["first"].alias("first"), r["end"].alias("end")))
-    words = F.aggregate(long, F.lit(0).cast("long"), lambda n, r: n + r["w1"] - r["w0"])
-    found = per_doc.select(F.col("__id").alias(id_col), "__hash", words.alias("n_removed"), spans.alias("spans"))
-    return found.where("n_removed > 0")
+    return texts.mapInArrow(keep, texts.schema)
 
 
-def _run(w0, w1, first, end):
-    return F.struct(w0.alias("w0"), w1.alias("w1"), first.alias("first"), end.alias("end"))
+def _around(layout: Layout, doc: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the CONTEXT words before and after each range, nearest first (0: none), and the bytes at which they begin or end in the text."""
+    low, high = layout.first[doc], layout.first[doc + 1]
+    step = np.arange(CONTEXT)
+    out = []
+    for place, byte in (((low + w0)[:, None] - 1 - step, layout.a), ((low + w1)[:, None] + step, layout.b)):
+        inside = (place >= low[:, None]) & (place < high[:, None])
+        place = np.where(inside, place, 0)
+        words = (layout.hashes[place] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        out += [np.where(inside, words, np.uint32(0)), np.where(inside, byte[place] - layout.starts[doc][:, None], 0).astype(np.uint32)]
+    return out
 
 
-def _joined_run(last, unit):
-    return _run(last["w0"], F.greatest(last["w1"], unit["w1"]), last["first"], F.greatest(last["end"], unit["end"]))
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, hash, n_removed, spans): for each document with a passage to remove, its words and byte spans.
+
+    `hash` is the xxhash64 of the text. Rows alike in id and text count as one
+    document. A null id sorts before others; of equal ids the smaller text hash
+    stays. Null and wordless texts have no passages, and an empty table has no
+    rows. A very long text is one piece of work of one task. Of what repeats
+    inside its own document the first `min_words` words stay. Other columns are
+    ignored.
+    """
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    found = _occurrences(docs, cut(_repeated_keys(docs)))
+    units = found.select("id", "hash", "content", *PLACE)
+    units = units.join(_clusters(found), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    # written, so that both sides of the join are plain exchanges and Spark can split a paragraph that many documents share
+    units = cut(units.select("root", "id", "hash", F.xxhash64("id", "hash").alias("mark"), *(F.col(c).cast("long").alias(c) for c in PLACE)))
+    firsts = units.groupBy("root").agg(F.min(F.struct("id", "hash", "w0", "mark", "w1")).alias("stays"))
+    marked = units.join(firsts, "root").where("mark <> stays.mark OR w0 >= stays.w0 + " + str(int(min_words)))
+    marked = cut(marked.select("id", "hash", "mark", *PLACE, *(F.col(f"stays.{c}").alias(f"stays_{c}") for c in ("mark", "w0", "w1"))).distinct())
+    named = marked.select("mark", "id", "hash").distinct()
+    places = marked.select("mark", *PLACE).unionByName(_extended(docs, marked, "mark"))
+    # runs of marked words: one begins where no word before it is marked
+    so_far = Window.partitionBy("mark").orderBy("w0", "w1").rowsBetween(Window.unboundedPreceding, -1)
+    begins = places.withColumn("begins", F.coalesce(F.col("w0") > F.max("w1").over(so_far), F.lit(True)).cast("int"))
+    numbered = begins.withColumn("run", F.sum("begins").over(Window.partitionBy("mark").orderBy("w0", "w1").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("mark", "run").agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min("first").alias("first"), F.max("end").alias("end"))
+    long = runs.where(F.col("w1") - F.col("w0") >= min_words)
+    spans = long.groupBy("mark").agg(F.sum(F.col("w1") - F.col("w0")).alias("n_removed"), F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"))
+    return named.join(spans, "mark").select(F.col("id").alias(id_col), "hash", "n_removed", "spans")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, n_removed, spans) of each input row; rows without a passage to remove have 0 and no spans. Spans are UTF-8 byte offsets."""
-    found = repeated_spans(docs, id_col, text, min_words)
-    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text)).alias("__h"))
-    joined = rows.join(found, rows["__id"].eqNullSafe(found[id_col]) & (rows["__h"] == found["__hash"]), "left")
+    """(id, n_removed, spans) of each input row; rows without a passage to remove have 0 and no spans. Spans are UTF-8 byte offsets.
+
+    Repeated rows come out as often as they came in; nulls, empty and very long
+    texts, ties and empty tables as in `repeated_spans`.
+    """
+    found = repeated_spans(docs, id_col, text, min_words).withColumnRenamed(id_col, "found_id")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("own"))
+    joined = rows.join(found, rows["id"].eqNullSafe(found["found_id"]) & (rows["own"] == found["hash"]), "left")
     none = F.array().cast("array<struct<first:bigint,end:bigint>>")
-    return joined.select(F.col("__id").alias(id_col), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", none).alias("spans"))
+    return joined.select(F.col("id").alias(id_col), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", none).alias("spans"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents, all columns kept, without the passages that repeat; null texts stay null."""
-    found = repeated_spans(docs, id_col, text, min_words).select(F.col(id_col).alias("__id"), F.col("__hash"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__h", F.xxhash64(F.col(text)))
-    joined = joined.join(found, joined[id_col].eqNullSafe(found["__id"]) & (joined["__h"] == found["__hash"]), "left")
+    """The documents, all columns kept, without the passages that repeat; null texts stay null.
+
+    Repeated rows stay, each without its passages; nulls, empty and very long
+    texts, ties and empty tables as in `repeated_spans`.
+    """
+    id_, hash_, spans, own = free_names(docs, "id", "hash", "spans", "own")
+    found = repeated_spans(docs, id_col, text, min_words)
+    found = found.select(F.col(id_col).alias(id_), F.col("hash").alias(hash_), F.col("spans").alias(spans))
+    joined = docs.withColumn(own, F.xxhash64(F.col(text)))
+    joined = joined.join(found, joined[id_col].eqNullSafe(found[id_]) & (joined[own] == found[hash_]), "left")
     # byte slices of a binary: what stands before, between and after the spans
     raw = F.col(text).cast("binary")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda s: s["end"]))
-    begins = F.concat(F.transform("__spans", lambda s: s["first"]), F.array(F.octet_length(raw).cast("long")))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+    begins = F.concat(F.transform(spans, lambda s: s["first"]), F.array(F.octet_length(raw).cast("long")))
     kept = F.transform(F.arrays_zip(ends.alias("a"), begins.alias("b")), lambda s: F.substring(raw, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")).cast("string"))
-    new = F.when(F.col("__spans").isNotNull(), F.array_join(kept, "")).otherwise(F.col(text))
+    new = F.when(F.col(spans).isNotNull(), F.array_join(kept, "")).otherwise(F.col(text))
     return joined.withColumn(text, new).select(*docs.columns)

@@ -10,11 +10,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import buckets, components, decontamination, fertility, fm_index, importance, langid, lookup, packing, ppm, sharding, simhash, substring, toxicity
+from ledgerloom.llm import buckets, components, decontamination, fertility, fm_index, importance, jaccard, langid, lookup, packing, paragraphs, ppm, sharding, simhash, substring, toxicity
 from ledgerloom.llm.tables import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, bin string, fp string, spans int, root int"
@@ -280,9 +281,9 @@ def test_block_edits_and_cuts_are_near_copies(spark):
 
 
 def test_sketches_miss_few_pairs_at_the_threshold():
-    assert 1 - (1 - 0.8**substring.BAND_ROWS) ** simhash.BANDS >= simhash.RECALL
-    n = simhash.SKETCH_BITS
-    assert sum(math.comb(n, k) * 0.1**k * 0.9 ** (n - k) for k in range(simhash.NEAR_BITS + 1, n + 1)) < 2e-6
+    assert 1 - (1 - 0.8**simhash.BAND_ROWS) ** simhash.BANDS >= simhash.RECALL
+    n = 64 * len(simhash.SKETCH)
+    assert sum(math.comb(n, k) * 0.1**k * 0.9 ** (n - k) for k in range(simhash.NEAR_BITS + 1, n + 1)) < 1e-5
 
 
 def test_every_close_pair_shares_an_anchor(spark):
@@ -307,7 +308,7 @@ def test_hot_buckets_lose_no_link(spark):
     rng = random.Random(3)
     values = list({rng.getrandbits(10) for _ in range(300)})
     rows = spark.createDataFrame([(b, v) for b in (1, 2) for v in values] + [(3, 5)], "bucket long, item long")
-    got = buckets.bucket_links(rows, simhash._close, chunk=40)
+    got = buckets.bucket_links(rows, simhash.NearValues(["item"], 3), chunk=40)
     want = groups([(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3], values)
     found = groups([tuple(r) for r in got.collect()], values)
     assert found == want
@@ -367,7 +368,7 @@ def test_passages_without_line_ends_and_full_stops(spark):
     rows += [(21, " ".join([*twice, *flat(50), *twice])), (22, " ".join(["same"] * 400))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in substring.passages(df).collect()}
-    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 10: 60, 11: 60, 12: 60, 13: 0, 20: 0, 21: 60, 22: 375}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 10: 60, 11: 60, 12: 60, 13: 0, 20: 0, 21: 60, 22: 336}
     after = {r["doc_id"]: words(r["text"]) for r in substring.deduplicated(df).collect()}
     for k, (n, m) in {10: (40, 90), 11: (40, 90), 12: (30, 40)}.items():
         before = words(dict(rows)[k])
@@ -376,7 +377,8 @@ def test_passages_without_line_ends_and_full_stops(spark):
 
 def test_a_sieve_that_lets_all_pass_changes_nothing(spark, odd, monkeypatch):
     want = sorted(map(str, substring.passages(odd).collect()))
-    monkeypatch.setattr(lookup, "SIEVE_BITS", 6)
+    monkeypatch.setattr(lookup, "LEAST_BITS", 6)
+    monkeypatch.setattr(lookup, "MOST_BITS", 6)
     assert sorted(map(str, substring.passages(odd).collect())) == want
 
 
@@ -388,17 +390,85 @@ def test_a_sieve_passes_its_keys(spark):
 
 
 def test_bands_reach_the_recall():
-    n = substring.bands_for()
-    assert 1 - (1 - 0.8**substring.BAND_ROWS) ** n >= 0.995
-    rng, caught = random.Random(2), 0
-    for _ in range(300):
-        w = [f"w{rng.randrange(10**6)}" for _ in range(80)]
-        v = list(w)
-        v[rng.randrange(10, 70)] = "other"
-        layout = substring.Layout([" ".join(w).encode(), " ".join(v).encode()])
-        keys = layout.band_keys(layout.paragraphs(25), n)
-        caught += bool((keys[0] == keys[1]).any())
-    assert caught >= 296
+    assert 1 - (1 - 0.8**substring.BAND_ROWS) ** substring.BANDS >= substring.RECALL
+    rng, met, found = random.Random(2), 0, 0
+    for _ in range(600):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(13)]
+        v = [*w[:12], "other"]  # 8 of 10 shingles in common: exactly the threshold
+        layouts = [paragraphs.Layout([" ".join(x).encode()], whole_texts=True) for x in (w, v)]
+        (_, a, sa, _), (_, b, sb, _) = map(substring.band_keys, layouts)
+        sets = [pa.array([np.unique(x).view(np.int64)], pa.list_(pa.int64())) for x in (sa, sb)]
+        assert jaccard.similar(*sets, np.array([0]), np.array([0]))[0]
+        met += bool((a[0] == b[0]).any())
+    assert met >= 0.96 * 600
+
+
+def test_the_cuts_of_a_passage_do_not_hang_on_its_surroundings():
+    rng, whole = random.Random(5), 0
+    for _ in range(200):
+        w = [[f"w{rng.randrange(3000)}" for _ in range(n)] for n in (51, rng.randrange(60), rng.randrange(60), 40)]
+        texts = [" ".join(w[0]), " ".join([*w[1], *w[0], *w[2]]), "\n".join([*w[3], *w[0], *w[1]])]
+        layout = paragraphs.Layout([t.encode() for t in texts])
+        hashes = layout.sequence_hashes(layout.bounds)
+        own = [set(hashes[layout.owner[layout.bounds[:-1]] == k].tolist()) for k in range(3)]
+        whole += bool(own[0] & own[1] & own[2])
+        alone = [paragraphs.Layout([t.encode()]) for t in texts]  # nor on the texts of the slice
+        assert [set(x.sequence_hashes(x.bounds).tolist()) for x in alone] == own
+        assert np.diff(layout.bounds).max() <= paragraphs.MOST_WORDS
+    assert whole >= 198
+
+
+def test_reach_goes_over_one_change():
+    own = np.arange(1, substring.CONTEXT + 1, dtype=np.uint32)
+    cases = {"same": (own, substring.CONTEXT), "other": (own + np.uint32(100), 0)}
+    changed = own.copy()
+    changed[5] = 900
+    cases["changed"] = (changed, substring.CONTEXT)
+    cases["left out"] = (np.append(np.delete(own, 7), 901).astype(np.uint32), substring.CONTEXT)
+    cases["put in"] = (np.insert(own, 3, 902)[: substring.CONTEXT].astype(np.uint32), substring.CONTEXT - 1)
+    changed = changed.copy()
+    changed[9] = 903
+    cases["twice"] = (changed, 5)
+    got = substring.reach(np.stack([own] * len(cases)), np.stack([v for v, _ in cases.values()]))
+    assert got.tolist() == [n for _, n in cases.values()]
+
+
+def test_a_family_of_distinct_near_copies_is_linked_by_pivots_and_chunks(spark, monkeypatch):
+    rng = random.Random(77)
+    base = prose(rng, 300).split()
+    family = []
+    for k in range(400):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"new{rng.randint(0, 9)}"
+        family.append(" ".join(w))
+    rows = [(k, t) for k, t in enumerate(family)]
+    sets = [brute_shingles(t) for t in family]
+    linked = [(i, j) for i in range(400) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = groups(linked, range(400))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (simhash.CHUNK_SHINGLES, 20_000):
+        monkeypatch.setattr(simhash, "CHUNK_SHINGLES", chunk)
+        root = {r["doc_id"]: r["root"] for r in simhash.similar_documents(df).collect()}
+        pairs = {(want[k], root[k]) for k in root}
+        assert len(pairs) == len(set(want.values())) == len(set(root.values()))
+
+
+def test_chunks_of_sets_lose_no_link(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(60) for _ in range(30)]
+    rows = []
+    for k in range(120):
+        own = set(rng.sample(base, rng.randint(24, 30))) | {rng.getrandbits(60) for _ in range(rng.randint(0, 2))}
+        rows.append((1, k, sorted(own), len(own), k // 2))
+    df = spark.createDataFrame(rows, "bucket long, item long, shingles array<long>, weight long, root long")
+    close = [(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and len(set(a[2]) & set(b[2])) >= 0.8 * len(set(a[2]) | set(b[2]))]
+    for chunk in (10**6, 700):
+        got = [tuple(r) for r in buckets.bucket_links(df.drop("root"), jaccard.SimilarSets(), chunk, "weight").collect()]
+        assert set(got) <= set(close) and groups(got, range(120)) == groups(close, range(120))
+        known = [(2 * k, 2 * k + 1) for k in range(60)]
+        got = [tuple(r) for r in buckets.bucket_links(df, jaccard.SimilarSets(), chunk, "weight").collect()]
+        assert set(got) <= set(close) and groups([*got, *known], range(120)) == groups([*close, *known], range(120))
 
 
 # --- language model
