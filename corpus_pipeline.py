@@ -1,65 +1,7 @@
-"""The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark passages, packing.
-
-Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last
-give the columns of documents. A document whose text a stage removes whole goes;
-documents that came without words stay.
-"""
+"""The corpus pipeline, which ledgerloom.llm.pipeline holds: its stages, their run, and its SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ledgerloom.llm import decontamination, packing, simhash, substring, toxicity
-from ledgerloom.llm.tables import cut, table
-
-
-def _rewritten(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """The cleaned documents, n_chars brought up to date, without those that lost all their words."""
-    out = cleaned.where(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]") | ~F.col("__words")).drop("__words")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
-
-
-def _with_words(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__words", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
-
-
-def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _rewritten(docs, substring.deduplicated(_with_words(docs)))
-
-
-def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _rewritten(docs, decontamination.decontaminated(_with_words(docs), table(spark, sf_dir, "benchmark")))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("substring_dedup", cut_repeated_passages),
-    ("benchmark_decontamination", cut_benchmark_passages),
-    ("best_fit_packing", pack),
-]
-
-#: Classifiers, components and packing are not expressible in SQL; the tests hold the stages against brute force.
-ORACLE_SQL = None
-
+from ledgerloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
