@@ -29,7 +29,7 @@ from .components import components
 from .jaccard import THRESHOLD, SimilarSets, verified
 from .lookup import passes, sieve
 from .paragraphs import Layout, bands_for, factors, minima
-from .tables import cut, free_names
+from .tables import cut, free_names, written
 
 HALF = 31
 MAX_BITS = 3
@@ -185,7 +185,7 @@ def _rooted(live: DataFrame, links: list[DataFrame]) -> DataFrame:
     roots = components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "item")
     now = live.drop("root").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
     several = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    return cut(cut(now).join(several, "bucket"))
+    return written(written(now).join(several, "bucket"))
 
 
 def _similar_links(live: DataFrame, sets: DataFrame) -> list[DataFrame]:
@@ -199,24 +199,24 @@ def _similar_links(live: DataFrame, sets: DataFrame) -> list[DataFrame]:
     """
     best = F.max(F.struct("score", "item", "size", "root", *SKETCH)).alias("pivot")
     live = live.withColumn("root", F.col("item"))
-    pivots = cut(live.groupBy("bucket").agg(best))
-    pairs = cut(_stars(live, pivots))
-    links = [cut(verified(pairs, sets))]
+    pivots = written(live.groupBy("bucket").agg(best))
+    pairs = written(_stars(live, pivots))
+    links = [written(verified(pairs, sets))]
     live = _rooted(live, links)
     if live.isEmpty():
         return links
     first = live.join(pivots.select("bucket", F.col("pivot.item").alias("item")), ["bucket", "item"], "left_semi").select("bucket", F.col("root").alias("reached"))
     tested = pivots.select("bucket", F.col("pivot.item").alias("item"))
-    second = cut(live.join(first, "bucket").where("root != reached").groupBy("bucket").agg(best))
-    links.append(cut(verified(_stars(live.join(tested, ["bucket", "item"], "left_anti"), second), sets)))
+    second = written(live.join(first, "bucket").where("root != reached").groupBy("bucket").agg(best))
+    links.append(written(verified(_stars(live.join(tested, ["bucket", "item"], "left_anti"), second), sets)))
     tested = tested.unionByName(second.select("bucket", F.col("pivot.item").alias("item")))
     live = _rooted(live.join(tested, ["bucket", "item"], "left_anti"), links)
     if live.isEmpty():
         return links
-    groups = cut(components(bucket_links(live.select("bucket", "item", "root", *SKETCH), NearValues(SKETCH, NEAR_BITS))))
+    groups = written(components(bucket_links(live.select("bucket", "item", "root", *SKETCH), NearValues(SKETCH, NEAR_BITS))))
     roots = live.select("item", "root").distinct()
     rest = groups.select(F.col("root").alias("bucket"), F.col("node").alias("item")).join(roots, "item").join(sets, "item")
-    rest = cut(rest.select("bucket", "item", "root", "shingles", F.size("shingles").cast("long").alias("weight")))
+    rest = written(rest.select("bucket", "item", "root", "shingles", F.size("shingles").cast("long").alias("weight")))
     return [*links, bucket_links(rest, SimilarSets(), CHUNK_SHINGLES, "weight")]
 
 
@@ -250,18 +250,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(item.view(np.int64)), pa.array(size), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in sketch.T), bands], names=names)
 
     schema = f"doc_id {dict(slim.dtypes)['doc_id']}, text_hash long, item long, size long, {', '.join(f'{c} long' for c in SKETCH)}, bands array<long>"
-    rows = cut(slim.mapInArrow(run, schema))
+    rows = written(slim.mapInArrow(run, schema))
     mark = F.xxhash64("doc_id", "text_hash")
     items = rows.where("size > 0").groupBy("item").agg(F.min(mark).alias("mark"), *(F.first(c).alias(c) for c in ("size", *SKETCH, "bands")))
-    items = cut(items)
+    items = written(items)
     placed = items.select(F.explode("bands").alias("bucket"), "item")
     company = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(placed.join(company, "bucket"))
+    shared = written(placed.join(company, "bucket"))
     score = shared.groupBy("item").agg(F.sum("n").alias("score"))
-    live = cut(shared.select("bucket", "item").join(score, "item").join(items.select("item", "size", *SKETCH), "item"))
-    near = cut(bucket_links(live.select("bucket", "item", *SKETCH), NearValues(SKETCH, NEAR_BITS)))
+    live = written(shared.select("bucket", "item").join(score, "item").join(items.select("item", "size", *SKETCH), "item"))
+    near = written(bucket_links(live.select("bucket", "item", *SKETCH), NearValues(SKETCH, NEAR_BITS)))
     members = near.select(F.col("a").alias("item")).unionByName(near.select(F.col("b").alias("item"))).distinct()
-    members = cut(items.select("item", "mark").join(members, "item"))
+    members = written(items.select("item", "mark").join(members, "item"))
     passing = sieve(members, "mark")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +273,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(layout.sequence_hashes(layout.bounds).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["item", "shingles"])
 
     taken = slim.select(mark.alias("mark"), "__text").mapInArrow(take, "item long, shingles array<long>")
-    sets = cut(taken.join(members.select("item"), "item", "left_semi").dropDuplicates(["item"]))
+    sets = written(taken.join(members.select("item"), "item", "left_semi").dropDuplicates(["item"]))
     passing.unpersist()
-    links = _similar_links(cut(live.join(members.select("item"), "item", "left_semi")), sets)
+    links = _similar_links(written(live.join(members.select("item"), "item", "left_semi")), sets)
     roots = components(reduce(DataFrame.unionByName, links))
     named = rows.select("doc_id", "text_hash", F.col("item").alias("node")).join(roots, "node", "left")
     return named.select("doc_id", "text_hash", F.col("node").alias("words_hash"), F.coalesce("root", "node").alias("root"))
@@ -289,7 +289,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """
     hash_, id_, own = free_names(docs, "hash", "id", "own")
     hashed = docs.withColumn(hash_, F.xxhash64(F.col(text)))
-    rows = cut(similar_documents(docs, id_col, text))
+    rows = written(similar_documents(docs, id_col, text))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
     stays = rows.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.id").alias(id_), F.col("r.h").alias(own))
     kept = hashed.join(stays, hashed[id_col].eqNullSafe(stays[id_]) & (hashed[hash_] == stays[own]), "left_semi")

@@ -10,11 +10,10 @@ paragraphs ends, it is extended word by word along the occurrence that stays,
 over one word changed, put in or left out. A run of `min_words` and more is
 removed.
 
-A first pass counts the band keys. A second one takes the paragraphs with a key
+A first pass counts the band keys. A second one writes the paragraphs with a key
 that occurs more than once, each distinct one of a slice with its shingles: at
 most MOST_WORDS, fewer than a signature would have. A third one takes the words
-around the ends of runs, and reads only the texts that have any. The texts never
-move.
+around the ends of runs, of texts that have any. The texts never move.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ from .components import components
 from .jaccard import SimilarSets
 from .lookup import passes, sieve
 from .paragraphs import SHINGLE, Layout, bands_for, minima
-from .tables import cut, free_names
+from .tables import free_names, written
 
 #: Words of a run that is removed: less than the 50 of a passage, because changed words may part it.
 MIN_WORDS = 40
@@ -48,15 +47,20 @@ BRIDGE = 4
 PLACE = ["w0", "w1", "first", "end"]
 
 
+def keys_of(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of band keys for each set of shingles."""
+    keys = np.zeros((len(bounds) - 1, BANDS), np.uint64)
+    if len(keys):
+        for k, least in enumerate(minima(values, bounds, BANDS * BAND_ROWS)):
+            keys[:, k // BAND_ROWS] = X.mix(keys[:, k // BAND_ROWS] * np.uint64(31) + least + np.uint64(k))
+    return keys
+
+
 def band_keys(layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The paragraphs of SHINGLE words and more, by number; a row of keys for each; their shingles and the bounds of these."""
     which = np.flatnonzero(np.diff(layout.bounds) >= SHINGLE)
     values, bounds = layout.shingles(layout.bounds, which)
-    keys = np.zeros((len(which), BANDS), np.uint64)
-    if len(which):
-        for k, least in enumerate(minima(values, bounds, BANDS * BAND_ROWS)):
-            keys[:, k // BAND_ROWS] = X.mix(keys[:, k // BAND_ROWS] * np.uint64(31) + least + np.uint64(k))
-    return which, keys, values, bounds
+    return which, keys_of(values, bounds), values, bounds
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -77,11 +81,10 @@ def _repeated_keys(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(id, hash, content, places, keys, shingles): the paragraphs with a repeated key. Keys and shingles stand at one occurrence of a content in a slice."""
+    """(id, hash, content, places, shingles): the paragraphs with a repeated key. Shingles stand at one occurrence of a content in a slice."""
     passing = sieve(repeated)
     schema = T.StructType([
-        *docs.schema.fields[:2], T.StructField("content", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in PLACE),
-        *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "shingles")),
+        *docs.schema.fields[:2], T.StructField("content", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in PLACE), T.StructField("shingles", T.ArrayType(T.LongType())),
     ])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,24 +99,42 @@ def _occurrences(docs: DataFrame, repeated: DataFrame) -> DataFrame:
             once = np.zeros(len(hit), bool)
             once[np.unique(content, return_index=True)[1]] = True
             sets = [np.unique(values[bounds[k] : bounds[k + 1]]).view(np.int64) if o else None for k, o in zip(hit.tolist(), once.tolist(), strict=True)]
-            rows = [k.view(np.int64) if o else None for k, o in zip(keys[hit], once.tolist(), strict=True)]
             own = [part.column(k).take(pa.array(doc)) for k in (0, 1)]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (rows, sets)]
-            yield pa.RecordBatch.from_arrays([*own, _long(content), *(pa.array(p.astype(np.int32)) for p in place), *lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*own, _long(content), *(pa.array(p.astype(np.int32)) for p in place), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
 
-    found = cut(docs.mapInArrow(take, schema))
+    found = written(docs.mapInArrow(take, schema))
     passing.unpersist()
     return found
 
 
 def _clusters(found: DataFrame) -> DataFrame:
     """(content, root): contents that are similar to others, with the name of their component."""
-    contents = cut(found.where("keys IS NOT NULL").select("content", "keys", "shingles").dropDuplicates(["content"]))
-    placed = contents.select(F.explode("keys").alias("bucket"), F.col("content").alias("item"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    met = cut(placed.join(shared, "bucket"))
-    sets = contents.select(F.col("content").alias("item"), "shingles")
-    return components(bucket_links(met.join(sets, "item").select("bucket", "item", "shingles"), SimilarSets())).select(F.col("node").alias("content"), "root")
+    contents = found.where("shingles IS NOT NULL").select("content", "shingles")
+
+    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.ListArray, np.ndarray]:
+        sets = batch.column(1)
+        bounds = sets.offsets.to_numpy().astype(np.int64)
+        return batch.column(0).to_numpy(), sets, keys_of(sets.values.to_numpy().view(np.uint64)[bounds[0] : bounds[-1]], bounds - bounds[0])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                content, _, keys = keyed(batch)
+                yield pa.RecordBatch.from_arrays([_long(keys.ravel()), _long(np.repeat(content, BANDS))], names=["key", "content"])
+
+    ends = contents.mapInArrow(meet, "key long, content long").groupBy("key").agg(F.min("content").alias("low"), F.max("content").alias("high"))
+    passing = sieve(written(ends.where("low < high").select("key")))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                content, sets, keys = keyed(batch)
+                row, band = np.nonzero(passes(passing.value, keys))
+                yield pa.RecordBatch.from_arrays([_long(keys[row, band]), _long(content[row]), sets.take(pa.array(row))], names=["bucket", "item", "shingles"])
+
+    met = written(contents.mapInArrow(place, "bucket long, item long, shingles array<long>").dropDuplicates(["bucket", "item"]))
+    passing.unpersist()
+    return components(bucket_links(met, SimilarSets())).select(F.col("node").alias("content"), "root")
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -142,39 +163,40 @@ def reach(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.minimum(best, CONTEXT)
 
 
-def _extended(docs: DataFrame, marked: DataFrame, mark: str) -> DataFrame:
-    """(mark, places): the paragraphs at the ends of runs, each with the words around it that go on like those at the occurrence that stays."""
-    in_text = Window.partitionBy(mark).orderBy("w0")
+#: The key of an occurrence, from its text's mark and its first word.
+SITE = "mark ^ shiftleft(w0, 44)"
+
+
+def _extended(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(id, hash, mark, places): the paragraphs at the ends of runs, each with the words around it that go on like those at the occurrence that stays."""
+    in_text = Window.partitionBy("mark").orderBy("w0")
     ends = marked.withColumns({"before": F.lag("w1").over(in_text), "behind": F.lead("w0").over(in_text)})
-    ends = cut(ends.where("before IS NULL OR before < w0 OR behind IS NULL OR behind > w1").select(F.col(mark).alias("mark"), *PLACE, F.col("stays_mark").alias("at"), F.col("stays_w0").alias("from"), F.col("stays_w1").alias("to")))
-    sites = cut(ends.select("mark", "w0", "w1").unionByName(ends.select(F.col("at").alias("mark"), F.col("from").alias("w0"), F.col("to").alias("w1"))).distinct())
-    by_text = sites.groupBy("mark").agg(F.collect_set(F.struct("w0", "w1")).alias("sites"))
-    wanted = sieve(by_text, "mark")
+    ends = written(ends.where("before IS NULL OR before < w0 OR behind IS NULL OR behind > w1").drop("before", "behind"))
+    sites = ends.select("mark", "w0").unionByName(ends.select(F.col("stays_mark").alias("mark"), F.col("stays_w0").alias("w0")))
+    sites = written(sites.distinct().withColumn("key", F.expr(SITE)))
+    wanted_texts, wanted = sieve(sites.select("mark").distinct(), "mark"), sieve(sites)
     sides = ["lw", "lb", "rw", "rb"]
 
-    texts = docs.select(F.xxhash64("id", "hash").alias("mark"), "text")
-    passing_texts = _passing(texts, wanted)
-    # of texts alike in id and hash one is enough; a join brings each text its sites, at most one for each of its paragraphs
-    read = passing_texts.dropDuplicates(["mark"]).join(by_text, "mark")
-
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, some in X.text_chunks(batches, "text"):
-            layout = Layout(some)
-            listed = part.column(2)
-            listed = listed.combine_chunks() if isinstance(listed, pa.ChunkedArray) else listed
-            doc = np.repeat(np.arange(len(some)), listed.value_lengths().to_numpy())
-            place = listed.flatten()
-            w0, w1 = (place.field(c).to_numpy() for c in ("w0", "w1"))
-            for low in range(0, len(doc), 1 << 14):
-                d, x, y = (v[low : low + (1 << 14)] for v in (doc, w0, w1))
-                rows = [pa.array([r.tobytes() for r in v], pa.binary()) for v in _around(layout, d, x, y)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), _long(x), _long(y), *rows], names=["mark", "w0", "w1", *sides])
-
-    words = cut(read.select("mark", "text", "sites").mapInArrow(around, "mark long, w0 long, w1 long, lw binary, lb binary, rw binary, rb binary"))
-    wanted.unpersist()
-    pairs = ends.join(words, ["mark", "w0", "w1"])
-    stays = words.select(F.col("mark").alias("at"), F.col("w0").alias("from"), F.col("w1").alias("to"), F.col("lw").alias("lo"), F.col("rw").alias("ro"))
-    pairs = pairs.join(stays, ["at", "from", "to"])
+        for part, texts in X.text_chunks(batches, "text"):
+            mark = part.column(0).to_numpy()
+            some = np.flatnonzero(passes(wanted_texts.value, mark.view(np.uint64)))
+            layout = Layout([texts[k] for k in some.tolist()])
+            doc = layout.owner[layout.bounds[:-1]]
+            w0, w1 = layout.bounds[:-1] - layout.first[doc], layout.bounds[1:] - layout.first[doc]
+            own = mark[some][doc]
+            at = np.flatnonzero(passes(wanted.value, own.view(np.uint64) ^ (w0.astype(np.uint64) << np.uint64(44))))
+            for low in range(0, len(at), 1 << 14):
+                now = at[low : low + (1 << 14)]
+                rows = [pa.array([r.tobytes() for r in x], pa.binary()) for x in _around(layout, doc[now], w0[now], w1[now])]
+                yield pa.RecordBatch.from_arrays([pa.array(own[now]), _long(w0[now]), *rows], names=["mark", "w0", *sides])
+
+    words = docs.select(F.xxhash64("id", "hash").alias("mark"), "text").mapInArrow(around, "mark long, w0 long, lw binary, lb binary, rw binary, rb binary")
+    words = written(words.dropDuplicates(["mark", "w0"]))
+    for passing in (wanted_texts, wanted):
+        passing.unpersist()
+    stays = words.select(F.col("mark").alias("stays_mark"), F.col("w0").alias("stays_w0"), F.col("lw").alias("lo"), F.col("rw").alias("ro"))
+    pairs = ends.join(words, ["mark", "w0"]).join(stays, ["stays_mark", "stays_w0"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,17 +207,10 @@ def _extended(docs: DataFrame, marked: DataFrame, mark: str) -> DataFrame:
                 left, right = reach(lw, lo), reach(rw, ro)
                 first = np.where(left > 0, lb[row, left - 1], first)
                 end = np.where(right > 0, rb[row, right - 1], end)
-                yield pa.RecordBatch.from_arrays([batch.column("mark"), *map(_long, (w0 - left, w1 + right, first, end))], names=["mark", *PLACE])
-
-    return pairs.select("mark", *PLACE, *sides, "lo", "ro").mapInArrow(extend, "mark long, w0 long, w1 long, first long, end long")
-
-
-def _passing(texts: DataFrame, wanted) -> DataFrame:
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(passes(wanted.value, batch.column(0).to_numpy().view(np.uint64))))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "hash", "mark")), *map(_long, (w0 - left, w1 + right, first, end))], names=["id", "hash", "mark", *PLACE])
 
-    return texts.mapInArrow(keep, texts.schema)
+    kept = ["id", "hash", "mark", *PLACE]
+    return pairs.select(*kept, *sides, "lo", "ro").mapInArrow(extend, T.StructType([marked.schema[c] for c in kept]))
 
 
 def _around(layout: Layout, doc: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> list[np.ndarray]:
@@ -222,24 +237,25 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ignored.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
-    found = _occurrences(docs, cut(_repeated_keys(docs)))
-    units = found.select("id", "hash", "content", *PLACE)
-    units = units.join(_clusters(found), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    found = _occurrences(docs, written(_repeated_keys(docs)))
+    units = found.select("id", "hash", "content", *(F.col(c).cast("long").alias(c) for c in PLACE))
+    units = units.join(_clusters(found), "content", "left").withColumn("root", F.coalesce("root", "content")).drop("content")
     # written, so that both sides of the join are plain exchanges and Spark can split a paragraph that many documents share
-    units = cut(units.select("root", "id", "hash", F.xxhash64("id", "hash").alias("mark"), *(F.col(c).cast("long").alias(c) for c in PLACE)))
-    firsts = units.groupBy("root").agg(F.min(F.struct("id", "hash", "w0", "mark", "w1")).alias("stays"))
-    marked = units.join(firsts, "root").where("mark <> stays.mark OR w0 >= stays.w0 + " + str(int(min_words)))
-    marked = cut(marked.select("id", "hash", "mark", *PLACE, *(F.col(f"stays.{c}").alias(f"stays_{c}") for c in ("mark", "w0", "w1"))).distinct())
-    named = marked.select("mark", "id", "hash").distinct()
-    places = marked.select("mark", *PLACE).unionByName(_extended(docs, marked, "mark"))
+    units = written(units.withColumn("mark", F.xxhash64("id", "hash")))
+    firsts = units.groupBy("root").agg(F.min(F.struct("id", "hash", "w0", "mark")).alias("stays"))
+    marked = units.join(firsts, "root").where(f"mark <> stays.mark OR w0 >= stays.w0 + {int(min_words)}")
+    marked = written(marked.select("id", "hash", "mark", *PLACE, F.col("stays.mark").alias("stays_mark"), F.col("stays.w0").alias("stays_w0")))
+    places = marked.drop("stays_mark", "stays_w0").unionByName(_extended(docs, marked))
     # runs of marked words: one begins where no word before it is marked
-    so_far = Window.partitionBy("mark").orderBy("w0", "w1").rowsBetween(Window.unboundedPreceding, -1)
-    begins = places.withColumn("begins", F.coalesce(F.col("w0") > F.max("w1").over(so_far), F.lit(True)).cast("int"))
-    numbered = begins.withColumn("run", F.sum("begins").over(Window.partitionBy("mark").orderBy("w0", "w1").rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy("mark", "run").agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min("first").alias("first"), F.max("end").alias("end"))
+    in_text = Window.partitionBy("mark").orderBy("w0", "w1")
+    so_far = F.max("w1").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    begins = places.withColumn("begins", F.coalesce(F.col("w0") > so_far, F.lit(True)).cast("int"))
+    numbered = begins.withColumn("run", F.sum("begins").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = {"w0": F.min("w0"), "w1": F.max("w1"), "first": F.min("first"), "end": F.max("end"), "id": F.first("id"), "hash": F.first("hash")}
+    runs = numbered.groupBy("mark", "run").agg(*(v.alias(k) for k, v in ends.items()))
     long = runs.where(F.col("w1") - F.col("w0") >= min_words)
-    spans = long.groupBy("mark").agg(F.sum(F.col("w1") - F.col("w0")).alias("n_removed"), F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"))
-    return named.join(spans, "mark").select(F.col("id").alias(id_col), "hash", "n_removed", "spans")
+    spans = F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans")
+    return long.groupBy("mark").agg(F.first("id").alias(id_col), F.first("hash").alias("hash"), F.sum(F.col("w1") - F.col("w0")).alias("n_removed"), spans).drop("mark")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
