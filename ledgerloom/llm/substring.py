@@ -163,67 +163,82 @@ def reach(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.minimum(best, CONTEXT)
 
 
-#: The key of an occurrence, from its text's mark and its first word.
-SITE = "mark ^ shiftleft(w0, 44)"
+def _ends(by_text: DataFrame) -> DataFrame:
+    """(mark, w0, right, edge, stays_mark, stays_w0): the first and the last paragraph of each run, with the side to which it may go on and the byte there."""
+    numbered = by_text.select("mark", F.col("units").alias("u"), F.posexplode("units").alias("k", "unit"))
+    begins = F.coalesce(F.expr("try_element_at(u, k).w1 < unit.w0"), F.lit(True)) & (F.col("unit.w0") > 0)
+    numbered = numbered.withColumns({"begins": (F.col("k") == 0) & (F.col("unit.w0") > 0) | (F.col("k") > 0) & begins, "stops": F.coalesce(F.expr("try_element_at(u, k + 2).w0 > unit.w1"), F.lit(True))})
+    side = F.explode(F.expr("filter(array(struct(begins AS is, false AS right), struct(stops AS is, true AS right)), s -> s.is)")).alias("side")
+    rows = numbered.where("begins OR stops").select("mark", "unit", side)
+    right = F.col("side.right")
+    edge = F.when(right, F.col("unit.end")).otherwise(F.col("unit.first"))
+    return rows.select("mark", F.col("unit.w0").alias("w0"), F.col("unit.w1").alias("w1"), right.alias("right"), edge.alias("edge"), F.col("unit.stays_mark").alias("stays_mark"), F.col("unit.stays_w0").alias("stays_w0"))
 
 
-def _extended(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """(id, hash, mark, places): the paragraphs at the ends of runs, each with the words around it that go on like those at the occurrence that stays."""
-    in_text = Window.partitionBy("mark").orderBy("w0")
-    ends = marked.withColumns({"before": F.lag("w1").over(in_text), "behind": F.lead("w0").over(in_text)})
-    ends = written(ends.where("before IS NULL OR before < w0 OR behind IS NULL OR behind > w1").drop("before", "behind"))
-    sites = ends.select("mark", "w0").unionByName(ends.select(F.col("stays_mark").alias("mark"), F.col("stays_w0").alias("w0")))
-    sites = written(sites.distinct().withColumn("key", F.expr(SITE)))
-    wanted_texts, wanted = sieve(sites.select("mark").distinct(), "mark"), sieve(sites)
-    sides = ["lw", "lb", "rw", "rb"]
+#: The key of a side of an occurrence, from its text's mark, its first word, and the side.
+SITE = "{0} ^ shiftleft({1}, 44) ^ shiftleft(cast(right AS bigint), 43)"
+
+
+def _extended(docs: DataFrame, by_text: DataFrame) -> DataFrame:
+    """(mark, places): words beyond the ends of runs that go on like those at the occurrence that stays. Nothing for an end that doesn't go on."""
+    ends = written(_ends(by_text).withColumns({"own": F.expr(SITE.format("mark", "w0")), "other": F.expr(SITE.format("stays_mark", "stays_w0"))}))
+    own_texts, own_sites = sieve(ends.select("mark").distinct(), "mark"), sieve(ends.select("own"), "own")
+    other_texts, other_sites = sieve(ends.select("stays_mark").distinct(), "stays_mark"), sieve(ends.select("other").distinct(), "other")
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in X.text_chunks(batches, "text"):
             mark = part.column(0).to_numpy()
-            some = np.flatnonzero(passes(wanted_texts.value, mark.view(np.uint64)))
+            some = np.flatnonzero(passes(own_texts.value, mark.view(np.uint64)) | passes(other_texts.value, mark.view(np.uint64)))
             layout = Layout([texts[k] for k in some.tolist()])
             doc = layout.owner[layout.bounds[:-1]]
-            w0, w1 = layout.bounds[:-1] - layout.first[doc], layout.bounds[1:] - layout.first[doc]
-            own = mark[some][doc]
-            at = np.flatnonzero(passes(wanted.value, own.view(np.uint64) ^ (w0.astype(np.uint64) << np.uint64(44))))
-            for low in range(0, len(at), 1 << 14):
-                now = at[low : low + (1 << 14)]
-                rows = [pa.array([r.tobytes() for r in x], pa.binary()) for x in _around(layout, doc[now], w0[now], w1[now])]
-                yield pa.RecordBatch.from_arrays([pa.array(own[now]), _long(w0[now]), *rows], names=["mark", "w0", *sides])
-
-    words = docs.select(F.xxhash64("id", "hash").alias("mark"), "text").mapInArrow(around, "mark long, w0 long, lw binary, lb binary, rw binary, rb binary")
-    words = written(words.dropDuplicates(["mark", "w0"]))
-    for passing in (wanted_texts, wanted):
+            w0, own = layout.bounds[:-1] - layout.first[doc], mark[some][doc]
+            for right in (False, True):
+                key = own.view(np.uint64) ^ (w0.astype(np.uint64) << np.uint64(44)) ^ (np.uint64(right) << np.uint64(43))
+                for sites, role in ((own_sites, True), (other_sites, False)):
+                    at = np.flatnonzero(passes(sites.value, key))
+                    for low in range(0, len(at), 1 << 14):
+                        now = at[low : low + (1 << 14)]
+                        words, far = _beyond(layout, doc[now], layout.bounds[now + right], right)
+                        rows = [pa.array([r.tobytes() for r in x], pa.binary()) for x in ((words, far) if role else (words, words[:, :0]))]
+                        flags = [pa.array(np.full(len(now), x)) for x in (right, role)]
+                        yield pa.RecordBatch.from_arrays([pa.array(own[now]), _long(w0[now]), *flags, *rows], names=["mark", "w0", "right", "own", "words", "far"])
+
+    found = docs.select(F.xxhash64("id", "hash").alias("mark"), "text").mapInArrow(around, "mark long, w0 long, right boolean, own boolean, words binary, far binary")
+    found = written(found)
+    for passing in (own_texts, own_sites, other_texts, other_sites):
         passing.unpersist()
-    stays = words.select(F.col("mark").alias("stays_mark"), F.col("w0").alias("stays_w0"), F.col("lw").alias("lo"), F.col("rw").alias("ro"))
-    pairs = ends.join(words, ["mark", "w0"]).join(stays, ["stays_mark", "stays_w0"])
+    place = ["mark", "w0", "right"]
+    own = ends.join(found.where("own").drop("own").dropDuplicates(place), place)
+    # of a place where many others stay, the words are written once, so that Spark can split the join
+    other = written(found.where("NOT own").select(F.col("mark").alias("stays_mark"), F.col("w0").alias("stays_w0"), "right", F.col("words").alias("like")).dropDuplicates(["stays_mark", "stays_w0", "right"]))
+    pairs = own.join(other, ["stays_mark", "stays_w0", "right"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                lw, lb, rw, rb, lo, ro = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, CONTEXT) for c in (*sides, "lo", "ro"))
-                row = np.arange(batch.num_rows)
-                w0, w1, first, end = (batch.column(c).to_numpy() for c in PLACE)
-                left, right = reach(lw, lo), reach(rw, ro)
-                first = np.where(left > 0, lb[row, left - 1], first)
-                end = np.where(right > 0, rb[row, right - 1], end)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "hash", "mark")), *map(_long, (w0 - left, w1 + right, first, end))], names=["id", "hash", "mark", *PLACE])
-
-    kept = ["id", "hash", "mark", *PLACE]
-    return pairs.select(*kept, *sides, "lo", "ro").mapInArrow(extend, T.StructType([marked.schema[c] for c in kept]))
-
-
-def _around(layout: Layout, doc: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the CONTEXT words before and after each range, nearest first (0: none), and the bytes at which they begin or end in the text."""
-    low, high = layout.first[doc], layout.first[doc + 1]
+                words, far, like = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, CONTEXT) for c in ("words", "far", "like"))
+                w0, w1, edge = (batch.column(c).to_numpy() for c in ("w0", "w1", "edge"))
+                right = batch.column("right").to_numpy(zero_copy_only=False)
+                n = reach(words, like)
+                more = np.flatnonzero(n)
+                n, right, edge = n[more], right[more], edge[more]
+                byte = edge + np.where(right, 1, -1) * far[more, n - 1].astype(np.int64)
+                first, end = np.minimum(edge, byte), np.maximum(edge, byte)
+                w0, w1 = np.where(right, w1[more], w0[more] - n), np.where(right, w1[more] + n, w0[more])
+                yield pa.RecordBatch.from_arrays([batch.column("mark").take(pa.array(more)), *map(_long, (w0, w1, first, end))], names=["mark", *PLACE])
+
+    return pairs.select("mark", "w0", "w1", "right", "edge", "words", "far", "like").mapInArrow(extend, f"mark long, {', '.join(f'{c} long' for c in PLACE)}")
+
+
+def _beyond(layout: Layout, doc: np.ndarray, edge: np.ndarray, right: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the CONTEXT words beyond each place between two words of its text, nearest first (0: none), and how many bytes they reach from the word at the edge."""
     step = np.arange(CONTEXT)
-    out = []
-    for place, byte in (((low + w0)[:, None] - 1 - step, layout.a), ((low + w1)[:, None] + step, layout.b)):
-        inside = (place >= low[:, None]) & (place < high[:, None])
-        place = np.where(inside, place, 0)
-        words = (layout.hashes[place] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        out += [np.where(inside, words, np.uint32(0)), np.where(inside, byte[place] - layout.starts[doc][:, None], 0).astype(np.uint32)]
-    return out
+    place = edge[:, None] + step if right else edge[:, None] - 1 - step
+    inside = (place >= layout.first[doc][:, None]) & (place < layout.first[doc + 1][:, None])
+    place = np.where(inside, place, 0)
+    words = (layout.hashes[place] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    far = layout.b[place] - layout.b[edge - 1][:, None] if right else layout.a[edge][:, None] - layout.a[place]
+    return np.where(inside, words, np.uint32(0)), np.where(inside, far, 0).astype(np.uint32)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -242,10 +257,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     units = units.join(_clusters(found), "content", "left").withColumn("root", F.coalesce("root", "content")).drop("content")
     # written, so that both sides of the join are plain exchanges and Spark can split a paragraph that many documents share
     units = written(units.withColumn("mark", F.xxhash64("id", "hash")))
-    firsts = units.groupBy("root").agg(F.min(F.struct("id", "hash", "w0", "mark")).alias("stays"))
+    firsts = written(units.groupBy("root").agg(F.min(F.struct("id", "hash", "w0", "mark")).alias("stays")))
     marked = units.join(firsts, "root").where(f"mark <> stays.mark OR w0 >= stays.w0 + {int(min_words)}")
-    marked = written(marked.select("id", "hash", "mark", *PLACE, F.col("stays.mark").alias("stays_mark"), F.col("stays.w0").alias("stays_w0")))
-    places = marked.drop("stays_mark", "stays_w0").unionByName(_extended(docs, marked))
+    unit = F.struct(*PLACE, F.col("stays.mark").alias("stays_mark"), F.col("stays.w0").alias("stays_w0"))
+    by_text = written(marked.groupBy("mark").agg(F.first("id").alias("id"), F.first("hash").alias("hash"), F.array_sort(F.collect_set(unit)).alias("units")))
+    more = _extended(docs, by_text).groupBy("mark").agg(F.collect_list(F.struct(*PLACE)).alias("more"))
+    places = F.concat(F.transform("units", lambda u: F.struct(*(u[c].alias(c) for c in PLACE))), F.coalesce("more", F.array()))
+    places = by_text.join(more, "mark", "left").select("mark", "id", "hash", F.explode(places).alias("p")).select("mark", "id", "hash", "p.*")
     # runs of marked words: one begins where no word before it is marked
     in_text = Window.partitionBy("mark").orderBy("w0", "w1")
     so_far = F.max("w1").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
