@@ -2,11 +2,14 @@
 
 For each document and vocabulary: characters per token, share of tokens that
 fall back to bytes, and entropy of the token distribution. A document is
-rejected if a measure leaves the band of its main script. Scripts whose clean
+rejected if a measure leaves the band of its main script and language. The bands
+are fitted to the corpus: fences around the middle half of the documents that
+pass the base rule, inside wide limits that hold for any corpus. Scripts whose clean
 texts fall back to bytes in one vocabulary are judged by the vocabulary that fits
 better: its byte tokens per character. Words are tokenised
 on their own (each distinct word of a slice once), so counts don't depend on
-white space. One narrow pass, no shuffle.
+white space. One narrow pass measures,
+a small aggregate fits the bands, a second pass over the measures decides.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
+from .tables import written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARIES = {"piece": "piece_bpe_32k.model", "bpe": "byte_bpe_50k.tiktoken"}
@@ -186,8 +190,8 @@ def repeated_lines(buf: np.ndarray, doc_starts: np.ndarray, word_starts: np.ndar
     return np.bincount(owner, minlength=n) - np.bincount(owner[first], minlength=n)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabularies: dict[str, str] | None = None, bands: dict[str, tuple[float, float, float, float]] | None = None, fallbacks: dict[str, float] | None = None) -> DataFrame:
-    """One row per input row: the base counts, the script, each vocabulary's measures, base_failed and kept.
+def measures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", language: str | None = None, tokenizers: str = TOKENIZERS, vocabularies: dict[str, str] | None = None, bands: dict[str, tuple[float, float, float, float]] | None = None, fallbacks: dict[str, float] | None = None) -> DataFrame:
+    """One row per input row: the base counts, the script, each vocabulary's measures, base_failed, whether the wide limits hold, and the language.
 
     The script is that of most letters (the first in the order of BANDS on a
     tie; "other" without letters). Measures of a text without words are null,
@@ -200,8 +204,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in longs), T.StructField("script", T.StringType())]
     for k in files:
-        fields += [T.StructField(f"{k}_tokens", T.LongType()), *(T.StructField(f"{k}_{m}", T.DoubleType()) for m in ("chars_per_token", "byte_share", "entropy"))]
-    schema = T.StructType([*fields, T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
+        fields += [T.StructField(f"{k}_tokens", T.LongType()), *(T.StructField(f"{k}_{m}", T.DoubleType()) for m in ("chars_per_token", "byte_share", "entropy", "evenness"))]
+    schema = T.StructType([*fields, T.StructField("base_failed", T.BooleanType()), T.StructField("within", T.BooleanType()), T.StructField("language", T.StringType())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scripts = _script_table()
@@ -226,15 +230,68 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
             within, fewest = np.ones(n_docs, bool), np.full(n_docs, np.inf)
             least, most, fallback_most, spread = band[script].T
             for file in files.values():
-                text_of = lambda which: [whole[x:y].decode() for x, y in (spans[i] for i in which)]  # noqa: B023, E731
+                text_of = lambda which: [whole[x:y].decode(errors="replace") for x, y in (spans[i] for i in which)]  # noqa: B023, E731
                 n, fallback, entropy = token_measures(vocabulary(file), distinct.tolist(), inverse, doc_of, n_docs, text_of)
                 none, m = n == 0, np.maximum(n, 1)
                 per_token, share = chars / m, fallback / m
-                columns += [pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (per_token, share, entropy))]
+                even = entropy / np.maximum(1, np.log2(np.minimum(m, EVEN)))
+                columns += [pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=hidden) for x, hidden in ((per_token, none), (share, none), (entropy, none), (even, n < 50)))]
                 fewest = np.minimum(fewest, fallback / np.maximum(chars, 1))
                 within &= (per_token >= least) & (per_token <= most) & (share <= fallback_most) & ((n < 50) | (entropy >= spread * np.log2(np.minimum(m, EVEN))))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(~failed & within & (fewest <= fallback_limit[script]))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(within & (fewest <= fallback_limit[script])), part.column(2)], names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text).alias("__text")).mapInArrow(measure, schema)
+    return docs.select(F.col(id_col), F.col(text).alias("__text"), (F.col(language).cast("string") if language else F.lit(None).cast("string")).alias("__language")).mapInArrow(measure, schema)
 
 
+#: A fence lies FENCE times the middle half's width beyond it, or the measure's least slack (a share of the middle for
+#: characters per token, else as it is). A script and language has fences of its own from LEAST_ROWS documents, and a
+#: thousandth of all, on; else its script has, from as many; else only the wide limits hold.
+FENCE = 2.0
+SLACK = {"chars_per_token": 0.10, "byte_share": 0.02, "evenness": 0.05}
+#: Texts of fewer tokens have wider fences, by the square root of what they lack.
+STEADY_TOKENS = 200
+LEAST_ROWS = 100
+MOST_BANDS = 1000
+
+
+def fences(measured: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
+    """(by, fences): [lower quarter, upper quarter, width beyond them] of each measure, for the groups that are large enough; at most MOST_BANDS rows."""
+    good = measured.where("NOT base_failed")
+    least = max(LEAST_ROWS, good.count() // MOST_BANDS)
+    quarters = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in measures]
+    rows = good.groupBy(*by).agg(F.count("*").alias("n"), *quarters).where(F.col("n") >= least)
+
+    def fence(m: str) -> Column:
+        q, slack = F.col(m), F.lit(SLACK[m.partition("_")[2]])
+        if m.endswith("chars_per_token"):
+            slack = slack * q[1]
+        width = F.greatest(FENCE * (q[2] - q[0]), slack)
+        return F.array(q[0], q[2], width).alias(m)
+
+    return rows.select(*by, F.struct(*map(fence, measures)).alias("fences"))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", language: str | None = "lang", **options) -> DataFrame:
+    """One row per input row: what `measures` gives, `band_failed`, and `kept`, which neither the base rule nor a band fails.
+
+    `language` names a column whose values part the bands of a script (None, or
+    no such column: by script alone; null languages are a group of their own). A
+    measure that is null passes. Repeated rows are judged alike; texts that are
+    null or empty fail the base rule; an empty table gives no rows.
+    """
+    language = language if language in docs.columns else None
+    measured = measures(docs, id_col, text, language=language, **options)
+    columns = [c for c in measured.columns if c not in ("within", "language") and not c.endswith("_evenness")]
+    measured = written(measured)
+    names = [c for c in measured.columns if c.partition("_")[2] in SLACK]
+    own = fences(measured, ["script", "language"], names).withColumnsRenamed({"script": "s1", "language": "l1", "fences": "own"})
+    any_ = fences(measured, ["script"], names).withColumnsRenamed({"script": "s2", "fences": "any"})
+    rows = measured.join(F.broadcast(own), (F.col("script") == F.col("s1")) & F.col("language").eqNullSafe(F.col("l1")), "left").join(F.broadcast(any_), F.col("script") == F.col("s2"), "left")
+    rows = rows.withColumn("band", F.coalesce("own", "any"))
+    outside = ~F.col("within")
+    for m in names:
+        tokens = F.col(m.partition("_")[0] + "_tokens")
+        low, high, width = (F.col(f"band.{m}")[k] for k in range(3))
+        width = width * F.sqrt(F.greatest(F.lit(1.0), STEADY_TOKENS / F.greatest(tokens, F.lit(1))))
+        outside = outside | F.coalesce((F.col(m) < low - width) | (F.col(m) > high + width), F.lit(False))
+    return rows.select(*columns, outside.alias("band_failed"), (~F.col("base_failed") & ~outside).alias("kept"))

@@ -36,7 +36,7 @@ _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text.decode())
+    return bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text.decode(errors="replace"))
 
 
 def term_counts(texts: list[bytes]) -> np.ndarray:
