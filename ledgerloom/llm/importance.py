@@ -2,7 +2,9 @@
 
 A text's log weight is the sum, over its unigrams and bigrams of words and
 punctuation, of the log ratio of two bags of hashed n-grams: one of the texts
-labelled as target, one of all texts. Adding Gumbel noise, drawn from the id,
+labelled as target, one of all texts. A text of more than `length` n-grams weighs
+as its mean n-gram does `length` times; else the noise would decide nothing
+between texts of thousands of n-grams. Adding Gumbel noise, drawn from the id,
 and taking the largest k samples k texts in proportion to their weights,
 without replacement.
 
@@ -28,6 +30,8 @@ BUCKETS = 1 << 14
 SAMPLE_ROWS = 20_000
 FRACTION = 0.8
 SEED = 7
+#: n-grams from which on a text's weight no longer grows with its length.
+LENGTH = 20
 #: Keys that the driver sorts at most, and bins of a histogram that narrows them down.
 SORTED_KEYS = 10_000
 BINS = 4096
@@ -105,9 +109,11 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text: str = "text", fraction: float = FRACTION, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text: str = "text", fraction: float = FRACTION, sample_rows: int = SAMPLE_ROWS, length: float | None = LENGTH, seed: int = SEED) -> DataFrame:
     """(id, n_ngrams, log_weight, key, selected) of each input row. target: the ids of target texts.
 
+    Another `seed` draws other noise. `length` None: a weight is the plain sum.
+
     k is `fraction` of the rows, rounded down. Rows that tie for the last place
     share id and weight; all of them are selected. Null and wordless texts weigh
     1. A null id draws noise like any other and is never a target; ids that
@@ -121,11 +127,12 @@ def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in X.text_chunks(batches, "__text"):
             bucket, doc_of = ngram_buckets(texts)
-            weight = np.bincount(doc_of, weights=ratio.value[bucket], minlength=len(texts))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(doc_of, minlength=len(texts))), pa.array(weight)], names=schema.names)
+            weight, n = np.bincount(doc_of, weights=ratio.value[bucket], minlength=len(texts)), np.bincount(doc_of, minlength=len(texts))
+            weight = weight if length is None else weight * np.minimum(1, length / np.maximum(n, 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(weight)], names=schema.names)
 
     rows = docs.select(F.col(id_col), F.col(text).alias("__text")).mapInArrow(weigh, schema)
-    uniform = (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED + 1)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    uniform = (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed + 1)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     rows = cut(rows.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))))
     k = int(fraction * rows.count())
     return rows.withColumn("selected", F.col("key") >= kth_largest(rows, "key", k) if k else F.lit(False))
