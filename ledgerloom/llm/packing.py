@@ -60,7 +60,8 @@ def packed(docs: DataFrame, capacity: int = 2048, group_size: int = 4096, id_col
     Tokens are words. A document of more than `capacity` words is cut into
     pieces of `capacity` and a rest; `start` is the first word of the piece and
     `position` its offset in the bin. The bin is named "group-number". Pieces are
-    taken by size, largest first, then by id and piece. `cluster` names a column
+    taken by size, largest first, then by id, piece, source and cluster, so the
+    bins don't hang on the order of the table. `cluster` names a column
     with the duplicate cluster; without it texts that are equal form a cluster.
     A null or wordless text has one row with a null bin. A null id is packed
     like any other; repeated rows are packed once each. Other columns are
@@ -77,11 +78,14 @@ def packed(docs: DataFrame, capacity: int = 2048, group_size: int = 4096, id_col
     )
     total = slim.agg(F.sum(last + 1)).first()[0] or 0
     groups = max(1, math.ceil(total / group_size))
-    # the salt spreads repeated ids too; it comes from a written table, so it is the same when a task runs again
-    dealt = pieces.where("n_tokens > 0").withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
+    # rows alike in all that counts are numbered by their count, so that repeated ids spread, whatever the layout of the table
+    alike = ["doc_id", "source", "cluster", "piece", "start", "n_tokens"]
+    counted = pieces.where("n_tokens > 0").groupBy(*alike).agg(F.count("*").alias("n"))
+    dealt = counted.select(*alike, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    dealt = dealt.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", "source", "cluster", "copy"), F.lit(groups)))
 
     def pack(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by([("n_tokens", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "source", "cluster", "copy"))])
         columns = [rows.column(c).to_pylist() for c in ("n_tokens", "source", "cluster", "bin_group")]
         at = best_fit(*columns[:3], capacity)
         bins = [f"{g}-{b}" for g, (b, _) in zip(columns[3], at, strict=True)]
