@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -28,15 +29,14 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches whose texts hold about `limit` bytes, or one longer text; null texts become empty."""
     for batch in batches:
-        texts = [t or b"" for t in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
-        start = held = 0
-        for i, text in enumerate(texts):
-            if held and held + len(text) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += len(text) + 1
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy() + np.int64(1))
+        start = 0
+        while start < len(ends):
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(start, stop - start), [t or b"" for t in texts.slice(start, stop - start).to_pylist()]
+            start = stop
 
 
 def joined(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

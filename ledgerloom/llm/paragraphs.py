@@ -20,6 +20,8 @@ from .jaccard import THRESHOLD
 SHINGLE = 5
 RADIUS = 6
 MOST_WORDS = 32
+#: Texts that are laid out at once; a word takes some twenty numbers meanwhile.
+SLICE_BYTES = 1 << 20
 
 
 def bands_for(rows: int, recall: float, threshold: float = THRESHOLD) -> int:

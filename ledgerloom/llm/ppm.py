@@ -152,7 +152,7 @@ def gram_model(grams: DataFrame) -> DataFrame:
             lower = g[k].select(F.col("key").alias(f"g{k}"), F.col("n").alias(f"m{k}"))
             new = new.withColumn(f"g{k}", F.col("key").bitwiseAND(mask(k + 1))).join(small(lower, k + 1), f"g{k}", "left")
     value = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("double")
-    p = 1.0 / (SYMBOLS - value("D0"))
+    p = F.try_divide(F.lit(1.0), SYMBOLS - value("D0"))  # none where every symbol has been seen
     for k in range(ORDER):
         # what is left of the order-k context once the longer context's symbols are out
         distinct = value(f"D{k}") - value(f"D{k + 1}")

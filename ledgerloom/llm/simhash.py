@@ -28,7 +28,7 @@ from .buckets import bucket_links
 from .components import components
 from .jaccard import THRESHOLD, SimilarSets, verified
 from .lookup import passes, sieve
-from .paragraphs import Layout, bands_for, factors, minima
+from .paragraphs import SLICE_BYTES, Layout, bands_for, factors, minima
 from .tables import cut, free_names, written
 
 HALF = 31
@@ -238,7 +238,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     names = ["doc_id", "text_hash", "item", "size", *SKETCH, "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in X.text_chunks(batches, "__text"):
+        for part, texts in X.text_chunks(batches, "__text", SLICE_BYTES):
             layout = Layout(texts, whole_texts=True)
             some = layout.owner[layout.bounds[:-1]]
             keys, bits, counts = sketches(layout)
@@ -265,7 +265,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     passing = sieve(members, "mark")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in X.text_chunks(batches, "__text"):
+        for part, texts in X.text_chunks(batches, "__text", SLICE_BYTES):
             wanted = np.flatnonzero(passes(passing.value, part.column(0).to_numpy().view(np.uint64)))
             layout = Layout([texts[k] for k in wanted.tolist()], whole_texts=True)
             values, bounds = layout.shingles(layout.bounds)

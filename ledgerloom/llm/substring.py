@@ -31,7 +31,7 @@ from .buckets import bucket_links
 from .components import components
 from .jaccard import SimilarSets
 from .lookup import passes, sieve
-from .paragraphs import SHINGLE, Layout, bands_for, minima
+from .paragraphs import SHINGLE, SLICE_BYTES, Layout, bands_for, minima
 from .tables import free_names, written
 
 #: Words of a run that is removed: less than the 50 of a passage, because changed words may part it.
@@ -71,7 +71,7 @@ def _repeated_keys(docs: DataFrame) -> DataFrame:
     """(key): the band keys that occur more than once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in X.text_chunks(batches, "text"):
+        for _, texts in X.text_chunks(batches, "text", SLICE_BYTES):
             _, keys, _, _ = band_keys(Layout(texts))
             keys, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([_long(keys), pa.array(np.minimum(n, 2).astype(np.int32))], names=["key", "n"])
@@ -88,7 +88,7 @@ def _occurrences(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     ])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in X.text_chunks(batches, "text"):
+        for part, texts in X.text_chunks(batches, "text", SLICE_BYTES):
             layout = Layout(texts)
             which, keys, values, bounds = band_keys(layout)
             hit = np.flatnonzero(passes(passing.value, keys).any(1))
@@ -145,8 +145,11 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def reach(own: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """How many words of each row go on like the other row's, over one word changed, put in or left out with BRIDGE equal words behind it. 0 is no word."""
+def reach(own: np.ndarray, other: np.ndarray, loose: np.ndarray | None = None) -> np.ndarray:
+    """How many words of each row go on like the other row's, over one word changed, put in or left out with BRIDGE equal words behind it. 0 is no word.
+
+    In loose rows, whose beginnings may be a word apart, one equal word behind the first is enough.
+    """
     row = np.arange(len(own))
     plain = _runs((own == other) & (own != 0))
     at = plain[:, 0]
@@ -157,14 +160,15 @@ def reach(own: np.ndarray, other: np.ndarray) -> np.ndarray:
         (_runs((more == other) & (more != 0))[row, at], 1),
         (_runs((own == less) & (own != 0))[row, at], 0),
     )
+    bridge = BRIDGE if loose is None else np.where(loose & (at == 0), 1, BRIDGE)
     best = at.copy()
     for follow, taken in over:
-        best = np.maximum(best, np.where(follow >= BRIDGE, at + taken + follow, 0))
+        best = np.maximum(best, np.where(follow >= bridge, at + taken + follow, 0))
     return np.minimum(best, CONTEXT)
 
 
 def _ends(by_text: DataFrame) -> DataFrame:
-    """(mark, w0, right, edge, stays_mark, stays_w0): the first and the last paragraph of each run, with the side to which it may go on and the byte there."""
+    """(mark, w0, w1, right, edge, stays_mark, stays_w0, loose): the first and the last paragraph of each run, with the side to which it may go on and the byte there; loose: the paragraph that stays has another length."""
     numbered = by_text.select("mark", F.col("units").alias("u"), F.posexplode("units").alias("k", "unit"))
     begins = F.coalesce(F.expr("try_element_at(u, k).w1 < unit.w0"), F.lit(True)) & (F.col("unit.w0") > 0)
     numbered = numbered.withColumns({"begins": (F.col("k") == 0) & (F.col("unit.w0") > 0) | (F.col("k") > 0) & begins, "stops": F.coalesce(F.expr("try_element_at(u, k + 2).w0 > unit.w1"), F.lit(True))})
@@ -172,7 +176,7 @@ def _ends(by_text: DataFrame) -> DataFrame:
     rows = numbered.where("begins OR stops").select("mark", "unit", side)
     right = F.col("side.right")
     edge = F.when(right, F.col("unit.end")).otherwise(F.col("unit.first"))
-    return rows.select("mark", F.col("unit.w0").alias("w0"), F.col("unit.w1").alias("w1"), right.alias("right"), edge.alias("edge"), F.col("unit.stays_mark").alias("stays_mark"), F.col("unit.stays_w0").alias("stays_w0"))
+    return rows.select("mark", F.col("unit.w0").alias("w0"), F.col("unit.w1").alias("w1"), right.alias("right"), edge.alias("edge"), F.col("unit.stays_mark").alias("stays_mark"), F.col("unit.stays_w0").alias("stays_w0"), F.col("unit.loose").alias("loose"))
 
 
 #: The key of a side of an occurrence, from its text's mark, its first word, and the side.
@@ -186,7 +190,7 @@ def _extended(docs: DataFrame, by_text: DataFrame) -> DataFrame:
     other_texts, other_sites = sieve(ends.select("stays_mark").distinct(), "stays_mark"), sieve(ends.select("other").distinct(), "other")
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in X.text_chunks(batches, "text"):
+        for part, texts in X.text_chunks(batches, "text", SLICE_BYTES):
             mark = part.column(0).to_numpy()
             some = np.flatnonzero(passes(own_texts.value, mark.view(np.uint64)) | passes(other_texts.value, mark.view(np.uint64)))
             layout = Layout([texts[k] for k in some.tolist()])
@@ -219,7 +223,7 @@ def _extended(docs: DataFrame, by_text: DataFrame) -> DataFrame:
                 words, far, like = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, CONTEXT) for c in ("words", "far", "like"))
                 w0, w1, edge = (batch.column(c).to_numpy() for c in ("w0", "w1", "edge"))
                 right = batch.column("right").to_numpy(zero_copy_only=False)
-                n = reach(words, like)
+                n = reach(words, like, batch.column("loose").to_numpy(zero_copy_only=False))
                 more = np.flatnonzero(n)
                 n, right, edge = n[more], right[more], edge[more]
                 byte = edge + np.where(right, 1, -1) * far[more, n - 1].astype(np.int64)
@@ -227,7 +231,7 @@ def _extended(docs: DataFrame, by_text: DataFrame) -> DataFrame:
                 w0, w1 = np.where(right, w1[more], w0[more] - n), np.where(right, w1[more] + n, w0[more])
                 yield pa.RecordBatch.from_arrays([batch.column("mark").take(pa.array(more)), *map(_long, (w0, w1, first, end))], names=["mark", *PLACE])
 
-    return pairs.select("mark", "w0", "w1", "right", "edge", "words", "far", "like").mapInArrow(extend, f"mark long, {', '.join(f'{c} long' for c in PLACE)}")
+    return pairs.select("mark", "w0", "w1", "right", "edge", "loose", "words", "far", "like").mapInArrow(extend, f"mark long, {', '.join(f'{c} long' for c in PLACE)}")
 
 
 def _beyond(layout: Layout, doc: np.ndarray, edge: np.ndarray, right: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -257,9 +261,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     units = units.join(_clusters(found), "content", "left").withColumn("root", F.coalesce("root", "content")).drop("content")
     # written, so that both sides of the join are plain exchanges and Spark can split a paragraph that many documents share
     units = written(units.withColumn("mark", F.xxhash64("id", "hash")))
-    firsts = written(units.groupBy("root").agg(F.min(F.struct("id", "hash", "w0", "mark")).alias("stays")))
+    firsts = written(units.groupBy("root").agg(F.min(F.struct("id", "hash", "w0", "mark", "w1")).alias("stays")))
     marked = units.join(firsts, "root").where(f"mark <> stays.mark OR w0 >= stays.w0 + {int(min_words)}")
-    unit = F.struct(*PLACE, F.col("stays.mark").alias("stays_mark"), F.col("stays.w0").alias("stays_w0"))
+    unit = F.struct(*PLACE, F.col("stays.mark").alias("stays_mark"), F.col("stays.w0").alias("stays_w0"), F.expr("stays.w1 - stays.w0 <> w1 - w0").alias("loose"))
     by_text = written(marked.groupBy("mark").agg(F.first("id").alias("id"), F.first("hash").alias("hash"), F.array_sort(F.collect_set(unit)).alias("units")))
     more = _extended(docs, by_text).groupBy("mark").agg(F.collect_list(F.struct(*PLACE)).alias("more"))
     places = F.concat(F.transform("units", lambda u: F.struct(*(u[c].alias(c) for c in PLACE))), F.coalesce("more", F.array()))

@@ -811,3 +811,42 @@ def test_pipeline_with_awkward_rows(spark, sf_dir, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(r["doc_id"] == 3 for r in out) == 1
     assert any(r["doc_id"] is None for r in out)
+
+
+def test_fitted_bands_reject_what_no_other_text_of_the_language_is_like(spark):
+    rng = random.Random(15)
+    vocabulary = ["the", "house", "river", "walking", "people", "under", "morning", "something", "wonderful", "answer", "garden", "quiet", "letter", "mountain", "between", "children"]
+    clean = [(k, " ".join(rng.choice(vocabulary) + rng.choice(["", "", "s", "."]) for _ in range(rng.randint(60, 200))), "en" if k % 2 else "xx") for k in range(400)]
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(150)), " ".join(rng.choice(["a1", "b2", "||", "c3"]) + str(k) for k in range(150))]
+    rows = clean + [(1000 + k, t, "en") for k, t in enumerate(junk)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in fertility.quality_rules(df).collect()}
+    assert not any(found[k]["kept"] for k in (1000, 1001)) and not any(found[k]["base_failed"] for k in (1000, 1001))
+    assert sum(found[k]["kept"] for k in range(400)) >= 0.98 * sum(not found[k]["base_failed"] for k in range(400))
+    few = fertility.quality_rules(df.where("doc_id >= 1000 or doc_id < 20")).collect()  # too few to fit a band: the wide limits alone hold
+    assert all(r["band_failed"] is False for r in few if r["doc_id"] < 20)
+
+
+def test_damaged_utf8_is_judged(spark):
+    bad = spark.sql("SELECT 1L AS doc_id, cast(unhex(repeat('FF20', 60)) AS string) AS text, 'en' AS lang UNION ALL SELECT 2L, cast(unhex('C3A9C3') AS string), 'en'")
+    assert sorted(r["doc_id"] for r in fertility.quality_rules(bad).collect()) == [1, 2]
+    assert [r["lang_pred"] for r in langid.identified(bad, bad.limit(0)).collect()] == ["und", "und"]
+
+
+def test_two_seeds_draw_different_samples(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, ("good " if k % 2 else "bad ") * 3 + prose(rng, rng.randint(5, 400))) for k in range(600)], "doc_id long, text string")
+    target = docs.where("doc_id % 2 = 1 AND doc_id < 200").select("doc_id")
+    draws = [{r["doc_id"] for r in importance.resampled(docs, target, fraction=0.5, seed=s).where("selected").collect()} for s in (1, 2)]
+    assert len(draws[0]) == len(draws[1]) == 300 and 150 < len(draws[0] & draws[1]) < 295
+    assert all(sum(k % 2 for k in d) > 150 for d in draws)
+
+
+def test_packing_does_not_hang_on_the_order_of_the_table(spark):
+    rng = random.Random(6)
+    rows = [(k % 40, prose(rng, rng.randint(1, 60)), f"s{k % 5}") for k in range(300)]
+    rows += rows[:50]
+    first = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    second = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string, source string").repartition(7)
+    got = [Counter(tuple(r) for r in packing.packed(df, capacity=100, group_size=60).collect()) for df in (first, second)]
+    assert got[0] == got[1] and sum(got[0].values()) >= 350
