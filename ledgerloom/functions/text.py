@@ -62,9 +62,16 @@ def path_name(c: Column) -> Column:
     return F.substring_index(F.translate(local, "\\", "/"), "/", -1)
 
 
+# What a name's file name has in place of these, one after another.
+SLUG_PARTS = [(" / ", "_"), (" (", "_"), (")", ""), (".", ""), (" ", "_")]
+
+
 def slug(c: Column) -> Column:
-    """A name that is safe in a file path."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    """The file name of a chain's list: lower case, with a few characters replaced; letters with accents, hyphens and others stay."""
+    out = F.lower(c)
+    for old, new in SLUG_PARTS:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
 
 
 def numbered_name(prefix: Column, split: Column, number: Column) -> Column:
@@ -95,10 +102,10 @@ def parsed_list(c: Column) -> Column:
     trimmed = F.trim(c)
     listed = trimmed.startswith("[") & trimmed.endswith("]")
     from_json = F.from_json(F.when(listed, trimmed), "array<string>", {"mode": "PERMISSIVE"})
-    pieces = F.transform(F.split(F.regexp_replace(F.regexp_replace(trimmed, r"^\[", ""), r"\]$", ""), ","), lambda p: F.regexp_replace(F.trim(p), "^['\"]+|['\"]+$", ""))
-    simple = F.filter(pieces, lambda p: p != "")
+    pieces = F.filter(F.split(F.regexp_replace(F.regexp_replace(trimmed, r"^\[", ""), r"\]$", ""), ","), lambda p: F.trim(p) != "")
+    simple = F.transform(pieces, lambda p: F.regexp_replace(F.trim(p), "^['\"]+|['\"]+$", ""))
     literal = _literal_list(F.when(listed & from_json.isNull(), trimmed))
-    return F.when(trimmed.isNull() | (trimmed == ""), F.array().cast("array<string>")).when(listed, F.coalesce(from_json, literal, simple)).otherwise(F.array(trimmed))
+    return F.when(c.isNull() | (c == ""), F.array().cast("array<string>")).when(listed, F.coalesce(from_json, literal, simple)).otherwise(F.array(trimmed))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -131,6 +138,11 @@ def parsed_answer(c: Column, kind: str) -> Column:
     return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
 
 
+def answer_error(c: Column, kind: str, message: str = "not JSON") -> Column:
+    """The error of a model's answer that isn't one JSON value of that type; null for an answer that is."""
+    return F.when(parsed_answer(c, kind).isNull(), F.lit(message))
+
+
 def rendered(template: Column, values: dict[str, Column]) -> Column:
     """A template with each {{ name }} replaced by its value; null values become empty, other names stay."""
     out = template

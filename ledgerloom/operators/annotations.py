@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,24 +63,60 @@ def existing(items: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame
     return items.join(present.select(*keys), keys, "left_semi")
 
 
-def place_in(group: list[str], order: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+#: Ranges into which the rows of a large group are cut for numbering.
+RANGES = 256
+
+
+def _placed(items: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The items with `__place`, their number from 1 in their group, and `__size`, that of their group.
+
+    Where the first order column is a number, no task takes a whole group: each group is cut into RANGES ranges at quantiles
+    of a sketch of its first order column, rows are numbered inside a range, and the
+    counts of the ranges before it are added. Equal values share a range.
+    """
+    numeric = items.schema[order[0]].dataType.typeName() in ("long", "integer", "short", "byte", "double", "float")
+    first = F.col(order[0])
+    key = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group)]
+    if not numeric:  # one range: quantiles are of numbers
+        ranged = items.withColumn("__range", F.lit(0))
+    else:
+        cuts = items.groupBy(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(group))).agg(F.percentile_approx(first, [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("__cuts"))
+        ranged = items.join(cuts, reduce(lambda a, b: a & b, key), "left").drop(*(f"__g{i}" for i in range(len(group))))
+        ranged = ranged.withColumn("__range", F.coalesce(F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < first)), F.lit(-1))).drop("__cuts")
+    counts = ranged.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*group)
+    before = F.sum("__n").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumns({"__before": F.coalesce(before, F.lit(0)), "__size": F.sum("__n").over(whole)}).drop("__n")
+    counts = counts.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(group)), F.col("__range").alias("__r"), "__before", "__size")
+    inside = F.row_number().over(Window.partitionBy(*group, "__range").orderBy(*order))
+    numbered = ranged.withColumn("__inside", inside).join(counts, reduce(lambda a, b: a & b, key) & (F.col("__range") == F.col("__r")))
+    return numbered.select(*items.columns, (F.col("__before") + F.col("__inside")).alias("__place"), "__size")
 
 
 def round_robin(items: DataFrame, group: list[str], order: list[str], members: list[str]) -> DataFrame:
     """The items of each group dealt to the members in turn: column `member`."""
-    turn = ((place_in(group, order) - 1) % len(members)).cast("int")
-    return items.withColumn("member", F.element_at(F.array(*map(F.lit, members)), turn + 1))
+    turn = ((F.col("__place") - 1) % len(members)).cast("int")
+    return _placed(items, group, order).select(*items.columns, F.element_at(F.array(*map(F.lit, members)), turn + 1).alias("member"))
+
+
+def assigned_counts(dealt: DataFrame, by: list[str], done: str | None = None) -> DataFrame:
+    """(by, n[, succeeded, failed]): how many items each member or split has, and of these how many `done` says went well."""
+    ok = F.coalesce(F.col(done), F.lit(False)) if done else None
+    counts = {"succeeded": F.count_if(ok), "failed": F.count_if(~ok)} if done else {}
+    return dealt.groupBy(*by).agg(F.count("*").alias("n"), *(v.alias(k) for k, v in counts.items()))
 
 
 def stratified_split(items: DataFrame, group: list[str], order: list[str], percent: int = 80) -> DataFrame:
     """Column `split`: the first `percent` of each group, rounded down, are train, the others val."""
-    size = F.count("*").over(Window.partitionBy(*group))
-    return items.withColumn("split", F.when(place_in(group, order) * 100 <= size * percent - (size * percent) % 100, "train").otherwise("val"))
+    size = F.col("__size")
+    train = F.col("__place") * 100 <= size * percent - (size * percent) % 100
+    return _placed(items, group, order).select(*items.columns, F.when(train, "train").otherwise("val").alias("split"))
 
 
 def first_in_group(items: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
-    return items.withColumn("__n", place_in(group, order)).where(F.col("__n") <= most).drop("__n")
+    """The first `most` rows of each group; Spark cuts each task's rows to these before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return items.withColumn("__n", place).where(F.col("__n") <= most).drop("__n")
 
 
 def renumbered(sources: list[DataFrame], order: list[str], name: str = "new_id") -> DataFrame:
@@ -92,7 +130,7 @@ def renumbered(sources: list[DataFrame], order: list[str], name: str = "new_id")
         now = df.withColumn("source_rank", F.lit(rank))
         out = now if out is None else out.unionByName(now, allowMissingColumns=True)
     ranged = out.repartitionByRange("source_rank", *order).sortWithinPartitions("source_rank", *order)
-    ranged = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id()).persist()
+    ranged = _kept(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id()))
     counts = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     before, total = [], 0
     for part in sorted(counts):
@@ -103,13 +141,39 @@ def renumbered(sources: list[DataFrame], order: list[str], name: str = "new_id")
     return ranged.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + inside + 1).drop("__part", "__seq", "__before")
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder where the session names one; else held by Spark, which lets go of them with the table."""
+    spark = rows.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows.persist()
+
+
+def rekeyed_metadata(sources: list[DataFrame], split: str = "test", order: list[str] | None = None, name: str = "file_name") -> DataFrame:
+    """Metadata rows of several splits as one: new ids from 1 in source order, image and label paths below `split`, no PDF."""
+    rows = renumbered([df.drop("id", "image_path", "label_path", "pdf_path") for df in sources], order or [name], "id")
+    label = F.replace(F.col(name), F.lit(".png"), F.lit(".json"))
+    return rows.drop("source_rank").withColumns({
+        "image_path": F.concat(F.lit(f"{split}/images/"), F.col(name)), "label_path": F.concat(F.lit(f"{split}/labels/"), label), "pdf_path": F.lit(None).cast("string"),
+    })
+
+
 def shuffled(items: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """A fixed random order: by a hash of the key."""
     return items.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
 
 
-def joined_texts(items: DataFrame, keys: list[str], place: str = "place", text: str = "text") -> DataFrame:
-    """(keys, texts, text): each group's texts in order, as a list and joined; an empty text is null."""
+def joined_texts(items: DataFrame, keys: list[str], place: str = "place", text: str = "text", every: dict[str, list[str]] | None = None) -> DataFrame:
+    """(keys, texts, text): each group's texts in order, as a list and joined; an empty text is null.
+
+    `every` names one of the keys and its values: a group of the other keys has a
+    row for each of these values, null lists and texts where it has no text.
+    """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(text).alias("t")))), lambda x: x["t"])
     out = items.groupBy(*keys).agg(ordered.alias("texts"))
+    for key, values in (every or {}).items():
+        others = [k for k in keys if k != key]
+        grid = items.select(*others).distinct().withColumn(key, F.explode(F.array(*map(F.lit, values))))
+        out = grid.join(out, keys, "left").select(*keys, "texts")
     return out.withColumn("text", F.nullif(F.trim(F.array_join("texts", " ")), F.lit("")))

@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import blank_to_null
 
 
-def field_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, truth, predicted) over the fields of either side; blank values count as absent. Both: keys, value."""
+def field_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str], lines: DataFrame | None = None, document: str = "doc_id") -> DataFrame:
+    """(keys, truth, predicted) over the fields of either side; blank values count as absent. Both: keys, value.
+
+    With `lines`, the recognised lines, only documents that have any are scored.
+    """
+    if lines is not None:
+        seen = lines.select(document).distinct()
+        truth, predicted = (side.join(seen, document, "left_semi") for side in (truth, predicted))
     a = truth.select(*keys, blank_to_null(F.col("value")).alias("truth"))
     b = predicted.select(*keys, blank_to_null(F.col("value")).alias("predicted"))
     return a.join(b, keys, "full_outer")
@@ -47,6 +53,13 @@ def scores(counts: DataFrame, form: str = "guarded", digits: int = 2) -> DataFra
     raise ValueError(f"unknown form {form}")
 
 
+def score_table(scored: DataFrame, dataset: str = "dataset", model: str = "model", by: str = "model") -> DataFrame:
+    """The scores of models on datasets in order: by dataset, then by model, or by falling f1 (ties by model) with by="f1"."""
+    if by not in ("model", "f1"):
+        raise ValueError(f"by must be model or f1, not {by}")
+    return scored.orderBy(dataset, *([F.desc("f1")] if by == "f1" else []), model)
+
+
 def entity_confusion(truth: DataFrame, predicted: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
     """(by, tp, fp, fn) of spans: equal in keys, or wrong. Both sides have the columns of by and keys."""
     on = list(dict.fromkeys([*by, *keys]))

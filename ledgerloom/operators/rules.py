@@ -79,7 +79,7 @@ def extracted_fields(lines: DataFrame, key: str = "doc_id", number: str = "line_
     """
     order = Window.partitionBy(key).orderBy(number)
     lower = F.lower(F.col(text))
-    ahead = lines.withColumns({"__own": X.last_money(F.col(text)), "__next": F.lead(X.last_money(F.col(text))).over(order), "__date": X.date_token(F.col(text))})
+    ahead = lines.withColumns({"__own": X.last_money(F.col(text)), "__date": X.date_token(F.col(text))}).withColumn("__next", F.lead("__own").over(order))
     total = F.when(X.contains_any(lower, TOTAL_KEYS), F.coalesce("__own", "__next"))
     rows = ahead.withColumn("__total", total)
     first = lambda value, where: F.min_by(value, F.when(where, F.col(number)))

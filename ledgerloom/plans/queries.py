@@ -207,7 +207,19 @@ def perspective_box(t: Tables) -> DataFrame:
     return _boxed(t, G.perspective_box(box, [[0.9, 0.05, 3.0], [0.02, 0.95, -4.0], [0.0, 0.0, 1.0]], c("w"), c("h")), "a", "b", "c", "d")
 
 
-@query()
+def _fold_sql() -> str:
+    """The four corners moved by both folds, the box around them on the page, or the old box where that is too small."""
+    wave = lambda along, size, across, at, amplitude, frequency, sigma: f"{amplitude}::DOUBLE * sin({2 * 3.141592653589793 * frequency!r}::DOUBLE * {along} / {size}) * exp(-abs({across} - {at}::DOUBLE) / ({sigma} * 0.08::DOUBLE))"
+    x = lambda px, py: f"({px} + {wave(py, 'h', px, 200.0, 4.0, 1.0, 'w')})"
+    y = lambda px, py: f"({py} + {wave(px, 'w', py, 100.0, 6.0, 1.5, 'h')})"
+    corners = [("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2")]
+    xs, ys = (f"[{', '.join(f(*p) for p in corners)}]" for f in (x, y))
+    names = dict(zip("abcd", ("x1", "y1", "x2", "y2"), strict=True))
+    made = f"SELECT *, greatest(0, trunc(list_min({xs})))::BIGINT AS a, greatest(0, trunc(list_min({ys})))::BIGINT AS b, least(w - 1, trunc(list_max({xs})))::BIGINT AS c, least(h - 1, trunc(list_max({ys})))::BIGINT AS d FROM (SELECT doc_id, line_no, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2, w::DOUBLE AS w, h::DOUBLE AS h FROM v_line_boxes)"
+    return f"SELECT doc_id, line_no, {', '.join(f'CASE WHEN c - a > 2 AND d - b > 2 THEN {n} ELSE trunc({o})::BIGINT END AS {n}' for n, o in names.items())} FROM ({made})"
+
+
+@query(_fold_sql(), "v_line_boxes")
 def fold_box(t: Tables) -> DataFrame:
     c = F.col
     box = F.array(*(c(n).cast("double") for n in ("x1", "y1", "x2", "y2")))
@@ -328,7 +340,7 @@ def tag_label_counts(t: Tables) -> DataFrame:
 
 
 _RULE_SQL = """SELECT doc_id, max(CASE WHEN line_no = 0 THEN text END) AS seller, regexp_replace(arg_min(lower(text), line_no) FILTER (WHERE {address}), '^(đ/c|địa chỉ)[:\\s\\-]*', '') AS address,
-   arg_min(nullif(regexp_extract(text, '(\\d{{2}}[/-]\\d{{2}}[/-]\\d{{4}}\\s+\\d{{2}}:\\d{{2}}(:\\d{{2}})?)', 1), ''), line_no) FILTER (WHERE regexp_matches(text, '\\d{{2}}[/-]\\d{{2}}[/-]\\d{{4}}\\s+\\d{{2}}:\\d{{2}}')) AS timestamp,
+   arg_min(nullif(regexp_extract(text, '(\\d{{2}}[/-]\\d{{2}}[/-]\\d{{4}}\\s+\\d{{2}}:\\d{{2}}(:\\d{{2}})?|\\d{{2}}:\\d{{2}}\\s+\\d{{2}}[/-]\\d{{2}}[/-]\\d{{4}})', 1), ''), line_no) FILTER (WHERE regexp_matches(text, '\\d{{2}}[/-]\\d{{2}}[/-]\\d{{4}}\\s+\\d{{2}}:\\d{{2}}|\\d{{2}}:\\d{{2}}\\s+\\d{{2}}[/-]\\d{{2}}[/-]\\d{{4}}')) AS timestamp,
    arg_min(amount, line_no) FILTER (WHERE {total} AND amount IS NOT NULL) AS total_cost
    FROM (SELECT *, coalesce(own, lead(own) OVER (PARTITION BY doc_id ORDER BY line_no)) AS amount FROM (SELECT *, regexp_extract_all(text, '\\d{{1,3}}(?:[.,]\\d{{3}})*')[-1] AS own FROM v_receipt_lines)) GROUP BY 1""".format(
     address=_sql_any("lower(text)", R.ADDRESS_KEYS), total=_sql_any("lower(text)", R.TOTAL_KEYS)
@@ -340,7 +352,11 @@ def rule_extract(t: Tables) -> DataFrame:
     return R.extracted_fields(t.receipt_lines(), title=False)
 
 
-@query()
+#: Title case: a letter after a letter is small, any other capital.
+_TITLE = "list_aggregate([CASE WHEN i > 1 AND upper({0}[i - 1]) <> lower({0}[i - 1]) THEN lower({0}[i]) ELSE upper({0}[i]) END FOR i IN range(1, length({0}) + 1)], 'string_agg', '')"
+
+
+@query(f"SELECT doc_id, seller, {_TITLE.format('address')} AS address, timestamp, total_cost FROM ({_RULE_SQL})", "v_receipt_lines")
 def rule_extract_titled(t: Tables) -> DataFrame:
     return R.extracted_fields(t.receipt_lines())
 
@@ -350,7 +366,7 @@ def rule_extract_lookahead(t: Tables) -> DataFrame:
     return t.receipt_lines().withColumn("next_text", F.lead("text").over(Window.partitionBy("doc_id").orderBy("line_no", "text")))
 
 
-@query()
+@query(f"SELECT doc_id, {_TITLE.format('a')} AS address FROM (SELECT doc_id, regexp_replace(lower('ĐỊA CHỈ: ' || address), '^(đ/c|địa chỉ)[:\\s\\-]*', '') AS a FROM v_orders)", "v_orders")
 def address_title(t: Tables) -> DataFrame:
     return t.headed_orders().select("doc_id", X.address_text(F.concat(F.lit("ĐỊA CHỈ: "), F.col("address"))).alias("address"))
 
@@ -577,7 +593,7 @@ def renumber_union(t: Tables) -> DataFrame:
     return A.renumbered(sources, ["id"])
 
 
-@query()
+@query("SELECT doc_id, source FROM documents")  # the rows; their order is tested in tests/test_operators.py
 def shuffled_docs(t: Tables) -> DataFrame:
     return A.shuffled(t.documents.select("doc_id", "source"), "doc_id")
 
@@ -667,7 +683,29 @@ def format_currency(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", M.currency_text(F.floor("o_totalprice"), _layout()).alias("amount"))
 
 
-@query()
+def _number_sql() -> str:
+    quoted = lambda v: "[" + _sql_list(v) + "]"
+    digit = lambda e: f"{quoted(M.DIGITS)}[{e} + 1]"
+
+    def group(g: str, inner: str) -> str:
+        h, d, o = f"({g} // 100)", f"({g} % 100 // 10)", f"({g} % 10)"
+        said = f"({h} > 0 OR {inner})"
+        parts = [
+            f"CASE WHEN {said} THEN {digit(h)} || ' {M.HUNDRED}' END",
+            f"CASE WHEN {d} = 1 THEN '{M.TEN}' WHEN {d} > 1 THEN {digit(d)} || ' {M.TENS}' WHEN {said} AND {o} > 0 THEN '{M.ODD}' END",
+            f"CASE WHEN {o} = 1 AND {d} > 1 THEN '{M.ONE_AFTER_TENS}' WHEN {o} = 5 AND {d} > 0 THEN '{M.FIVE_AFTER_TEN}' WHEN {o} > 0 THEN {digit(o)} END",
+        ]
+        return f"concat_ws(' ', {', '.join(parts)})"
+
+    parts = []
+    for k in (3, 2, 1, 0):
+        g, inner = f"(n // {1000**k} % 1000)", f"n >= {1000 ** (k + 1)}" if k < 3 else "false"
+        parts.append(f"CASE WHEN {g} > 0 THEN concat_ws(' ', {group(g, inner)}, nullif('{M.GROUPS[k]}', '')) END")
+    said = f"concat_ws(' ', {', '.join(parts)}, '{M.CURRENCY}')"
+    return f"SELECT o_orderkey, CASE WHEN n = 0 THEN '{M.ZERO} {M.CURRENCY}' WHEN n > 0 AND n < {10**12} THEN upper(left(s, 1)) || substr(s, 2) END AS words FROM (SELECT o_orderkey, n, {said} AS s FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS n FROM orders))"
+
+
+@query(_number_sql())
 def number_words(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", M.number_words(F.floor("o_totalprice")).alias("words"))
 
@@ -712,9 +750,13 @@ def url_basename(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.path_name(F.col("url")).alias("name"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part")
+_NAMES = ["Big C / Go!", "7-Eleven", "Bách Hóa Xanh", "Saigon Co.op (Co.opmart / Co.op Food)", "Trung Nguyên Legend / E-Coffee", "A (b (c)) / d / e.f"]
+
+
+@query(f"SELECT p_partkey, replace(replace(replace(replace(replace(lower(name), ' / ', '_'), ' (', '_'), ')', ''), '.', ''), ' ', '_') AS slug FROM (SELECT p_partkey, [{_sql_list(_NAMES)}][p_partkey % 6 + 1] || ' / ' || p_name AS name FROM part)")
 def slug(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", X.slug(F.concat("p_name", F.lit(" / "), "p_brand")).alias("slug"))
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 6).cast("int") + 1)
+    return t.part.select("p_partkey", X.slug(F.concat(name, F.lit(" / "), "p_name")).alias("slug"))
 
 
 @query("SELECT doc_id, printf('%s_%s_%03d', source, CASE WHEN doc_id % 5 = 0 THEN 'val' ELSE 'train' END, doc_id % 1000) AS name FROM documents")
@@ -723,7 +765,7 @@ def numbered_names(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.numbered_name(F.col("source"), split, F.col("doc_id") % 1000).alias("name"))
 
 
-@query()
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(t: Tables) -> DataFrame:
     """Each user's first event type occurrences, by a file stream run to its end."""
     import tempfile
@@ -744,6 +786,55 @@ def stream_dedup(t: Tables) -> DataFrame:
 # --- smaller operations
 
 
+@query("SELECT field, tp, fp, fn FROM (" + _COUNTS.replace(_PAIRS, f"(SELECT * FROM {_PAIRS} WHERE doc_id % 3 <> 0)").replace("SELECT coalesce(t.field, p.field) AS field", "SELECT coalesce(t.doc_id, p.doc_id) AS doc_id, coalesce(t.field, p.field) AS field") + ")", "v_truth", "v_pred")
+def field_confusion_of_read(t: Tables) -> DataFrame:
+    """The counts of documents with recognised lines only: of two thirds of the receipts here."""
+    read = t.receipt_lines().where("doc_id % 3 <> 0")
+    pairs = E.field_pairs(t.truth_fields(), t.predicted_fields(), ["doc_id", "field"], read)
+    return E.confusion(pairs, X.edit_similarity(F.col("truth"), F.col("predicted")), ["field"])
+
+
+@query("SELECT row_number() OVER (ORDER BY r, file_name) AS id, file_name, 'test/images/' || file_name AS image_path, 'test/labels/' || replace(file_name, '.png', '.json') AS label_path, NULL::VARCHAR AS pdf_path FROM "
+       "(SELECT doc_id % 2 AS r, 'doc_' || doc_id || '.png' AS file_name FROM documents)")
+def metadata_rekey(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("doc_"), "doc_id", F.lit(".png")).alias("file_name"), F.lit("train/x.png").alias("image_path"))
+    return A.rekeyed_metadata([rows.where("id % 2 = 0"), rows.where("id % 2 = 1")]).select("id", "file_name", "image_path", "label_path", "pdf_path")
+
+
+@query("SELECT doc_id, image, CASE WHEN doc_id % 5 = 0 THEN 'http://127.0.0.1/a.jpg' WHEN doc_id % 5 = 1 THEN image WHEN doc_id % 5 = 2 THEN '/up/img_' || doc_id || '.jpg' WHEN doc_id % 5 = 3 THEN '/up/1/img_' || doc_id || '.jpg' END AS found FROM "
+       "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'http://localhost/a.jpg' WHEN doc_id % 5 = 3 THEN '/data/upload/1/img_' || doc_id || '.jpg' ELSE '/own/img_' || doc_id || '.jpg' END AS image FROM documents)")
+def image_fallback(t: Tables) -> DataFrame:
+    name, k = F.concat(F.lit("img_"), "doc_id", F.lit(".jpg")), F.col("doc_id") % 5
+    wanted = t.documents.select("doc_id", F.when(k == 0, "http://localhost/a.jpg").when(k == 3, F.concat(F.lit("/data/upload/1/"), name)).otherwise(F.concat(F.lit("/own/"), name)).alias("image"))
+    folder = F.when(k == 1, F.array(F.lit("file:/own/"), F.lit("/up/"))).when(k == 2, F.array(F.lit("/up/"), F.lit("/up/9/"))).when(k == 3, F.array(F.lit("/up/1/"), F.lit("/up/2/"))).otherwise(F.array(F.lit("/elsewhere/")))
+    present = t.documents.select(F.explode(folder).alias("d"), name.alias("n")).select(F.concat("d", "n").alias("path"))
+    return files.found_images(wanted, present, "/up").select("doc_id", "image", "found")
+
+
+@query("SELECT conv_id, role, CASE WHEN len(texts) > 0 THEN texts END AS texts, nullif(trim(array_to_string(texts, ' ')), '') AS text FROM (SELECT g.conv_id, g.role, list(text ORDER BY turn) FILTER (c.conv_id IS NOT NULL) AS texts FROM "
+       "(SELECT DISTINCT conv_id, unnest(['user', 'assistant', 'nobody']) AS role FROM conversations) g LEFT JOIN conversations c ON c.conv_id = g.conv_id AND c.role = g.role GROUP BY 1, 2)")
+def concat_every_label(t: Tables) -> DataFrame:
+    return A.joined_texts(t.conversations, ["conv_id", "role"], "turn", every={"role": ["user", "assistant", "nobody"]})
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'not JSON' END AS error FROM events")
+def answer_errors(t: Tables) -> DataFrame:
+    answer = F.when(F.col("event_id") % 4 == 0, "Sorry.").otherwise(F.concat(F.lit('```json\n{"k": "'), "event_type", F.lit('"}\n```')))
+    return t.events.select("event_id", X.answer_error(answer, "struct<k:string>").alias("error"))
+
+
+@query("SELECT member, count(*) AS n, count(*) FILTER (quality = 1) AS succeeded, count(*) FILTER (quality IS DISTINCT FROM 1) AS failed FROM (SELECT ['an', 'binh', 'chi'][(row_number() OVER (PARTITION BY source ORDER BY d.doc_id) - 1) % 3 + 1] AS member, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) GROUP BY 1")
+def split_counters(t: Tables) -> DataFrame:
+    dealt = round_robin(t).join(t.labels.select("doc_id", (F.col("quality") == 1).alias("ok")), "doc_id", "left")
+    return A.assigned_counts(dealt, ["member"], "ok")
+
+
+@query("SELECT model, dataset, tp, fp, fn, precision, recall, f1 FROM (" + _GUARDED.format(counts=f"SELECT field AS model, 'receipts' AS dataset, tp, fp, fn FROM ({_COUNTS})") + ")", "v_truth", "v_pred")
+def score_table(t: Tables) -> DataFrame:
+    scored = E.scores(_counts(t)).select(F.col("field").alias("model"), F.lit("receipts").alias("dataset"), "tp", "fp", "fn", "precision", "recall", "f1")
+    return E.score_table(scored)
+
+
 @query(f"""SELECT doc_id, line_no, greatest(trunc(sqrt(pow(br[1] - bl[1], 2) + pow(br[2] - bl[2], 2))), trunc(sqrt(pow(tr[1] - tl[1], 2) + pow(tr[2] - tl[2], 2))))::BIGINT AS width,
        greatest(trunc(sqrt(pow(tr[1] - br[1], 2) + pow(tr[2] - br[2], 2))), trunc(sqrt(pow(tl[1] - bl[1], 2) + pow(tl[2] - bl[2], 2))))::BIGINT AS height FROM
        (SELECT doc_id, line_no, arg_min(p, k1) AS tl, arg_min(p, k2) AS tr, arg_max(p, k1) AS br, arg_max(p, k2) AS bl FROM (SELECT doc_id, line_no, p, p[1] + p[2] AS k1, p[2] - p[1] AS k2 FROM (SELECT doc_id, line_no, unnest({_POLYGON_SQL}) AS p FROM v_line_boxes)) GROUP BY 1, 2)""", "v_line_boxes")

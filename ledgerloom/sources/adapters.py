@@ -50,13 +50,13 @@ class Tables:
         )
 
     def receipt_lines(self) -> DataFrame:
-        """(doc_id, line_no, text): a receipt for each order; of odd orders the total stands on the line after its word."""
+        """(doc_id, line_no, text): a receipt for each order; of odd orders the total stands on the line after its word, of every fifth the time before the date."""
         head = self.headed_orders()
         even = F.col("doc_id") % 2 == 0
         total = F.lit("Tổng tiền")
         line = lambda no, text: F.struct(F.lit(no).cast("long").alias("line_no"), text.alias("text"))
         fixed = F.array(
-            line(0, F.col("seller")), line(1, F.concat(F.lit("Địa chỉ: "), F.col("address"))), line(2, F.col("timestamp")),
+            line(0, F.col("seller")), line(1, F.concat(F.lit("Địa chỉ: "), F.col("address"))), line(2, F.when(F.col("doc_id") % 5 == 4, F.date_format("o_orderdate", "HH:mm dd-MM-yyyy")).otherwise(F.col("timestamp"))),
             line(1000, F.when(even, F.concat(total, F.lit(" "), F.col("total_cost"))).otherwise(total)), line(1001, F.when(~even, F.col("total_cost"))),
         )
         lines = head.select("doc_id", F.explode(F.filter(fixed, lambda x: x["text"].isNotNull())).alias("l")).select("doc_id", "l.line_no", "l.text")
@@ -108,7 +108,7 @@ VIEWS = {
           ['SELLER', 'ADDRESS', 'TIMESTAMP', 'TOTAL_COST', 'ITEM_NAME', 'ITEM_QTY', 'ITEM_PRICE', 'ITEM_AMOUNT', 'OTHER'][(doc_id * 7 + word_no // 3 + CASE WHEN (doc_id + word_no) % 11 = 0 THEN 1 ELSE 0 END) % 9 + 1] END AS tag FROM v_words)""",
     "v_orders": """SELECT o_orderkey AS doc_id, c_name AS seller, n_name || ', ' || r_name AS address, strftime(o_orderdate, '%d/%m/%Y %H:%M') AS timestamp,
         format('{:,}', floor(o_totalprice)::BIGINT) AS total_cost, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
-    "v_receipt_lines": """SELECT doc_id, 0 AS line_no, seller AS text FROM v_orders UNION ALL SELECT doc_id, 1, 'Địa chỉ: ' || address FROM v_orders UNION ALL SELECT doc_id, 2, timestamp FROM v_orders
+    "v_receipt_lines": """SELECT doc_id, 0 AS line_no, seller AS text FROM v_orders UNION ALL SELECT doc_id, 1, 'Địa chỉ: ' || address FROM v_orders UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 5 = 4 THEN strftime(o_orderdate, '%H:%M %d-%m-%Y') ELSE timestamp END FROM v_orders
         UNION ALL SELECT doc_id, 1000, CASE WHEN doc_id % 2 = 0 THEN 'Tổng tiền ' || total_cost ELSE 'Tổng tiền' END FROM v_orders UNION ALL SELECT doc_id, 1001, total_cost FROM v_orders WHERE doc_id % 2 <> 0
         UNION ALL SELECT DISTINCT l_orderkey, l_linenumber + 2, 'SP ' || l_partkey || ' x' || l_quantity::INT FROM lineitem""",
     "v_fields": """SELECT doc_id, unnest(['SELLER', 'ADDRESS', 'TIMESTAMP', 'TOTAL_COST']) AS field, unnest([seller, address, timestamp, total_cost]) AS value FROM v_orders""",

@@ -12,6 +12,8 @@ from ledgerloom.functions.text import path_name
 
 from . import schemas
 
+#: Characters of a delimited file that tell its delimiter.
+HEAD = 2048
 IMAGES = "*.{jpg,jpeg,png,JPG,JPEG,PNG}"
 
 
@@ -47,12 +49,12 @@ def labelled_metadata(rows: DataFrame, labels: DataFrame, base: str = "") -> Dat
 def sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
     """(image, annotation) of a delimited file whose delimiter and columns are found out from its head.
 
-    The delimiter is ";" if the first line has one, else ",". The image column
+    The delimiter is ";" if the first HEAD characters have one, else ",". The image column
     is the first whose name holds img or id, the text column the first that
     holds text, else anno.
     """
-    head = spark.read.text(path).limit(1).collect()
-    sep = ";" if head and ";" in head[0][0] else ","
+    lines = spark.read.text(path).limit(HEAD).collect()  # lines of one character and its end at least
+    sep = ";" if ";" in "\n".join(r[0] for r in lines)[:HEAD] else ","
     rows = spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"')
     find = lambda *keys: next((c for k in keys for c in rows.columns if k in c.lower()), None)
     image, text = next((c for c in rows.columns if "img" in c.lower() or "id" in c.lower()), None), find("text", "anno")
@@ -99,6 +101,29 @@ def located(wanted: DataFrame, files: DataFrame, name: str = "file_name", priori
     return with_first_match(wanted, files.withColumn(name, path_name(F.col("path"))), [name], priority, ["path"])
 
 
+def found_images(wanted: DataFrame, files: DataFrame, upload: str, others: list[str] = (), shared: str = "/data/upload/", location: str = "image") -> DataFrame:
+    """The wanted rows with `found`, the path of the first place of each image that exists, null without one; web addresses are found as they are.
+
+    The places in order: the location itself, its name in the upload folder, its
+    name in each other folder, the location with the shared prefix replaced by
+    the upload folder, any file of that name below the upload folder (the first
+    by path). `files` lists the paths that exist.
+    """
+    name = path_name(F.col(location))
+    at = lambda folder: F.concat(F.lit(folder.rstrip("/") + "/"), name)
+    moved = F.when(F.col(location).startswith(shared), F.replace(F.col(location), F.lit(shared), F.lit(upload.rstrip("/") + "/")))
+    places = F.array(F.col(location), at(upload), *map(at, others), moved)
+    local = F.regexp_replace("path", "^file:/+", "/")
+    listed = files.select(local.alias("__path")).distinct()
+    web = F.col(location).rlike("^https?://")
+    keyed = wanted.select(location).distinct().where(~web)
+    tried = keyed.select(location, F.posexplode(places).alias("__no", "__path")).join(listed, "__path")
+    below = listed.where(F.col("__path").startswith(upload.rstrip("/") + "/")).groupBy(path_name(F.col("__path")).alias("__name")).agg(F.min("__path").alias("__path"))
+    last = keyed.withColumn("__name", name).join(below, "__name").select(location, F.lit(len(others) + 3).alias("__no"), "__path")
+    best = tried.select(location, "__no", "__path").unionByName(last).groupBy(location).agg(F.min_by("__path", "__no").alias("__found"))
+    return wanted.join(best, location, "left").select(*wanted.columns, F.when(web, F.replace(F.col(location), F.lit("localhost"), F.lit("127.0.0.1"))).otherwise(F.col("__found")).alias("found"))
+
+
 def recognised(files: DataFrame, engine: Callable[[], Callable[[bytes], list[tuple[list[list[float]], str, float]]]]) -> DataFrame:
     """(path, line_no, poly, text, conf) of images by any recognition engine.
 

@@ -48,7 +48,8 @@ def test_tokens(spark):
 def test_paths_and_names(spark):
     paths = ["/data/local-files/?d=C:/Users/x/abc.jpg", "images/abc.jpg", "abc.jpg", "C:\\a\\b.jpg", None]
     assert values(spark, [(p,) for p in paths], "t string", X.path_name(F.col("t"))) == ["abc.jpg", "abc.jpg", "abc.jpg", "b.jpg", None]
-    assert values(spark, [("Big C / Go!",)], "t string", X.slug(F.col("t"))) == ["big_c_go"]
+    names = [("Big C / Go!",), ("7-Eleven",), ("Bách Hóa Xanh",), ("Saigon Co.op (Co.opmart / Co.op Food)",)]
+    assert values(spark, names, "t string", X.slug(F.col("t"))) == ["big_c_go!", "7-eleven", "bách_hóa_xanh", "saigon_coop_coopmart_coop_food"]
 
 
 def test_lists_and_answers(spark):
@@ -155,3 +156,8 @@ def test_templates_maps_and_areas(spark):
     df = spark.createDataFrame([([[0.0, 0.0, 1.0, 1.0], [0.0, 0.0, 3.0, 1.0], [1.0, 1.0, 4.0, 2.0]],)], "b array<array<double>>")
     assert df.select(G.largest_boxes(F.col("b"), 2)).first()[0] == [[0.0, 0.0, 3.0, 1.0], [1.0, 1.0, 4.0, 2.0]]
     assert len(df.select(G.word_rows(F.array(F.lit("w")), F.col("b"), F.array(F.lit("O")))).first()[0]) == 3
+
+
+def test_lists_of_blank_pieces(spark):
+    texts = ["", "  ", "[a, '', \"q\"]", "[x,  , y", "[x,  , y]"]
+    assert values(spark, [(t,) for t in texts], "t string", X.parsed_list(F.col("t"))) == [[], [""], ["a", "", "q"], ["[x,  , y"], ["x", "y"]]

@@ -239,3 +239,23 @@ def test_plugins(spark):
     assert P.extracted(docs, {}, "first").count() == 0
     rows = P.encoded(docs.withColumnRenamed("doc_id", "id"), lambda: lambda w: [1, 2], length=3).orderBy("id").collect()
     assert (rows[0]["token_ids"], rows[0]["word_ids"]) == ([1, 2, 1], [0, 0, 1])
+
+
+def test_places_in_groups_are_counted_by_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(300) if rng.random() < 0.95 else None, k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v long, k long")
+    want = {}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {r[2]: (n + 1, len(own)) for n, r in enumerate(own)}
+    got = {r["k"]: (r["__place"], r["__size"]) for r in A._placed(df, ["g"], ["v", "k"]).collect()}
+    assert got == want
+    texts = df.withColumn("v", F.col("v").cast("string"))
+    assert A._placed(texts, ["g"], ["v", "k"]).where("__place = 1").count() == 3
+
+
+def test_score_tables_are_ordered(spark):
+    df = spark.createDataFrame([("m2", "d1", 50.0), ("m1", "d1", 40.0), ("m1", "d0", 1.0)], "model string, dataset string, f1 double")
+    assert [r[0] + r[1] for r in E.score_table(df).collect()] == ["m1d0", "m1d1", "m2d1"]
+    assert [r[0] + r[1] for r in E.score_table(df, by="f1").collect()] == ["m1d0", "m2d1", "m1d1"]

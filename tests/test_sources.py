@@ -90,3 +90,17 @@ def test_a_report_leaves_no_row_out(spark):
     assert sinks.markdown_report(spark.range(5), "t", most=5).count("\n| ") == 7
     with pytest.raises(ValueError):
         sinks.markdown_report(spark.range(6), "t", most=5)
+
+
+def test_the_delimiter_may_stand_below_the_first_line(spark, tmp_path):
+    (tmp_path / "late.csv").write_text("img_id\n1\n2;x\n")
+    with pytest.raises(ValueError):
+        files.sniffed_csv(spark, f"{tmp_path}/late.csv")  # one column, parted by ";"
+    (tmp_path / "far.csv").write_text("img_id,anno_text\n" + "1,a\n" * 600 + "2,b;c\n")  # beyond the first 2048 characters
+    assert files.sniffed_csv(spark, f"{tmp_path}/far.csv").count() == 601
+
+
+def test_located_takes_the_best_placed_file(spark):
+    wanted = spark.createDataFrame([("a.jpg",), ("b.jpg",)], "file_name string")
+    present = spark.createDataFrame([("x/a.jpg", 2), ("y/a.jpg", 1), ("z/c.jpg", 0)], "path string, priority int")
+    assert sorted(map(tuple, files.located(wanted, present).collect()), key=str) == [("a.jpg", "y/a.jpg"), ("b.jpg", None)]
