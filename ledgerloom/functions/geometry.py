@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import words
 
 
+# Fixed value: how far a fold reaches, as a share of the page.
+FOLD_REACH = 0.08
+
+
 def _whole(c: Column) -> Column:
     """Cut towards zero."""
     return c.cast("long")
@@ -97,8 +104,17 @@ def split_words(text: Column, x1: Column, y1: Column, x2: Column, y2: Column, po
             box = lambda t, i: F.array(_whole(left(i)), _whole(y1), _whole(left(i) + F.length(t) * share), _whole(y2))
         return F.transform(w, lambda t, i: F.struct(t.alias("word"), box(t, i).alias("box")))
 
-    running = lambda w: F.aggregate(w, F.array(F.lit(0)), lambda out, t: F.concat(out, F.array(F.try_element_at(out, F.lit(-1)) + F.length(t))))
-    return _bound(words(text), lambda w: _bound(running(w), lambda ends: placed(w, ends)))
+    parts = words(text)
+    if policy == "equal":
+        return _bound(parts, lambda w: placed(w, w))
+    ends = _running(F.transform(parts, F.length))
+    return _bound(F.struct(parts.alias("w"), ends.alias("e")), lambda both: placed(both["w"], both["e"]))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _running(lengths: pd.Series) -> pd.Series:
+    """Sums of each list's first numbers, of none of them first: Spark has no running sum over a list but by copying it at each step."""
+    return lengths.map(lambda x: np.concatenate([[0], np.cumsum(x)]).astype(np.int32), na_action="ignore")
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -143,7 +159,7 @@ def folded_box(box: Column, folds: list[tuple[bool, float, float, float]], width
         x, y = p[0], p[1]
         for horizontal, at, amplitude, frequency in folds:
             along, size, across = (p[0], width, p[1]) if horizontal else (p[1], height, p[0])
-            sigma = (height if horizontal else width) * 0.08
+            sigma = (height if horizontal else width) * FOLD_REACH
             shift = F.lit(amplitude) * F.sin(F.lit(2 * 3.141592653589793 * frequency) * along / size) * F.exp(-F.abs(across - F.lit(at)) / sigma)
             x, y = (x, y + shift) if horizontal else (x + shift, y)
         return F.array(x, y)

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .text import _literal_list, _sequence_ratio, python_title
+from ledgerloom.operators.labels import BASE_FIELDS, ITEM_FIELDS
+
+from .text import DATE_TIME, MONEY, _literal_list, _sequence_ratio, python_title
+
+
+def _listed(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_ITEM = f"^({'|'.join(ITEM_FIELDS)})"
 
 #: SQL functions: name, parameters, type, body. All are JVM-side.
 SQL_FUNCTIONS = [
     ("blank_to_null", "v STRING", "STRING", "CASE WHEN trim(v) <> '' THEN v END"),
-    ("last_money", "v STRING", "STRING", r"try_element_at(regexp_extract_all(v, r'\d{1,3}(?:[.,]\d{3})*', 0), -1)"),
-    ("date_token", "v STRING", "STRING", r"nullif(regexp_extract(v, r'(\d{2}[/-]\d{2}[/-]\d{4}\s+\d{2}:\d{2}(:\d{2})?|\d{2}:\d{2}\s+\d{2}[/-]\d{2}[/-]\d{4})', 1), '')"),
-    ("canonical_label", "v STRING", "STRING", "CASE WHEN upper(v) IN ('SELLER', 'ADDRESS', 'TIMESTAMP', 'TOTAL_COST') THEN upper(v) WHEN upper(v) RLIKE '^ITEM_(NAME|QTY|PRICE|AMOUNT)' THEN regexp_extract(upper(v), '^ITEM_(NAME|QTY|PRICE|AMOUNT)', 0) ELSE 'OTHER' END"),
+    ("last_money", "v STRING", "STRING", f"try_element_at(regexp_extract_all(v, r'{MONEY}', 0), -1)"),
+    ("date_token", "v STRING", "STRING", f"nullif(regexp_extract(v, r'{DATE_TIME}', 1), '')"),
+    ("canonical_label", "v STRING", "STRING", f"CASE WHEN upper(v) IN ({_listed(BASE_FIELDS)}) THEN upper(v) WHEN upper(v) RLIKE '{_ITEM}' THEN regexp_extract(upper(v), '{_ITEM}', 0) ELSE 'OTHER' END"),
     ("normalized_coordinate", "v DOUBLE, size DOUBLE", "BIGINT", "greatest(0, least(1000, CAST(1000 * (v / size) AS BIGINT)))"),
     ("edit_similarity", "a STRING, b STRING", "DOUBLE", "1.0D - levenshtein(replace(lower(coalesce(a, '')), ' ', ''), replace(lower(coalesce(b, '')), ' ', '')) / greatest(1, length(replace(coalesce(a, ''), ' ', '')), length(replace(coalesce(b, ''), ' ', '')))"),
     ("file_name_of", "v STRING", "STRING", r"substring_index(translate(CASE WHEN contains(v, '/data/local-files/?d=') THEN substring_index(v, '?d=', -1) ELSE v END, '\\', '/'), '/', -1)"),

@@ -48,35 +48,31 @@ def _gathered(rows: DataFrame, keys: list[str], place: str, word: str) -> DataFr
 
 
 def spans_flushing(tags: DataFrame, key: str = "doc_id", place: str = "word_no", word: str = "word", tag: str = "tag", fields: list[str] = FIELDS) -> DataFrame:
-    """(key, position, label, text): a fold with a state of its own.
+    """(key, position, label, text): entities as a decoder writes them out that keeps one open.
 
-    A beginning writes the open entity out; one of an unknown field leaves it
-    open, so it is written again by whatever closes it. Any tag that doesn't go
-    on with the open entity closes it.
+    A beginning of a known field writes the open entity out and opens one; one
+    of an unknown field writes the open entity out too, but leaves it open, so it
+    is written again by whatever closes it. Any tag that doesn't go on with the
+    open entity closes it.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(tag).alias("t"), F.col(word).alias("w"))))
-    known = F.array(*map(F.lit, fields))
-    state = "struct<label:string,words:array<string>,out:array<struct<label:string,text:string>>>"
-    empty = F.from_json(F.lit('{"label":null,"words":[],"out":[]}'), state)
-
-    def flushed(acc: Column) -> Column:
-        entry = F.struct(acc["label"].alias("label"), F.array_join(acc["words"], " ").alias("text"))
-        return F.when(F.size(acc["words"]) > 0, F.concat(acc["out"], F.array(entry))).otherwise(acc["out"])
-
-    def made(label: Column, words: Column, out: Column) -> Column:
-        return F.struct(label.alias("label"), words.alias("words"), out.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        label = F.substr(x["t"], F.lit(3))
-        begins, goes_on = x["t"].startswith("B-"), x["t"].startswith("I-") & (label == acc["label"])
-        fresh = made(label, F.array(x["w"]), flushed(acc))
-        unknown = made(acc["label"], acc["words"], flushed(acc))
-        longer = made(acc["label"], F.concat(acc["words"], F.array(x["w"])), acc["out"])
-        closed = made(F.lit(None).cast("string"), F.array().cast("array<string>"), flushed(acc))
-        return F.when(begins & F.array_contains(known, label), fresh).when(begins, unknown).when(goes_on, longer).otherwise(closed)
-
-    folded = tags.groupBy(key).agg(items.alias("__items")).select(key, F.aggregate("__items", empty, step, flushed).alias("__out"))
-    return folded.select(key, F.posexplode("__out").alias("position", "e")).select(key, "position", "e.label", "e.text")
+    label, t = F.substr(F.col(tag), F.lit(3)), F.col(tag)
+    begins = t.startswith("B-")
+    opens = F.coalesce(begins & label.isin(list(fields)), F.lit(False))
+    in_text, in_segment = Window.partitionBy(key).orderBy(place), Window.partitionBy(key, "__segment").orderBy(place)
+    # from one opening to the next; what stands before the first has no open entity
+    rows = tags.withColumns({"__opens": opens, "__again": F.coalesce(begins, F.lit(False)) & ~opens}).withColumn("__segment", F.sum(F.col("__opens").cast("int")).over(in_text)).where("__segment > 0")
+    rows = rows.withColumn("label", F.first(label).over(in_segment))
+    longer = F.coalesce(t.startswith("I-") & (label == F.col("label")), F.lit(False))
+    rows = rows.withColumn("__word", F.col("__opens") | longer)
+    closed = F.sum((~F.col("__word") & ~F.col("__again")).cast("int")).over(in_segment)
+    rows = rows.withColumns({"__closed": closed, "__n": F.sum(F.col("__word").cast("int")).over(in_segment)}).where("__closed = 0")
+    of = lambda where, value: F.array_sort(F.collect_list(F.when(F.col(where), F.struct(F.col(place).alias("p"), value.alias("v")))))
+    held = rows.groupBy(key, "__segment", "label").agg(of("__word", F.col(word)).alias("__words"), of("__again", F.col("__n")).alias("__again"))
+    words, again = (F.transform(c, lambda x: x["v"]) for c in ("__words", "__again"))
+    ends = F.concat(again, F.array(F.size("__words").cast("long")))
+    written = held.select(key, "__segment", "label", words.alias("__words"), F.posexplode(ends).alias("__no", "__n"))
+    position = F.row_number().over(Window.partitionBy(key).orderBy("__segment", "__no")) - 1
+    return written.select(key, position.alias("position"), "label", F.array_join(F.slice("__words", F.lit(1), F.col("__n").cast("int")), " ").alias("text"))
 
 
 def joined_fields(spans: DataFrame, key: str = "doc_id", order: str = "start") -> DataFrame:
