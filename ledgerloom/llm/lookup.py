@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A sieve has 16 bits a key or more, up to 2 to the power of MOST_BITS (64 MB) in all; the least is 2 to the power of LEAST_BITS.
-LEAST_BITS, MOST_BITS = 16, 29
+LEAST_BITS, MOST_BITS = 20, 29
 
 
 class Lookup:
