@@ -295,3 +295,21 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
         width = width * F.sqrt(F.greatest(F.lit(1.0), STEADY_TOKENS / F.greatest(tokens, F.lit(1))))
         outside = outside | F.coalesce((F.col(m) < low - width) | (F.col(m) > high + width), F.lit(False))
     return rows.select(*columns, outside.alias("band_failed"), (~F.col("base_failed") & ~outside).alias("kept"))
+
+
+BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+#: The base counts, which hang on no vocabulary.
+BASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(range(len(l))) AS i, unnest(l) AS word FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS l FROM d)),
+g AS (SELECT r, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o
+        || ' ' || lead(word, 5) OVER o || ' ' || lead(word, 6) OVER o || ' ' || lead(word, 7) OVER o AS run FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, run) AS n FROM g WHERE run IS NOT NULL) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT k) AS n_repeat FROM (SELECT r, unnest(range(i, i + 8)) AS k FROM twice) GROUP BY 1),
+n AS (SELECT r, count(*) AS n_words FROM w GROUP BY 1),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+a AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words
+      FROM d JOIN l USING (r) LEFT JOIN n USING (r) LEFT JOIN rep USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a
+"""

@@ -254,3 +254,16 @@ def scored(docs: DataFrame, train: str, id_col: str = "doc_id", text: str = "tex
         (F.col("__base") + zero("base2") - F.col("__tokens") * float(np.log10(n_train + n_kinds + 1))).alias("base_score"),
         (F.col("__score") + zero("score2")).alias("score"),
     )
+
+
+#: The unigram base, its score to three decimals. CRC-32 goes bit by bit: each byte is added before the first of its eight shifts.
+BASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text,
+    list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))) AS bytes FROM documents),
+f AS (SELECT r, doc_id, text, xor(list_reduce(bytes, lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))), 4294967295) % 7 = 2 AS held_out FROM d),
+t AS (SELECT r, held_out, unnest(list_append(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), ' ')) AS token FROM f),
+c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c),
+s AS (SELECT r, count(*)::BIGINT AS n_tokens, count(c)::BIGINT AS n_known, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 3) AS base_score FROM t LEFT JOIN c USING (token), n GROUP BY 1)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, base_score FROM s JOIN f USING (r), n
+"""

@@ -63,11 +63,23 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def ppm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op5's rows SQL can express."""
+    rows = op5_ppm(spark, sf_dir)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def fertility_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op10's rows SQL can express."""
+    return op10_fertility(spark, sf_dir).select("doc_id", *fertility.BASE_COLUMNS)
+
+
 def queries() -> dict:
-    made = (op1_sharding, op2_decontamination, op3_simhash, op4_substring, op5_ppm, op6_toxicity, op7_language, op8_importance, op9_packing, op10_fertility)
+    made = (op1_sharding, op2_decontamination, op3_simhash, op4_substring, op5_ppm, op6_toxicity, op7_language, op8_importance, op9_packing, op10_fertility, ppm_base, fertility_base)
     return {f.__name__: f for f in made} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     made = {"op1_sharding": sharding.OP1_SQL.format(limit=SHARD_BYTES), "op2_decontamination": decontamination.OP2_SQL}
+    made |= {"ppm_base": ppm.BASE_SQL, "fertility_base": fertility.BASE_SQL}
     return made | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
