@@ -199,6 +199,18 @@ def reading_order(t: Tables) -> DataFrame:
     return S.reading_order(boxes.withColumn("y2", c("y1") + 16)).select("doc_id", "line_no", "place", "x1", "cy")
 
 
+# one box of each document a step; r holds the line so far
+SQL["reading_order"] = with_views(
+    """, b AS (SELECT doc_id, line_no AS pos, (x1 + line_no % 2 * 900)::DOUBLE AS x1, (line_no // 2 * 20 + (line_no * 7 + doc_id) % 13 + 8)::DOUBLE AS cy FROM v_line_boxes),
+    c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cy, pos) AS i FROM b),
+    r AS (SELECT *, 0 AS line_no, cy AS total, 1 AS n FROM c WHERE i = 1 UNION ALL
+      SELECT doc_id, pos, x1, cy, i, CASE WHEN same THEN line_no ELSE line_no + 1 END, CASE WHEN same THEN total + cy ELSE cy END, CASE WHEN same THEN n + 1 ELSE 1 END
+      FROM (SELECT c.*, line_no, total, n, abs(c.cy - total / n) <= 16 * 0.5 AS same FROM r JOIN c ON c.doc_id = r.doc_id AND c.i = r.i + 1))
+    SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY x1, cy, pos) - 1 AS place, x1, cy FROM r""",
+    "v_line_boxes",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query("SELECT doc_id, line_no, greatest(0, trunc(px1))::BIGINT AS a, greatest(0, trunc(py1))::BIGINT AS b, least(w - 1, trunc(px2))::BIGINT AS c, least(h - 1, trunc(py2))::BIGINT AS d FROM (SELECT doc_id, line_no, w, h, "
        "0.9::DOUBLE * x1 + 0.05::DOUBLE * y1 + 3 AS px1, 0.02::DOUBLE * x1 + 0.95::DOUBLE * y1 - 4 AS py1, 0.9::DOUBLE * x2 + 0.05::DOUBLE * y2 + 3 AS px2, 0.02::DOUBLE * x2 + 0.95::DOUBLE * y2 - 4 AS py2 FROM v_line_boxes)", "v_line_boxes")
 def perspective_box(t: Tables) -> DataFrame:
@@ -429,16 +441,37 @@ def bio_decode_d(t: Tables) -> DataFrame:
 SQL["bio_decode_d"] = _with("v_tags", _A_SPANS, f"SELECT doc_id, g.label, coalesce(text, '') AS text FROM (SELECT DISTINCT doc_id, unnest([{_sql_list(S.FORM_FIELDS)}]) AS label FROM v_tags) g LEFT JOIN (SELECT doc_id, label, trim(string_agg(text, ' ' ORDER BY start)) AS text FROM spans GROUP BY 1, 2) s USING (doc_id, label)")
 
 
+_C_WRITTEN = f""", c0 AS (SELECT doc_id, word_no, word, tag, substr(tag, 3) AS field, tag LIKE 'B-%' AND substr(tag, 3) IN ({_sql_list(L.FIELDS)}) AS opens FROM v_tags),
+c1 AS (SELECT *, tag LIKE 'B-%' AND NOT opens AS again, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY word_no) AS entity FROM c0),
+c2 AS (SELECT *, first_value(field) OVER (PARTITION BY doc_id, entity ORDER BY word_no) AS label FROM c1 WHERE entity > 0),
+c3 AS (SELECT *, min(CASE WHEN NOT again AND NOT opens AND (tag = 'O' OR field <> label) THEN word_no END) OVER (PARTITION BY doc_id, entity) AS closed FROM c2),
+held AS (SELECT * FROM c3 WHERE closed IS NULL OR word_no < closed),
+writes AS (SELECT doc_id, entity, word_no AS until FROM held WHERE again UNION ALL SELECT DISTINCT doc_id, entity, 9223372036854775807 FROM held),
+spans AS (SELECT h.doc_id, h.label, entity, until, string_agg(word, ' ' ORDER BY word_no) AS text FROM writes JOIN held h USING (doc_id, entity) WHERE word_no < until AND NOT again GROUP BY ALL),
+found AS (SELECT doc_id, label, trim(string_agg(text, ' ' ORDER BY entity, until)) AS text FROM spans GROUP BY 1, 2)
+"""
+
+
+def _every_field_sql(fields: list[str]) -> str:
+    return f"SELECT doc_id, label, nullif(text, '') AS text FROM (SELECT DISTINCT doc_id, unnest([{_sql_list(fields)}]) AS label FROM v_tags) LEFT JOIN found USING (doc_id, label)"
+
+
 @query()
 def bio_decode_c(t: Tables) -> DataFrame:
     return S.decoded(t.tags(), "C")
 
 
+SQL["bio_decode_c"] = _with("v_tags", _C_WRITTEN, _every_field_sql(L.FIELDS))
+
+
 @query()
 def bio_decode_c4(t: Tables) -> DataFrame:
     return S.decoded(t.tags(), "C4")
 
 
+SQL["bio_decode_c4"] = _with("v_tags", _C_WRITTEN, _every_field_sql(L.FIELDS[:4]))
+
+
 def _tokens(t: Tables) -> DataFrame:
     """Two tokens a word; of some words the first is outside."""
     rows = t.tags().select("doc_id", "word_no", "tag", F.explode(F.array(F.lit(0), F.lit(1))).alias("token_no"))
