@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fertility, importance, langid, packing, pipeline, ppm, sharding, simhash, substring, toxicity
+from . import decontamination, fertility, importance, langid, merkle, packing, pipeline, ppm, sharding, simhash, substring, toxicity
 from .tables import table
 
 #: Small enough that even the small tables are split; their SQL row shows it.
@@ -63,6 +65,18 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
+    claimed = merkle.leaf(*(lower if c == "text" else F.col(c) for c in columns))
+    found = merkle.manifest(docs.withColumn("claimed", claimed), columns, carry=("claimed",))
+    root = merkle.folded(F.col("claimed"), F.col("proof"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), root.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root")
+    )
+
+
 def ppm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op5's rows SQL can express."""
     rows = op5_ppm(spark, sf_dir)
@@ -75,11 +89,11 @@ def fertility_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = (op1_sharding, op2_decontamination, op3_simhash, op4_substring, op5_ppm, op6_toxicity, op7_language, op8_importance, op9_packing, op10_fertility, ppm_base, fertility_base)
+    made = (op1_sharding, op2_decontamination, op3_simhash, op4_substring, op5_ppm, op6_toxicity, op7_language, op8_importance, op9_packing, op10_fertility, op11_merkle, ppm_base, fertility_base)
     return {f.__name__: f for f in made} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    made = {"op1_sharding": sharding.OP1_SQL.format(limit=SHARD_BYTES), "op2_decontamination": decontamination.OP2_SQL}
+    made = {"op1_sharding": sharding.OP1_SQL.format(limit=SHARD_BYTES), "op2_decontamination": decontamination.OP2_SQL, "op11_merkle": merkle.OP11_SQL}
     made |= {"ppm_base": ppm.BASE_SQL, "fertility_base": fertility.BASE_SQL}
     return made | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
