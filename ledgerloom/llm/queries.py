@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fertility, importance, langid, merkle, packing, pipeline, ppm, sharding, simhash, substring, toxicity
+from . import collocations, decontamination, fertility, importance, langid, linkgraph, merkle, packing, pipeline, ppm, sharding, simhash, substring, toxicity
 from .tables import table
 
 #: Small enough that even the small tables are split; their SQL row shows it.
@@ -77,6 +77,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judged(table(spark, sf_dir, "pages"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def ppm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op5's rows SQL can express."""
     rows = op5_ppm(spark, sf_dir)
@@ -89,11 +97,12 @@ def fertility_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = (op1_sharding, op2_decontamination, op3_simhash, op4_substring, op5_ppm, op6_toxicity, op7_language, op8_importance, op9_packing, op10_fertility, op11_merkle, ppm_base, fertility_base)
+    made = (op1_sharding, op2_decontamination, op3_simhash, op4_substring, op5_ppm, op6_toxicity, op7_language, op8_importance, op9_packing, op10_fertility, op11_merkle, op12_linkgraph, op13_collocations, ppm_base, fertility_base)
     return {f.__name__: f for f in made} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     made = {"op1_sharding": sharding.OP1_SQL.format(limit=SHARD_BYTES), "op2_decontamination": decontamination.OP2_SQL, "op11_merkle": merkle.OP11_SQL}
+    made |= {"op12_linkgraph": linkgraph.OP12_SQL, "op13_collocations": collocations.OP13_SQL}
     made |= {"ppm_base": ppm.BASE_SQL, "fertility_base": fertility.BASE_SQL}
     return made | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
