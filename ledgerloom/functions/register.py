@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from ledgerloom.operators.labels import BASE_FIELDS, ITEM_FIELDS
 
-from .text import DATE_TIME, MONEY, _literal_list, _sequence_ratio, python_title
+from .text import DATE_TIME, MONEY, WHITE, _literal_list, _sequence_ratio, python_title
 
 
 def _listed(values: list[str]) -> str:
@@ -17,7 +17,7 @@ _ITEM = f"^({'|'.join(ITEM_FIELDS)})"
 
 #: SQL functions: name, parameters, type, body. All are JVM-side.
 SQL_FUNCTIONS = [
-    ("blank_to_null", "v STRING", "STRING", "CASE WHEN trim(v) <> '' THEN v END"),
+    ("blank_to_null", "v STRING", "STRING", "CASE WHEN btrim(v, '" + WHITE + "') <> '' THEN v END"),
     ("last_money", "v STRING", "STRING", f"try_element_at(regexp_extract_all(v, r'{MONEY}', 0), -1)"),
     ("date_token", "v STRING", "STRING", f"nullif(regexp_extract(v, r'{DATE_TIME}', 1), '')"),
     ("canonical_label", "v STRING", "STRING", f"CASE WHEN upper(v) IN ({_listed(BASE_FIELDS)}) THEN upper(v) WHEN upper(v) RLIKE '{_ITEM}' THEN regexp_extract(upper(v), '{_ITEM}', 0) ELSE 'OTHER' END"),

@@ -14,11 +14,18 @@ from pyspark.sql import types as T
 DATE_TIME = r"(\d{2}[/-]\d{2}[/-]\d{4}\s+\d{2}:\d{2}(:\d{2})?|\d{2}:\d{2}\s+\d{2}[/-]\d{2}[/-]\d{4})"
 MONEY = r"\d{1,3}(?:[.,]\d{3})*"
 ADDRESS_PREFIX = r"^(đ/c|địa chỉ)[:\s\-]*"
+# Fixed value: the characters that count as white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """The text without white space at its ends, be it blanks, line ends or others."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def blank_to_null(c: Column) -> Column:
-    """Empty and blank strings become null, the single form of an absent value."""
-    return F.when(F.trim(c) != "", c)
+    """Texts of white space only become null, the single form of an absent value."""
+    return F.when(stripped(c) != "", c)
 
 
 def contains_any(c: Column, needles: list[str]) -> Column:
@@ -79,10 +86,10 @@ def numbered_name(prefix: Column, split: Column, number: Column) -> Column:
 
 
 def without_fence(c: Column) -> Column:
-    """The body of a fenced answer, trimmed; other text only trimmed."""
-    trimmed = F.trim(c)
+    """The body of a fenced answer without white space at its ends; other text only without that."""
+    trimmed = stripped(c)
     body = F.regexp_replace(F.regexp_replace(trimmed, r"^```(json)?", ""), r"```$", "")
-    return F.when(trimmed.startswith("```"), F.trim(body)).otherwise(trimmed)
+    return F.when(trimmed.startswith("```"), stripped(body)).otherwise(trimmed)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -99,11 +106,11 @@ def _literal_list(s: pd.Series) -> pd.Series:
 
 def parsed_list(c: Column) -> Column:
     """A list written as text: as JSON, else as a Python literal, else cut at commas; other text is a list of one."""
-    trimmed = F.trim(c)
+    trimmed = stripped(c)
     listed = trimmed.startswith("[") & trimmed.endswith("]")
     from_json = F.from_json(F.when(listed, trimmed), "array<string>", {"mode": "PERMISSIVE"})
-    pieces = F.filter(F.split(F.regexp_replace(F.regexp_replace(trimmed, r"^\[", ""), r"\]$", ""), ","), lambda p: F.trim(p) != "")
-    simple = F.transform(pieces, lambda p: F.regexp_replace(F.trim(p), "^['\"]+|['\"]+$", ""))
+    pieces = F.filter(F.split(F.regexp_replace(F.regexp_replace(trimmed, r"^\[", ""), r"\]$", ""), ","), lambda p: stripped(p) != "")
+    simple = F.transform(pieces, lambda p: F.regexp_replace(stripped(p), "^['\"]+|['\"]+$", ""))
     literal = _literal_list(F.when(listed & from_json.isNull(), trimmed))
     return F.when(c.isNull() | (c == ""), F.array().cast("array<string>")).when(listed, F.coalesce(from_json, literal, simple)).otherwise(F.array(trimmed))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import path_name
+from ledgerloom.functions.text import path_name, stripped
 
 
 def labelled_regions(results: DataFrame, key: str = "task_id", region: str = "region_id", place: str = "place") -> DataFrame:
@@ -176,4 +176,4 @@ def joined_texts(items: DataFrame, keys: list[str], place: str = "place", text:
         others = [k for k in keys if k != key]
         grid = items.select(*others).distinct().withColumn(key, F.explode(F.array(*map(F.lit, values))))
         out = grid.join(out, keys, "left").select(*keys, "texts")
-    return out.withColumn("text", F.nullif(F.trim(F.array_join("texts", " ")), F.lit("")))
+    return out.withColumn("text", F.nullif(stripped(F.array_join("texts", " ")), F.lit("")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import stripped
+
 from .labels import FIELDS
 
 # The vocabulary of the reset-on-unknown decoder.
@@ -78,7 +80,7 @@ def spans_flushing(tags: DataFrame, key: str = "doc_id", place: str = "word_no",
 def joined_fields(spans: DataFrame, key: str = "doc_id", order: str = "start") -> DataFrame:
     """(key, label, text): the entities of each field joined in order."""
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("p"), F.col("text").alias("t"))))
-    return spans.groupBy(key, "label").agg(F.trim(F.array_join(F.transform(items, lambda x: x["t"]), " ")).alias("text"))
+    return spans.groupBy(key, "label").agg(stripped(F.array_join(F.transform(items, lambda x: x["t"]), " ")).alias("text"))
 
 
 def decoded(tags: DataFrame, variant: str = "B", key: str = "doc_id", place: str = "word_no", word: str = "word", tag: str = "tag", fields: list[str] | None = None) -> DataFrame:
