@@ -18,6 +18,9 @@ from ledgerloom.operators import rules as R
 from ledgerloom.operators import sequence as S
 from ledgerloom.sources import files
 from ledgerloom.sources.adapters import Tables, with_views
+from ledgerloom.sources.places import shared_folder
+from ledgerloom.streaming import ingest
+from ledgerloom.streaming.attempts import Attempts, ServiceError
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -763,8 +766,8 @@ def list_parse(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, trim(props) AS body FROM events")
 def fence_strip(t: Tables) -> DataFrame:
-    fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).otherwise(F.concat(F.lit(" "), F.col("props")))
-    return t.events.select("event_id", F.trim(F.regexp_replace(X.without_fence(fenced), r"^\n|\n$", "")).alias("body"))
+    fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("\n\t```json\n"), F.col("props"), F.lit("\n```\n"))).otherwise(F.concat(F.lit(" "), F.col("props")))
+    return t.events.select("event_id", X.without_fence(fenced).alias("body"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN (props->>'$.k')::INT ELSE -1 END AS k FROM events")
@@ -801,19 +804,43 @@ def numbered_names(t: Tables) -> DataFrame:
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(t: Tables) -> DataFrame:
     """Each user's first event type occurrences, by a file stream run to its end."""
-    import tempfile
-
-    from ledgerloom.streaming.ingest import once_each
-
-    spark = t.spark
-    source = t.events
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    name = "stream_dedup_" + str(abs(hash(t.folder)))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerloom-")
-    place = f"{shared.rstrip('/')}/{name}-{spark.sparkContext.startTime}"
-    run = once_each(stream.select("user_id", "event_type"), ["user_id", "event_type"]).writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/rows").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema("user_id long, event_type string").parquet(f"{place}/rows")
+    return _streamed(t, lambda events: ingest.once_each(events.select("user_id", "event_type"), ["user_id", "event_type"]))
+
+
+def _streamed(t: Tables, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of the events gives once it has taken all there is."""
+    stream = change(t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder))
+    place = shared_folder(t.spark)
+    ingest.started(stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").option("path", f"{place}/rows"), t.spark).awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{place}/rows")
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 'failed' END AS error FROM events QUALIFY event_id <= coalesce(min(event_id) FILTER (event_type <> 'error') OVER (PARTITION BY user_id), event_id)")
+def stream_until_done(t: Tables) -> DataFrame:
+    """The events of each user up to the first that isn't an error, as a stream takes them."""
+    error = F.when(F.col("event_type") == "error", "failed").alias("error")
+    return _streamed(t, lambda events: ingest.until_done(events.select("event_id", "user_id", error), ["user_id"], ["event_id"]))
+
+
+def _flaky():
+    """A service that fails as often as the item's number says, with one of three codes."""
+
+    def call(item: dict) -> str:
+        if item["attempt"] <= item["event_id"] % 5:
+            raise ServiceError(("503", "429", "500")[item["event_id"] % 3], "busy")
+        return f"{item['event_type']} at {item['attempt']}"
+
+    return call
+
+
+@query("""SELECT event_id, n AS attempt, CASE event_id % 3 WHEN 0 THEN pow(2, n - 1) - 1 WHEN 1 THEN 15 * (n - 1) ELSE 5 * (n - 1) END::DOUBLE AS at, CASE WHEN n > event_id % 5 THEN event_type || ' at ' || n END AS answer,
+       CASE WHEN n <= event_id % 5 THEN ['503', '429', '500'][event_id % 3 + 1] END AS code FROM (SELECT event_id, event_type, unnest(range(1, least(event_id % 5 + 1, 4) + 1)) AS n FROM events)""")
+def retried_calls(t: Tables) -> DataFrame:
+    """All attempts of calls that fail up to four times, four at most, each at its time by a clock that only rests move on."""
+    clock = [0.0]
+    calls = Attempts(t.spark, shared_folder(t.spark), ["event_id"], _flaky, rate=None, most=4, now=lambda: clock[0])
+    calls.until_done(t.events.select("event_id", "event_type"), sleep=lambda s: clock.__setitem__(0, clock[0] + s))
+    return calls.log().select("event_id", F.col("attempt").cast("long").alias("attempt"), "at", "answer", "code")
 
 
 # --- smaller operations

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import path_name
+from ledgerloom.functions.text import path_name, stripped
 
 from . import schemas
 
@@ -65,7 +65,7 @@ def sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def list_file(spark: SparkSession, path: str) -> DataFrame:
     """(value): the lines of a list, trimmed, without blank ones."""
-    return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
+    return spark.read.text(path).select(stripped(F.col("value")).alias("value")).where("value <> ''")
 
 
 def annotation_export(spark: SparkSession, path: str) -> DataFrame:
