@@ -16,7 +16,7 @@ from ledgerloom.operators import invoice as I
 from ledgerloom.operators import labels as L
 from ledgerloom.operators import rules as R
 from ledgerloom.operators import sequence as S
-from ledgerloom.sources import files
+from ledgerloom.sources import dom, files
 from ledgerloom.sources.adapters import Tables, with_views
 from ledgerloom.sources.places import shared_folder
 from ledgerloom.streaming import ingest
@@ -778,7 +778,18 @@ def strict_json(t: Tables) -> DataFrame:
 
 @query(r"SELECT page_id, unnest(range(len(l))) AS place, lower(unnest(l)) AS label, trim(regexp_replace(regexp_replace(unnest(x), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM (SELECT page_id, regexp_extract_all(html, '(?is)<(h1|p)\b[^>]*>(.*?)</(?:h1|p)>', 1) AS l, regexp_extract_all(html, '(?is)<(h1|p)\b[^>]*>(.*?)</(?:h1|p)>', 2) AS x FROM pages)")
 def html_fields(t: Tables) -> DataFrame:
-    return files.page_elements(t.pages, ["h1", "p"])
+    return files.flat_elements(t.pages, ["h1", "p"])
+
+
+_SEEN = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\r\f\x{00A0}]+', ' ', 'g'))"""
+
+
+@query(rf"""SELECT page_id, generate_subscripts(l, 1) - 1 AS place, lower(unnest(l)) AS tag, nullif(regexp_extract(unnest(a), 'href="([^"]*)"', 1), '') AS href, {_SEEN.replace('(x,', '(unnest(x),')} AS text
+FROM (SELECT page_id, regexp_extract_all(html, p, 1) AS l, regexp_extract_all(html, p, 2) AS a, regexp_extract_all(html, p, 3) AS x FROM pages, (SELECT '(?is)<(title|h1|a)\b([^>]*)>(.*?)</(?:title|h1|a)>' AS p))""")
+def page_links(t: Tables) -> DataFrame:
+    """Titles, headings and links of the pages."""
+    found = dom.elements(t.pages, ("title", "h1", "a"))
+    return found.select("page_id", "place", "tag", F.try_element_at("attributes", F.lit("href")).alias("href"), "text")
 
 
 @query("SELECT page_id, string_split(url, '/')[-1] AS name FROM pages")

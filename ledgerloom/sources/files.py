@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import path_name, stripped
 
-from . import schemas
+from . import dom, schemas
 
 #: Characters of a delimited file that tell its delimiter.
 HEAD = 2048
@@ -147,19 +147,24 @@ def recognised(files: DataFrame, engine: Callable[[], Callable[[bytes], list[tup
     return files.select("path", "content").mapInPandas(run, schemas.OCR_LINE)
 
 
-# How generated pages mark a field.
-FIELD_ELEMENT = r"""(?is)<(\w+)[^>]*class="[^"]*\bkie-field\b[^"]*"[^>]*data-label="([^"]*)"[^>]*>(.*?)</\1>"""
+# How generated pages mark a field, and where they name it.
+FIELD_CLASS, FIELD_LABEL = "kie-field", "data-label"
 
 
-def page_fields(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, place, label, text) of the marked fields of web pages: inner tags removed, blanks brought together."""
-    at = lambda group: F.regexp_extract_all(html, F.lit(FIELD_ELEMENT), F.lit(group))
-    rows = pages.select(key, F.posexplode(F.arrays_zip(at(2).alias("label"), at(3).alias("text"))).alias("place", "f"))
-    return rows.select(key, "place", "f.label", F.trim(F.regexp_replace(F.regexp_replace("f.text", "<[^>]*>", " "), r"\s+", " ")).alias("text")).where("text <> ''")
+def page_fields(pages: DataFrame, key: str = "page_id", html: str = "html", blank: bool = False) -> DataFrame:
+    """(key, place, label, text) of the marked fields of web pages; a field inside another is in both. Fields without text only if `blank`."""
+    rows = dom.elements(pages, css_class=FIELD_CLASS, key=key, html=html)
+    rows = rows.select(key, "place", F.try_element_at("attributes", F.lit(FIELD_LABEL)).alias("label"), "text")
+    return rows if blank else rows.where("text <> ''")
 
 
 def page_elements(pages: DataFrame, tags: list[str], key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, place, label, text) of the elements with one of the tags; the label is the tag."""
+    return dom.elements(pages, tuple(tags), key=key, html=html).select(key, "place", F.col("tag").alias("label"), "text")
+
+
+def flat_elements(pages: DataFrame, tags: list[str], key: str = "page_id", html: str = "html") -> DataFrame:
+    """The same by a pattern on the JVM, for pages whose elements are closed and hold none of their kind: entities stay, inner tags become blanks."""
     names = "|".join(tags)
     pattern = F.lit(rf"(?is)<({names})\b[^>]*>(.*?)</(?:{names})>")
     rows = pages.select(key, F.posexplode(F.arrays_zip(F.regexp_extract_all(html, pattern, F.lit(1)).alias("label"), F.regexp_extract_all(html, pattern, F.lit(2)).alias("text"))).alias("place", "f"))
