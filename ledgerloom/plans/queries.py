@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import geometry as G
 from ledgerloom.functions import money as M
+from ledgerloom.functions import templates
 from ledgerloom.functions import text as X
 from ledgerloom.operators import annotations as A
 from ledgerloom.operators import evaluate as E
@@ -957,6 +958,25 @@ def template_render(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", html.alias("html"))
 
 
+_RECEIPT = """<h1>{{ customer[0:12] }}</h1>
+<ul>{% for item in items %}<li>{{ loop.index }}. No {{ item.no }} x{{item.qty}}: {{ "{:,.0f}".format(item.price) }}{% if item.rate and item.rate > 0 %} (-{{ item.rate }}%){% else %} net{% endif %}</li>{% if not loop.last %}, {% endif %}{% endfor %}</ul>
+{# the rest #}{{ day.split(' ')[1] if ' ' in day else 'none' }}{% if priority == '1-URGENT' or missing %} !{% endif %}"""
+
+
+@query(
+    """SELECT o_orderkey, '<h1>' || left('Customer ' || o_custkey, 12) || '</h1>' || chr(10) || '<ul>' || coalesce(i.html, '') || '</ul>' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%H:%M') ELSE 'none' END || CASE WHEN o_orderpriority = '1-URGENT' THEN ' !' ELSE '' END AS html
+    FROM orders LEFT JOIN (SELECT invoice_no, string_agg('<li>' || k || '. No ' || no || ' x' || qty || ': ' || format('{:,}', price) || CASE WHEN discount_rate > 0 THEN ' (-' || discount_rate || '%)' ELSE ' net' END || '</li>', ', ' ORDER BY k) AS html
+      FROM (SELECT *, row_number() OVER (PARTITION BY invoice_no ORDER BY no, qty, price, discount_rate) AS k FROM (SELECT DISTINCT invoice_no, no, qty, price, discount_rate FROM v_items)) GROUP BY 1) i ON i.invoice_no = o_orderkey""",
+    "v_items",
+)
+def template_receipts(t: Tables) -> DataFrame:
+    """A page for each order, with a loop over its items."""
+    items = t.invoice_items().groupBy(F.col("invoice_no").alias("o_orderkey")).agg(F.array_sort(F.collect_set(F.struct("no", "qty", "price", F.col("discount_rate").alias("rate")))).alias("items"))
+    day = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy HH:mm")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    rows = t.orders.select("o_orderkey", F.concat(F.lit("Customer "), "o_custkey").alias("customer"), day.alias("day"), F.col("o_orderpriority").alias("priority")).join(items, "o_orderkey", "left")
+    return rows.select("o_orderkey", templates.compiled(_RECEIPT, rows, {"format_price": lambda c: F.format_number(c, 0)}).alias("html"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS found FROM documents")
 def map_lookup(t: Tables) -> DataFrame:
     name = F.concat(F.lit("img_"), F.col("doc_id"), F.lit(".jpg"))
