@@ -14,6 +14,7 @@ from ledgerloom.functions import text as X
 from ledgerloom.operators import annotations as A
 from ledgerloom.operators import evaluate as E
 from ledgerloom.operators import invoice as I
+from ledgerloom.operators import keywords as K
 from ledgerloom.operators import labels as L
 from ledgerloom.operators import rules as R
 from ledgerloom.operators import sequence as S
@@ -317,6 +318,27 @@ def chain_stats(t: Tables) -> DataFrame:
     return R.chain_statistics(_stores(t))
 
 
+@query(_classify_sql(18), "v_receipt_lines")
+def line_classify_table(t: Tables) -> DataFrame:
+    """The same labels by rules that are rows."""
+    text = F.when(F.col("line_no") == 0, F.concat("text", F.lit(" coffee"))).otherwise(F.col("text"))
+    lines = t.receipt_lines().select("doc_id", "line_no", text.alias("text"), (F.col("line_no") * 9).alias("place"))
+    return K.classified(lines, K.rule_table(t.spark, K.line_rules(18)), place="place", default="OTHER").select("doc_id", "line_no", "label")
+
+
+@query(SQL["chain_classify"])
+def chain_classify_table(t: Tables) -> DataFrame:
+    return K.classified(_stores(t).drop("chain"), K.rule_table(t.spark, K.chain_rules()), text="store", default=R.UNMATCHED, label="chain").drop("labels")
+
+
+@query("SELECT l.doc_id, l.line_no, arg_min(c_mktsegment, c_custkey) AS label, count(*) AS customers FROM v_receipt_lines l JOIN customer ON contains(upper(l.text), upper(c_name)) WHERE l.line_no = 0 GROUP BY 1, 2", "v_receipt_lines")
+def keyword_rules(t: Tables) -> DataFrame:
+    """Receipts' first lines by rules from a table, a keyword for each customer."""
+    table = t.customer.select(F.col("c_custkey").cast("int").alias("rule_no"), F.concat("c_mktsegment", F.lit("/"), "c_custkey").alias("label"), F.col("c_name").alias("keyword"), F.lit(None).cast("double").alias("under"), F.lit(None).cast("string").alias("pattern"))
+    found = K.classified(t.receipt_lines().where("line_no = 0"), table).where("size(labels) > 0")
+    return found.select("doc_id", "line_no", F.substring_index("label", "/", 1).alias("label"), F.size("labels").cast("long").alias("customers"))
+
+
 _LABEL_SQL = "[" + _sql_list(["seller", "Address", "TIMESTAMP", "item_name_3", "ITEM_QTY2", "item_amount", "phone", "store_name", "date", "item_price_1", "total_amount"]) + "][event_id % 11 + 1]"
 
 
