@@ -146,10 +146,66 @@ def _on_page(points: Column, width: Column, height: Column) -> Column:
     return F.array(F.greatest(zero, _whole(box[0])), F.greatest(zero, _whole(box[1])), F.least(width - low, _whole(box[2])), F.least(height - low, _whole(box[3])))
 
 
-def perspective_box(box: Column, m: list[list[float]], width: Column, height: Column) -> Column:
-    """The upright whole-number box around a box's corners under a 3 by 3 projection, cut at the page."""
-    across = lambda p, r: p[0] * F.lit(float(m[r][0])) + p[1] * F.lit(float(m[r][1])) + F.lit(float(m[r][2]))
-    return _on_page(F.transform(corners(box), lambda p: F.array(across(p, 0) / across(p, 2), across(p, 1) / across(p, 2))), width, height)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _solved(points: pd.Series) -> pd.Series:
+    """The projections of a batch, from eight points' coordinates each: one system of 8 equations a row, all solved at once."""
+    whole = points.map(lambda p: p is not None and len(p) == 16 and bool(np.isfinite(p).all())).to_numpy(bool)
+    out = np.full(len(points), None, object)
+    if whole.any():
+        both = np.stack(points[whole].to_numpy()).astype(float).reshape(-1, 2, 4, 2)
+        a, b, c = (both[:, :, list(k)] for k in ((0, 1, 2, 3), (1, 2, 3, 0), (2, 3, 0, 1)))
+        turn = (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (c[..., 0] - a[..., 0]) * (b[..., 1] - a[..., 1])
+        x, y, u, v = both[:, 0, :, 0], both[:, 0, :, 1], both[:, 1, :, 0], both[:, 1, :, 1]
+        one, none = np.ones_like(x), np.zeros_like(x)
+        rows = np.concatenate([np.stack([x, y, one, none, none, none, -u * x, -u * y], -1), np.stack([none, none, none, x, y, one, -v * x, -v * y], -1)], 1)
+        good = (turn != 0).all((1, 2))
+        good[good] = np.linalg.det(rows[good]) != 0
+        found = np.linalg.solve(rows[good], np.concatenate([u, v], 1)[good][..., None])[..., 0]
+        for at, m in zip(np.flatnonzero(whole)[good], found, strict=True):
+            out[at] = np.append(m, 1.0)
+    return pd.Series(out)
+
+
+def homography(source: Column, target: Column) -> Column:
+    """The projection (nine numbers row by row, the last 1) that takes four points to four others, worked out for each row.
+
+    Points are arrays [x, y], in the same order around both quads, as
+    ordered_points gives them. Null where three points of a quad are in line, or
+    where a point is null or missing. Make it a column of its own before a lambda
+    uses it.
+    """
+    flat = lambda quad: F.transform(F.flatten(quad), lambda v: v.cast("double"))
+    return _solved(F.concat(flat(source), flat(target)))
+
+
+def page_quad(width: Column, height: Column) -> Column:
+    """The corners of a page's outermost pixels."""
+    zero, right, low = F.lit(0.0), (width - 1).cast("double"), (height - 1).cast("double")
+    return F.array(F.array(zero, zero), F.array(right, zero), F.array(right, low), F.array(zero, low))
+
+
+def warp_matrix(points: Column) -> Column:
+    """The projection that makes a page's four corners, in any order, an upright page of warp_size."""
+    found = ordered_points(points)
+    size = warp_size(found)
+    return homography(found, page_quad(size["width"], size["height"]))
+
+
+def projected(point: Column, m: Column) -> Column:
+    """A point under a projection of nine numbers; null where it is moved beyond all bounds."""
+    across = lambda r: point[0] * m[3 * r] + point[1] * m[3 * r + 1] + m[3 * r + 2]
+    return F.array(F.try_divide(across(0), across(2)), F.try_divide(across(1), across(2)))
+
+
+def perspective_box(box: Column, m: Column | list[list[float]], width: Column, height: Column) -> Column:
+    """The upright whole-number box around a box's corners under a projection, cut at the page.
+
+    m: a column of nine numbers, so each row may have its own, or one matrix of
+    three rows for all. Null under a null projection.
+    """
+    if not isinstance(m, Column):
+        m = F.array(*(F.lit(float(v)) for row in m for v in row))
+    return F.when(m.isNotNull(), _on_page(F.array(*(projected(F.array(box[i], box[j]), m) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3)))), width, height))
 
 
 def folded_box(box: Column, folds: list[tuple[bool, float, float, float]], width: Column, height: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.text import stripped
 
@@ -137,21 +141,47 @@ def reading_order(boxes: DataFrame, key: str = "doc_id", text: str = "text", sha
     Taken by their centres' height, a box joins the current line while it lies
     within `share` of the document's median box height of the mean centre of
     the line so far; ties keep the order of `pos`. boxes: key, pos, text, x1,
-    y1, y2.
+    y1, y2. One shuffle by document; the sorted boxes pass through a task one by
+    one and only the current line is held, so a document may have any number.
     """
     cy, height = (F.col("y1") + F.col("y2")) / 2, F.col("y2") - F.col("y1")
-    items = F.array_sort(F.collect_list(F.struct(cy.cast("double").alias("cy"), F.col("pos").cast("long").alias("pos"), F.col("x1").cast("double").alias("x1"), F.col(text).alias("text"))))
-    docs = boxes.groupBy(key).agg(items.alias("__items"), (F.median(height) * share).alias("__near"))
-    start = F.from_json(F.lit('{"line":-1,"sum":0.0,"n":0,"out":[]}'), "struct<line:int,sum:double,n:int,out:array<int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        same = (acc["n"] > 0) & (F.abs(x["cy"] - acc["sum"] / F.greatest(acc["n"], F.lit(1))) <= F.col("__near"))
-        line = F.when(same, acc["line"]).otherwise(acc["line"] + 1)
-        total = F.when(same, acc["sum"] + x["cy"]).otherwise(x["cy"])
-        n = F.when(same, acc["n"] + 1).otherwise(F.lit(1))
-        return F.struct(line.alias("line"), total.alias("sum"), n.alias("n"), F.concat(acc["out"], F.array(line)).alias("out"))
-
-    lined = docs.withColumn("__lines", F.aggregate("__items", start, step, lambda acc: acc["out"]))
-    rows = lined.select(key, F.explode(F.arrays_zip("__items", "__lines")).alias("z")).select(key, F.col("z.__lines").alias("line_no"), "z.__items.*")
-    place = F.row_number().over(Window.partitionBy(key, "line_no").orderBy("x1", "cy", "pos")) - 1
-    return rows.select(key, "line_no", place.alias("place"), "text", "x1", "cy")
+    near = F.median(height).over(Window.partitionBy(key)) * share
+    rows = boxes.select(key, F.col(text).alias("text"), F.col("x1").cast("double").alias("x1"), cy.cast("double").alias("cy"), F.col("pos").cast("long").alias("__pos"), near.alias("__near"))
+    rows = rows.sortWithinPartitions(key, "cy", "__pos")  # the window has brought a document's boxes together
+    of = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([T.StructField(key, of[key]), T.StructField("line_no", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("text", of["text"]), T.StructField("x1", T.DoubleType()), T.StructField("cy", T.DoubleType())])
+
+    def lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line: list[tuple] = []  # x1, cy, pos, text
+        doc, number, total, out = None, 0, 0.0, []
+
+        def end() -> None:
+            line.sort(key=lambda b: (b[0] is not None, b[0] or 0.0, b[1], b[2]))
+            out.extend((doc, number, place, text, x1, cy) for place, (x1, cy, _, text) in enumerate(line))
+            line.clear()
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
+        shape: pa.Schema | None = None
+        for part in batches:
+            shape = shape or pa.schema([(key, part.schema.field(0).type), ("line_no", pa.int32()), ("place", pa.int32()), ("text", part.schema.field(1).type), ("x1", pa.float64()), ("cy", pa.float64())])
+            for at, text, x1, cy, pos, near in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if line and at != doc:
+                    end()
+                    number = 0
+                elif line and not (cy is not None and abs(cy - total / len(line)) <= near):
+                    end()
+                    number += 1
+                if not line:
+                    doc, total = at, 0.0
+                line.append((x1, cy, pos, text))
+                total += cy if cy is not None else 0.0
+            yield batch()
+        if line:
+            end()
+            yield batch()
+
+    return rows.mapInArrow(lined, schema)

@@ -951,6 +951,29 @@ def largest_box(t: Tables) -> DataFrame:
     return t.line_boxes().groupBy("doc_id").agg(F.min_by("line_no", F.struct(-size, "line_no")).alias("line_no"), F.max(size).alias("area"))
 
 
+@query(
+    """SELECT doc_id, line_no, greatest(0, trunc(least(px1, px2, px3, px4)))::BIGINT AS a, greatest(0, trunc(least(py1, py2, py3, py4)))::BIGINT AS b, least(w - 1, trunc(greatest(px1, px2, px3, px4)))::BIGINT AS c, least(h - 1, trunc(greatest(py1, py2, py3, py4)))::BIGINT AS d FROM
+    (SELECT doc_id, line_no, w, h, """
+    + ", ".join(f"({a}) / (g * {u} + k * {v} + 1) AS p{n}{i}" for i, (u, v) in enumerate((("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2")), 1) for n, a in (("x", f"a * {u} + b * {v} + c"), ("y", f"d * {u} + e * {v} + f")))
+    + """ FROM (SELECT *, (tx1 - tx0) / (w - 1) + g * tx1 AS a, (tx3 - tx0) / (h - 1) + k * tx3 AS b, tx0 AS c, (ty1 - ty0) / (w - 1) + g * ty1 AS d, (ty3 - ty0) / (h - 1) + k * ty3 AS e, ty0 AS f FROM
+      (SELECT *, ((tx0 - tx1 + tx2 - tx3) * (ty3 - ty2) - (tx3 - tx2) * (ty0 - ty1 + ty2 - ty3)) / z / (w - 1) AS g, ((tx1 - tx2) * (ty0 - ty1 + ty2 - ty3) - (tx0 - tx1 + tx2 - tx3) * (ty1 - ty2)) / z / (h - 1) AS k FROM
+        (SELECT *, (tx1 - tx2) * (ty3 - ty2) - (tx3 - tx2) * (ty1 - ty2) AS z FROM
+          (SELECT *, u * w AS tx0, s * h AS ty0, w - 1 - s * w AS tx1, u * h AS ty1, w - 1 - u * w AS tx2, h - 1 - s * h AS ty2, s * w AS tx3, h - 1 - u * h AS ty3 FROM
+            (SELECT *, 0.0137::DOUBLE + 0.0071::DOUBLE * (doc_id % 7) AS u, 0.0093::DOUBLE + 0.0111::DOUBLE * (doc_id % 5) AS s FROM v_line_boxes)))))
+    ) WHERE trunc(greatest(px1, px2, px3, px4)) IS NOT NULL AND least(w - 1, trunc(greatest(px1, px2, px3, px4))) - greatest(0, trunc(least(px1, px2, px3, px4))) > 2 AND least(h - 1, trunc(greatest(py1, py2, py3, py4))) - greatest(0, trunc(least(py1, py2, py3, py4))) > 2""",
+    "v_line_boxes",
+)
+def perspective_quads(t: Tables) -> DataFrame:
+    """Boxes of pages that are each seen under a quad of their own; boxes left too small go."""
+    c = F.col
+    w, h = c("w").cast("double"), c("h").cast("double")
+    u, s = 0.0137 + 0.0071 * (c("doc_id") % 7), 0.0093 + 0.0111 * (c("doc_id") % 5)
+    quad = F.array(F.array(u * w, s * h), F.array(w - 1 - s * w, u * h), F.array(w - 1 - u * w, h - 1 - s * h), F.array(s * w, h - 1 - u * h))
+    boxes = t.line_boxes().withColumn("m", G.homography(G.page_quad(c("w"), c("h")), quad))
+    boxes = boxes.withColumn("box", G.perspective_box(F.array(*(c(n).cast("double") for n in ("x1", "y1", "x2", "y2"))), c("m"), c("w"), c("h"))).where(G.large_enough(c("box")))
+    return boxes.select("doc_id", "line_no", *(c("box")[k].alias(n) for k, n in enumerate("abcd")))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 7 >= 5 THEN 3 ELSE event_id % 7 END::BIGINT AS token FROM events")
 def id_clamp(t: Tables) -> DataFrame:
     return t.events.select("event_id", L.id_within(F.col("event_id") % 7, 5, 3).cast("long").alias("token"))
