@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.text import path_name, stripped
 
@@ -63,33 +64,62 @@ def existing(items: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame
     return items.join(present.select(*keys), keys, "left_semi")
 
 
-#: Ranges into which the rows of a large group are cut for numbering.
-RANGES = 256
+#: Ranges into which the rows of a large group are cut for numbering: two to the power of this.
+RANGE_BITS = 8
+#: Hexadecimal digits of a text that its place among the ranges goes by, after what all texts of the group begin with.
+DIGITS = 14
+
+
+def _with_group(items: DataFrame, table: DataFrame, group: list[str]) -> DataFrame:
+    """Each item with the row of its group, whose columns are __g0, __g1, ...; null groups meet."""
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group)))
+    return items.join(table, same, "left").drop(*(f"__g{i}" for i in range(len(group))))
+
+
+def _ranged(items: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The items with `__range`, one of 256 in their group that rise with the order, of about as many rows each.
+
+    The cuts are quantiles, by a sketch of bounded size, of a number that doesn't
+    fall as the first order column rises: of its value, or of the first digits of
+    a text behind what the group's first and last text have in common. Equal
+    values share a range, as do texts alike in these digits; nulls have their own.
+    """
+    kind, first = items.schema[order[0]].dataType, F.col(order[0])
+    own = [F.col(c).alias(f"__g{i}") for i, c in enumerate(group)]
+    if isinstance(kind, T.StringType):
+        ends = items.groupBy(*own).agg(F.hex(F.min(first)).alias("__low"), F.hex(F.max(first)).alias("__high"))
+        short = F.least(F.length("__low"), F.length("__high"))
+        alike = F.size(F.filter(F.sequence(F.lit(1), short), lambda n: F.left(F.col("__low"), n) == F.left(F.col("__high"), n)))
+        items = _with_group(items, ends.withColumn("__head", F.when(short > 0, alike).otherwise(0)).drop("__low", "__high"), group)
+        digits = F.rpad(F.substr(F.hex(first), F.col("__head") + 1, F.lit(DIGITS)), DIGITS, "0")
+        code = F.conv(digits, 16, 10).cast("long")
+    elif isinstance(kind, T.NumericType):
+        code = first if isinstance(kind, T.IntegralType) else first.cast("double")
+    elif isinstance(kind, T.DateType | T.BooleanType | T.TimestampType):
+        code = F.unix_date(first) if isinstance(kind, T.DateType) else F.unix_micros(first) if isinstance(kind, T.TimestampType) else first.cast("int")
+    else:
+        code = F.lit(0)  # one range
+    rows = items.withColumn("__code", code)
+    shares = [k / (1 << RANGE_BITS) for k in range(1, 1 << RANGE_BITS)]
+    cuts = rows.groupBy(*own).agg(F.percentile_approx("__code", shares, 4 << RANGE_BITS).alias("__cuts"))
+    below = F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(RANGE_BITS)))), F.lit(0), lambda at, step: at + F.when(F.get(F.col("__cuts"), at + step - 1) < F.col("__code"), step).otherwise(0))
+    return _with_group(rows, cuts, group).withColumn("__range", F.when(F.col("__code").isNull(), -1).otherwise(below)).drop("__code", "__cuts", "__head")
 
 
 def _placed(items: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """The items with `__place`, their number from 1 in their group, and `__size`, that of their group.
 
-    Where the first order column is a number, no task takes a whole group: each group is cut into RANGES ranges at quantiles
-    of a sketch of its first order column, rows are numbered inside a range, and the
-    counts of the ranges before it are added. Equal values share a range.
+    No task takes a whole group: rows are numbered inside a range of their
+    group, and the counts of the ranges before it are added.
     """
-    numeric = items.schema[order[0]].dataType.typeName() in ("long", "integer", "short", "byte", "double", "float")
-    first = F.col(order[0])
-    key = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group)]
-    if not numeric:  # one range: quantiles are of numbers
-        ranged = items.withColumn("__range", F.lit(0))
-    else:
-        cuts = items.groupBy(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(group))).agg(F.percentile_approx(first, [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("__cuts"))
-        ranged = items.join(cuts, reduce(lambda a, b: a & b, key), "left").drop(*(f"__g{i}" for i in range(len(group))))
-        ranged = ranged.withColumn("__range", F.coalesce(F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < first)), F.lit(-1))).drop("__cuts")
-    counts = ranged.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
-    whole = Window.partitionBy(*group)
-    before = F.sum("__n").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    ranged = _ranged(items, group, order)
+    counts = ranged.groupBy(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(group)), F.col("__range").alias("__r")).agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*(f"__g{i}" for i in range(len(group))))
+    before = F.sum("__n").over(whole.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumns({"__before": F.coalesce(before, F.lit(0)), "__size": F.sum("__n").over(whole)}).drop("__n")
-    counts = counts.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(group)), F.col("__range").alias("__r"), "__before", "__size")
     inside = F.row_number().over(Window.partitionBy(*group, "__range").orderBy(*order))
-    numbered = ranged.withColumn("__inside", inside).join(counts, reduce(lambda a, b: a & b, key) & (F.col("__range") == F.col("__r")))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group)), F.col("__range") == F.col("__r"))
+    numbered = ranged.withColumn("__inside", inside).join(counts, same)
     return numbered.select(*items.columns, (F.col("__before") + F.col("__inside")).alias("__place"), "__size")
 
 
@@ -122,32 +152,18 @@ def first_in_group(items: DataFrame, group: list[str], order: list[str], most: i
 def renumbered(sources: list[DataFrame], order: list[str], name: str = "new_id") -> DataFrame:
     """All rows of the sources, one source after another, numbered from 1 without gaps.
 
-    Numbers come from counts by range, so no task sees all rows: the rows are
-    ranged by source and order, counted by partition, and numbered inside it.
+    Numbers come from counts by range, so no task sees all rows of a source, and
+    no job runs before the result is asked for.
     """
     out = None
     for rank, df in enumerate(sources):
         now = df.withColumn("source_rank", F.lit(rank))
         out = now if out is None else out.unionByName(now, allowMissingColumns=True)
-    ranged = out.repartitionByRange("source_rank", *order).sortWithinPartitions("source_rank", *order)
-    ranged = _kept(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id()))
-    counts = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for part in sorted(counts):
-        before.append((part, total))
-        total += counts[part]
-    offsets = out.sparkSession.createDataFrame(before, "__part int, __before long")
-    inside = F.col("__seq") - F.shiftleft(F.col("__part").cast("long"), 33)
-    return ranged.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + inside + 1).drop("__part", "__seq", "__before")
-
-
-def _kept(rows: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder where the session names one; else held by Spark, which lets go of them with the table."""
-    spark = rows.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows.persist()
+    sizes = out.groupBy(F.col("source_rank").alias("__rank")).agg(F.count("*").alias("__n"))  # a row a source
+    before = F.sum("__n").over(Window.orderBy("__rank").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__rank", F.coalesce(before, F.lit(0)).alias("__offset"))
+    placed = _placed(out, ["source_rank"], order).join(F.broadcast(offsets), F.col("source_rank") == F.col("__rank"))
+    return placed.withColumn(name, F.col("__offset") + F.col("__place")).drop("__rank", "__offset", "__place", "__size")
 
 
 def rekeyed_metadata(sources: list[DataFrame], split: str = "test", order: list[str] | None = None, name: str = "file_name") -> DataFrame:
