@@ -21,7 +21,7 @@ from ledgerloom.operators import sequence as S
 from ledgerloom.sources import dom, files
 from ledgerloom.sources.adapters import Tables, with_views
 from ledgerloom.sources.places import shared_folder
-from ledgerloom.streaming import ingest
+from ledgerloom.streaming import ingest, uploads
 from ledgerloom.streaming.attempts import Attempts, ServiceError
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -856,6 +856,17 @@ def stream_until_done(t: Tables) -> DataFrame:
     return _streamed(t, lambda events: ingest.until_done(events.select("event_id", "user_id", error), ["user_id"], ["event_id"]))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'kept' ELSE 'put' END AS status, CASE WHEN doc_id % 7 = 0 THEN 'no content' END AS error FROM documents")
+def put_files(t: Tables) -> DataFrame:
+    """Documents as files of a store in which every fifth name is taken; every seventh has no content."""
+    k, name = F.col("doc_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("name")
+    place = shared_folder(t.spark)
+    uploads.put(t.documents.where((k % 5 == 0) & (k % 7 != 0)).select(name, F.encode(F.concat(F.lit("taken "), k.cast("string")), "UTF-8").alias("content")), f"{place}/store", f"{place}/before")
+    uploads.put(t.documents.select(name, F.when(k % 7 != 0, F.encode("text", "UTF-8")).alias("content")), f"{place}/store", f"{place}/log")
+    found = uploads.outcomes(t.spark, f"{place}/log")
+    return found.select(F.regexp_extract("name", "/([0-9]+)[.]txt$", 1).cast("long").alias("doc_id"), "status", "error")
+
+
 def _flaky():
     """A service that fails as often as the item's number says, with one of three codes."""
 
