@@ -30,7 +30,7 @@ BLOCK_BYTES = 4 << 20
 WINDOW = 10
 
 
-def phrases(items: list[tuple[str, str]], window: int = WINDOW) -> dict:
+def phrases(items: list[tuple[str | None, str]], window: int = WINDOW) -> dict:
     """The distinct phrases of a block of items: their words' hashes, their texts, and the items that have each."""
     found: dict[bytes, set[str]] = {}
     buf, starts = X.joined([(t or "").encode() for _, t in items], lower=True)
@@ -50,12 +50,12 @@ def phrases(items: list[tuple[str, str]], window: int = WINDOW) -> dict:
     words = np.unique(hashes)
     grid = np.zeros((len(texts), int(lengths.max(initial=1))), np.int64)
     grid[np.arange(grid.shape[1]) < lengths[:, None]] = np.searchsorted(words, hashes) + 1
-    return {"texts": texts, "items": [sorted(found[t]) for t in texts], "words": words, "grid": grid, "lengths": lengths}
+    return {"texts": texts, "items": [list(found[t]) for t in texts], "words": words, "grid": grid, "lengths": lengths}
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> list[Broadcast]:
+def _blocks(benchmark: DataFrame, item: str, text: str, window: int, unnamed: bool) -> list[Broadcast]:
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(item).cast("string"), F.col(text)).where(F.col(item).isNotNull() & F.col(text).isNotNull())
+    rows = benchmark.select(F.col(item).cast("string"), F.col(text)).where(F.col(text).isNotNull() & (F.col(item).isNotNull() | F.lit(unnamed)))
     out, held, size = [], [], 0
     for row in rows.toLocalIterator():
         if held and size + len(row[1]) > BLOCK_BYTES:
@@ -123,15 +123,19 @@ def _searched(batches: Iterator[pa.RecordBatch], column: str, blocks: list[Broad
         yield part, texts, a - starts[doc_of], b - starts[doc_of], first, np.cumsum(edge)[:-1] > 0, items
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, unnamed: bool = False) -> DataFrame:
     """One row per input row: id, n_words, n_hit, items (ids, as sorted strings), spans (first, last byte + 1).
 
     A word is hit if any occurrence of a phrase covers it; spans are the merged
     runs of hit words as UTF-8 byte offsets. A null or wordless text has no
-    words and no spans. Benchmark rows with a null id or text are no items; rows
-    that repeat an id are one item. With an empty benchmark nothing is hit.
+    words and no spans; a text of any length is one slice at most. Benchmark rows
+    with a null text are no items, nor are those with a null id unless `unnamed`:
+    then they are one item, which `items` has as a null, last. Rows that repeat
+    an id are one item. With an empty benchmark nothing is hit; an empty table
+    gives no rows. Repeated rows and null ids of documents have a row each; other
+    columns are ignored.
     """
-    blocks = _blocks(benchmark, item, item_text, window)
+    blocks = _blocks(benchmark, item, item_text, window, unnamed)
     kind = docs.schema[id_col].dataType
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(span))])
@@ -142,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             count = np.concatenate([[0], np.cumsum(hit)])
             spans = [removal_spans(a[i:j], b[i:j], hit[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.diff(first), pa.int64()), pa.array(count[first[1:]] - count[first[:-1]], pa.int64()), pa.array([sorted(s) for s in items], pa.list_(pa.string())), pa.array([[{"first": x, "end": y} for x, y in s] for s in spans], span_type)],
+                [part.column(0), pa.array(np.diff(first), pa.int64()), pa.array(count[first[1:]] - count[first[:-1]], pa.int64()), pa.array([sorted(s, key=lambda i: (i is None, i or "")) for s in items], pa.list_(pa.string())), pa.array([[{"first": x, "end": y} for x, y in s] for s in spans], span_type)],
                 names=schema.names,
             )
 
@@ -165,9 +169,14 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents, all columns kept, with every hit span cut out of the text; null texts stay null."""
-    blocks = _blocks(benchmark, item, item_text, window)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, unnamed: bool = False) -> DataFrame:
+    """The documents, all columns kept, with every hit span cut out of the text.
+
+    Null and empty texts stay as they are, long texts are read whole, repeated
+    rows stay alike; items without an id count only if `unnamed`. An empty table stays
+    empty, and with an empty benchmark nothing is cut.
+    """
+    blocks = _blocks(benchmark, item, item_text, window, unnamed)
     at = docs.columns.index(text)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

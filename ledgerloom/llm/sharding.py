@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, free_names
 
 KEY_BITS = 60
 ALL_BITS = 120
@@ -113,11 +113,20 @@ def extendible_shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", max_bytes: int = 16 << 20) -> DataFrame:
-    """Writes all columns as Parquet, one folder for each shard and page, and returns the assignment that it used."""
-    carry = tuple(c for c in docs.columns if c != key)
-    placed = extendible_shards(docs.select(key, *carry), key, text, max_bytes, carry)
-    placed.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
-    return placed
+    """Writes all columns as Parquet, one folder for each shard and page, and returns the assignment that it used.
+
+    The columns may have any names; where they have `shard` or `page`, the
+    folders' names get underscores before them. Nulls, empty texts and repeated
+    rows are written as they are; an empty table has no folders.
+    """
+    inner = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()))
+    placed = extendible_shards(renamed, inner[key], inner[text], max_bytes, tuple(n for c, n in inner.items() if c != key))
+    made = [c for c in placed.columns if not c.startswith("__c")]
+    folders = free_names(docs, "shard", "page")
+    rows = placed.select(*(F.col(n).alias(c) for c, n in inner.items()), *(F.col(c).alias(f) for c, f in zip(("shard", "page"), folders, strict=True)))
+    rows.repartition(*folders).write.partitionBy(*folders).parquet(path)
+    return placed.select(F.col(inner[key]).alias(key), *(c for c in made if c != key))
 
 
 OP1_SQL = """

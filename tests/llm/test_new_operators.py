@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import collocations, linkgraph, merkle
+from ledgerloom.llm import collocations, decontamination, linkgraph, merkle, sharding
 
 UPPER_TO_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -283,3 +283,27 @@ def test_sketch_is_never_less_than_the_count():
             shown.add(np.ascontiguousarray(u[there].view(np.uint8).reshape(-1, 4)[:, :3]).tobytes(), np.minimum(part[there], 255).astype(np.uint8).tobytes())
         assert np.array_equal(np.sort(shown.taken(2)), u[c >= 2])
     assert not shown.sums.any() and len(shown.taken(1)) == 0
+
+
+# --- mended
+
+
+def test_items_without_an_id_are_hit(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "none of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (None, "none of it"), (7, "two three four five six seven eight nine ten eleven"), (8, None)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.items) for r in decontamination.contamination(docs, items, unnamed=True).collect()}
+    assert got == {1: (12, ["7", None]), 2: (3, [None])}
+    left = {r.doc_id: r.text for r in decontamination.decontaminated(docs, items, unnamed=True).collect()}
+    assert left[1].split() == ["x", "y"] and left[2].split() == []
+
+
+def test_shards_of_tables_with_any_names(spark, tmp_path):
+    names = "doc_id base bits bucket page shard n_bytes shard_bytes shard_docs depth text".split()
+    rows = [(k, *(f"{c}{k}" for c in names[1:-1]), f"text {k} " * (k % 5)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} string" for c in names[1:]))
+    placed = sharding.write_shards(df, f"{tmp_path}/out", max_bytes=100)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, back.select(*names).collect())) == sorted(rows)
+    assert {(r.doc_id, r.shard) for r in placed.collect()} == {(r.doc_id, r._shard) for r in back.select("doc_id", F.col("_shard").cast("string").alias("_shard")).collect()}
+    assert back.select("_shard").distinct().count() > 2
