@@ -39,6 +39,8 @@ TOP = 2000
 SCALE = 1_000_000
 #: The sketch: bits that name a range, and bits that name a cell inside.
 RANGE_BITS, CELL_BITS = 12, 24
+#: Full shards' worth of text that a task keeps back at most, until one language's is full.
+WAITING = 4
 #: Distinct cells that a task holds before it sends them on.
 HELD = 1 << 21
 #: Parts that a language's ranking is dealt to before the last step.
@@ -77,12 +79,19 @@ class Shard:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
-    """The slices of (lang, text), apart by language."""
+    """The texts of (lang, text) apart by language: a shard is full at some 4 MB, or when a task holds too much of all languages."""
+    held: dict[str, list[bytes]] = {}
+    size: dict[str, int] = {}
     for part, texts in X.text_chunks(batches):
-        coded = part.column(0).dictionary_encode()
-        codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        for code, name in enumerate(names):
-            yield name, Shard(name, [texts[i] for i in np.flatnonzero(codes == code)])
+        for name, text in zip(part.column(0).to_pylist(), texts, strict=True):
+            held.setdefault(name, []).append(text)
+            size[name] = size.get(name, 0) + len(text) + 1
+        while size and (max(size.values()) >= X.CHUNK_BYTES or sum(size.values()) > WAITING * X.CHUNK_BYTES):
+            name = max(size, key=size.get)
+            del size[name]
+            yield name, Shard(name, held.pop(name))
+    for name, texts in held.items():
+        yield name, Shard(name, texts)
 
 
 def _summed(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
