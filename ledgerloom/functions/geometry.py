@@ -205,7 +205,12 @@ def perspective_box(box: Column, m: Column | list[list[float]], width: Column, h
     """
     if not isinstance(m, Column):
         m = F.array(*(F.lit(float(v)) for row in m for v in row))
-    return F.when(m.isNotNull(), _on_page(F.array(*(projected(F.array(box[i], box[j]), m) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3)))), width, height))
+    points = [projected(F.array(box[i], box[j]), m) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3))]
+    xs, ys = [p[0] for p in points], [p[1] for p in points]
+    low, zero = F.lit(1), F.lit(0)
+    first = [F.greatest(zero, _whole(F.least(*v))) for v in (xs, ys)]
+    last = [F.least(size - low, _whole(F.greatest(*v))) for size, v in ((width, xs), (height, ys))]
+    return F.when(m.isNotNull(), F.array(*first, *last))
 
 
 def folded_box(box: Column, folds: list[tuple[bool, float, float, float]], width: Column, height: Column) -> Column:

@@ -980,8 +980,9 @@ def perspective_quads(t: Tables) -> DataFrame:
     w, h = c("w").cast("double"), c("h").cast("double")
     u, s = 0.0137 + 0.0071 * (c("doc_id") % 7), 0.0093 + 0.0111 * (c("doc_id") % 5)
     quad = F.array(F.array(u * w, s * h), F.array(w - 1 - s * w, u * h), F.array(w - 1 - u * w, h - 1 - s * h), F.array(s * w, h - 1 - u * h))
-    boxes = t.line_boxes().withColumn("m", G.homography(G.page_quad(c("w"), c("h")), quad))
-    boxes = boxes.withColumn("box", G.perspective_box(F.array(*(c(n).cast("double") for n in ("x1", "y1", "x2", "y2"))), c("m"), c("w"), c("h"))).where(G.large_enough(c("box")))
+    boxes = t.line_boxes()
+    seen = boxes.groupBy("doc_id").agg(F.max("w").alias("w"), F.max("h").alias("h")).select("doc_id", G.homography(G.page_quad(c("w"), c("h")), quad).alias("m"))  # one for each page
+    boxes = boxes.join(seen, "doc_id").withColumn("box", G.perspective_box(F.array(*(c(n).cast("double") for n in ("x1", "y1", "x2", "y2"))), c("m"), c("w"), c("h"))).where(G.large_enough(c("box")))
     return boxes.select("doc_id", "line_no", *(c("box")[k].alias(n) for k, n in enumerate("abcd")))
 
 
