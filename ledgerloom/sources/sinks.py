@@ -10,12 +10,17 @@ def json_records(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
-def json_splits(df: DataFrame, path: str, split: str = "split", mode: str = "error") -> None:
-    """One folder for each split."""
+def json_splits(df: DataFrame, path: str, split: str = "split", mode: str = "error", combined: str | None = None) -> None:
+    """One folder for each split; with `combined` also a folder of that path with the rows of all, their split a column."""
     df.write.mode(mode).partitionBy(split).json(path)
+    if combined:
+        df.write.mode(mode).json(combined)
 
 
-def csv_table(df: DataFrame, path: str, mode: str = "error") -> None:
+def csv_table(df: DataFrame, path: str, mode: str = "error", mark: bool = False) -> None:
+    """Each file has a header; with `mark` a byte order mark before it, by which spreadsheets know UTF-8."""
+    if mark and df.columns:
+        df = df.withColumnRenamed(df.columns[0], f"\ufeff{df.columns[0]}")
     df.write.mode(mode).csv(path, header=True)
 
 

@@ -104,3 +104,25 @@ def test_located_takes_the_best_placed_file(spark):
     wanted = spark.createDataFrame([("a.jpg",), ("b.jpg",)], "file_name string")
     present = spark.createDataFrame([("x/a.jpg", 2), ("y/a.jpg", 1), ("z/c.jpg", 0)], "path string, priority int")
     assert sorted(map(tuple, files.located(wanted, present).collect()), key=str) == [("a.jpg", "y/a.jpg"), ("b.jpg", None)]
+
+
+def test_a_combined_set_and_a_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([("train", "é"), ("val", None), ("train", "b")], "split string, t string")
+    sinks.json_splits(df, f"{tmp_path}/parts", combined=f"{tmp_path}/all")
+    assert sorted(map(str, spark.read.schema("split string, t string").json(f"{tmp_path}/all").collect())) == sorted(map(str, df.collect()))
+    sinks.csv_table(df.coalesce(1), f"{tmp_path}/csv", mark=True)
+    (file,) = (tmp_path / "csv").glob("*.csv")
+    assert file.read_bytes().startswith(b"\xef\xbb\xbfsplit,t\n")
+    assert file.read_text(encoding="utf-8-sig").splitlines()[0] == "split,t"
+
+
+def test_white_space_of_any_kind_is_trimmed(spark, tmp_path):
+    from ledgerloom.functions import text as X
+
+    rows = [("\n```json\n{\"k\": 1}\n```\n",), ("\t ```\r\n{\"k\": 2}\n ```",), ("\u00a0{\"k\": 3}\u2003\n",), (" \t\n",), (None,)]
+    df = spark.createDataFrame(rows, "a string")
+    got = df.select(X.without_fence(F.col("a")).alias("body"), X.parsed_answer(F.col("a"), "struct<k:int>")["k"].alias("k"), X.blank_to_null(F.col("a")).isNull().alias("blank")).collect()
+    assert [r.body for r in got] == ['{"k": 1}', '{"k": 2}', '{"k": 3}', "", None]
+    assert [r.k for r in got] == [1, 2, 3, None, None] and [r.blank for r in got] == [False, False, False, True, True]
+    (tmp_path / "list.txt").write_text("\tone \n \t \ntwo\u00a0\n")
+    assert sorted(r[0] for r in files.list_file(spark, f"{tmp_path}/list.txt").collect()) == ["one", "two"]
