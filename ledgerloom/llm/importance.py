@@ -2,15 +2,13 @@
 
 A text's log weight is the sum, over its unigrams and bigrams of words and
 punctuation, of the log ratio of two bags of hashed n-grams: one of the texts
-labelled as target, one of all texts. A text of more than `length` n-grams weighs
-as its mean n-gram does `length` times; else the noise would decide nothing
-between texts of thousands of n-grams. Adding Gumbel noise, drawn from the id,
-and taking the largest k samples k texts in proportion to their weights,
-without replacement.
-
-The raw model counts every document. The target model is fitted on a sample of
-at most about SAMPLE_ROWS labelled rows, whose ids are broadcast; both have
-BUCKETS numbers, whatever the input.
+labelled as target, one of all texts. Adding Gumbel noise, drawn from the id, to
+the log weight divided by `temperature`, and taking the largest k samples k texts
+in proportion to that power of their weights, without replacement. The
+temperature is one for all texts: at 1 they are drawn by the ratio itself.
+
+Both models count every text they are of, in one pass, and have BUCKETS numbers,
+whatever the input. Target ids are joined as Spark chooses by their table's size.
 """
 
 from __future__ import annotations
@@ -24,14 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
-from .tables import cut
+from .tables import cut, written
 
 BUCKETS = 1 << 14
-SAMPLE_ROWS = 20_000
 FRACTION = 0.8
 SEED = 7
-#: n-grams from which on a text's weight no longer grows with its length.
-LENGTH = 20
+#: Log weights are divided by this, so that the noise also acts between texts of hundreds of n-grams.
+TEMPERATURE = 8.0
 #: Keys that the driver sorts at most, and bins of a histogram that narrows them down.
 SORTED_KEYS = 10_000
 BINS = 4096
@@ -76,7 +73,7 @@ def _models(docs: DataFrame, target: DataFrame, id_col: str, text: str) -> np.nd
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(aimed[at])], names=["bucket", "raw", "aimed"])
 
     ids = target.select(F.col(id_col).alias("__key"), F.lit(True).alias("__target"))
-    marked = docs.select(F.col(id_col).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(ids), "__key", "left")
+    marked = docs.select(F.col(id_col).alias("__key"), F.col(text).alias("__text")).join(ids, "__key", "left")
     rows = marked.select("__text", F.coalesce("__target", F.lit(False)).alias("__target")).mapInArrow(count, "bucket long, raw long, aimed long")
     sums = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("aimed").alias("aimed")).toArrow()
     raw, aimed = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -109,18 +106,20 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text: str = "text", fraction: float = FRACTION, sample_rows: int = SAMPLE_ROWS, length: float | None = LENGTH, seed: int = SEED) -> DataFrame:
+def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text: str = "text", fraction: float = FRACTION, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """(id, n_ngrams, log_weight, key, selected) of each input row. target: the ids of target texts.
 
-    Another `seed` draws other noise. `length` None: a weight is the plain sum.
+    log_weight is the plain sum of log ratios, key that by `temperature` and the noise added. Another `seed` draws other noise.
 
     k is `fraction` of the rows, rounded down. Rows that tie for the last place
     share id and weight; all of them are selected. Null and wordless texts weigh
     1. A null id draws noise like any other and is never a target; ids that
-    repeat draw the same noise. Other columns are ignored. Without target texts
-    all weigh the same; an empty table gives no rows.
+    repeat draw the same noise. A very long text is one piece of work of one
+    task. Other columns are ignored. Without target texts all weigh the same; an
+    empty table gives no rows.
     """
-    ids = hashed_sample(target.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct(), id_col, sample_rows)
+    # a written table has the size of its files, by which Spark chooses the join
+    ids = written(target.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct())
     ratio = docs.sparkSession.sparkContext.broadcast(_models(docs, ids, id_col, text))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_ngrams", T.LongType()), T.StructField("log_weight", T.DoubleType())])
 
@@ -128,11 +127,10 @@ def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text:
         for part, texts in X.text_chunks(batches, "__text"):
             bucket, doc_of = ngram_buckets(texts)
             weight, n = np.bincount(doc_of, weights=ratio.value[bucket], minlength=len(texts)), np.bincount(doc_of, minlength=len(texts))
-            weight = weight if length is None else weight * np.minimum(1, length / np.maximum(n, 1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(weight)], names=schema.names)
 
     rows = docs.select(F.col(id_col), F.col(text).alias("__text")).mapInArrow(weigh, schema)
     uniform = (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed + 1)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    rows = cut(rows.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))))
+    rows = cut(rows.withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(uniform))))
     k = int(fraction * rows.count())
     return rows.withColumn("selected", F.col("key") >= kth_largest(rows, "key", k) if k else F.lit(False))

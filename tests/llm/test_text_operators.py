@@ -15,6 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import _text as X
 from ledgerloom.llm import buckets, components, decontamination, fertility, fm_index, importance, jaccard, langid, lookup, packing, paragraphs, ppm, sharding, simhash, substring, toxicity
 from ledgerloom.llm.tables import table
 
@@ -603,6 +604,52 @@ def test_importance(spark, odd, none):
     assert importance.resampled(none, labels.select("doc_id")).count() == 0
 
 
+def brute_buckets(text):
+    """The bucket of each unigram and bigram of a text, one at a time."""
+    data = lower(text or "").encode()
+    tokens = re.findall(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x20\x09-\x0d]+", data)
+    hashes = [X.span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)])) for t in tokens]
+    hashes += [X.window_hashes(np.concatenate(pair), 2) for pair in zip(hashes, hashes[1:], strict=False)]
+    return [int(h[0]) * importance.BUCKETS >> 64 for h in hashes]
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_importance_weights_are_log_ratios_of_all_texts(spark, odd, threshold):
+    """Whether the target ids are broadcast or shuffled, each target text counts."""
+    rng = random.Random(5)
+    rows = [(k, ("good, " if k % 3 else "bad! ") * rng.randint(0, 3) + prose(rng, rng.choice([1, 8, 300]))) for k in range(120)]
+    docs = odd.select("doc_id", "text", "bin").union(spark.createDataFrame([(100 + k, t, "b") for k, t in rows], "doc_id long, text string, bin string"))
+    target = docs.where("doc_id % 3 <> 0 OR doc_id IS NULL").select("doc_id")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = sorted(((r["doc_id"] is None, r["doc_id"], r["n_ngrams"], r["log_weight"]) for r in importance.resampled(docs, target).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    held = [(r["doc_id"], brute_buckets(r["text"])) for r in docs.collect()]
+    raw, aimed = Counter(), Counter()
+    for k, found in held:
+        raw.update(found)
+        if k is not None and k % 3:
+            aimed.update(found)
+    share = lambda counts, b: math.log((counts[b] + 0.5) / (sum(counts.values()) + 0.5 * importance.BUCKETS))
+    ratio = {b: share(aimed, b) - share(raw, b) for b in raw}
+    want = sorted(((k is None, k, len(found), sum(ratio[b] for b in found)) for k, found in held), key=str)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert sorted(x[3] for x in got) == pytest.approx(sorted(x[3] for x in want), abs=1e-8)
+    assert {x[1]: x[3] for x in got if not x[0]} == pytest.approx({x[1]: x[3] for x in want if not x[0]}, abs=1e-8)
+
+
+def test_a_temperature_is_one_for_all_texts(spark):
+    docs, labels = toxic_table(spark, 200)
+    target = labels.where("quality = 1").select("doc_id")
+    noise = []
+    for t in (1.0, 8.0):
+        rows = importance.resampled(docs, target, temperature=t).collect()
+        noise.append({r["doc_id"]: r["key"] - r["log_weight"] / t for r in rows})
+    assert noise[0] == pytest.approx(noise[1]) and len(set(noise[0].values())) == 200
+
+
 @pytest.mark.parametrize("k", [1, 7, 500, 1000])
 def test_kth_largest(spark, k):
     rng = random.Random(k)
