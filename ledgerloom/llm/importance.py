@@ -7,8 +7,9 @@ the log weight divided by `temperature`, and taking the largest k samples k text
 in proportion to that power of their weights, without replacement. The
 temperature is one for all texts: at 1 they are drawn by the ratio itself.
 
-Both models count every text they are of, in one pass, and have BUCKETS numbers,
-whatever the input. Target ids are joined as Spark chooses by their table's size.
+Both models count every text they are of, and have BUCKETS numbers, whatever the
+input. Only texts that a bitmap of the target ids lets pass are shuffled, to be
+joined with these; all others stay where they are read.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as X
+from .lookup import passes, sieve
 from .tables import cut, written
 
 BUCKETS = 1 << 14
@@ -59,26 +62,41 @@ def ngram_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([hashes, pairs[inside]]) >> shift).astype(np.int64), np.concatenate([doc_of, doc_of[: len(pairs)][inside]])
 
 
-def _models(docs: DataFrame, target: DataFrame, id_col: str, text: str) -> np.ndarray:
-    """Log ratio of target to raw by bucket; zeros without a target row."""
+def _counts(rows: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in the column `__text`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, aimed = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for part, texts in X.text_chunks(batches, "__text"):
-            bucket, doc_of = ngram_buckets(texts)
-            raw += np.bincount(bucket, minlength=BUCKETS)
-            chosen = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            aimed += np.bincount(bucket[chosen[doc_of]], minlength=BUCKETS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(aimed[at])], names=["bucket", "raw", "aimed"])
-
-    ids = target.select(F.col(id_col).alias("__key"), F.lit(True).alias("__target"))
-    marked = docs.select(F.col(id_col).alias("__key"), F.col(text).alias("__text")).join(ids, "__key", "left")
-    rows = marked.select("__text", F.coalesce("__target", F.lit(False)).alias("__target")).mapInArrow(count, "bucket long, raw long, aimed long")
-    sums = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("aimed").alias("aimed")).toArrow()
-    raw, aimed = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    at = sums.column("bucket").to_numpy()
-    raw[at], aimed[at] = sums.column("raw").to_numpy(), sums.column("aimed").to_numpy()
+        n = np.zeros(BUCKETS, np.int64)
+        for _, texts in X.text_chunks(batches, "__text"):
+            n += np.bincount(ngram_buckets(texts)[0], minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+
+    sums = rows.select("__text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS)
+    out[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def _target_texts(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """The rows (__key, __text) whose key is among the ids; only those that pass a sieve of these are shuffled. Unpersist the sieve after use."""
+    passing = sieve(ids.select(F.xxhash64("__key").alias("key")))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = passes(passing.value, batch.column(2).to_numpy().view(np.uint64))
+            yield batch.select([0, 1]).filter(pa.array(hit))
+
+    sifted = rows.withColumn("__hash", F.xxhash64("__key")).mapInArrow(sift, rows.schema)
+    return sifted.join(ids.hint("merge"), "__key", "left_semi"), passing
+
+
+def _models(docs: DataFrame, target: DataFrame, id_col: str, text: str) -> np.ndarray:
+    """Log ratio of target to raw by bucket; zeros without a target row."""
+    rows = docs.select(F.col(id_col).alias("__key"), F.col(text).alias("__text"))
+    chosen, passing = _target_texts(rows, target.select(F.col(id_col).alias("__key")))
+    raw, aimed = _counts(rows), _counts(chosen)
+    passing.unpersist()
     if not aimed.any():
         return np.zeros(BUCKETS)
     share = lambda n: np.log(n + 0.5) - np.log(n.sum() + 0.5 * BUCKETS)
@@ -118,7 +136,6 @@ def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text:
     task. Other columns are ignored. Without target texts all weigh the same; an
     empty table gives no rows.
     """
-    # a written table has the size of its files, by which Spark chooses the join
     ids = written(target.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct())
     ratio = docs.sparkSession.sparkContext.broadcast(_models(docs, ids, id_col, text))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_ngrams", T.LongType()), T.StructField("log_weight", T.DoubleType())])

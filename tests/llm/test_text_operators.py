@@ -613,19 +613,16 @@ def brute_buckets(text):
     return [int(h[0]) * importance.BUCKETS >> 64 for h in hashes]
 
 
-@pytest.mark.parametrize("threshold", ["10MB", "-1"])
-def test_importance_weights_are_log_ratios_of_all_texts(spark, odd, threshold):
-    """Whether the target ids are broadcast or shuffled, each target text counts."""
+@pytest.mark.parametrize("full", [False, True])
+def test_importance_weights_are_log_ratios_of_all_texts(spark, odd, full, monkeypatch):
+    """Each target text counts, and no other, also where the sieve lets all texts pass."""
+    if full:
+        monkeypatch.setattr(importance, "passes", lambda bitmap, keys: np.ones(len(keys), bool))
     rng = random.Random(5)
     rows = [(k, ("good, " if k % 3 else "bad! ") * rng.randint(0, 3) + prose(rng, rng.choice([1, 8, 300]))) for k in range(120)]
     docs = odd.select("doc_id", "text", "bin").union(spark.createDataFrame([(100 + k, t, "b") for k, t in rows], "doc_id long, text string, bin string"))
     target = docs.where("doc_id % 3 <> 0 OR doc_id IS NULL").select("doc_id")
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    try:
-        got = sorted(((r["doc_id"] is None, r["doc_id"], r["n_ngrams"], r["log_weight"]) for r in importance.resampled(docs, target).collect()), key=str)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    got = sorted(((r["doc_id"] is None, r["doc_id"], r["n_ngrams"], r["log_weight"]) for r in importance.resampled(docs, target).collect()), key=str)
     held = [(r["doc_id"], brute_buckets(r["text"])) for r in docs.collect()]
     raw, aimed = Counter(), Counter()
     for k, found in held:
