@@ -53,9 +53,9 @@ def phrases(items: list[tuple[str | None, str]], window: int = WINDOW) -> dict:
     return {"texts": texts, "items": [list(found[t]) for t in texts], "words": words, "grid": grid, "lengths": lengths}
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, window: int, unnamed: bool) -> list[Broadcast]:
+def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> list[Broadcast]:
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(item).cast("string"), F.col(text)).where(F.col(text).isNotNull() & (F.col(item).isNotNull() | F.lit(unnamed)))
+    rows = benchmark.select(F.col(item).cast("string"), F.col(text)).where(F.col(text).isNotNull())
     out, held, size = [], [], 0
     for row in rows.toLocalIterator():
         if held and size + len(row[1]) > BLOCK_BYTES:
@@ -123,19 +123,18 @@ def _searched(batches: Iterator[pa.RecordBatch], column: str, blocks: list[Broad
         yield part, texts, a - starts[doc_of], b - starts[doc_of], first, np.cumsum(edge)[:-1] > 0, items
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, unnamed: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per input row: id, n_words, n_hit, items (ids, as sorted strings), spans (first, last byte + 1).
 
     A word is hit if any occurrence of a phrase covers it; spans are the merged
     runs of hit words as UTF-8 byte offsets. A null or wordless text has no
     words and no spans; a text of any length is one slice at most. Benchmark rows
-    with a null text are no items, nor are those with a null id unless `unnamed`:
-    then they are one item, which `items` has as a null, last. Rows that repeat
-    an id are one item. With an empty benchmark nothing is hit; an empty table
+    with a null text are no items; those with a null id are one item, which
+    `items` has as a null, last, as rows that repeat an id are one item. With an empty benchmark nothing is hit; an empty table
     gives no rows. Repeated rows and null ids of documents have a row each; other
     columns are ignored.
     """
-    blocks = _blocks(benchmark, item, item_text, window, unnamed)
+    blocks = _blocks(benchmark, item, item_text, window)
     kind = docs.schema[id_col].dataType
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(span))])
@@ -169,14 +168,14 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, unnamed: bool = False) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents, all columns kept, with every hit span cut out of the text.
 
     Null and empty texts stay as they are, long texts are read whole, repeated
-    rows stay alike; items without an id count only if `unnamed`. An empty table stays
+    rows stay alike; items without an id count like others. An empty table stays
     empty, and with an empty benchmark nothing is cut.
     """
-    blocks = _blocks(benchmark, item, item_text, window, unnamed)
+    blocks = _blocks(benchmark, item, item_text, window)
     at = docs.columns.index(text)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +195,7 @@ def items_digest(items: list[str]) -> str:
 
 OP2_SQL = """
 WITH up AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
-iw AS (SELECT item_id, regexp_extract_all(translate(text, u, l), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark, up WHERE item_id IS NOT NULL AND text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(translate(text, u, l), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark, up WHERE text IS NOT NULL),
 ph AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS p, least(len(w), 10) AS size
        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
 dw AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, u, l), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents, up),

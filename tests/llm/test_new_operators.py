@@ -292,9 +292,9 @@ def test_items_without_an_id_are_hit(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     docs = spark.createDataFrame([(1, f"x {text} y"), (2, "none of it")], "doc_id long, text string")
     items = spark.createDataFrame([(None, text), (None, "none of it"), (7, "two three four five six seven eight nine ten eleven"), (8, None)], "item_id long, text string")
-    got = {r.doc_id: (r.n_hit, r.items) for r in decontamination.contamination(docs, items, unnamed=True).collect()}
+    got = {r.doc_id: (r.n_hit, r.items) for r in decontamination.contamination(docs, items).collect()}
     assert got == {1: (12, ["7", None]), 2: (3, [None])}
-    left = {r.doc_id: r.text for r in decontamination.decontaminated(docs, items, unnamed=True).collect()}
+    left = {r.doc_id: r.text for r in decontamination.decontaminated(docs, items).collect()}
     assert left[1].split() == ["x", "y"] and left[2].split() == []
 
 
@@ -307,3 +307,23 @@ def test_shards_of_tables_with_any_names(spark, tmp_path):
     assert sorted(map(tuple, back.select(*names).collect())) == sorted(rows)
     assert {(r.doc_id, r.shard) for r in placed.collect()} == {(r.doc_id, r._shard) for r in back.select("doc_id", F.col("_shard").cast("string").alias("_shard")).collect()}
     assert back.select("_shard").distinct().count() > 2
+
+
+def test_sql_counts_items_without_an_id_as_the_query_does(spark, tmp_path):
+    import duckdb
+
+    from ledgerloom.llm import queries as Q
+
+    passage = " ".join(f"w{k}" for k in range(14))
+    docs = [(1, f"a {passage.upper()} b"), (2, "w3 w4 w5"), (3, None), (4, "none here"), (4, "none here")]
+    items = [(None, passage), (None, "none here"), ("b", passage), ("a", "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), ("c", None)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = Q.op2_decontamination(spark, str(tmp_path))
+    with duckdb.connect() as con:
+        for t in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({Q.decontamination.OP2_SQL})").fetchall()
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == sorted(want)
+    assert [r[:4] for r in got] == [(1, 16, 14, 3), (2, 3, 0, 0), (3, 0, 0, 0), (4, 2, 2, 1), (4, 2, 2, 1)]

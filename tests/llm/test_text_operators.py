@@ -128,10 +128,10 @@ def brute_contamination(docs, items, window=10):
     split = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(s or ""))
     phrases = defaultdict(set)
     for k, t in items:
-        if k is not None and t is not None:
+        if t is not None:
             w = split(t)
             for i in range(max(1, len(w) - window + 1) if w else 0):
-                phrases[tuple(w[i : i + window])].add(str(k))
+                phrases[tuple(w[i : i + window])].add(None if k is None else str(k))
     out = []
     for t in docs:
         w, hit, found = split(t), set(), set()
@@ -140,13 +140,13 @@ def brute_contamination(docs, items, window=10):
                 if tuple(w[i : i + size]) in phrases:
                     hit.update(range(i, i + size))
                     found |= phrases[tuple(w[i : i + size])]
-        out.append((len(w), len(hit), sorted(found)))
+        out.append((len(w), len(hit), sorted(found, key=lambda k: (k is None, k))))
     return out
 
 
 def test_contamination(spark, odd, none):
     rng = random.Random(4)
-    items = [(k, prose(rng, rng.choice([3, 9, 10, 25]))) for k in range(30)] + [(30, None), (None, "null id item"), (31, ""), (5, "second text of five"), (32, "--- !!")]
+    items = [(k, prose(rng, rng.choice([3, 9, 10, 25]))) for k in range(30)] + [(30, None), (None, "null id item"), (None, "a null id"), (31, ""), (5, "second text of five"), (32, "--- !!")]
     docs = []
     for k in range(60):
         parts = [prose(rng, rng.randint(0, 30))]
@@ -164,7 +164,7 @@ def test_contamination(spark, odd, none):
         got = decontamination.contamination(df, bench).collect()
         decontamination.BLOCK_BYTES = old
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == want
-    assert any(h for _, _, h, _ in want)
+    assert any(h for _, _, h, _ in want) and any(None in i for *_, i in want)
     again = decontamination.contamination(decontamination.decontaminated(df, bench), bench)
     assert again.where("n_hit > 0").count() < df.count() / 20  # a cut may join words into a new phrase
     assert decontamination.decontaminated(odd, bench.limit(0)).count() == odd.count()
