@@ -23,21 +23,17 @@ def currency_text(amount: Column, layout: Column) -> Column:
     return F.when(layout.isin(DOT_LAYOUTS), F.translate(whole, ",", ".")).when(layout.isin(DECIMAL_LAYOUTS), F.format_number(amount, 2)).otherwise(whole)
 
 
-def _digit(n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, DIGITS)), n.cast("int") + 1)
-
-
-def _group_words(n: Column, inner: bool) -> Column:
-    """The words of 0-999; an inner group names its hundreds even at zero."""
-    hundreds, tens, ones = F.floor(n / 100), F.floor((n % 100) / 10), n % 10
-    spoken = (hundreds > 0) | F.lit(inner)
-    last = F.when((ones == 1) & (tens > 1), ONE_AFTER_TENS).when((ones == 5) & (tens > 0), FIVE_AFTER_TEN).when(ones > 0, _digit(ones))
+def _group_words(n: int, inner: bool) -> str:
+    """The words of 0-999; an inner group names its hundreds even at zero, a leading one begins with a capital."""
+    hundreds, tens, ones = n // 100, n // 10 % 10, n % 10
+    spoken = hundreds > 0 or inner
     parts = [
-        F.when(spoken, F.concat(_digit(hundreds), F.lit(f" {HUNDRED}"))),
-        F.when(tens == 1, TEN).when(tens > 1, F.concat(_digit(tens), F.lit(f" {TENS}"))).when(spoken & (ones > 0), ODD),
-        last,
+        f"{DIGITS[hundreds]} {HUNDRED}" if spoken else "",
+        TEN if tens == 1 else f"{DIGITS[tens]} {TENS}" if tens else ODD if spoken and ones else "",
+        ONE_AFTER_TENS if ones == 1 and tens > 1 else FIVE_AFTER_TEN if ones == 5 and tens else DIGITS[ones],
     ]
-    return F.concat_ws(" ", *parts)
+    said = " ".join(p for p in parts if p)
+    return said if inner else said[:1].upper() + said[1:]
 
 
 def number_words(n: Column) -> Column:
@@ -47,15 +43,14 @@ def number_words(n: Column) -> Column:
     numbers have null.
     """
     n = n.cast("long")
-    groups = [F.floor(n / 1000**k) % 1000 for k in range(4)]
+    # the split of a constant is a constant, so a group costs one look into an array
+    table = F.split(F.lit("|".join(_group_words(g, inner) for inner in (False, True) for g in range(1000))), "[|]")
     parts = []
     for k in (3, 2, 1, 0):
-        leading = (n < 1000 ** (k + 1)) if k < 3 else F.lit(True)
-        said = F.when(leading, _group_words(groups[k], False)).otherwise(_group_words(groups[k], True))
-        parts.append(F.when(groups[k] > 0, F.concat_ws(" ", said, F.lit(GROUPS[k]) if GROUPS[k] else F.lit(None))))
-    text = F.concat_ws(" ", *parts, F.lit(CURRENCY))
-    capital = F.concat(F.upper(F.left(text, F.lit(1))), F.substr(text, F.lit(2)))
-    return F.when(n == 0, f"{ZERO} {CURRENCY}").when((n > 0) & (n < 10**12), capital)
+        group = F.floor(n / 1000**k) % 1000
+        said = F.element_at(table, (group + F.when(n < 1000 ** (k + 1), 1).otherwise(1001)).cast("int"))
+        parts.append(F.when(group > 0, F.concat(said, F.lit(f" {GROUPS[k]}" if GROUPS[k] else ""))))
+    return F.when(n == 0, f"{ZERO} {CURRENCY}").when((n > 0) & (n < 10**12), F.concat_ws(" ", *parts, F.lit(CURRENCY)))
 
 
 def cash_received(total: Column, payment: Column, layout: Column) -> Column:

@@ -241,6 +241,39 @@ def test_plugins(spark):
     assert (rows[0]["token_ids"], rows[0]["word_ids"]) == ([1, 2, 1], [0, 0, 1])
 
 
+def test_images_that_fail_stay_as_they_were(spark):
+    def make():
+        def change(content):
+            if content == b"bad":
+                raise ValueError("no image")
+            return content[::-1]
+
+        return change
+
+    files = spark.createDataFrame([("a", b"abc", 3), ("b", b"bad", 3), ("c", None, 0), ("d", b"", 0)], "path string, content binary, length long")
+    got = {r["path"]: (None if r["content"] is None else bytes(r["content"]), r["length"]) for r in P.transformed_images(files, make).collect()}
+    assert got == {"a": (b"cba", 3), "b": (b"bad", 3), "c": (None, 0), "d": (b"", 0)}
+    assert P.transformed_images(files.limit(0), make).count() == 0
+
+
+def test_a_pick_hangs_on_the_keys_alone(spark):
+    df = spark.range(4000).select("id", F.array(F.lit("x"), F.lit("y"), F.lit("z")).alias("v"))
+    one = {r["id"]: r["p"] for r in df.select("id", I.pick(F.col("v"), F.col("id")).alias("p")).collect()}
+    two = {r["id"]: r["p"] for r in df.repartition(5).select("id", I.pick(F.col("v"), F.col("id")).alias("p")).collect()}
+    assert one == two
+    assert all(1200 < list(one.values()).count(name) < 1470 for name in "xyz")
+    other = {r["id"]: r["p"] for r in df.select("id", I.pick(F.col("v"), F.col("id"), F.lit("city")).alias("p")).collect()}
+    assert sum(one[k] != other[k] for k in one) > 2000
+    assert spark.range(1).select(I.pick(F.array(F.lit("only")), F.lit(None).cast("int")).alias("p")).first()["p"] == "only"
+
+
+def test_a_shuffled_order_is_fixed_and_whole(spark):
+    df = spark.range(500).withColumnRenamed("id", "doc_id")
+    first, again, other = ([r["doc_id"] for r in A.shuffled(rows, "doc_id", seed=s).collect()] for rows, s in ((df, 42), (df.repartition(9), 42), (df, 1)))
+    assert first == again and sorted(first) == list(range(500))
+    assert first != sorted(first) and first != other
+
+
 def test_places_in_groups_are_counted_by_ranges(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "b", None]), rng.randrange(300) if rng.random() < 0.95 else None, k) for k in range(2000)]
