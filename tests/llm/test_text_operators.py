@@ -581,6 +581,67 @@ def test_languages(spark, odd, none):
     assert {r["lang_pred"] for r in langid.identified(df, none).collect()} == {"und"}
 
 
+def brute_vector(text, idf=None):
+    """Hashed bigrams and trigrams of a text's letters, by plain loops: their counts, or the normalised vector."""
+    letters = "abcdefghijklmnopqrstuvwxyz".encode()
+    x = [c if c in letters or c >= 0x80 else 32 for c in b"\n" + lower(text).encode() + b"\n"] + [32, 32]
+    counts = Counter()
+    for i in range(len(x) - 3):
+        for gram in (x[i : i + 2], x[i : i + 3]):
+            if gram[1] != 32:
+                counts[(int.from_bytes(bytes(gram), "big") * 2654435761 % 2**32) * langid.DIMENSIONS >> 32] += 1
+    if idf is None:
+        return counts
+    out = np.zeros(langid.DIMENSIONS)
+    for k, n in counts.items():
+        out[k] = math.log(1 + n) * idf[k]
+    return out / (np.linalg.norm(out) or 1)
+
+
+def brute_centroids(rows):
+    """Farthest points first, then rounds of means of the nearest, by cosine."""
+    cosine = lambda a, b: float(a @ b)
+    middle = sum(rows) / len(rows)
+    chosen = [max(rows, key=lambda r: cosine(r, middle))]
+    while len(chosen) < min(langid.CENTROIDS, len(rows)):
+        chosen.append(min(rows, key=lambda r: max(cosine(r, c) for c in chosen)))
+    for _ in range(langid.ROUNDS):
+        own = [max(range(len(chosen)), key=lambda k: cosine(r, chosen[k])) for r in rows]
+        for k in set(own):
+            mean = sum(r for r, o in zip(rows, own, strict=True) if o == k)
+            chosen[k] = mean / np.linalg.norm(mean)
+    return chosen
+
+
+def test_languages_against_brute_force(spark):
+    rng = random.Random(12)
+    say = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnñé"}
+    texts = [(k, say(letters[lang], rng.randint(4, 30)) if rng.random() < 0.95 else "Zz 9", lang if rng.random() < 0.95 else None) for k, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    df = spark.createDataFrame([*texts, (900, None, "aa"), (901, "12 !", "bb")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identified(df, df.where("doc_id % 5 <> 0")).collect()}
+    taught = [(t, lang) for k, t, lang in [*texts, (901, "12 !", "bb")] if k % 5 and lang]
+    seen = Counter(k for t, _ in taught for k in brute_vector(t))
+    idf = [math.log((len(taught) + 1) / (seen[k] + 1)) + 1 for k in range(langid.DIMENSIONS)]
+    model = {}
+    for lang in letters:
+        rows = [brute_vector(t, idf) for t, own in taught if own == lang]
+        centroids = brute_centroids(rows)
+        model[lang] = centroids, np.quantile([max(r @ c for c in centroids) for r in rows], langid.REJECT_QUANTILE)
+    alike = 0
+    for k, t, _ in texts:
+        v = brute_vector(t, idf)
+        near = {lang: max(v @ c for c in centroids) for lang, (centroids, _) in model.items()}
+        first, second = sorted(near, key=near.get, reverse=True)[:2]
+        assert got[k]["score"] == pytest.approx(near[first], abs=0.01)
+        if near[first] - near[second] > 0.02:
+            alike += 1
+            assert got[k]["lang_pred"] == first
+            if abs(near[first] - model[first][1]) > 0.02:
+                assert got[k]["rejected"] == (near[first] < model[first][1])
+    assert alike > 100 and {got[900]["lang_pred"], got[901]["lang_pred"]} == {"und"}
+
+
 def test_clusters_are_several():
     rng = np.random.default_rng(1)
     rows = np.concatenate([rng.normal(c, 0.05, (30, 3)) for c in np.eye(3)]).astype(np.float32)
