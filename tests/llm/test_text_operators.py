@@ -932,6 +932,49 @@ def test_fitted_bands_reject_what_no_other_text_of_the_language_is_like(spark):
     assert all(r["band_failed"] is False for r in few if r["doc_id"] < 20)
 
 
+def brute_fences(rows, measures):
+    """[lower quarter, upper quarter, width] of each measure over the rows that pass the base rule."""
+    out = {}
+    for m in measures:
+        values = sorted(r[m] for r in rows if r[m] is not None)
+        q = [values[math.ceil(p * len(values)) - 1] for p in (0.25, 0.5, 0.75)]
+        slack = {"chars_per_token": 0.1 * q[1], "byte_share": 0.02, "evenness": 0.05}[m.split("_", 1)[1]]
+        out[m] = q[0], q[2], max(2 * (q[2] - q[0]), slack)
+    return out
+
+
+def test_kept_against_brute_force(spark, odd):
+    """Bands by language and script, by script alone for a small language, wider for short texts, none for a rare script."""
+    rng = random.Random(21)
+    stems = ["the", "house", "river", "walking", "people", "under", "morning", "something", "garden", "quiet", "letter", "mountain"]
+    noise = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
+    rows = []
+    for k in range(460):
+        lang, n = ("en", "xx", None, "few")[0 if k < 150 else 1 if k < 300 else 2 if k < 430 else 3], rng.choice([22, 60, 250])
+        strange = rng.random() * rng.choice([0, 0.1, 0.1, 1])
+        rows.append((k, " ".join(noise(rng.randint(4, 12)) if rng.random() < strange else rng.choice(stems) + (str(k) if lang == "xx" else rng.choice(["", "s", "."])) for _ in range(n)), lang))
+    rows += [(900 + k, " ".join("слово" + rng.choice("абвгд") + str(rng.randint(0, 99)) for _ in range(60)), "ru") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(odd.select("doc_id", "text", "lang"))
+    measured = [r.asDict() for r in fertility.measures(df, language="lang").collect()]
+    names = [m for m in measured[0] if m.split("_", 1)[-1] in ("chars_per_token", "byte_share", "evenness")]
+    good = [r for r in measured if not r["base_failed"]]
+    groups = defaultdict(list)
+    for r in good:
+        groups[r["script"], r["language"]].append(r)
+        groups[r["script"]].append(r)
+    bands = {k: brute_fences(g, names) for k, g in groups.items() if len(g) >= 100}
+    want = Counter()
+    for r in measured:
+        band, outside = bands.get((r["script"], r["language"])) or bands.get(r["script"]) or {}, not r["within"]
+        for m, (low, high, width) in band.items():
+            width *= math.sqrt(max(1, 200 / max(1, r[m.split("_", 1)[0] + "_tokens"])))
+            outside |= r[m] is not None and not low - width <= r[m] <= high + width
+        want[r["doc_id"], r["n_words"], outside, not r["base_failed"] and not outside] += 1
+    got = fertility.quality_rules(df).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["band_failed"], r["kept"]) for r in got) == want
+    assert len(bands) == 4 and sum(not r["base_failed"] and r["band_failed"] for r in got) > 20 and sum(r["kept"] for r in got) > 200
+
+
 def test_damaged_utf8_is_judged(spark):
     bad = spark.sql("SELECT 1L AS doc_id, cast(unhex(repeat('FF20', 60)) AS string) AS text, 'en' AS lang UNION ALL SELECT 2L, cast(unhex('C3A9C3') AS string), 'en'")
     assert sorted(r["doc_id"] for r in fertility.quality_rules(bad).collect()) == [1, 2]
