@@ -131,8 +131,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words and no spans; a text of any length is one slice at most. Benchmark rows
     with a null text are no items; those with a null id are one item, which
     `items` has as a null, last, as rows that repeat an id are one item. With an empty benchmark nothing is hit; an empty table
-    gives no rows. Repeated rows and null ids of documents have a row each; other
-    columns are ignored.
+    gives no rows. Repeated rows and null ids of documents have a row each, and
+    a very long text is one piece of work of one task; other columns are ignored.
     """
     blocks = _blocks(benchmark, item, item_text, window)
     kind = docs.schema[id_col].dataType

@@ -277,7 +277,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
     `language` names a column whose values part the bands of a script (None, or
     no such column: by script alone; null languages are a group of their own). A
     measure that is null passes. Repeated rows are judged alike; texts that are
-    null or empty fail the base rule; an empty table gives no rows.
+    null or empty fail the base rule; a very long text is measured whole, by one
+    task; an empty table gives no rows.
     """
     language = language if language in docs.columns else None
     measured = measures(docs, id_col, text, language=language, **options)

@@ -90,8 +90,9 @@ def identified(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text:
 
     A null text, or one without a letter, is "und" with score 0 and rejected; so
     is every text where there is nothing to learn from. Ties go to the language
-    that sorts first. Repeated rows get the same prediction; other columns are
-    ignored; an empty table gives no rows.
+    that sorts first. A very long text is read whole, by one task. Repeated rows
+    get the same prediction; other columns are ignored; an empty table gives no
+    rows.
     """
     spark = docs.sparkSession
     taught = train.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("__text"), F.xxhash64(F.col(id_col), F.col(text)).alias("h")).where("lang IS NOT NULL AND __text IS NOT NULL")

@@ -64,8 +64,9 @@ def packed(docs: DataFrame, capacity: int = 2048, group_size: int = 4096, id_col
     bins don't hang on the order of the table. `cluster` names a column
     with the duplicate cluster; without it texts that are equal form a cluster.
     A null or wordless text has one row with a null bin. A null id is packed
-    like any other; repeated rows are packed once each. Other columns are
-    ignored.
+    like any other; repeated rows are packed once each. A very long text is only
+    counted whole; its pieces are packed like others. Other columns are ignored;
+    an empty table gives no rows.
     """
     n = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     group = F.col(cluster).cast("string") if cluster else F.xxhash64(F.col(text)).cast("string")

@@ -197,8 +197,9 @@ def scored(docs: DataFrame, train: str, id_col: str = "doc_id", text: str = "tex
     with the token's count c, the N training tokens and their V kinds. score is
     the log10 probability of the text's bytes and end. Null texts count as
     empty, which have the end alone; without training rows c, N and V are 0 and
-    all bytes are alike. Words are told apart by a 64-bit hash. Repeated rows
-    and null ids are scored like others; other columns are ignored.
+    all bytes are alike. Words are told apart by a 64-bit hash. A very long text
+    is one slice of one task. Repeated rows and null ids are scored like others;
+    other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     marked = docs.withColumn("__train", F.coalesce(F.col(train), F.lit(False)))

@@ -128,8 +128,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(doc_id, columns to carry, fp, component_id) of each input row; component_id is the smallest id that links reach, the row's own included.
 
     Null ids take part; they have the component's smallest id, or null where all
-    ids of it are null. Repeated rows come out as often as they came in. Other
-    columns are ignored; an empty table gives no rows.
+    ids of it are null. Null, empty and wordless texts have fingerprint zero; a
+    very long text is hashed whole, by one task. Repeated rows come out as often
+    as they came in. Other columns are ignored; an empty table gives no rows.
     """
     rows = cut(fingerprints(docs, id_col, text, carry))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))

@@ -181,8 +181,9 @@ def probabilities(texts: list[bytes], chosen: np.ndarray, weights: list[np.ndarr
 def scored(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], chain: list[str], id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, columns to carry, p_<label> for each label of the chain) of each input row.
 
-    A null or wordless text has the probabilities of a text without features;
-    ids may be null or repeat; other columns are ignored.
+    A null or wordless text has the probabilities of a text without features; a
+    very long one is scored whole, by one task. Ids may be null or repeat; other
+    columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [id_col, *carry]
@@ -198,7 +199,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], chain: l
 def classified(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """scored() by a chain trained here, and `toxic`: whether the chain's last label has `threshold` or more.
 
-    Without labelled documents every probability is 0.5 and nothing is toxic.
+    Without labelled documents every probability is 0.5 and nothing is toxic; a
+    probability of just `threshold` is. Texts, ids and tables as in `scored`.
     """
     model = trained(docs, labels, list(chain), id_col, text)
     last = F.col(f"p_{chain[-1]}")
