@@ -565,6 +565,61 @@ def test_toxicity_chain(spark, odd, none):
     assert kept.columns == ["doc_id", "text", "toxic"] and 0 < kept.count() < docs.count()
 
 
+def brute_features(text):
+    found = set()
+    for word in re.findall(rb"[0-9a-z\x80-\xff]+", lower(text or "").encode()):
+        found |= {word, *((n, word[:n]) for n in toxicity.PREFIXES if len(word) > n)}
+    return found
+
+
+def brute_fit(x, y):
+    """Logistic regression by the same descent, on a dense table whose last column is one."""
+    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    free = np.append(np.ones(x.shape[1] - 1), 0)
+    for step in range(1, toxicity.STEPS + 1):
+        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(y) + toxicity.L2 * w * free / 10
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return w
+
+
+def test_toxicity_chain_against_brute_force(spark):
+    """The same features chosen, out-of-fold odds passed on, and probabilities, from tables of texts and labels held whole."""
+    docs, labels = toxic_table(spark, 160)
+    taught = labels.where("doc_id % 4 <> 0")
+    got = {r["doc_id"]: r for r in toxicity.classified(docs, taught).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = sorted((r["doc_id"], r["quality"], r["toxic"], r["fold"]) for r in taught.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.FOLDS))).collect())
+    has = {k: brute_features(t) for k, t in texts.items()}
+    total, chosen = len(rows), set()
+    for feature in set().union(*(has[r[0]] for r in rows)):
+        n = sum(feature in has[r[0]] for r in rows)
+        for column in (1, 2):
+            share = sum(r[column] for r in rows) / total
+            hits = sum(r[column] for r in rows if feature in has[r[0]])
+            if n >= toxicity.LEAST_DOCS and (hits - n * share) ** 2 / (n * share * (1 - share) * (1 - n / (total + 1)) + 1e-9) > toxicity.LEAST_CHI:
+                chosen.add(feature)
+    order = sorted(chosen, key=str)
+    assert 2 < len(order) < toxicity.SELECTED
+    table = lambda ids, *extra: np.array([[float(f in has[k]) for f in order] + [e[k] for e in extra] + [1.0] for k in ids])
+    odds_of = lambda w, ids, *extra: dict(zip(ids, np.clip(table(ids, *extra) @ w, -10, 10).tolist(), strict=True))
+    passed = {}
+    for fold in range(toxicity.FOLDS):
+        inside = [r for r in rows if r[3] != fold]
+        w = brute_fit(table([r[0] for r in inside]), np.array([r[1] for r in inside]))
+        passed |= odds_of(w, [r[0] for r in rows if r[3] == fold])
+    ids = [r[0] for r in rows]
+    first = brute_fit(table(ids), np.array([r[1] for r in rows]))
+    second = brute_fit(table(ids, passed), np.array([r[2] for r in rows]))
+    quality = odds_of(first, list(texts))
+    toxic = odds_of(second, list(texts), quality)
+    for k in texts:
+        want = [1 / (1 + math.exp(-z[k])) for z in (quality, toxic)]
+        assert [got[k]["p_quality"], got[k]["p_toxic"]] == pytest.approx(want, abs=1e-4)
+        assert got[k]["toxic"] == (got[k]["p_toxic"] >= toxicity.THRESHOLD)
+    assert any(r["toxic"] for r in got.values()) and not all(r["toxic"] for r in got.values())
+
+
 def test_languages(spark, odd, none):
     rng = random.Random(3)
     say = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
