@@ -973,6 +973,24 @@ def test_pipeline_with_awkward_rows(spark, sf_dir, tmp_path):
     assert any(r["doc_id"] is None for r in out)
 
 
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_of_an_empty_table_and_of_clashing_names(spark, sf_dir, tmp_path, empty):
+    """No rows give no rows; columns named as the stages name their own change nothing."""
+    import corpus_pipeline
+
+    docs = table(spark, sf_dir, "documents").orderBy("doc_id").limit(0 if empty else 40)
+    clash = ["id", "hash", "spans", "own", "mark", "item", "items", "root", "bucket", "shingles", "toxic", "fp", "bin", "piece", "position", "n_tokens", "cluster", "component_id", "words"]
+    found = {}
+    for name, rows in (("plain", docs), ("clash", docs.withColumns({c: F.lit("x") for c in clash}))):
+        for t in ("labels", "benchmark"):
+            table(spark, sf_dir, t).write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        found[name] = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+    assert found["plain"].columns == found["clash"].columns
+    got = {name: sorted(map(str, df.collect())) for name, df in found.items()}
+    assert got["plain"] == got["clash"] and bool(got["plain"]) != empty
+
+
 def test_fitted_bands_reject_what_no_other_text_of_the_language_is_like(spark):
     rng = random.Random(15)
     vocabulary = ["the", "house", "river", "walking", "people", "under", "morning", "something", "wonderful", "answer", "garden", "quiet", "letter", "mountain", "between", "children"]
