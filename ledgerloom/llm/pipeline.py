@@ -33,8 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of copies and near copies. Null and empty texts are one group; of rows alike in id and text one stays."""
-    return simhash.deduplicated(docs)
+    """One document, that of the smallest id, of each group of copies and near copies: by SimHash, and by the shingles of what its 3 bits don't reach. Null and empty texts are one group; of rows alike in id and text one stays."""
+    return simhash.deduplicated(docs, by_fingerprint=True)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

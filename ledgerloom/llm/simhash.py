@@ -124,6 +124,13 @@ class NearValues:
         return lambda one, many: self.pairs(rows, one, many)
 
 
+def fingerprint_roots(prints: DataFrame) -> DataFrame:
+    """The rows, one a fingerprint `fp`, with `root`: the fingerprints that links of MAX_BITS bits at most connect have one."""
+    roots = components(bucket_links(anchor_rows(prints).withColumnRenamed("fp", "item"), NearValues(["item"], MAX_BITS)))
+    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return rooted.withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, columns to carry, fp, component_id) of each input row; component_id is the smallest id that links reach, the row's own included.
 
@@ -134,9 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     rows = cut(fingerprints(docs, id_col, text, carry))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(bucket_links(anchor_rows(prints).withColumnRenamed("fp", "item"), NearValues(["item"], MAX_BITS)))
-    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
+    rooted = fingerprint_roots(prints)
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rows.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", *carry, "fp", "component_id")
 
@@ -282,15 +287,30 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     return named.select("doc_id", "text_hash", F.col("node").alias("words_hash"), F.coalesce("root", "node").alias("root"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _joined_by_fingerprints(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """The rows (text_hash, root) with roots over near fingerprints as well. prints: (text_hash, fp), a row a text."""
+    near = fingerprint_roots(cut(prints.select("fp").distinct()))
+    group = prints.join(near, "fp").select("text_hash", F.xxhash64(F.lit("fp"), "root").alias("b"))
+    pairs = written(rows.select("text_hash", F.col("root").alias("a")).distinct().join(group, "text_hash").select("a", "b").distinct())
+    several = pairs.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
+    joined = components(written(pairs.join(several, "b"))).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+    return rows.join(joined, "root", "left").withColumn("root", F.coalesce("joined", "root")).drop("joined")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by_fingerprint: bool = False) -> DataFrame:
     """One document of each group of similar documents, all columns kept: that of the smallest id, then text hash; null ids come last.
 
-    Of rows alike in id and text any one stays. Null and empty texts are one
+    Documents are similar by similar_documents(); `by_fingerprint` adds the
+    links of near_duplicates(), of SimHash fingerprints that differ in MAX_BITS
+    bits at most, and links of both kinds make the groups. Of rows alike in id and text any one stays. Null and empty texts are one
     group; an empty table stays empty.
     """
     hash_, id_, own = free_names(docs, "hash", "id", "own")
     hashed = docs.withColumn(hash_, F.xxhash64(F.col(text)))
     rows = written(similar_documents(docs, id_col, text))
+    if by_fingerprint:
+        prints = written(fingerprints(hashed, hash_, text).select(F.col("doc_id").alias("text_hash"), "fp").distinct())
+        rows = written(_joined_by_fingerprints(rows, prints))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
     stays = rows.groupBy("root").agg(F.min(order).alias("r")).select(F.col("r.id").alias(id_), F.col("r.h").alias(own))
     kept = hashed.join(stays, hashed[id_col].eqNullSafe(stays[id_]) & (hashed[hash_] == stays[own]), "left_semi")

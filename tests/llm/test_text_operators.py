@@ -263,6 +263,32 @@ def test_similar_documents(spark, odd, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def test_deduplicated_takes_simhash_links(spark):
+    """Of short texts with a changed word the shingles' similarity is under 0.8; near fingerprints link them all the same, also through a near copy."""
+    import corpus_pipeline
+
+    rng = random.Random(77)
+    made, pairs = [], []
+    while len(pairs) < 3:
+        w = prose(rng, 90).split()
+        for at in range(10, 90, 4):
+            v = list(w)
+            v[at] = v[at - 4] = v[(at + 37) % 90] = "new"
+            a, b = " ".join(w), " ".join(v)
+            x, y = brute_shingles(a), brute_shingles(b)
+            apart = simhash.fingerprint(simhash.shingle_hashes(a.encode())) ^ simhash.fingerprint(simhash.shingle_hashes(b.encode()))
+            if len(x & y) < 0.8 * len(x | y) and apart.bit_count() <= simhash.MAX_BITS:
+                pairs.append((a, b))
+                break
+    for k, (a, b) in enumerate(pairs):
+        made += [(10 * k + 1, a), (10 * k + 2, b), (10 * k + 3, b + " end"), (10 * k + 4, prose(rng, 80))]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    want = sorted(k for k, _ in made if k % 10 in (1, 4))
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs, by_fingerprint=True).collect()) == want
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == want
+
+
 def test_block_edits_and_cuts_are_near_copies(spark):
     rng = random.Random(31)
     edits = [
