@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import words
+from .text import bound, words
 
 
 # Fixed value: how far a fold reaches, as a share of the page.
@@ -106,9 +106,9 @@ def split_words(text: Column, x1: Column, y1: Column, x2: Column, y2: Column, po
 
     parts = words(text)
     if policy == "equal":
-        return _bound(parts, lambda w: placed(w, w))
+        return bound(parts, lambda w: placed(w, w))
     ends = _running(F.transform(parts, F.length))
-    return _bound(F.struct(parts.alias("w"), ends.alias("e")), lambda both: placed(both["w"], both["e"]))
+    return bound(F.struct(parts.alias("w"), ends.alias("e")), lambda both: placed(both["w"], both["e"]))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -117,11 +117,6 @@ def _running(lengths: pd.Series) -> pd.Series:
     return lengths.map(lambda x: np.concatenate([[0], np.cumsum(x)]).astype(np.int32), na_action="ignore")
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value worked out once a row, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def padded(box: Column, pad: int, width: Column, height: Column) -> Column:
     """A crop rectangle widened by `pad` and cut at the page's edges."""
     zero = F.lit(0.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ def contains_any(c: Column, needles: list[str]) -> Column:
     return found
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(c: Column) -> Column:
     """Tokens between white space, without empty ones."""
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")

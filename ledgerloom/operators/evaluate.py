@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import blank_to_null
+from ledgerloom.functions.text import blank_to_null, bound
 
 
 def field_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str], lines: DataFrame | None = None, document: str = "doc_id") -> DataFrame:
@@ -72,6 +72,17 @@ def entity_confusion(truth: DataFrame, predicted: DataFrame, by: list[str], keys
     )
 
 
+def entity_counts(truth: Column, predicted: Column) -> Column:
+    """array<struct<label, tp, fp, fn>> whose sums by label are entity_confusion(); of one text whose spans (label, start, end), none twice, are lists."""
+    long = lambda v: F.lit(v).cast("long")
+    counted = lambda label, tp, fp, fn: F.struct(label.alias("label"), long(tp).alias("tp"), long(fp).alias("fp"), long(fn).alias("fn"))
+    keys = lambda spans: F.transform(spans, lambda s: F.concat_ws(" ", s["start"], s["end"], s["label"]))
+    label = lambda key: F.regexp_replace(key, "^[0-9]+ [0-9]+ ", "")
+    both = lambda x: F.transform(F.array_intersect(keys(x["a"]), keys(x["b"])), lambda key: counted(label(key), 1, -1, -1))
+    one = lambda spans, fp, fn: F.transform(spans, lambda s: counted(s["label"], 0, fp, fn))
+    return bound(F.struct(truth.alias("a"), predicted.alias("b")), lambda x: F.concat(one(x["a"], 0, 1), one(x["b"], 1, 0), both(x)))
+
+
 def token_accuracy(rows: DataFrame, by: list[str], truth: str = "tag", predicted: str = "pred", ignore: str | None = None) -> DataFrame:
     """(by, n, accuracy) over the tokens that aren't ignored."""
     kept = rows.where(F.col(truth) != ignore) if ignore is not None else rows

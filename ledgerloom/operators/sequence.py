@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.text import stripped
+from ledgerloom.functions.text import bound, stripped
 
 from .labels import FIELDS
 
@@ -24,7 +24,7 @@ def emitted_tag(label: Column, place: Column) -> Column:
 
 
 def _label(tag: Column) -> Column:
-    return F.when(tag.rlike("^[BI]-"), F.substr(tag, F.lit(3)))
+    return F.when(tag.startswith("B-") | tag.startswith("I-"), F.substr(tag, F.lit(3)))
 
 
 def spans_lenient(tags: DataFrame, key: str = "doc_id", place: str = "word_no", word: str = "word", tag: str = "tag") -> DataFrame:
@@ -113,6 +113,103 @@ def _every_field(tags: DataFrame, found: DataFrame, key: str, fields: list[str],
     return grid.join(found, [key, "label"], "left").select(key, "label", F.coalesce(F.nullif("text", F.lit("")), absent).alias("text"))
 
 
+# --- the same decoders over lists: a text's words and tags in order are one row, and nothing is shuffled or sorted
+
+
+def _positions(c: Column) -> Column:
+    """0, 1, ... of a list that isn't empty."""
+    return F.sequence(F.lit(0), F.size(c) - 1)
+
+
+def _span(label: Column, start: Column, end: Column, words: Column) -> Column:
+    return F.struct(label.alias("label"), start.cast("long").alias("start"), end.cast("long").alias("end"), F.array_join(words, " ").alias("text"))
+
+
+def lenient_list(words: Column, tags: Column, texts: bool = True) -> Column:
+    """array<struct<label, start, end, text>>: spans_lenient() of one text whose words and tags are lists of one length, not empty; `texts` false: null for each text."""
+
+    def found(x: Column) -> Column:
+        at = lambda i: F.get(x["l"], i)
+        starts = lambda i: at(i).isNotNull() & (F.get(x["t"], i).startswith("B-") | ~at(i).eqNullSafe(at(i - 1)))
+        heads = F.filter(_positions(x["t"]), starts)
+        ends = F.filter(_positions(x["t"]), lambda i: at(i).isNotNull() & (at(i + 1).isNull() | starts(i + 1)))
+        return F.transform(F.arrays_zip(heads.alias("s"), ends.alias("e")), lambda p: _span(at(p["s"]), p["s"], p["e"], F.slice(x["w"], p["s"] + 1, p["e"] - p["s"] + 1) if texts else F.lit(None).cast("array<string>")))
+
+    named = lambda t: F.when(_label(t) != "OTHER", _label(t))
+    return bound(F.struct(words.alias("w"), tags.alias("t")), lambda x: bound(F.struct(x["w"].alias("w"), x["t"].alias("t"), F.transform(x["t"], named).alias("l")), found))
+
+
+def _segments(x: Column, begins, use) -> Column:
+    """use(first, after) of each stretch of positions from one that begins to before the next, nulls left out."""
+    size = F.size(x["t"])
+    parts = bound(F.filter(_positions(x["t"]), begins), lambda b: F.transform(b, lambda s, k: F.struct(s.alias("s"), F.coalesce(F.get(b, k + 1), size).alias("e"))))
+    return F.filter(F.transform(parts, lambda p: use(p["s"], p["e"])), lambda v: v.isNotNull())
+
+
+def strict_list(words: Column, tags: Column) -> Column:
+    """array<struct<label, start, end, text>>: spans_strict() of one text whose words and tags are lists of one length, not empty."""
+
+    def found(x: Column) -> Column:
+        at = lambda i: F.get(x["t"], i)
+
+        def entity(s: Column, e: Column) -> Column:
+            places = F.filter(F.sequence(s, e - 1), lambda i: _label(at(i)) == _label(at(s)))
+            made = bound(places, lambda own: _span(_label(at(s)), s, F.element_at(own, -1), F.transform(own, lambda i: F.get(x["w"], i))))
+            return F.when(at(s).startswith("B-") & (_label(at(s)) != "OTHER"), made)
+
+        return _segments(x, lambda i: ~F.coalesce(at(i).startswith("I-"), F.lit(False)), entity)
+
+    return bound(F.struct(words.alias("w"), tags.alias("t")), found)
+
+
+def flushing_list(words: Column, tags: Column, fields: list[str] = FIELDS) -> Column:
+    """array<struct<label, text>>: spans_flushing() of one text, in the order of their position."""
+
+    def found(x: Column) -> Column:
+        at = lambda i: F.get(x["t"], i)
+        name = lambda i: F.substr(at(i), F.lit(3))
+        begins = lambda i: F.coalesce(at(i).startswith("B-"), F.lit(False))
+        opens = lambda i: begins(i) & name(i).isin(list(fields))
+
+        def written(s: Column, e: Column) -> Column:
+            goes_on = lambda i: (i == s) | F.coalesce(at(i).startswith("I-") & (name(i) == name(s)), F.lit(False))
+            stop = F.coalesce(F.get(F.filter(F.sequence(s, e - 1), lambda i: ~goes_on(i) & ~begins(i)), F.lit(0)), e)
+            return bound(stop, lambda until: bound(F.sequence(s, until - 1), lambda held: bound(F.filter(held, goes_on), lambda own: F.transform(
+                F.concat(F.filter(held, lambda i: ~goes_on(i)), F.array(until)),
+                lambda end: F.struct(name(s).alias("label"), F.array_join(F.transform(F.filter(own, lambda i: i < end), lambda i: F.get(x["w"], i)), " ").alias("text")),
+            ))))
+
+        return F.flatten(_segments(x, opens, written))
+
+    return bound(F.struct(words.alias("w"), tags.alias("t")), found)
+
+
+def decoded_list(words: Column, tags: Column, variant: str = "B", fields: list[str] | None = None) -> Column:
+    """array<struct<label, text>>: decoded() of one text whose words and tags are lists of one length, not empty."""
+    if variant not in ("A", "B", "C", "C4", "D"):
+        raise ValueError(f"unknown variant {variant}")
+    own = fields or {"A": GUIDE_FIELDS, "B": None, "C": FIELDS, "C4": FIELDS[:4], "D": FORM_FIELDS}[variant]
+    spans = lenient_list(words, tags) if variant == "B" else strict_list(words, tags) if variant in ("A", "D") else flushing_list(words, tags)
+
+    def joined(x: Column) -> Column:
+        present = F.array_distinct(F.transform(x, lambda s: s["label"]))
+        names = F.array(*map(F.lit, own)) if own else present
+        if variant == "A":
+            names = F.array_intersect(names, present)
+        text = lambda f: stripped(F.array_join(F.transform(F.filter(x, lambda s: s["label"] == f), lambda s: s["text"]), " "))
+        absent = F.lit(None).cast("string") if variant in ("C", "C4") else F.lit("")
+        value = (lambda f: text(f)) if variant in ("A", "B") else (lambda f: F.coalesce(F.nullif(text(f), F.lit("")), absent))
+        return F.transform(names, lambda f: F.struct(f.alias("label"), value(f).alias("text")))
+
+    return bound(spans, joined)
+
+
+def first_vote_list(tokens: Column, place: str = "token_no", label: str = "label", skip_outside: bool = False) -> Column:
+    """first_vote() of one word whose tokens are a list of structs."""
+    votes = lambda x: x[label].isNotNull() & x[place].isNotNull() & ((x[label] != "O") if skip_outside else F.lit(True))
+    return F.coalesce(F.array_min(F.transform(F.filter(tokens, votes), lambda x: F.struct(x[place], x[label])))[label], F.lit("O"))
+
+
 def first_vote(tokens: DataFrame, keys: list[str], place: str = "token_no", label: str = "label", skip_outside: bool = False) -> DataFrame:
     """(keys, label): the label of each word's first token, or of its first token that isn't outside; O without one."""
     where = F.col(label).isNotNull() & ((F.col(label) != "O") if skip_outside else F.lit(True))
