@@ -88,27 +88,29 @@ def split_words(text: Column, x1: Column, y1: Column, x2: Column, y2: Column, po
         raise ValueError(f"unknown policy {policy}")
     width = x2 - x1
 
-    def placed(w: Column, ends: Column) -> Column:
+    def share_of(w: Column, ends: Column) -> Column:
+        """The width of a letter, a word or a character; for once a line, as a text's length takes a walk through it."""
+        parts = {"proportional": lambda: F.get(ends, F.size(w)), "equal": lambda: F.size(w), "per_char": lambda: F.length(text)}[policy]()
+        return width / F.greatest(F.lit(1), parts)
+
+    def placed(w: Column, ends: Column, share: Column) -> Column:
         """w: the words; ends: letters up to and with each word, led by 0."""
         before = lambda i: F.get(ends, i)
         if policy == "proportional":
-            share = width / F.greatest(F.lit(1), F.get(ends, F.size(w)))
             left = lambda i: x1 + before(i) * share + i * (width * 0.02)
             box = lambda t, i: F.array(left(i), y1, left(i) + F.length(t) * share, y2)
         elif policy == "equal":
-            share = width / F.greatest(F.lit(1), F.size(w))
             box = lambda t, i: F.array(_whole(x1 + i * share), y1, _whole(x1 + (i + 1) * share), y2)
         else:
-            share = width / F.greatest(F.lit(1), F.length(text))
             left = lambda i: x1 + (before(i) + i) * share
             box = lambda t, i: F.array(_whole(left(i)), _whole(y1), _whole(left(i) + F.length(t) * share), _whole(y2))
         return F.transform(w, lambda t, i: F.struct(t.alias("word"), box(t, i).alias("box")))
 
     parts = words(text)
     if policy == "equal":
-        return bound(parts, lambda w: placed(w, w))
+        return bound(parts, lambda w: bound(share_of(w, w), lambda share: placed(w, w, share)))
     ends = _running(F.transform(parts, F.length))
-    return bound(F.struct(parts.alias("w"), ends.alias("e")), lambda both: placed(both["w"], both["e"]))
+    return bound(F.struct(parts.alias("w"), ends.alias("e")), lambda both: bound(share_of(both["w"], both["e"]), lambda share: placed(both["w"], both["e"], share)))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

@@ -92,3 +92,19 @@ def test_reading_order_is_linear(spark):
     began = time.time()
     row = reading_order(df).agg(F.count("*").alias("n"), F.max("line_no").alias("lines"), F.max("place").alias("places")).first()
     assert tuple(row) == (100_000, 9_999, 9) and time.time() - began < 30
+
+
+def test_split_words_measures_a_line_once(spark):
+    """One line of 40,000 words: a length of the whole line for each word would take 40,000 walks through 280,000 characters."""
+    from time import perf_counter
+
+    rows = spark.range(4).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(39_999)), lambda k: F.concat(F.lit("é"), k))).alias("text"))
+    rows = rows.withColumns({"x1": F.lit(10), "x2": F.length("text") * 8 + 10, "y1": F.lit(0), "y2": F.lit(16)})
+    c = F.col
+    for policy in ("per_char", "proportional", "equal"):
+        words = G.split_words(c("text"), c("x1"), c("y1"), c("x2"), c("y2"), policy)
+        start = perf_counter()
+        assert rows.select(F.sum(F.size(words))).first()[0] == 160_000
+        found = rows.limit(1).select(F.element_at(words, -1)["box"].alias("b"), "x2").first()
+        assert perf_counter() - start < 12
+        assert policy == "proportional" or abs(found.b[2] - found.x2) <= 1
