@@ -1,9 +1,9 @@
 """Classification by rules that are rows of a table: keywords in families, priorities, places and patterns.
 
-All keywords are one Aho-Corasick automaton, so a line is read once however many
-there are. Rules travel to the tasks in blocks of bounded size, each broadcast as
-one automaton; a rule table of up to BLOCK_BYTES is one block, a larger one more,
-and every line is read once for each.
+The keywords of a rule table of up to BLOCK_BYTES are one Aho-Corasick automaton,
+which is broadcast, so a line is read once however many there are. A larger table
+stays where it is: the parts of the lines that are as long as some keyword are
+joined with the keywords, so neither the driver nor a task holds the rules.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +23,7 @@ from . import rules as R
 
 #: rule_no: the lower goes first. under: the rule holds above this place only. pattern: what the line must match as well.
 RULE = "rule_no int, label string, keyword string, under double, pattern string"
-#: Characters of keywords, patterns and labels that one broadcast holds at most (or one rule).
+#: Characters of keywords, patterns and labels that the automaton is made of at most.
 BLOCK_BYTES = 16 << 20
 #: Lines that are read at once.
 SLICE = 4096
@@ -90,18 +90,30 @@ class Block:
         return line[holds], rule[holds]
 
 
-def _blocks(rules: DataFrame) -> list[Broadcast]:
-    """The rules, upper-cased by Spark as the lines are, in broadcasts of bounded size; empty keywords and those with a NUL are no rules."""
-    rows = rules.select("rule_no", "label", F.upper("keyword").alias("keyword"), F.col("under").cast("double"), "pattern").where("keyword <> '' AND rule_no IS NOT NULL")
-    out, held, size = [], [], 0
-    for row in rows.where(~F.contains("keyword", F.lit(_BETWEEN))).toLocalIterator():
-        weight = sum(len(v) for v in (row.label, row.keyword, row.pattern) if v)
-        if held and size + weight > BLOCK_BYTES:
-            out.append(rules.sparkSession.sparkContext.broadcast(Block(held)))
-            held, size = [], 0
-        held.append(tuple(row))
-        size += weight
-    return [*out, rules.sparkSession.sparkContext.broadcast(Block(held))] if held else out
+def _rules(rules: DataFrame) -> DataFrame:
+    """The rules, upper-cased by Spark as the lines are; empty keywords and those with a NUL are no rules."""
+    rows = rules.select("rule_no", "label", F.upper("keyword").alias("keyword"), F.col("under").cast("double").alias("under"), "pattern").where("keyword <> '' AND rule_no IS NOT NULL")
+    return rows.where(~F.contains("keyword", F.lit(_BETWEEN)))
+
+
+@F.pandas_udf(T.BooleanType())
+def _matches(pattern: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([p is None or re.search(p, t, re.ASCII) is not None for p, t in zip(pattern, text, strict=True)], dtype=bool)
+
+
+def _joined(lines: DataFrame, rules: DataFrame, upper: str, at: str, patterns: bool, labels: str) -> DataFrame:
+    """(upper, at, labels) of each pair of text and place for which rules hold, by a join of the text's parts with the keywords."""
+    sizes = sorted(r[0] for r in rules.select(F.length("keyword")).distinct().collect())
+    known = lines.select(upper, at).distinct()
+    texts = known.select(upper).distinct().withColumn("__n", F.explode(F.array(*map(F.lit, sizes)))).where(F.col("__n") <= F.length(upper))
+    places = F.sequence(F.lit(1), F.length(upper) - F.col("__n") + 1)
+    parts = texts.select(upper, F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(F.col(upper), i, F.col("__n"))))).alias("keyword"))
+    hits = parts.join(rules, "keyword").drop("keyword")
+    if patterns:
+        hits = hits.where(F.col("pattern").isNull() | _matches("pattern", upper))
+    held = known.join(hits, upper).where(F.col("under").isNull() | (F.col(at) < F.col("under")))
+    rule = F.struct("rule_no", F.coalesce("label", F.lit("")).alias("o"), "label")
+    return held.groupBy(upper, at).agg(F.array_distinct(F.transform(F.array_sort(F.collect_set(rule)), lambda x: x["label"])).alias(labels))
 
 
 def classified(lines: DataFrame, rules: DataFrame, text: str = "text", place: str | None = None, default: str | None = None, label: str = "label", labels: str = "labels") -> DataFrame:
@@ -113,9 +125,16 @@ def classified(lines: DataFrame, rules: DataFrame, text: str = "text", place: st
     first in the alphabet counts. Null and empty texts have no labels, repeated
     rules count once, and without rules all lines have the default.
     """
-    blocks = _blocks(rules)
-    upper, at = "__upper", "__place"
+    rules, upper, at = _rules(rules), "__upper", "__place"
+    weight = F.sum(F.length("keyword") + F.coalesce(F.length("label"), F.lit(0)) + F.coalesce(F.length("pattern"), F.lit(0)))
+    size, patterns = rules.agg(weight, F.count("pattern")).first()
     rows = lines.withColumns({upper: F.coalesce(F.upper(F.col(text)), F.lit("")), at: F.col(place).cast("double") if place else F.lit(None).cast("double")})
+    if (size or 0) > BLOCK_BYTES:
+        found = _joined(rows, rules, upper, at, patterns > 0, labels).withColumnsRenamed({upper: "__u", at: "__a"})
+        out = rows.join(found, F.col(upper).eqNullSafe(F.col("__u")) & F.col(at).eqNullSafe(F.col("__a")), "left")
+        out = out.select(*lines.columns, F.coalesce(F.col(labels), F.array().cast("array<string>")).alias(labels))
+        return out.withColumn(label, F.coalesce(F.get(F.col(labels), F.lit(0)), F.lit(default)))
+    block = rules.sparkSession.sparkContext.broadcast(Block(list(map(tuple, rules.collect()))) if size else None)
     schema = T.StructType([*lines.schema.fields, T.StructField(labels, T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +144,9 @@ def classified(lines: DataFrame, rules: DataFrame, text: str = "text", place: st
                 texts = part.column(part.num_columns - 2).to_pylist()
                 places = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).astype(float)  # null: not a number
                 found: list[set[tuple[int, str]]] = [set() for _ in texts]
-                for block in (b.value for b in blocks):
-                    for line, rule in zip(*block.hits(texts, places), strict=True):
-                        found[line].add((int(block.number[rule]), block.label[rule]))
+                known = block.value
+                for line, rule in zip(*known.hits(texts, places), strict=True) if known else ():
+                    found[line].add((int(known.number[rule]), known.label[rule]))
                 named = [list(dict.fromkeys(name for _, name in sorted(s, key=lambda x: (x[0], x[1] or "")))) for s in found]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(named, pa.list_(pa.string()))], names=schema.names)
 

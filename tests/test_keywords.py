@@ -51,3 +51,16 @@ def test_no_rules_and_no_lines(spark):
     none = K.rule_table(spark, [])
     assert {r.label for r in K.classified(frame(spark), none, default="x").collect()} == {"x"}
     assert K.classified(frame(spark).limit(0), K.rule_table(spark, K.chain_rules())).collect() == []
+
+
+def test_large_rule_tables_stay_out_of_the_driver(spark, monkeypatch):
+    """Beyond BLOCK_BYTES no automaton is made, and the labels are those of the automaton."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abß ") for _ in range(rng.randint(1, 4)))
+    rules = [(rng.randint(0, 9), rng.choice(["x", "y", "z"]), word(), rng.choice([None, 3.0]), rng.choice([None, None, "A+", r"\d"])) for _ in range(80)]
+    lines = spark.createDataFrame([(k, word() + word() + rng.choice(["", "1"]), rng.choice([None, 1.0, 5.0])) for k in range(200)] + [(1, None, 1.0), (2, "", None)] * 2, "id int, text string, place double")
+    found = lambda: sorted(map(str, K.classified(lines, K.rule_table(spark, rules), place="place", default="none").collect()))
+    want = found()
+    monkeypatch.setattr(K, "BLOCK_BYTES", 50)
+    monkeypatch.setattr(K, "Block", None)
+    assert found() == want and sum("labels=[]" not in r for r in want) > 50
