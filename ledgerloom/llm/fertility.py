@@ -29,8 +29,12 @@ from .tables import written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARIES = {"piece": "piece_bpe_32k.model", "bpe": "byte_bpe_50k.tiktoken"}
+#: Bytes of text that are measured at once; a slice's arrays take tens of times that.
+SLICE_BYTES = 1 << 20
 #: Words whose tokens a worker remembers; then it begins anew.
 REMEMBERED = 400_000
+#: Words that a vocabulary encodes at once, as lists of Python numbers.
+ENCODED = 20_000
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 
@@ -109,30 +113,36 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.row: dict[int, int] = {}
+        self.hashes = np.empty(0, np.uint64)  # ascending
+        self.row = np.empty(0, np.int32)
         self.tokens = np.empty(1 << 16, np.int32)
-        self.ends = np.zeros(REMEMBERED + 1, np.int64)
-        self.held = 0
-
-    def rows(self, hashes: list[int], text_of) -> np.ndarray:
-        """The row of each word; text_of gives the texts of words by their place in the list."""
-        new = [i for i, h in enumerate(hashes) if h not in self.row]
-        if new and len(self.row) + len(new) > REMEMBERED:
+        self.ends = np.zeros(1, np.int64)
+
+    def rows(self, hashes: np.ndarray, text_of) -> np.ndarray:
+        """The row of each word, its hashes ascending and none twice; text_of gives the texts of words by their place in the list."""
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.append(self.hashes, np.uint64(0))[at] == hashes
+        known &= at < len(self.hashes)
+        new = np.flatnonzero(~known)
+        if len(new) and len(self.hashes) + len(new) > REMEMBERED:
             self.forget()
-            new = list(range(len(hashes)))
-            if len(new) > REMEMBERED:
-                self.ends = np.zeros(len(new) + 1, np.int64)
-        if new:
-            ids = self.encode(text_of(new))
-            n = len(self.row)
-            flat = np.fromiter((t for x in ids for t in x), np.int32)
-            while self.held + len(flat) > len(self.tokens):
-                self.tokens = np.concatenate([self.tokens, np.empty_like(self.tokens)])
-            self.tokens[self.held : self.held + len(flat)] = flat
-            self.ends[n + 1 : n + 1 + len(ids)] = self.held + np.cumsum([len(x) for x in ids])
-            self.held += len(flat)
-            self.row.update(zip((hashes[i] for i in new), range(n, n + len(new)), strict=True))
-        return np.fromiter((self.row[h] for h in hashes), np.int64, len(hashes))
+            new, at = np.arange(len(hashes)), np.zeros(len(hashes), np.int64)
+        if len(new):
+            n = len(self.hashes)
+            for i in range(0, len(new), ENCODED):
+                self.remember(self.encode(text_of(new[i : i + ENCODED].tolist())))
+            self.row = np.insert(self.row, at[new], np.arange(n, n + len(new), dtype=np.int32))
+            self.hashes = np.insert(self.hashes, at[new], hashes[new])
+        return self.row[np.searchsorted(self.hashes, hashes)]
+
+    def remember(self, ids: list[list[int]]) -> None:
+        """Adds a row of tokens for each of the lists."""
+        held = int(self.ends[-1])
+        ends = held + np.cumsum([len(x) for x in ids])
+        if ends[-1] > len(self.tokens):
+            self.tokens = np.concatenate([self.tokens[:held], np.empty(max(held, int(ends[-1]) - held), np.int32)])
+        self.tokens[held : ends[-1]] = np.fromiter((t for x in ids for t in x), np.int32)
+        self.ends = np.append(self.ends, ends)
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -144,7 +154,7 @@ def vocabulary(file: str) -> Vocabulary:
     return _vocabularies[file]
 
 
-def token_measures(model: Vocabulary, distinct: list[int], inverse: np.ndarray, doc_of: np.ndarray, n_docs: int, text_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_measures(model: Vocabulary, distinct: np.ndarray, inverse: np.ndarray, doc_of: np.ndarray, n_docs: int, text_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By document: number of tokens, of byte tokens, entropy in bits."""
     row = model.rows(distinct, text_of)[inverse]
     begin, size = model.ends[row], model.ends[row + 1] - model.ends[row]
@@ -210,7 +220,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", langua
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scripts = _script_table()
         space = np.flatnonzero(~X.NON_SPACE)
-        for part, texts in X.text_chunks(batches, "__text", 2 * X.CHUNK_BYTES):
+        for part, texts in X.text_chunks(batches, "__text", SLICE_BYTES):
             n_docs = len(texts)
             buf, starts = X.joined(texts)
             a, b = X.word_spans(buf, X.NON_SPACE)
@@ -231,7 +241,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", langua
             least, most, fallback_most, spread = band[script].T
             for file in files.values():
                 text_of = lambda which: [whole[x:y].decode(errors="replace") for x, y in (spans[i] for i in which)]  # noqa: B023, E731
-                n, fallback, entropy = token_measures(vocabulary(file), distinct.tolist(), inverse, doc_of, n_docs, text_of)
+                n, fallback, entropy = token_measures(vocabulary(file), distinct, inverse, doc_of, n_docs, text_of)
                 none, m = n == 0, np.maximum(n, 1)
                 per_token, share = chars / m, fallback / m
                 even = entropy / np.maximum(1, np.log2(np.minimum(m, EVEN)))

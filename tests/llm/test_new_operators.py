@@ -5,14 +5,17 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerloom.llm import collocations, decontamination, linkgraph, merkle, sharding
+from ledgerloom.llm import _text as X
+from ledgerloom.llm import collocations, decontamination, fertility, linkgraph, merkle, sharding
 
 UPPER_TO_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -327,3 +330,48 @@ def test_sql_counts_items_without_an_id_as_the_query_does(spark, tmp_path):
     got = sorted(tuple(r) for r in found.collect())
     assert got == sorted(want)
     assert [r[:4] for r in got] == [(1, 16, 14, 3), (2, 3, 0, 0), (3, 0, 0, 0), (4, 2, 2, 1), (4, 2, 2, 1)]
+
+
+# --- memory of fertility's tasks
+
+
+class TaskOf:
+    """A table of documents whose mapInArrow gives the function that its tasks run."""
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType())])
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, task, _):
+        return task
+
+
+def test_a_fertility_task_holds_little_beside_its_text(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 200_000, 2000)) for _ in range(600)]  # 9 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts), pa.nulls(600, pa.string())], names=["doc_id", "__text", "__language"])
+    task = fertility.measures(TaskOf())
+    tracemalloc.start()
+    try:
+        found = pa.Table.from_batches(task(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.column("n_words").to_pylist() == [2000] * 600
+    assert peak < 150e6
+
+
+def test_a_vocabulary_that_forgets_gives_the_same_tokens(monkeypatch):
+    monkeypatch.setattr(fertility, "REMEMBERED", 50)
+    monkeypatch.setattr(fertility, "ENCODED", 7)
+    rng = np.random.default_rng(4)
+    for file in fertility.VOCABULARIES.values():
+        model = fertility.Vocabulary(f"{fertility.TOKENIZERS}/{file}")
+        for size in (0, 1, 30, 30, 45, 90, 20):  # more than are remembered, too
+            words = sorted({f"Wort{k}ß" for k in rng.integers(0, 120, size)})
+            buf, starts = X.joined([w.encode() for w in words])
+            hashes, at = np.unique(X.span_hashes(buf, starts[:-1], starts[1:] - 1), return_index=True)
+            row = model.rows(hashes, lambda which: [words[at[i]] for i in which])
+            got = [model.tokens[model.ends[r] : model.ends[r + 1]].tolist() for r in row]
+            assert got == list(map(list, model.encode([words[i] for i in at])))
