@@ -48,7 +48,7 @@ def words(c: Column) -> Column:
 
 def date_token(c: Column) -> Column:
     """The first date with a time, in either order; null without one."""
-    return F.nullif(F.regexp_extract(c, DATE_TIME, 1), F.lit(""))
+    return F.when(F.contains(c, F.lit(":")), F.nullif(F.regexp_extract(c, DATE_TIME, 1), F.lit("")))
 
 
 def money_tokens(c: Column) -> Column:
@@ -139,9 +139,9 @@ def fuzzy_ratio(truth: Column, predicted: Column) -> Column:
 
 def edit_similarity(truth: Column, predicted: Column) -> Column:
     """1 less the edit distance over the longer length, without case and blanks: the JVM-side match."""
-    a = F.coalesce(F.regexp_replace(F.lower(truth), " ", ""), F.lit(""))
-    b = F.coalesce(F.regexp_replace(F.lower(predicted), " ", ""), F.lit(""))
-    return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.lit(1), F.length(a), F.length(b))
+    a = F.coalesce(F.replace(F.lower(truth), F.lit(" "), F.lit("")), F.lit(""))
+    b = F.coalesce(F.replace(F.lower(predicted), F.lit(" "), F.lit("")), F.lit(""))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.lit(1), F.length(a), F.length(b)))
 
 
 def parsed_answer(c: Column, kind: str) -> Column:

@@ -21,6 +21,13 @@ def field_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str], lines:
     return a.join(b, keys, "full_outer")
 
 
+def wide_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys, field, truth, predicted) as field_pairs gives, of sides that have a column for each field: joined by document."""
+    sides = [side.select(*keys, F.struct(*(blank_to_null(F.col(f).cast("string")).alias(f) for f in fields)).alias(name)) for name, side in (("__t", truth), ("__p", predicted))]
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col("__t")[f].alias("truth"), F.col("__p")[f].alias("predicted")) for f in fields))
+    return sides[0].join(sides[1], keys, "full_outer").select(*keys, F.inline(pairs))
+
+
 def confusion(pairs: DataFrame, similarity: Column, by: list[str], threshold: float = 0.8, strict: bool = False) -> DataFrame:
     """(by, tp, fp, fn): a pair alike is one tp, unlike one fp and one fn; a lone truth one fn, a lone prediction one fp.
 

@@ -78,17 +78,21 @@ def extracted_fields(lines: DataFrame, key: str = "doc_id", number: str = "line_
     word, or of the line after it, that has one.
     """
     order = Window.partitionBy(key).orderBy(number)
-    lower = F.lower(F.col(text))
-    ahead = lines.withColumns({"__own": X.last_money(F.col(text)), "__date": X.date_token(F.col(text))}).withColumn("__next", F.lead("__own").over(order))
-    total = F.when(X.contains_any(lower, TOTAL_KEYS), F.coalesce("__own", "__next"))
-    rows = ahead.withColumn("__total", total)
-    first = lambda value, where: F.min_by(value, F.when(where, F.col(number)))
-    out = rows.groupBy(key).agg(
-        F.min_by(text, number).alias("seller"),
-        first(lower, X.contains_any(lower, ADDRESS_KEYS)).alias("__address"),
-        first(F.col("__date"), F.col("__date").isNotNull()).alias("timestamp"),
-        first(F.col("__total"), F.col("__total").isNotNull()).alias("total_cost"),
-    )
+    least = F.min(number).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = lines.select(
+        key, number, text, F.lead(text).over(order).alias("__next"), F.lower(text).alias("__lower"),
+        F.coalesce(F.row_number().over(order) == 1, F.lit(False)).alias("__leads"), F.coalesce(F.col(number) == least, F.lit(False)).alias("__least"),
+    )
+    lower = F.col("__lower")
+    rows = ahead.select(
+        key, number, text, "__leads", "__least",
+        F.when(X.contains_any(lower, ADDRESS_KEYS), lower).alias("__address"), X.date_token(F.col(text)).alias("__date"),
+        F.when(X.contains_any(lower, TOTAL_KEYS), F.coalesce(X.last_money(F.col(text)), X.last_money(F.col("__next")))).alias("__total"),
+    )
+    # of each document one row at least, and those that can decide a field
+    rows = rows.where("__leads OR __least OR __address IS NOT NULL OR __date IS NOT NULL OR __total IS NOT NULL")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(number)))
+    out = rows.groupBy(key).agg(F.min_by(text, number).alias("seller"), first("__address").alias("__address"), first("__date").alias("timestamp"), first("__total").alias("total_cost"))
     address = F.regexp_replace("__address", X.ADDRESS_PREFIX, "")
     return out.select(key, "seller", (X.python_title(address) if title else address).alias("address"), "timestamp", "total_cost")
 
